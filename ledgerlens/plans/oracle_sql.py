@@ -268,3 +268,101 @@ ORDER BY z_score DESC, transaction_id LIMIT 100""")
 SELECT region, total_txns, {rate_pct('ok', 'total_txns')} AS success_rate_pct, fraud_flagged_txns
 FROM g ORDER BY success_rate_pct ASC, region""")
     return q
+
+
+# The view filter registered for the filtered-table queries (a real date
+# window, three regions, two gateways).
+DEMO_FILTER = {"start": "2024-01-08", "end": "2024-01-21",
+               "regions": ("AMERICA", "ASIA", "EUROPE"), "gateways": ("GatewayA", "GatewayC")}
+
+
+def _in(values) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def filtered_views(spec: dict | None = None) -> str:
+    """CTEs ``ftxn`` and ``ftk``: the filtered transactions and tickets."""
+    if spec is None:
+        return """
+, bounds AS (SELECT min(CAST("timestamp" AS DATE)) AS lo, max(CAST("timestamp" AS DATE)) AS hi FROM transactions),
+ftxn AS (SELECT * FROM transactions WHERE "timestamp" IS NOT NULL),
+ftk AS (SELECT s.* FROM support_tickets s, bounds b
+        WHERE s.created_at >= CAST(b.lo AS TIMESTAMP) AND s.created_at < CAST(b.hi + 1 AS TIMESTAMP))"""
+    lo, hi = f"TIMESTAMP '{spec['start']} 00:00:00'", f"(CAST(DATE '{spec['end']}' + 1 AS TIMESTAMP))"
+    return f"""
+, ftxn AS (SELECT * FROM transactions WHERE "timestamp" >= {lo} AND "timestamp" < {hi}
+           AND region IN {_in(spec['regions'])} AND gateway IN {_in(spec['gateways'])}),
+ftk AS (SELECT * FROM support_tickets WHERE created_at >= {lo} AND created_at < {hi}
+        AND region IN {_in(spec['regions'])})"""
+
+
+def dashboard_sql() -> dict[str, str]:
+    v = filtered_views()
+    q = {}
+    q["filtered_transactions"] = with_conform(filtered_views(DEMO_FILTER) + "\nSELECT * FROM ftxn")
+    q["filtered_tickets"] = with_conform(filtered_views(DEMO_FILTER) + "\nSELECT * FROM ftk")
+    q["filter_domains"] = with_conform("""
+SELECT 'min_date' AS kind, CAST(min(CAST("timestamp" AS DATE)) AS VARCHAR) AS value FROM transactions
+UNION ALL SELECT 'max_date', CAST(max(CAST("timestamp" AS DATE)) AS VARCHAR) FROM transactions
+UNION ALL SELECT DISTINCT 'region', region FROM transactions WHERE region IS NOT NULL
+UNION ALL SELECT DISTINCT 'gateway', gateway FROM transactions WHERE gateway IS NOT NULL""")
+    q["kpi_summary"] = with_conform(v + f"""
+, t AS (SELECT COUNT(*) AS total_txns,
+               CAST(SUM(CASE WHEN status = 'Success' THEN 1 ELSE 0 END) AS BIGINT) AS ok,
+               CAST(SUM(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+               CAST(SUM(processing_time_ms) AS BIGINT) AS pt_sum, COUNT(processing_time_ms) AS pt_n FROM ftxn),
+k AS (SELECT COUNT(*) AS total_tickets, CAST(SUM(sla_breached) AS BIGINT) AS br, COUNT(sla_breached) AS br_n,
+             CAST(SUM({cents('resolution_time_hours')}) AS BIGINT) AS res, COUNT(resolution_time_hours) AS res_n,
+             CAST(SUM(csat_score) AS BIGINT) AS cs, COUNT(csat_score) AS cs_n FROM ftk)
+SELECT total_txns,
+       coalesce({pct('ok', 'nullif(total_txns, 0)')}, 0.0E0) AS success_rate,
+       coalesce({pct('failed', 'nullif(total_txns, 0)')}, 0.0E0) AS failure_rate,
+       coalesce(CAST(pt_sum AS DOUBLE) / CAST(nullif(pt_n, 0) AS DOUBLE), 0.0E0) AS avg_proc_time,
+       total_tickets,
+       coalesce({pct('br', 'nullif(br_n, 0)')}, 0.0E0) AS sla_breach_rate,
+       coalesce(CAST(res AS DOUBLE) / (100.0E0 * CAST(nullif(res_n, 0) AS DOUBLE)), 0.0E0) AS avg_resolution,
+       coalesce(CAST(cs AS DOUBLE) / CAST(nullif(cs_n, 0) AS DOUBLE), 0.0E0) AS avg_csat
+FROM t, k""")
+    q["daily_failure_trend"] = with_conform(v + """
+SELECT CAST("timestamp" AS DATE) AS date, COUNT(transaction_id) AS total,
+       CAST(SUM(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+       CAST(100 * SUM(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS DOUBLE) / CAST(COUNT(transaction_id) AS DOUBLE)
+         AS failure_rate_pct
+FROM ftxn WHERE "timestamp" IS NOT NULL GROUP BY CAST("timestamp" AS DATE) ORDER BY date""")
+    q["gateway_performance"] = with_conform(v + f"""
+SELECT gateway, COUNT(transaction_id) AS total,
+       {pct("SUM(CASE WHEN status = 'Success' THEN 1 ELSE 0 END)", 'COUNT(*)')} AS success_rate,
+       CAST(SUM(processing_time_ms) AS DOUBLE) / CAST(COUNT(processing_time_ms) AS DOUBLE) AS avg_proc
+FROM ftxn WHERE gateway IS NOT NULL GROUP BY gateway ORDER BY gateway""")
+    q["top_failure_reasons"] = with_conform(v + """
+SELECT failure_reason, COUNT(*) AS count FROM ftxn
+WHERE status = 'Failed' AND failure_reason <> ''
+GROUP BY failure_reason ORDER BY count DESC, failure_reason LIMIT 10""")
+    q["regional_ops"] = with_conform(v + f"""
+SELECT region, COUNT(transaction_id) AS total,
+       {pct("SUM(CASE WHEN status = 'Success' THEN 1 ELSE 0 END)", 'COUNT(*)')} AS success_rate,
+       CAST(SUM(is_fraud_flag) AS BIGINT) AS fraud_flagged
+FROM ftxn WHERE region IS NOT NULL GROUP BY region ORDER BY region""")
+    q["sla_heatmap"] = with_conform(v + f"""
+SELECT priority, agent_team, COUNT(ticket_id) AS total,
+       {pct('SUM(sla_breached)', 'COUNT(sla_breached)')} AS breach_rate
+FROM ftk WHERE priority IS NOT NULL AND agent_team IS NOT NULL
+GROUP BY priority, agent_team ORDER BY priority, agent_team""")
+    c = cents("resolution_time_hours")
+    q["resolution_distribution"] = with_conform(v + f"""
+, g AS (SELECT agent_team, min({c}) AS mn, quantile_cont({c}, [0.25, 0.5, 0.75]) AS qs, max({c}) AS mx
+        FROM ftk WHERE agent_team IS NOT NULL AND resolution_time_hours IS NOT NULL GROUP BY agent_team)
+SELECT agent_team, CAST(mn AS DOUBLE) / 100.0E0 AS "min", qs[1] / 100.0E0 AS q1, qs[2] / 100.0E0 AS median,
+       qs[3] / 100.0E0 AS q3, CAST(mx AS DOUBLE) / 100.0E0 AS "max"
+FROM g ORDER BY agent_team""")
+    q["csat_by_sla_outcome"] = with_conform(v + """
+SELECT CASE sla_breached WHEN 0 THEN 'SLA Met' WHEN 1 THEN 'SLA Breached' END AS sla_outcome,
+       CAST(SUM(csat_score) AS DOUBLE) / CAST(COUNT(csat_score) AS DOUBLE) AS csat_score
+FROM ftk WHERE sla_breached IS NOT NULL GROUP BY sla_breached ORDER BY sla_outcome""")
+    q["bottleneck_agents"] = with_conform(v + f"""
+, g AS (SELECT agent_id, agent_team, COUNT(ticket_id) AS tickets,
+               CAST(SUM({c}) AS DOUBLE) / (100.0E0 * CAST(COUNT(resolution_time_hours) AS DOUBLE)) AS avg_resolution,
+               CAST(SUM(sla_breached) AS BIGINT) AS breaches
+        FROM ftk WHERE agent_id IS NOT NULL AND agent_team IS NOT NULL GROUP BY agent_id, agent_team)
+SELECT * FROM g WHERE tickets >= 20 ORDER BY avg_resolution DESC, agent_id, agent_team LIMIT 10""")
+    return q

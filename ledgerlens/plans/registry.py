@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.conform import conformed_tables
+from ..operators.filters import ViewFilter, filter_domains, filter_tickets, filter_transactions
 from . import analyses as A
-from .oracle_sql import AS_OF, analysis_sql
+from . import dashboard as D
+from .oracle_sql import AS_OF, DEMO_FILTER, analysis_sql, dashboard_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,13 +55,41 @@ def analysis_queries() -> dict[str, Query]:
     }
 
 
+def _view(fn, f: ViewFilter = ViewFilter()) -> Query:
+    """``fn(filtered_txn, filtered_tickets)`` over the view filter ``f``."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        txn, tk = conformed_tables(spark, sf_dir)
+        return fn(filter_transactions(txn, f), filter_tickets(tk, txn, f))
+    return run
+
+
+def dashboard_queries() -> dict[str, Query]:
+    demo = ViewFilter(**DEMO_FILTER)
+    return {
+        "filtered_transactions": _view(lambda t, k: t, demo),
+        "filtered_tickets": _view(lambda t, k: k, demo),
+        "filter_domains": _txn(filter_domains),
+        "kpi_summary": _view(D.kpi_summary),
+        "daily_failure_trend": _view(lambda t, k: D.daily_failure_trend(t)),
+        "gateway_performance": _view(lambda t, k: D.gateway_performance(t)),
+        "top_failure_reasons": _view(lambda t, k: D.top_failure_reasons(t)),
+        "regional_ops": _view(lambda t, k: D.regional_ops(t)),
+        "sla_heatmap": _view(lambda t, k: D.sla_heatmap(k)),
+        "resolution_distribution": _view(lambda t, k: D.resolution_distribution(k)),
+        "csat_by_sla_outcome": _view(lambda t, k: D.csat_by_sla_outcome(k)),
+        "bottleneck_agents": _view(lambda t, k: D.bottleneck_agents(k)),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     q = {}
     q.update(analysis_queries())
+    q.update(dashboard_queries())
     return q
 
 
 def all_oracle_sql() -> dict[str, str]:
     q = {}
     q.update(analysis_sql())
+    q.update(dashboard_sql())
     return q
