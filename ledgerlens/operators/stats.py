@@ -66,8 +66,8 @@ def zscore_flags(df: DataFrame, column: str, threshold: float = 3.0) -> Column:
     """
     mean = scalar_of(df, F.avg(column))
     std = scalar_of(df, F.stddev_samp(column))
-    z = (F.col(column) - mean) / std
-    return F.coalesce((std > 0) & (F.abs(z) > F.lit(float(threshold))), F.lit(False))
+    z = (F.col(column) - mean) / F.when(std > 0, std)
+    return F.coalesce(F.abs(z) > F.lit(float(threshold)), F.lit(False))
 
 
 def minmax_norm(df: DataFrame, column: str, eps: float = 1e-9) -> Column:

@@ -366,3 +366,118 @@ FROM ftk WHERE sla_breached IS NOT NULL GROUP BY sla_breached ORDER BY sla_outco
         FROM ftk WHERE agent_id IS NOT NULL AND agent_team IS NOT NULL GROUP BY agent_id, agent_team)
 SELECT * FROM g WHERE tickets >= 20 ORDER BY avg_resolution DESC, agent_id, agent_team LIMIT 10""")
     return q
+
+
+def _reason_sql() -> str:
+    zf = ("coalesce(abs(({x} - {m}) / (CASE WHEN {s} > 0 THEN {s} END)) > 2.5E0, false)")
+    return f"""coalesce(nullif(concat_ws(', ',
+      CASE WHEN {zf.format(x='processing_time_ms', m='mp', s='sp')} THEN 'Slow processing' END,
+      CASE WHEN {zf.format(x='amount', m='ma', s='sa')} THEN 'Unusual amount' END,
+      CASE WHEN retry_count >= 3 THEN 'High retries' END,
+      CASE WHEN risk_score > 75 THEN 'High risk score' END,
+      CASE WHEN status = 'Failed' THEN 'Failed txn' END), ''), 'Multivariate pattern')"""
+
+
+_ZSTATS = """avg(processing_time_ms) AS mp, stddev_samp(processing_time_ms) AS sp,
+             avg(amount) AS ma, stddev_samp(amount) AS sa"""
+
+
+def anomaly_sql() -> dict[str, str]:
+    q = {}
+    q["zscore_flags"] = with_conform(f"""
+, st AS (SELECT {_ZSTATS} FROM transactions)
+SELECT transaction_id,
+       coalesce(abs((processing_time_ms - mp) / (CASE WHEN sp > 0 THEN sp END)) > 3.0E0, false) AS pt_outlier,
+       coalesce(abs((amount - ma) / (CASE WHEN sa > 0 THEN sa END)) > 3.0E0, false) AS amount_outlier
+FROM transactions, st""")
+    q["anomaly_reasons"] = with_conform(f"""
+, st AS (SELECT {_ZSTATS} FROM transactions)
+SELECT transaction_id, {_reason_sql()} AS anomaly_reason FROM transactions, st""")
+    q["amount_minmax"] = with_conform("""
+, st AS (SELECT min(amount) AS lo, max(amount) AS hi FROM transactions)
+SELECT transaction_id, (amount - lo) / (hi - lo + 1e-9) AS norm_amount FROM transactions, st""")
+    q["zscore_priority_anomalies"] = with_conform(f"""
+, mo AS (
+  SELECT CAST(COUNT(processing_time_ms) AS HUGEINT) AS n, CAST(SUM(processing_time_ms) AS HUGEINT) AS s1,
+         SUM(CAST(processing_time_ms AS HUGEINT) * processing_time_ms) AS s2 FROM transactions),
+zr AS (SELECT t.*, mo.n * t.processing_time_ms - mo.s1 AS num, mo.n * mo.s2 - mo.s1 * mo.s1 AS v
+       FROM transactions t, mo),
+z AS (SELECT *, CASE WHEN v > 0 THEN abs(CAST(num AS DOUBLE) / sqrt(CAST(v AS DOUBLE))) END AS anomaly_score,
+             coalesce(v > 0 AND num * num > 9 * v, false) AS is_anomaly FROM zr),
+st AS (SELECT {_ZSTATS}, min(anomaly_score) AS smin, max(anomaly_score) AS smax,
+              min(amount) AS amin, max(amount) AS amax FROM z)
+SELECT transaction_id, "timestamp", gateway, channel, amount, status, processing_time_ms, retry_count,
+       risk_score, {_reason_sql()} AS anomaly_reason,
+       {round_half_even('(0.55E0 * ((anomaly_score - smin) / (smax - smin + 1e-9)) + 0.3E0 * ((amount - amin) / (amax - amin + 1e-9)) + 0.15E0 * is_fraud_flag) * 100.0E0', 2)} AS priority_score
+FROM z, st WHERE is_anomaly
+ORDER BY priority_score DESC, transaction_id LIMIT 25""")
+    return q
+
+
+def enrich_sql() -> dict[str, str]:
+    q = {}
+    q["enrich_sla"] = with_conform("""
+SELECT ticket_id,
+       CAST(CASE priority WHEN 'Critical' THEN 4 WHEN 'High' THEN 12 WHEN 'Medium' THEN 24 WHEN 'Low' THEN 48 END AS INTEGER)
+         AS sla_target_hours,
+       CAST(CASE WHEN resolution_time_hours > CASE priority WHEN 'Critical' THEN 4 WHEN 'High' THEN 12
+                 WHEN 'Medium' THEN 24 WHEN 'Low' THEN 48 END THEN 1 ELSE 0 END AS INTEGER) AS sla_breached
+FROM support_tickets""")
+    q["enrich_resolution_time"] = f"""
+WITH b AS (
+  SELECT 'TCK' || CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-'
+           || CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey AS VARCHAR) AS ticket_id,
+         CASE WHEN l.l_partkey % 100 < 35 THEN 'Tier1-Support' WHEN l.l_partkey % 100 < 55 THEN 'Tier2-Technical'
+              WHEN l.l_partkey % 100 < 70 THEN 'Fraud-Risk' WHEN l.l_partkey % 100 < 90 THEN 'Billing-Ops'
+              ELSE 'Premium-Care' END AS agent_team,
+         CASE o.o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 12 WHEN '3-MEDIUM' THEN 24 ELSE 48 END AS target,
+         l.l_quantity * 0.25E0 AS base_hours
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)
+SELECT ticket_id, agent_team,
+       {round_half_even("base_hours + CASE agent_team WHEN 'Fraud-Risk' THEN 10.0E0 WHEN 'Tier2-Technical' THEN 5.0E0 ELSE 0.0E0 END + CAST(target AS DOUBLE) * 0.15E0", 2)}
+         AS resolution_time_hours
+FROM b"""
+    q["enrich_resolved_at"] = with_conform("""
+SELECT ticket_id,
+       CASE WHEN status IN ('Resolved', 'Closed', 'Reopened')
+            THEN created_at + to_seconds(CAST(round(resolution_time_hours * 3600.0E0) AS BIGINT)) END AS resolved_at
+FROM support_tickets""")
+    q["enrich_risk_score"] = f"""
+WITH b AS (
+  SELECT 'TXN' || CAST(100000 + e.event_id AS VARCHAR) AS transaction_id,
+         o.o_totalprice / 6250.0E0 AS base_risk, o.o_totalprice * e.value / 1000.0E0 AS amount,
+         1 + (o.o_custkey * 37) % 3650 AS age
+  FROM events e JOIN orders o ON o.o_orderkey = e.event_id)
+SELECT transaction_id,
+       {round_half_even("least(100.0E0, greatest(0.0E0, base_risk + CASE WHEN amount > 100000.0E0 THEN 12.0E0 ELSE 0.0E0 END + CASE WHEN age < 30 THEN 15.0E0 ELSE 0.0E0 END))", 1)}
+         AS risk_score
+FROM b"""
+    q["failure_expectation"] = with_conform(f"""
+, g AS (
+  SELECT gateway, hour("timestamp") BETWEEN 1 AND 4 AS night, COUNT(*) AS txns,
+         CAST(SUM(CASE WHEN gateway = 'GatewayC' THEN 1800 ELSE 700 END
+                  + CASE WHEN hour("timestamp") BETWEEN 1 AND 4 THEN 600 ELSE 0 END) AS BIGINT) AS bp,
+         CAST(SUM(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed
+  FROM transactions WHERE "timestamp" IS NOT NULL GROUP BY ALL)
+SELECT gateway, night, txns, {ratio_half_up('bp', 'txns * 100', 100)} AS expected_rate_pct,
+       {rate_pct('failed', 'txns')} AS observed_rate_pct
+FROM g ORDER BY gateway, night""")
+    q["ticket_links"] = with_conform("""
+SELECT ticket_id, related_transaction_id, 'linked' AS link_kind FROM support_tickets
+WHERE related_transaction_id <> ''
+UNION ALL
+SELECT ticket_id, related_transaction_id, 'unlinked' FROM support_tickets
+WHERE related_transaction_id = '' OR related_transaction_id IS NULL""")
+    return q
+
+
+def source_sql() -> dict[str, str]:
+    q = {}
+    q["load_audit"] = with_conform("""
+SELECT 'transactions' AS "table", COUNT(*) AS "rows" FROM transactions
+UNION ALL SELECT 'support_tickets', COUNT(*) FROM support_tickets""")
+    q["preview_transactions"] = with_conform("""
+SELECT * FROM transactions ORDER BY "timestamp", transaction_id LIMIT 1000""")
+    q["preview_tickets"] = with_conform("""
+SELECT * FROM support_tickets ORDER BY created_at, ticket_id LIMIT 1000""")
+    return q

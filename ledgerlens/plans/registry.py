@@ -11,11 +11,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.conform import conformed_tables
+from .. import constants as K
+from ..operators import anomaly as AN
+from ..operators import enrich as EN
+from ..operators import iforest
+from ..operators.stats import minmax_norm, zscore_flags
+from ..sources import io
+from ..sources.conform import StarTables, conformed_tables, risk_inputs, ticket_inputs
 from ..operators.filters import ViewFilter, filter_domains, filter_tickets, filter_transactions
 from . import analyses as A
 from . import dashboard as D
-from .oracle_sql import AS_OF, DEMO_FILTER, analysis_sql, dashboard_sql
+from .oracle_sql import AS_OF, DEMO_FILTER, analysis_sql, anomaly_sql, dashboard_sql, enrich_sql, source_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,15 +87,75 @@ def dashboard_queries() -> dict[str, Query]:
     }
 
 
+def _zscore_flags(txn: DataFrame) -> DataFrame:
+    return txn.select("transaction_id",
+                      zscore_flags(txn, "processing_time_ms", K.OUTLIER_Z).alias("pt_outlier"),
+                      zscore_flags(txn, "amount", K.OUTLIER_Z).alias("amount_outlier"))
+
+
+def _forest_scores(txn: DataFrame) -> DataFrame:
+    return iforest.isolation_forest_scores(
+        txn, "transaction_id", K.FEATURES, K.DEFAULT_CONTAMINATION, K.FOREST_TREES,
+        K.FOREST_MAX_SAMPLES, K.FOREST_SEED).select("transaction_id", "anomaly_score", "is_anomaly")
+
+
+def anomaly_queries() -> dict[str, Query]:
+    return {
+        "zscore_flags": _txn(_zscore_flags),
+        "anomaly_reasons": _txn(lambda t: t.select("transaction_id",
+                                                   AN.anomaly_reasons(t).alias("anomaly_reason"))),
+        "amount_minmax": _txn(lambda t: t.select("transaction_id",
+                                                 minmax_norm(t, "amount", K.MINMAX_EPS).alias("norm_amount"))),
+        "zscore_priority_anomalies": _txn(lambda t: AN.top_anomalies(
+            AN.explain_and_rank(AN.zscore_scored(t)), K.DEFAULT_TOP_N)),
+        "isolation_forest_scores": _txn(_forest_scores),
+        "top_priority_anomalies": _txn(AN.top_priority_anomalies),
+        "sampled_anomaly_view": _view(lambda t, k: AN.sampled_anomaly_view(
+            t, K.DEFAULT_CONTAMINATION, K.DASHBOARD_TOP_N, max_rows=K.DASHBOARD_SAMPLE_ROWS)),
+    }
+
+
+def _star(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(StarTables.load(spark, sf_dir))
+    return run
+
+
+def enrich_queries() -> dict[str, Query]:
+    return {
+        "enrich_sla": _tk(lambda k: EN.enrich_sla(k.select("ticket_id", "priority", "resolution_time_hours"))
+                          .select("ticket_id", "sla_target_hours", "sla_breached")),
+        "enrich_resolution_time": _star(lambda t: ticket_inputs(t).select(
+            "ticket_id", "agent_team",
+            EN.resolution_time("base_hours", "agent_team", "sla_target_hours").alias("resolution_time_hours"))),
+        "enrich_resolved_at": _tk(lambda k: EN.enrich_resolved_at(k).select("ticket_id", "resolved_at")),
+        "enrich_risk_score": _star(lambda t: risk_inputs(t).select(
+            "transaction_id",
+            EN.risk_score("base_risk", "amount", "account_age_days").alias("risk_score"))),
+        "failure_expectation": _txn(EN.failure_expectation),
+        "link_candidates": _both(lambda t, k: EN.link_candidates(t, k.count()).select(
+            "transaction_id", "timestamp", "customer_id", "status")),
+        "ticket_links": _tk(EN.ticket_links),
+    }
+
+
+def source_queries() -> dict[str, Query]:
+    return {
+        "load_audit": _both(io.load_audit),
+        "preview_transactions": _txn(lambda t: io.preview(t, "transactions")),
+        "preview_tickets": _tk(lambda k: io.preview(k, "support_tickets")),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     q = {}
-    q.update(analysis_queries())
-    q.update(dashboard_queries())
+    for part in (analysis_queries, dashboard_queries, anomaly_queries, enrich_queries, source_queries):
+        q.update(part())
     return q
 
 
 def all_oracle_sql() -> dict[str, str]:
     q = {}
-    q.update(analysis_sql())
-    q.update(dashboard_sql())
+    for part in (analysis_sql, dashboard_sql, anomaly_sql, enrich_sql, source_sql):
+        q.update(part())
     return q

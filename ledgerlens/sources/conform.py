@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import core as fx
+from ..operators import enrich
 from ..operators.joins import bounded_broadcast
 from ..session import sf_path
 from .schemas import SUPPORT_TICKETS, TICKET_COLUMNS, TRANSACTION_COLUMNS, TRANSACTIONS
@@ -52,11 +53,7 @@ def _txn_columns(e, o, with_event_id: bool) -> list:
     is_error = F.col("event_type") == F.lit("error")
     amount = (F.col("o_totalprice") * F.col("value")) / F.lit(1000.0)
     age = F.lit(1) + F.pmod(F.col("o_custkey") * F.lit(37), F.lit(3650))
-    risk = fx.clip(
-        F.col("o_totalprice") / F.lit(6250.0)
-        + F.when(amount > F.lit(float(K.HIGH_AMOUNT)), F.lit(12.0)).otherwise(F.lit(0.0))
-        + F.when(age < F.lit(K.NEW_ACCOUNT_DAYS), F.lit(15.0)).otherwise(F.lit(0.0)),
-        0.0, 100.0)
+    risk = enrich.risk_score(F.col("o_totalprice") / F.lit(6250.0), amount, age, digits=None)
     eid = F.col("event_id")
     status = (F.when(is_error, F.lit("Failed"))
               .when(F.pmod(eid, F.lit(50)) == 0, F.lit("Pending"))
@@ -106,6 +103,51 @@ def transactions(t: StarTables, with_event_id: bool = False) -> DataFrame:
     return df if with_event_id else df.select(*TRANSACTION_COLUMNS)
 
 
+def ticket_priority(orderpriority) -> "F.Column":
+    return fx.lookup({"1-URGENT": "Critical", "2-HIGH": "High", "3-MEDIUM": "Medium"},
+                     orderpriority, default="Low")
+
+
+def ticket_team(partkey) -> "F.Column":
+    bucket = F.pmod(fx._c(partkey), F.lit(100))
+    return (F.when(bucket < 35, F.lit("Tier1-Support")).when(bucket < 55, F.lit("Tier2-Technical"))
+            .when(bucket < 70, F.lit("Fraud-Risk")).when(bucket < 90, F.lit("Billing-Ops"))
+            .otherwise(F.lit("Premium-Care")))
+
+
+def ticket_base_hours() -> "F.Column":
+    """The base resolution effort of a line item, before team and SLA terms."""
+    return F.col("l_quantity") * F.lit(0.25)
+
+
+def ticket_id_column() -> "F.Column":
+    return fx.prefixed_id("TCK", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def ticket_inputs(t: StarTables) -> DataFrame:
+    """Per line item: ticket id, team, priority, SLA target and base hours,
+    the inputs of the resolution-time rule."""
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    o = t.orders.select("o_orderkey", "o_orderpriority")
+    pr = ticket_priority("o_orderpriority")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        ticket_id_column().alias("ticket_id"), ticket_team("l_partkey").alias("agent_team"),
+        pr.alias("priority"), enrich.sla_target_hours(pr).alias("sla_target_hours"),
+        ticket_base_hours().alias("base_hours"))
+
+
+def risk_inputs(t: StarTables) -> DataFrame:
+    """Per event: transaction id, base risk, amount and account age, the
+    inputs of the risk-score rule."""
+    e = t.events.select("event_id", "value")
+    o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    return e.join(o, e.event_id == o.o_orderkey).select(
+        F.concat(F.lit("TXN"), (F.lit(100000) + F.col("event_id")).cast("string")).alias("transaction_id"),
+        (F.col("o_totalprice") / F.lit(6250.0)).alias("base_risk"),
+        ((F.col("o_totalprice") * F.col("value")) / F.lit(1000.0)).alias("amount"),
+        (F.lit(1) + F.pmod(F.col("o_custkey") * F.lit(37), F.lit(3650))).cast("int").alias("account_age_days"))
+
+
 def support_tickets(t: StarTables, txn_with_event_id: DataFrame | None = None) -> DataFrame:
     txn = txn_with_event_id if txn_with_event_id is not None else transactions(t, with_event_id=True)
     linked = (txn.where(F.col("status").isin(*K.LINKABLE_TRANSACTION_STATUSES))
@@ -124,16 +166,11 @@ def support_tickets(t: StarTables, txn_with_event_id: DataFrame | None = None) -
               .join(supplier_region, li.l_suppkey == supplier_region.s_suppkey))
 
     is_linked = F.col("t_event_id").isNotNull()
-    priority = fx.lookup({"1-URGENT": "Critical", "2-HIGH": "High", "3-MEDIUM": "Medium"},
-                         "o_orderpriority", default="Low")
-    target = fx.lookup(K.SLA_TARGET_BY_PRIORITY, priority)
+    priority = ticket_priority("o_orderpriority")
+    target = enrich.sla_target_hours(priority)
     pk = F.col("l_partkey")
-    bucket = F.pmod(pk, F.lit(100))
-    team = (F.when(bucket < 35, F.lit("Tier1-Support")).when(bucket < 55, F.lit("Tier2-Technical"))
-            .when(bucket < 70, F.lit("Fraud-Risk")).when(bucket < 90, F.lit("Billing-Ops"))
-            .otherwise(F.lit("Premium-Care")))
-    penalty = fx.lookup(K.TEAM_PENALTY_HOURS, team, default=0.0)
-    resolution = (F.col("l_quantity") * F.lit(0.25) + penalty) + target.cast("double") * F.lit(0.15)
+    team = ticket_team(pk)
+    resolution = enrich.resolution_time(ticket_base_hours(), team, target, digits=None)
     breached = resolution > target
     ln3 = F.pmod(F.col("l_linenumber"), F.lit(3))
     status = (F.when(F.col("l_returnflag") == "R", F.lit("Reopened"))
@@ -148,7 +185,7 @@ def support_tickets(t: StarTables, txn_with_event_id: DataFrame | None = None) -
                .otherwise(F.lit(None).cast("string")))
 
     df = joined.select(
-        fx.prefixed_id("TCK", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ticket_id"),
+        ticket_id_column().alias("ticket_id"),
         created.alias("created_at"),
         F.col("o_custkey").cast("long").alias("customer_id"),
         related.alias("related_transaction_id"),
@@ -167,10 +204,7 @@ def support_tickets(t: StarTables, txn_with_event_id: DataFrame | None = None) -
         fx.flag(breached & (F.pmod(pk, F.lit(10)) < 3)).alias("escalation_flag"),
         F.when(status == "Reopened", F.lit(1) + ln3).otherwise(F.lit(0)).cast("int").alias("reopened_count"),
     )
-    resolved = F.when(F.col("status").isin(*K.CLOSED_TICKET_STATUSES),
-                      fx.add_seconds("created_at", F.round(F.col("resolution_time_hours") * F.lit(3600.0), 0)
-                                     .cast("long")))
-    return df.withColumn("resolved_at", resolved).select(*TICKET_COLUMNS)
+    return enrich.enrich_resolved_at(df).select(*TICKET_COLUMNS)
 
 
 def conformed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
