@@ -51,7 +51,12 @@ def mean_2dp_from_cents(sum_cents, n) -> Column:
 
 def mean_from_cents(sum_cents, n) -> Column:
     """Unrounded mean of 2-decimal values, from the exact sum of hundredths."""
-    return _c(sum_cents).cast("double") / (F.lit(100.0) * _c(n).cast("double"))
+    return safe_div(sum_cents, F.lit(100.0) * _c(n).cast("double"))
+
+
+def safe_div(num, den) -> Column:
+    """``num / den`` as doubles; null (not an error) when ``den`` is 0."""
+    return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
 
 
 def round_half_away(x, digits: int) -> Column:
@@ -70,7 +75,7 @@ def round_half_even(x, digits: int) -> Column:
 
 def pct(num, den) -> Column:
     """Unrounded ``100 * (num / den)`` as in a mean of a boolean times 100."""
-    return F.lit(100.0) * (_c(num).cast("double") / _c(den).cast("double"))
+    return F.lit(100.0) * safe_div(num, den)
 
 
 def clip(x, lo, hi) -> Column:

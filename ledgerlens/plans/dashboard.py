@@ -41,11 +41,11 @@ def kpi_summary(ftxn: DataFrame, ftickets: DataFrame) -> DataFrame:
         "total_txns",
         F.coalesce(fx.pct("_ok", "total_txns"), zero).alias("success_rate"),
         F.coalesce(fx.pct("_failed", "total_txns"), zero).alias("failure_rate"),
-        F.coalesce(F.col("_pt_sum").cast("double") / F.col("_pt_n").cast("double"), zero).alias("avg_proc_time"),
+        F.coalesce(fx.safe_div("_pt_sum", "_pt_n"), zero).alias("avg_proc_time"),
         kv["total_tickets"].alias("total_tickets"),
         F.coalesce(fx.pct(kv["_br"], kv["_br_n"]), zero).alias("sla_breach_rate"),
         F.coalesce(fx.mean_from_cents(kv["_res"], kv["_res_n"]), zero).alias("avg_resolution"),
-        F.coalesce(kv["_cs"].cast("double") / kv["_cs_n"].cast("double"), zero).alias("avg_csat"),
+        F.coalesce(fx.safe_div(kv["_cs"], kv["_cs_n"]), zero).alias("avg_csat"),
     )
 
 
@@ -54,7 +54,7 @@ def daily_failure_trend(ftxn: DataFrame) -> DataFrame:
            .groupBy(F.to_date("timestamp").alias("date"))
            .agg(F.count("transaction_id").alias("total"),
                 F.count_if(F.col("status") == "Failed").alias("failed")))
-    rate = (F.lit(100) * F.col("failed")).cast("double") / F.col("total").cast("double")
+    rate = fx.safe_div(F.lit(100) * F.col("failed"), "total")
     return agg.select("date", "total", "failed", rate.alias("failure_rate_pct")).orderBy("date")
 
 
@@ -68,7 +68,7 @@ def gateway_performance(ftxn: DataFrame) -> DataFrame:
     )
     return agg.select(
         "gateway", "total", fx.pct("_ok", "_n").alias("success_rate"),
-        (F.col("_pt_sum").cast("double") / F.col("_pt_n").cast("double")).alias("avg_proc"),
+        fx.safe_div("_pt_sum", "_pt_n").alias("avg_proc"),
     ).orderBy("gateway")
 
 
@@ -124,7 +124,7 @@ def csat_by_sla_outcome(ftickets: DataFrame) -> DataFrame:
            .agg(F.sum("csat_score").alias("_s"), F.count("csat_score").alias("_n")))
     return agg.select(
         fx.lookup(K.SLA_OUTCOME_LABELS, "sla_breached").alias("sla_outcome"),
-        (F.col("_s").cast("double") / F.col("_n").cast("double")).alias("csat_score"),
+        fx.safe_div("_s", "_n").alias("csat_score"),
     ).orderBy("sla_outcome")
 
 
