@@ -8,6 +8,7 @@ all rows passed in (before the anomaly filter), as scalar subqueries.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +49,9 @@ def priority_score(df: DataFrame, score_col: str = "anomaly_score") -> Column:
 
 def explain_and_rank(scored: DataFrame, score_col: str = "anomaly_score",
                      flag_col: str = "is_anomaly") -> DataFrame:
-    """Adds ``anomaly_reason`` and ``priority_score`` to every row."""
-    return (scored.withColumn("anomaly_reason", anomaly_reasons(scored))
-            .withColumn("priority_score", priority_score(scored, score_col)))
+    """Adds ``anomaly_reason`` and ``priority_score`` to every row (one projection)."""
+    return scored.select("*", anomaly_reasons(scored).alias("anomaly_reason"),
+                         priority_score(scored, score_col).alias("priority_score"))
 
 
 def top_anomalies(ranked: DataFrame, top_n: int, flag_col: str = "is_anomaly") -> DataFrame:
@@ -86,6 +87,7 @@ def zscore_scored(txn: DataFrame, threshold: float = K.OUTLIER_Z) -> DataFrame:
     """A deterministic stand-in for the forest: the anomaly score is the
     absolute population z-score of processing time, flagged beyond
     ``threshold``. It drives the same explanation and ranking stages."""
-    z = exact_population_z(txn, "processing_time_ms")
-    return (txn.withColumn("anomaly_score", F.abs(z.z))
-            .withColumn("is_anomaly", F.coalesce(z.beyond(threshold), F.lit(False))))
+    work = txn.persist(StorageLevel.MEMORY_AND_DISK)     # read by several global statistics
+    z = exact_population_z(work, "processing_time_ms")
+    return work.select("*", F.abs(z.z).alias("anomaly_score"),
+                       F.coalesce(z.beyond(threshold), F.lit(False)).alias("is_anomaly"))

@@ -38,7 +38,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quantile import exact_percentile, select_ranks
+from ..session import materialize
+from .quantile import exact_percentile, smallest_by_hash
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -159,9 +160,10 @@ def _features_frame(df: DataFrame, id_col: str, features: list[str]) -> DataFram
 
 
 def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max_samples: int = 256,
-        seed: int = 42) -> IsolationForestModel:
+        seed: int = 42, n: int | None = None) -> IsolationForestModel:
     x = _features_frame(df, id_col, features)
-    n = x.count()
+    if n is None:
+        n = x.count()
     psi = max(1, min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     if n == 0:
@@ -169,15 +171,12 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max
         return IsolationForestModel.from_nodes(empty, psi, max_depth, len(features))
     pool_size = n_trees * psi
     if n >= pool_size:
-        h = x.withColumn("_h", F.xxhash64(F.col("_id"), F.lit(seed)))
-        cut = select_ranks(h, "_h", [pool_size - 1])[pool_size - 1]
-        # The pool is bounded (trees * psi rows, plus hash ties at the cut),
-        # so ranking it in one task is fine; nothing else is ranked globally.
-        w = Window.orderBy("_h", "_id")
-        sample = (h.where(F.col("_h") <= F.lit(cut)).withColumn("_rn", F.row_number().over(w))
-                  .where(F.col("_rn") <= pool_size)
-                  .withColumn("tree_id", F.pmod(F.col("_rn") - 1, F.lit(n_trees)).cast("int")))
+        # One pool of trees * psi rows (bounded), dealt round-robin.
+        pool = smallest_by_hash(x, "_id", pool_size, seed, n)
+        sample = pool.withColumn("tree_id", F.pmod(F.col("_rn") - 1, F.lit(n_trees)).cast("int"))
     else:
+        # n < trees * psi: every row is offered to every tree (bounded by
+        # trees * psi * trees rows); each tree keeps its psi smallest hashes.
         per_tree = Window.partitionBy("tree_id").orderBy("_h", "_id")
         sample = (x.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
                   .withColumn("_h", F.xxhash64(F.col("_id"), F.lit(seed), F.col("tree_id")))
@@ -187,6 +186,8 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max
              .groupBy("tree_id").applyInPandas(_fit_group(features, seed, max_depth), NODE_SCHEMA))
     # The model is bounded by trees * (2 * psi - 1) rows whatever the data size.
     pdf = nodes.toPandas()
+    if n >= pool_size:
+        pool.unpersist()
     return IsolationForestModel.from_nodes(pdf, psi, max_depth, len(features))
 
 
@@ -206,16 +207,21 @@ def isolation_forest_scores(df: DataFrame, id_col: str, features: list[str], con
                             n_trees: int = 150, max_samples: int = 256, seed: int = 42) -> DataFrame:
     """``df`` plus ``anomaly_score`` (higher is more anomalous) and ``is_anomaly``.
 
-    The scored frame is persisted (memory, spilling to disk): the cut-off,
-    and any later min/max and filter, read it again. Its lineage is
-    deterministic, so a lost block is recomputed to the same values.
+    The input is read several times (count, sample, score), so it is
+    persisted for the fit. The scored frame is materialized
+    (``session.materialize``: a reliable checkpoint when the session names a
+    checkpoint folder) because the cut-off and any later min/max and filter
+    read it again; lineage is deterministic either way.
     """
-    model = fit(df, id_col, features, n_trees, max_samples, seed)
+    work = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = work.count()
+    model = fit(work, id_col, features, n_trees, max_samples, seed, n)
     spark = df.sparkSession
-    scored = df.withColumn("_ss", score_column(model, features, spark)).persist(StorageLevel.MEMORY_AND_DISK)
-    offset = exact_percentile(scored, "_ss", contamination)
+    scored = materialize(work.withColumn("_ss", score_column(model, features, spark)))
+    work.unpersist()
+    offset = exact_percentile(scored, "_ss", contamination, n=n)
     if offset is None:
         offset = 0.0
     decision = F.col("_ss") - F.lit(float(offset))
-    return (scored.withColumn("anomaly_score", -decision)
-            .withColumn("is_anomaly", decision < 0).drop("_ss"))
+    keep = [F.col(c) for c in df.columns]
+    return scored.select(*keep, (-decision).alias("anomaly_score"), (decision < 0).alias("is_anomaly"))

@@ -17,7 +17,8 @@ import math
 from collections.abc import Iterable
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,17 +98,56 @@ def exact_percentile(df: DataFrame, column: str, q: float, n: int | None = None,
     return _lerp(float(vals[k]), float(vals[k1]), pos - k)
 
 
+# Up to this many rows, a sample is cut from a prefiltered candidate set that
+# is ranked in one task; beyond it the cut-off hash is found by select_ranks.
+BOUNDED_SAMPLE_ROWS = 1_000_000
+
+
+def smallest_by_hash(df: DataFrame, key: str, k: int, seed: int, n: int | None = None) -> DataFrame:
+    """The ``k`` rows with the smallest ``(xxhash64(key, seed), key)``, with
+    their rank in ``_rn`` (1..k) and the hash in ``_h``.
+
+    ``xxhash64`` is uniform over the 64-bit range, so the k-th smallest hash
+    lies near ``-2^63 + 2^64 k / n``. One pass keeps the rows below a cut-off
+    set a few standard deviations above that point (a bounded candidate set,
+    persisted); if it holds fewer than ``k`` rows the cut-off is raised and
+    the pass repeated, so the result is exact. Only the candidates are
+    ranked, in one task: ``k`` is bounded by ``BOUNDED_SAMPLE_ROWS``.
+    """
+    if k > BOUNDED_SAMPLE_ROWS:
+        raise ValueError("use hash_sample for samples above BOUNDED_SAMPLE_ROWS")
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    if n is None:
+        n = df.count()
+    w = Window.orderBy("_h", key)
+    if k >= n:
+        return hashed.withColumn("_rn", F.row_number().over(w))
+    slack = 8.0 * math.sqrt(k) + 64.0
+    while True:
+        frac = min(1.0, (k + slack) / n)
+        cut = min(2 ** 63 - 1, -(2 ** 63) + int(frac * 2.0 ** 64))
+        cand = hashed.where(F.col("_h") <= F.lit(cut)).persist(StorageLevel.MEMORY_AND_DISK)
+        if frac >= 1.0 or cand.count() >= k:
+            break
+        cand.unpersist()
+        slack *= 4
+    return cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int, **kw) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, chosen by the smallest ``xxhash64(key, seed)``.
 
-    Repeatable and independent of partitioning. The cut-off hash is found by
-    ``select_ranks``; rows sharing the cut-off hash are taken in key order.
+    Repeatable and independent of partitioning. Samples up to
+    ``BOUNDED_SAMPLE_ROWS`` take one pass (``smallest_by_hash``); larger ones
+    find the cut-off hash with ``select_ranks`` and take the rows sharing it
+    in key order.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    hashed = df.withColumn("_h", h)
     total = df.count()
     if n >= total:
         return df
+    if n <= BOUNDED_SAMPLE_ROWS:
+        return smallest_by_hash(df, key, n, seed, total).drop("_h", "_rn")
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
     cut = select_ranks(hashed, "_h", [n - 1], **kw)[n - 1]
     below = hashed.where(F.col("_h") < F.lit(cut))
     taken = below.count()

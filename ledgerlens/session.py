@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that affect results, not only speed: naive timestamps are read as
 # TIMESTAMP_NTZ, and the session zone only matters when a value is shown.
@@ -29,6 +30,7 @@ EXECUTION_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -44,8 +46,37 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def configured_checkpoint_dir(spark: SparkSession) -> str | None:
+    """The reliable (shared) checkpoint folder the session names, if any."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return None
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame that later passes read several times.
+
+    With a reliable checkpoint folder configured, the frame is written there
+    (``checkpoint``), so a lost executor costs a re-read, not a recompute.
+    Without one, it is persisted (memory, spilling to disk) and a lost block
+    is recomputed from its deterministic lineage. The library never makes a
+    machine-local folder for this.
+    """
+    if configured_checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=True)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder of the session.
+    """Return the reliable checkpoint folder of the session (tests, bench).
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is used as
     given. Only when nothing is configured (a local test) is a fresh folder

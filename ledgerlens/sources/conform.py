@@ -8,7 +8,8 @@ the columns used and the result has the fixed schemas of ``schemas``.
 
 Join layout: the orderkey joins come first so that lineitem, orders and the
 linked transactions share one hash partitioning on the order key (one shuffle
-each); the nation ⋈ region dimension is broadcast after a row-count check.
+each); small sides (the nation ⋈ region dimension) are broadcast by Spark's
+size-checked join selection, large ones are shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import core as fx
 from ..operators import enrich
-from ..operators.joins import bounded_broadcast
+from ..operators.joins import size_checked_dimension
 from ..session import sf_path
 from .schemas import SUPPORT_TICKETS, TICKET_COLUMNS, TRANSACTION_COLUMNS, TRANSACTIONS
 
@@ -43,10 +44,10 @@ class StarTables:
 
 
 def region_of_nation(t: StarTables) -> DataFrame:
-    """(nation key → region name); 25 rows in the star schema, size-checked."""
+    """(nation key → region name): 25 rows, broadcast by the planner's size check."""
     dim = t.nation.join(t.region, t.nation.n_regionkey == t.region.r_regionkey).select(
         "n_nationkey", "r_name")
-    return bounded_broadcast(dim)
+    return size_checked_dimension(dim)
 
 
 def _txn_columns(e, o, with_event_id: bool) -> list:

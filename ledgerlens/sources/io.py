@@ -35,6 +35,13 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
 
 
+def read_partitioned_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table written with ``partition_by_date``; the ``_date`` directory
+    column stays available for partition pruning."""
+    df = spark.read.parquet(path)
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields], "_date")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system of the path (any scheme)."""
     jvm = spark.sparkContext._jvm
@@ -59,13 +66,14 @@ def load_data(spark: SparkSession, table_dir: str, csv_dir: str) -> tuple[DataFr
 def write_table(df: DataFrame, path: str, partition_by_date: str | None = None) -> None:
     """Replace the stored table at ``path``. With ``partition_by_date`` (a
     timestamp column), rows are laid out by calendar day so that date
-    filters prune whole directories."""
-    w = df
+    filters prune whole directories. The rows are rebalanced by day with
+    AQE's ``rebalance`` (few files per day), which also splits a day holding
+    a large share of the rows over several writers instead of one."""
     if partition_by_date:
-        w = df.withColumn("_date", F.to_date(partition_by_date)).repartition("_date")
+        w = df.withColumn("_date", F.to_date(partition_by_date)).hint("rebalance", "_date")
         w.write.mode("overwrite").partitionBy("_date").parquet(path)
         return
-    w.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
