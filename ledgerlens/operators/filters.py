@@ -78,15 +78,25 @@ def filter_tickets(tickets: DataFrame, txn: DataFrame, f: ViewFilter = ViewFilte
 
 
 def filter_domains(txn: DataFrame) -> DataFrame:
-    """(kind, value): min_date, max_date, then the sorted distinct regions and gateways."""
-    dates = txn.agg(F.min(F.to_date("timestamp")).cast("string").alias("min_date"),
-                    F.max(F.to_date("timestamp")).cast("string").alias("max_date"))
-    bounds = dates.select(F.stack(F.lit(2), F.lit("min_date"), "min_date", F.lit("max_date"), "max_date")
-                          .alias("kind", "value"))
-    regions = txn.where(F.col("region").isNotNull()).select(F.lit("region").alias("kind"),
-                                                            F.col("region").alias("value")).distinct()
-    gateways = txn.where(F.col("gateway").isNotNull()).select(F.lit("gateway").alias("kind"),
-                                                              F.col("gateway").alias("value")).distinct()
-    order = F.when(F.col("kind") == "min_date", 0).when(F.col("kind") == "max_date", 1) \
-        .when(F.col("kind") == "region", 2).otherwise(3)
-    return bounds.unionByName(regions).unionByName(gateways).orderBy(order, "value")
+    """(kind, value): min_date, max_date, then the sorted distinct regions and gateways.
+
+    One scan: a partial aggregate by (region, gateway) — a result the size of
+    the domain — is exploded into (kind, key, date) entries and grouped once
+    more, so min/max dates and the distinct values come out of the same pass.
+    """
+    dom = txn.groupBy("region", "gateway").agg(F.min(F.to_date("timestamp")).alias("lo"),
+                                               F.max(F.to_date("timestamp")).alias("hi"))
+    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("date")
+
+    def entry(order, kind, key, day):
+        return F.struct(F.lit(order).alias("ord"), F.lit(kind).alias("kind"), key.alias("key"), day.alias("d"))
+
+    e = dom.select(F.explode(F.array(
+        entry(0, "min_date", none_s, F.col("lo")), entry(1, "max_date", none_s, F.col("hi")),
+        entry(2, "region", F.col("region"), none_d), entry(3, "gateway", F.col("gateway"), none_d))).alias("e")
+    ).select("e.*")
+    g = e.groupBy("ord", "kind", "key").agg(F.min("d").alias("mn"), F.max("d").alias("mx"))
+    value = (F.when(F.col("ord") == 0, F.col("mn").cast("string"))
+             .when(F.col("ord") == 1, F.col("mx").cast("string")).otherwise(F.col("key")))
+    return (g.where((F.col("ord") < 2) | F.col("key").isNotNull())
+            .select("ord", "kind", value.alias("value")).orderBy("ord", "value").drop("ord"))

@@ -1,0 +1,6 @@
+"""Streaming: none.
+
+Every read of the operational tables is a batch read, and no analysis keeps
+state across arriving data, so there is no Structured Streaming operator to
+build here.
+"""
