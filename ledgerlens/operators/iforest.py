@@ -182,7 +182,11 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max
                   .withColumn("_h", F.xxhash64(F.col("_id"), F.lit(seed), F.col("tree_id")))
                   .withColumn("_rn", F.row_number().over(per_tree))
                   .where(F.col("_rn") <= psi))
-    nodes = (sample.select("tree_id", "_id", *features)
+    # Growing a tree is CPU work in Python: hash-partition by tree explicitly
+    # (AQE does not coalesce an explicit partition count), so the trees are
+    # grown in parallel instead of in the one task a tiny shuffle would get.
+    parts = max(1, min(n_trees, df.sparkSession.sparkContext.defaultParallelism * 2))
+    nodes = (sample.select("tree_id", "_id", *features).repartition(parts, "tree_id")
              .groupBy("tree_id").applyInPandas(_fit_group(features, seed, max_depth), NODE_SCHEMA))
     # The model is bounded by trees * (2 * psi - 1) rows whatever the data size.
     pdf = nodes.toPandas()
@@ -217,7 +221,12 @@ def isolation_forest_scores(df: DataFrame, id_col: str, features: list[str], con
     n = work.count()
     model = fit(work, id_col, features, n_trees, max_samples, seed, n)
     spark = df.sparkSession
-    scored = materialize(work.withColumn("_ss", score_column(model, features, spark)))
+    # Scoring is CPU-bound; a small input that arrives in fewer partitions
+    # than there are cores is spread round-robin first. A large input already
+    # has far more partitions and is scored where it is.
+    cores = spark.sparkContext.defaultParallelism
+    src = work if work.rdd.getNumPartitions() >= cores else work.repartition(cores)
+    scored = materialize(src.withColumn("_ss", score_column(model, features, spark)))
     work.unpersist()
     offset = exact_percentile(scored, "_ss", contamination, n=n)
     if offset is None:

@@ -40,7 +40,21 @@ class StarTables:
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str) -> "StarTables":
         names = ["region", "nation", "customer", "supplier", "orders", "lineitem", "events"]
-        return cls(**{n: spark.read.parquet(sf_path(sf_dir, n)) for n in names})
+        return cls(**{n: _read(spark, sf_path(sf_dir, n)) for n in names})
+
+
+# Footer schemas already read in this process, by path: a later query over
+# the same files skips the schema-reading job. (Schemas only, never data.)
+_SCHEMAS: dict[str, object] = {}
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    known = _SCHEMAS.get(path)
+    if known is not None:
+        return spark.read.schema(known).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def region_of_nation(t: StarTables) -> DataFrame:
