@@ -8,7 +8,6 @@ all rows passed in (before the anomaly filter), as scalar subqueries.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +86,7 @@ def zscore_scored(txn: DataFrame, threshold: float = K.OUTLIER_Z) -> DataFrame:
     """A deterministic stand-in for the forest: the anomaly score is the
     absolute population z-score of processing time, flagged beyond
     ``threshold``. It drives the same explanation and ranking stages."""
-    work = txn.persist(StorageLevel.MEMORY_AND_DISK)     # read by several global statistics
-    z = exact_population_z(work, "processing_time_ms")
-    return work.select("*", F.abs(z.z).alias("anomaly_score"),
-                       F.coalesce(z.beyond(threshold), F.lit(False)).alias("is_anomaly"))
+    # Not persisted: each statistic pass reads only the columns it needs.
+    z = exact_population_z(txn, "processing_time_ms")
+    return txn.select("*", F.abs(z.z).alias("anomaly_score"),
+                      F.coalesce(z.beyond(threshold), F.lit(False)).alias("is_anomaly"))

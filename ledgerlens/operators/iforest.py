@@ -190,8 +190,6 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max
              .groupBy("tree_id").applyInPandas(_fit_group(features, seed, max_depth), NODE_SCHEMA))
     # The model is bounded by trees * (2 * psi - 1) rows whatever the data size.
     pdf = nodes.toPandas()
-    if n >= pool_size:
-        pool.unpersist()
     return IsolationForestModel.from_nodes(pdf, psi, max_depth, len(features))
 
 

@@ -1,20 +1,39 @@
-"""Join strategy notes and helpers.
+"""Join strategy.
 
-Joins are written as plain equi-joins; the broadcast decision is Spark's:
+Joins are plain equi-joins and the broadcast decision is normally Spark's:
 the planner broadcasts a side whose estimated size is under
-``spark.sql.autoBroadcastJoinThreshold`` and AQE re-checks with the actual
-size of the shuffle stage at run time (``spark.sql.adaptive.autoBroadcastJoinThreshold``),
-falling back to a sort-merge join above it. So a side is broadcast only
-after a size check, and the 25-row nation ⋈ region dimension is broadcast
-while customer, orders or supplier at a large scale factor are shuffled.
-No explicit ``broadcast()`` hint is placed on data whose size grows.
+``spark.sql.autoBroadcastJoinThreshold``, AQE re-checks with the actual stage
+size at run time, and anything larger is shuffled (sort-merge, with AQE
+skew splitting). No hint is placed on data whose size grows.
+
+One exception: a dimension joined on a *low-cardinality* key (nation, 25
+values) must not be shuffle-joined, because hashing a large fact table by 25
+keys puts it into 25 tasks. Such a dimension is broadcast explicitly, after a
+row-count check against a fixed bound (``bounded_broadcast``); if the check
+fails it is left to the planner.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DIMENSION_ROW_LIMIT = 100_000
+
+# Outcome of the row-count check per input (e.g. the paths of the files the
+# dimension is read from), so repeated plans over the same files do not
+# repeat the check job. Booleans only, never data.
+_CHECKED: dict[object, bool] = {}
+
 
+def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_LIMIT, key: object | None = None) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
 
-def size_checked_dimension(df: DataFrame) -> DataFrame:
-    """A dimension left to the planner's size-checked broadcast (see module doc)."""
-    return df
+    The check reads at most ``max_rows + 1`` rows of the dimension alone.
+    """
+    ok = _CHECKED.get(key) if key is not None else None
+    if ok is None:
+        ok = df.limit(max_rows + 1).count() <= max_rows
+        if key is not None:
+            _CHECKED[key] = ok
+    return F.broadcast(df) if ok else df

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -131,7 +133,10 @@ def smallest_by_hash(df: DataFrame, key: str, k: int, seed: int, n: int | None =
             break
         cand.unpersist()
         slack *= 4
-    return cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    # The k rows (bounded) are materialized, then the candidate cache released.
+    out = materialize(cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k))
+    cand.unpersist()
+    return out
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int, **kw) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import core as fx
 from ..operators import enrich
-from ..operators.joins import size_checked_dimension
+from ..operators.joins import bounded_broadcast
 from ..session import sf_path
 from .schemas import SUPPORT_TICKETS, TICKET_COLUMNS, TRANSACTION_COLUMNS, TRANSACTIONS
 
@@ -36,11 +36,12 @@ class StarTables:
     orders: DataFrame
     lineitem: DataFrame
     events: DataFrame
+    source: str | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str) -> "StarTables":
         names = ["region", "nation", "customer", "supplier", "orders", "lineitem", "events"]
-        return cls(**{n: _read(spark, sf_path(sf_dir, n)) for n in names})
+        return cls(**{n: _read(spark, sf_path(sf_dir, n)) for n in names}, source=sf_dir)
 
 
 # Footer schemas already read in this process, by path: a later query over
@@ -58,10 +59,11 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def region_of_nation(t: StarTables) -> DataFrame:
-    """(nation key → region name): 25 rows, broadcast by the planner's size check."""
+    """(nation key → region name): 25 rows, joined on a 25-value key, so it is
+    broadcast (after a row-count check) rather than shuffle-joined."""
     dim = t.nation.join(t.region, t.nation.n_regionkey == t.region.r_regionkey).select(
         "n_nationkey", "r_name")
-    return size_checked_dimension(dim)
+    return bounded_broadcast(dim, key=("region_of_nation", t.source) if t.source else None)
 
 
 def _txn_columns(e, o, with_event_id: bool) -> list:
