@@ -26,17 +26,18 @@ def int_div(a, b) -> Column:
 def ratio_half_up(num, den, scale: int) -> Column:
     """``num/den`` rounded half up to ``1/scale``, from integers (num >= 0, den > 0).
 
-    ``(2*scale*num + den) div (2*den) / scale`` — exact integer arithmetic, one
-    final division. Null when ``den`` is 0 or null.
+    ``(2*scale*num + den) div (2*den) / scale`` — exact integer arithmetic in
+    ``decimal(38,0)`` (no overflow for sums over 10^12 rows), one final
+    division. Null when ``den`` is 0 or null.
     """
-    num, den = _c(num).cast("long"), _c(den).cast("long")
-    k = int_div(F.lit(2 * scale) * num + den, F.lit(2) * den)
+    num, den = _c(num).cast("decimal(38,0)"), _c(den).cast("decimal(38,0)")
+    k = int_div(F.lit(2 * scale).cast("decimal(38,0)") * num + den, F.lit(2).cast("decimal(38,0)") * den)
     return F.when(den > 0, k / F.lit(float(scale)))
 
 
 def rate_pct_2dp(num, den) -> Column:
     """``ROUND(100.0 * num / den, 2)`` for counts, computed exactly."""
-    return ratio_half_up(F.lit(100) * _c(num).cast("long"), den, 100)
+    return ratio_half_up(F.lit(100).cast("decimal(38,0)") * _c(num).cast("decimal(38,0)"), den, 100)
 
 
 def cents(x) -> Column:
@@ -46,7 +47,7 @@ def cents(x) -> Column:
 
 def mean_2dp_from_cents(sum_cents, n) -> Column:
     """Mean of 2-decimal values to 2 digits, from the exact sum of hundredths."""
-    return ratio_half_up(sum_cents, _c(n).cast("long") * F.lit(100), 100)
+    return ratio_half_up(sum_cents, _c(n).cast("decimal(38,0)") * F.lit(100).cast("decimal(38,0)"), 100)
 
 
 def mean_from_cents(sum_cents, n) -> Column:
