@@ -35,8 +35,9 @@ def _day_start(d) -> Column:
 
 def domain_bounds(txn: DataFrame) -> tuple[Column, Column]:
     """First and last transaction date, as scalar subqueries (one pass)."""
-    b = txn.agg(F.min(F.to_date("timestamp")).alias("lo"), F.max(F.to_date("timestamp")).alias("hi"))
-    return b.select("lo").scalar(), b.select("hi").scalar()
+    b = txn.agg(F.struct(F.min(F.to_date("timestamp")).alias("lo"),
+                         F.max(F.to_date("timestamp")).alias("hi")).alias("b")).scalar()
+    return b.getField("lo"), b.getField("hi")
 
 
 def _date_range(ts: str, f: ViewFilter, txn: DataFrame) -> Column:

@@ -25,6 +25,13 @@ def scalar_of(df: DataFrame, expr: Column) -> Column:
     return df.agg(expr.alias("v")).scalar()
 
 
+def scalars_of(df: DataFrame, **exprs: Column) -> dict[str, Column]:
+    """Several aggregates of ``df`` in one scalar subquery (one struct value):
+    one pass, one subquery, each field usable on any row."""
+    s = df.agg(F.struct(*[e.alias(k) for k, e in exprs.items()]).alias("s")).scalar()
+    return {k: s.getField(k) for k in exprs}
+
+
 @dataclass
 class ExactZ:
     """Population z-score of an integral column from exact integer moments.
@@ -50,12 +57,8 @@ class ExactZ:
 
 def exact_population_z(df: DataFrame, column: str) -> ExactZ:
     x = F.col(column).cast(_EXACT)
-    moments = df.agg(F.count(column).cast(_EXACT).alias("n"), F.sum(x).alias("s1"),
-                     F.sum(x * x).alias("s2"))
-    n = moments.select("n").scalar()
-    s1 = moments.select("s1").scalar()
-    s2 = moments.select("s2").scalar()
-    return ExactZ(num=n * x - s1, var_n2=n * s2 - s1 * s1)
+    m = scalars_of(df, n=F.count(column).cast(_EXACT), s1=F.sum(x), s2=F.sum(x * x))
+    return ExactZ(num=m["n"] * x - m["s1"], var_n2=m["n"] * m["s2"] - m["s1"] * m["s1"])
 
 
 def zscore_flags(df: DataFrame, column: str, threshold: float = 3.0) -> Column:
@@ -64,14 +67,13 @@ def zscore_flags(df: DataFrame, column: str, threshold: float = 3.0) -> Column:
     All false when the standard deviation is 0 or undefined (one row, all
     null); a null value is false.
     """
-    mean = scalar_of(df, F.avg(column))
-    std = scalar_of(df, F.stddev_samp(column))
+    st = scalars_of(df, mean=F.avg(column), std=F.stddev_samp(column))
+    mean, std = st["mean"], st["std"]
     z = (F.col(column) - mean) / F.when(std > 0, std)
     return F.coalesce(F.abs(z) > F.lit(float(threshold)), F.lit(False))
 
 
 def minmax_norm(df: DataFrame, column: str, eps: float = 1e-9) -> Column:
     """(x − min) / (max − min + eps) with min and max over all of ``df``."""
-    lo = scalar_of(df, F.min(column))
-    hi = scalar_of(df, F.max(column))
-    return (F.col(column) - lo) / (hi - lo + F.lit(eps))
+    st = scalars_of(df, lo=F.min(column), hi=F.max(column))
+    return (F.col(column) - st["lo"]) / (st["hi"] - st["lo"] + F.lit(eps))

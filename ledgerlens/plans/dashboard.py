@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import core as fx
+from ..operators.stats import scalars_of
 
 
 def kpi_summary(ftxn: DataFrame, ftickets: DataFrame) -> DataFrame:
@@ -24,18 +25,15 @@ def kpi_summary(ftxn: DataFrame, ftickets: DataFrame) -> DataFrame:
         F.sum("processing_time_ms").alias("_pt_sum"),
         F.count("processing_time_ms").alias("_pt_n"),
     )
-    k = ftickets.agg(
-        F.count(F.lit(1)).alias("total_tickets"),
-        F.sum("sla_breached").alias("_br"),
-        F.count("sla_breached").alias("_br_n"),
-        F.sum(fx.cents("resolution_time_hours")).alias("_res"),
-        F.count("resolution_time_hours").alias("_res_n"),
-        F.sum("csat_score").alias("_cs"),
-        F.count("csat_score").alias("_cs_n"),
+    # The ticket figures ride along as one scalar subquery (a struct): no join
+    # between the two one-row results.
+    kv = scalars_of(
+        ftickets,
+        total_tickets=F.count(F.lit(1)),
+        _br=F.sum("sla_breached"), _br_n=F.count("sla_breached"),
+        _res=F.sum(fx.cents("resolution_time_hours")), _res_n=F.count("resolution_time_hours"),
+        _cs=F.sum("csat_score"), _cs_n=F.count("csat_score"),
     )
-    # The ticket figures ride along as scalar subqueries (merged into one
-    # aggregate by the optimizer): no join between the two one-row results.
-    kv = {c: k.select(c).scalar() for c in k.columns}
     zero = F.lit(0.0)
     return t.select(
         "total_txns",
