@@ -67,3 +67,55 @@ def test_hash_sample_exact_and_repeatable(spark):
     assert a.count() == 777
     assert sorted(r.k for r in a.collect()) == sorted(r.k for r in b.collect())
     assert hash_sample(df, "k", 10**6, seed=1).count() == 5000
+
+
+def test_vectorised_scoring_matches_tree_walk(spark):
+    df = _planted(spark, 2)
+    model = iforest.fit(df, "id", FEATURES, n_trees=12, max_samples=64, seed=5)
+    x = np.array([r[1:] for r in df.select("id", *FEATURES).orderBy("id").limit(300).collect()], dtype=float)
+
+    def path(row, root):
+        node = root
+        while model.feature[node] >= 0:
+            f = model.feature[node]
+            node = model.left[node] if row[f] <= model.threshold[node] else model.right[node]
+        return model.path[node]
+
+    c = iforest.average_path_length([model.psi])[0]
+    brute = np.array([-(2.0 ** (-np.mean([path(r, t) for t in model.roots]) / c)) for r in x])
+    assert np.allclose(model.score_samples(x), brute, rtol=0, atol=1e-12)
+
+
+def test_average_path_length():
+    got = iforest.average_path_length([0, 1, 2, 3, 256])
+    assert got[0] == 0 and got[1] == 0 and got[2] == 1
+    assert abs(got[3] - (2 * (np.log(2) + iforest.EULER_GAMMA) - 4 / 3)) < 1e-12
+    assert abs(got[4] - (2 * (np.log(255) + iforest.EULER_GAMMA) - 2 * 255 / 256)) < 1e-12
+
+
+def test_integral_rank_selection(spark):
+    df = spark.range(0, 20000).select((F.xxhash64("id") % 1000).alias("v"))
+    srt = np.sort(np.array([r.v for r in df.collect()]))
+    ranks = [0, 1, 9999, 19999]
+    got = select_ranks(df, "v", ranks, bins=4, collect_limit=10)
+    assert [got[r] for r in ranks] == [int(srt[r]) for r in ranks]
+
+
+def test_sampler_retries_when_cut_off_is_short(spark):
+    from ledgerlens.operators.quantile import smallest_by_hash
+    df = spark.range(0, 3000).withColumn("k", F.concat(F.lit("k"), F.col("id").cast("string")))
+    # A tenfold overstated row count puts the first cut-off far too low.
+    out = smallest_by_hash(df, "k", 500, seed=9, n=30000)
+    full = smallest_by_hash(df, "k", 500, seed=9)
+    assert out.count() == 500
+    assert sorted(r.k for r in out.collect()) == sorted(r.k for r in full.collect())
+
+
+def test_large_sample_path(spark, monkeypatch):
+    from ledgerlens.operators import quantile
+    df = spark.range(0, 4000).withColumn("k", F.concat(F.lit("k"), F.col("id").cast("string")))
+    small = quantile.hash_sample(df, "k", 1500, seed=3)
+    monkeypatch.setattr(quantile, "BOUNDED_SAMPLE_ROWS", 10)
+    large = quantile.hash_sample(df, "k", 1500, seed=3, collect_limit=100)
+    assert large.count() == 1500
+    assert sorted(r.k for r in large.collect()) == sorted(r.k for r in small.collect())
