@@ -40,12 +40,17 @@ def domain_bounds(txn: DataFrame) -> tuple[Column, Column]:
     return b.getField("lo"), b.getField("hi")
 
 
-def _date_range(ts: str, f: ViewFilter, txn: DataFrame) -> Column:
+def _date_range(ts: str, f: ViewFilter, txn: DataFrame, df: DataFrame | None = None) -> Column:
     if f.has_dates:
         lo, hi_next = _day_start(f.start), F.date_add(F.lit(str(f.end)).cast("date"), 1).cast("timestamp_ntz")
-    else:
-        lo_d, hi_d = domain_bounds(txn)
-        lo, hi_next = lo_d.cast("timestamp_ntz"), F.date_add(hi_d, 1).cast("timestamp_ntz")
+        cond = (F.col(ts) >= lo) & (F.col(ts) < hi_next)
+        if df is not None and "_date" in df.columns:
+            # Stored by day: the same range on the directory column prunes
+            # whole partitions before any file is opened.
+            cond = cond & F.col("_date").between(F.lit(str(f.start)).cast("date"), F.lit(str(f.end)).cast("date"))
+        return cond
+    lo_d, hi_d = domain_bounds(txn)
+    lo, hi_next = lo_d.cast("timestamp_ntz"), F.date_add(hi_d, 1).cast("timestamp_ntz")
     return (F.col(ts) >= lo) & (F.col(ts) < hi_next)
 
 
@@ -68,14 +73,14 @@ def filter_transactions(txn: DataFrame, f: ViewFilter = ViewFilter()) -> DataFra
     if not f.has_dates and f.regions is None and f.gateways is None:
         # The default view is the full domain: every row with a timestamp.
         return txn.where(F.col("timestamp").isNotNull())
-    return txn.where(_and(_date_range("timestamp", f, txn), _member("region", f.regions),
+    return txn.where(_and(_date_range("timestamp", f, txn, txn), _member("region", f.regions),
                           _member("gateway", f.gateways)))
 
 
 def filter_tickets(tickets: DataFrame, txn: DataFrame, f: ViewFilter = ViewFilter()) -> DataFrame:
     """Tickets by creation date and region; no gateway predicate. The default
     date bounds are those of the transactions, so later tickets drop out."""
-    return tickets.where(_and(_date_range("created_at", f, txn), _member("region", f.regions)))
+    return tickets.where(_and(_date_range("created_at", f, txn, tickets), _member("region", f.regions)))
 
 
 def filter_domains(txn: DataFrame) -> DataFrame:

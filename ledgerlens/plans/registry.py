@@ -17,7 +17,8 @@ from ..operators import enrich as EN
 from ..operators import iforest
 from ..operators.stats import minmax_norm, zscore_flags
 from ..sources import io
-from ..sources.conform import StarTables, conformed_tables, risk_inputs, ticket_inputs
+from ..sources.conform import (StarTables, conformed_tables, conformed_tickets, conformed_transactions,
+                               risk_inputs, ticket_inputs)
 from ..operators.filters import ViewFilter, filter_domains, filter_tickets, filter_transactions
 from . import analyses as A
 from . import dashboard as D
@@ -28,15 +29,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _txn(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        txn, _ = conformed_tables(spark, sf_dir)
-        return fn(txn)
+        return fn(conformed_transactions(spark, sf_dir))
     return run
 
 
 def _tk(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _, tk = conformed_tables(spark, sf_dir)
-        return fn(tk)
+        return fn(conformed_tickets(spark, sf_dir))
     return run
 
 

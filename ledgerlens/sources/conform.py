@@ -231,5 +231,15 @@ def conformed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return txn_e.select(*TRANSACTION_COLUMNS), support_tickets(t, txn_e)
 
 
+def conformed_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the transactions (no ticket plan is built)."""
+    return transactions(StarTables.load(spark, sf_dir))
+
+
+def conformed_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the support tickets."""
+    return support_tickets(StarTables.load(spark, sf_dir))
+
+
 __all__ = ["StarTables", "transactions", "support_tickets", "conformed_tables",
            "TRANSACTIONS", "SUPPORT_TICKETS"]

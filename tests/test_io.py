@@ -36,3 +36,28 @@ def test_preview_order(spark):
                             {"timestamp": dt.datetime(2024, 1, 2)}])
     got = [r["transaction_id"] for r in io.preview(txn, "transactions", rows=2).collect()]
     assert got == ["TXN100001", "TXN100002"]
+
+
+def test_build_and_load_stored_tables_prunes_days(spark, tmpdir_path):
+    import contextlib
+    import io as _io
+
+    from conftest import SF_SMALL
+    from ledgerlens.operators.filters import ViewFilter, filter_tickets, filter_transactions
+    from ledgerlens.plans.build import build_tables, load_tables
+    from ledgerlens.sources.conform import conformed_tables
+
+    audit = {r["table"]: r["rows"] for r in build_tables(spark, SF_SMALL, tmpdir_path).collect()}
+    txn0, tk0 = conformed_tables(spark, SF_SMALL)
+    assert audit == {"transactions": txn0.count(), "support_tickets": tk0.count()}
+    txn, tk = load_tables(spark, tmpdir_path)
+    f = ViewFilter("2024-01-08", "2024-01-21", regions=["ASIA", "EUROPE"], gateways=["GatewayA"])
+    got = filter_transactions(txn, f).drop("_date")
+    want = filter_transactions(txn0, f)
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert sorted(filter_tickets(tk, txn, f).drop("_date").collect()) == \
+        sorted(filter_tickets(tk0, txn0, f).collect())
+    buf = _io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        filter_transactions(txn, f).explain("formatted")
+    assert any(l.startswith("PartitionFilters") and "_date" in l for l in buf.getvalue().splitlines())
