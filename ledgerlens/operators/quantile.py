@@ -102,7 +102,7 @@ def exact_percentile(df: DataFrame, column: str, q: float, n: int | None = None,
 
 # Up to this many rows, a sample is cut from a prefiltered candidate set that
 # is ranked in one task; beyond it the cut-off hash is found by select_ranks.
-BOUNDED_SAMPLE_ROWS = 1_000_000
+BOUNDED_SAMPLE_ROWS = 250_000
 
 
 def smallest_by_hash(df: DataFrame, key: str, k: int, seed: int, n: int | None = None) -> DataFrame:

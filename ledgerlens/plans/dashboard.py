@@ -120,10 +120,10 @@ def resolution_distribution(ftickets: DataFrame) -> DataFrame:
 def csat_by_sla_outcome(ftickets: DataFrame) -> DataFrame:
     agg = (ftickets.where(F.col("sla_breached").isNotNull()).groupBy("sla_breached")
            .agg(F.sum("csat_score").alias("_s"), F.count("csat_score").alias("_n")))
-    return agg.select(
+    return agg.orderBy("sla_breached").select(
         fx.lookup(K.SLA_OUTCOME_LABELS, "sla_breached").alias("sla_outcome"),
         fx.safe_div("_s", "_n").alias("csat_score"),
-    ).orderBy("sla_outcome")
+    )
 
 
 def bottleneck_agents(ftickets: DataFrame, min_tickets: int = K.AGENT_MIN_TICKETS,
