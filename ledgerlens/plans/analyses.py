@@ -65,7 +65,7 @@ def daily_throughput(txn: DataFrame) -> DataFrame:
     ).orderBy("txn_date")
 
 
-def _ticket_means(*keys: str) -> list:
+def _ticket_means() -> list:
     return [
         F.count(F.lit(1)).alias("_n"),
         F.sum(fx.cents("resolution_time_hours")).alias("_res_cents"),
@@ -129,8 +129,9 @@ def sla_risk(tickets: DataFrame, as_of: str | dt.datetime | None = None) -> Data
     The status compares the unrounded elapsed time (exact microseconds) with
     the target; only the displayed hours are rounded.
     """
-    now = (F.current_timestamp().cast("timestamp_ntz") if as_of is None
-           else F.lit(str(as_of)).cast("timestamp_ntz"))
+    # "now" is the UTC wall clock, whatever the session zone.
+    now = (F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+           if as_of is None else F.lit(str(as_of)).cast("timestamp_ntz"))
     micros = fx.micros_between("created_at", now)
     target_us = F.col("sla_target_hours").cast("long") * F.lit(fx.HOUR_MICROS)
     status = (F.when(micros > target_us, F.lit("BREACHED"))

@@ -46,6 +46,38 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+MB = 1 << 20
+
+
+def scale_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Partition sizing for a given input size and cluster.
+
+    Input splits stay at 128 MB (a Parquet row group or two). Shuffles start
+    with about one partition per 256 MB of input — column pruning and
+    map-side aggregation make the shuffled data much smaller than that — but
+    never fewer than two per core and at most 100,000; AQE then coalesces
+    small partitions towards 256 MB and splits skewed ones above 1 GB. At
+    100 TB on 1,000 executors × 8 cores this gives 100,000 initial shuffle
+    partitions, each well inside executor memory, spilling to disk if not.
+    """
+    parts = min(100_000, max(2 * total_cores, -(-input_bytes // (256 * MB))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(128 * MB),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * MB),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * MB),
+    }
+
+
+def input_bytes(path: str) -> int:
+    """Total size of the files under a local folder (bench and tests only)."""
+    total = 0
+    for root, _, files in os.walk(path):
+        total += sum(os.path.getsize(os.path.join(root, f)) for f in files)
+    return total
+
+
 def configured_checkpoint_dir(spark: SparkSession) -> str | None:
     """The reliable (shared) checkpoint folder the session names, if any."""
     sc = spark.sparkContext

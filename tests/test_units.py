@@ -154,3 +154,23 @@ def test_failure_reasons_denominator_counts_all_failed(spark):
                    + [{"status": "Failed", "failure_reason": ""}])
     r = A.failure_reasons(df).first()
     assert (r["failure_reason"], r["occurrences"], r["pct_of_all_failures"]) == ("Network Error", 3, 75.0)
+
+
+def test_sla_risk_default_now_is_utc_wall_clock(spark):
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    df = ticket_frame(spark, [{"created_at": now - dt.timedelta(hours=5), "status": "Pending",
+                               "sla_target_hours": 4}])
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        r = A.sla_risk(df).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert 4.9 < r["hours_open"] < 5.5 and r["sla_risk_status"] == "BREACHED"
+
+
+def test_scale_settings():
+    from ledgerlens.session import scale_settings
+    s = scale_settings(100 * 10**12, 8000)
+    assert s["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_settings(50 * 2**20, 8)["spark.sql.shuffle.partitions"] == "16"
