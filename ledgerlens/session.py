@@ -101,7 +101,10 @@ def materialize(df: DataFrame) -> DataFrame:
     machine-local folder for this.
     """
     if configured_checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
+        try:
+            return df.checkpoint(eager=True)
+        except Exception:   # an unwritable folder: the persisted form gives the same rows
+            pass
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
