@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import materialize, ship_package
 from .quantile import exact_percentile, smallest_by_hash
 
 EULER_GAMMA = 0.5772156649015329
@@ -161,6 +161,7 @@ def _features_frame(df: DataFrame, id_col: str, features: list[str]) -> DataFram
 
 def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max_samples: int = 256,
         seed: int = 42, n: int | None = None) -> IsolationForestModel:
+    ship_package(df.sparkSession)
     x = _features_frame(df, id_col, features)
     if n is None:
         n = x.count()
@@ -195,6 +196,7 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max
 
 def score_column(model: IsolationForestModel, features: list[str], spark) -> Column:
     """``score_samples`` of each row as a vectorised Pandas UDF over Arrow batches."""
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())

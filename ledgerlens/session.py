@@ -78,6 +78,36 @@ def input_bytes(path: str) -> int:
     return total
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (``addPyFile``).
+
+    Python stages (the forest's ``applyInPandas`` fit and Pandas UDF scoring)
+    unpickle functions and the broadcast model by module reference, so the
+    executors need the package. A cluster would install it or pass it with
+    ``--py-files``; this ships a zip of the package once per application so
+    that it also works when neither was done.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-pyfiles-"), "ledgerlens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def configured_checkpoint_dir(spark: SparkSession) -> str | None:
     """The reliable (shared) checkpoint folder the session names, if any."""
     sc = spark.sparkContext

@@ -26,3 +26,23 @@ def test_registry_shape():
     q, s = m.queries(), m.oracle_sql()
     assert set(s) <= set(q)
     assert len(q) >= 38
+
+
+def test_python_stages_work_from_another_directory(tmp_path):
+    """Workers must import the package even when the caller's working
+    directory is not the repository (the forest ships it with addPyFile)."""
+    import subprocess
+    import sys
+
+    script = f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+spec = importlib.util.spec_from_file_location("e", "{ROOT}/__spark_entry__.py")
+m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)
+print("ROWS", m.queries()["top_priority_anomalies"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "ROWS 25" in out.stdout, out.stderr[-2000:]
