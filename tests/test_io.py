@@ -61,3 +61,23 @@ def test_build_and_load_stored_tables_prunes_days(spark, tmpdir_path):
     with contextlib.redirect_stdout(buf):
         filter_transactions(txn, f).explain("formatted")
     assert any(l.startswith("PartitionFilters") and "_date" in l for l in buf.getvalue().splitlines())
+
+
+def test_csv_as_written_by_a_frame_library(spark, tmpdir_path):
+    from ledgerlens.sources.schemas import TRANSACTION_COLUMNS
+    header = ",".join(TRANSACTION_COLUMNS)
+    rows = [
+        "TXN100000,2024-01-01 00:00:07.179575,100001,UPI,Refund,512.25,INR,Failed,Gateway Timeout,2100,GatewayC,North,Web,2,0,Fuel,120,33.5",
+        "TXN100001,2024-01-01 00:03:52,100002,Card,Refund,12.0,INR,Success,,310,GatewayA,South,iOS,0,0,Travel,3000,8.1",
+        "TXN100002,2024-01-01 00:04:00.5,100003,POS,Loan EMI,99.99,INR,Pending,,280,GatewayB,East,Android,0,1,P2P,15,71.2",
+    ]
+    path = os.path.join(tmpdir_path, "transactions.csv")
+    with open(path, "w") as f:
+        f.write(header + "\n" + "\n".join(rows) + "\n")
+    df = io.read_csv(spark, path, "transactions")
+    got = {r["transaction_id"]: r for r in df.collect()}
+    assert got["TXN100000"]["timestamp"] == dt.datetime(2024, 1, 1, 0, 0, 7, 179575)
+    assert got["TXN100001"]["timestamp"] == dt.datetime(2024, 1, 1, 0, 3, 52)
+    assert got["TXN100002"]["timestamp"] == dt.datetime(2024, 1, 1, 0, 4, 0, 500000)
+    assert got["TXN100001"]["failure_reason"] is None        # empty field reads as null
+    assert got["TXN100002"]["is_fraud_flag"] == 1 and got["TXN100000"]["risk_score"] == 33.5
