@@ -159,6 +159,25 @@ def _features_frame(df: DataFrame, id_col: str, features: list[str]) -> DataFram
                      *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
 
 
+def _per_tree_sample(x: DataFrame, n: int, psi: int, n_trees: int, seed: int):
+    slack = 8.0 * math.sqrt(psi) + 64.0
+    while True:
+        frac = min(1.0, (psi + slack) / n)
+        cut = min(2 ** 63 - 1, -(2 ** 63) + int(frac * 2.0 ** 64))
+        cand = (x.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+                .withColumn("_h", F.xxhash64(F.col("_id"), F.lit(seed), F.col("tree_id")))
+                .where(F.col("_h") <= F.lit(cut))
+                .persist(StorageLevel.MEMORY_AND_DISK))
+        counts = [r["count"] for r in cand.groupBy("tree_id").count().collect()]   # <= n_trees rows
+        if frac >= 1.0 or (len(counts) == n_trees and min(counts) >= psi):
+            break
+        cand.unpersist()
+        slack *= 4
+    per_tree = Window.partitionBy("tree_id").orderBy("_h", "_id")
+    sample = cand.withColumn("_rn", F.row_number().over(per_tree)).where(F.col("_rn") <= psi)
+    return sample, cand
+
+
 def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max_samples: int = 256,
         seed: int = 42, n: int | None = None) -> IsolationForestModel:
     ship_package(df.sparkSession)
@@ -176,13 +195,12 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max
         pool = smallest_by_hash(x, "_id", pool_size, seed, n)
         sample = pool.withColumn("tree_id", F.pmod(F.col("_rn") - 1, F.lit(n_trees)).cast("int"))
     else:
-        # n < trees * psi: every row is offered to every tree (bounded by
-        # trees * psi * trees rows); each tree keeps its psi smallest hashes.
-        per_tree = Window.partitionBy("tree_id").orderBy("_h", "_id")
-        sample = (x.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-                  .withColumn("_h", F.xxhash64(F.col("_id"), F.lit(seed), F.col("tree_id")))
-                  .withColumn("_rn", F.row_number().over(per_tree))
-                  .where(F.col("_rn") <= psi))
+        # n < trees * psi: each tree keeps the psi rows with the smallest
+        # xxhash64(id, seed, tree). The hash is uniform, so a cut-off a few
+        # standard deviations above psi/n keeps a bounded candidate set per
+        # tree, filtered map-side right after the explode; a per-tree count
+        # confirms every tree has psi candidates (else the cut-off is raised).
+        sample, cand = _per_tree_sample(x, n, psi, n_trees, seed)
     # Growing a tree is CPU work in Python: hash-partition by tree explicitly
     # (AQE does not coalesce an explicit partition count), so the trees are
     # grown in parallel instead of in the one task a tiny shuffle would get.
@@ -191,6 +209,8 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max
              .groupBy("tree_id").applyInPandas(_fit_group(features, seed, max_depth), NODE_SCHEMA))
     # The model is bounded by trees * (2 * psi - 1) rows whatever the data size.
     pdf = nodes.toPandas()
+    if n < pool_size:
+        cand.unpersist()
     return IsolationForestModel.from_nodes(pdf, psi, max_depth, len(features))
 
 

@@ -119,3 +119,18 @@ def test_large_sample_path(spark, monkeypatch):
     large = quantile.hash_sample(df, "k", 1500, seed=3, collect_limit=100)
     assert large.count() == 1500
     assert sorted(r.k for r in large.collect()) == sorted(r.k for r in small.collect())
+
+
+def test_per_tree_sample_equals_brute_force(spark):
+    from pyspark.sql import Window
+    x = spark.range(0, 2000).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("_id"))
+    trees, psi, seed = 7, 64, 11
+    brute = (x.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+             .withColumn("_h", F.xxhash64(F.col("_id"), F.lit(seed), F.col("tree_id")))
+             .withColumn("_rn", F.row_number().over(Window.partitionBy("tree_id").orderBy("_h", "_id")))
+             .where(F.col("_rn") <= psi))
+    want = sorted((r.tree_id, r._id) for r in brute.collect())
+    for n in (2000, 200000):          # the second overstates n: the first cut-off is short, retried
+        sample, cand = iforest._per_tree_sample(x, n, psi, trees, seed)
+        assert sorted((r.tree_id, r._id) for r in sample.collect()) == want
+        cand.unpersist()
