@@ -296,17 +296,8 @@ ftk AS (SELECT * FROM support_tickets WHERE created_at >= {lo} AND created_at <
         AND region IN {_in(spec['regions'])})"""
 
 
-def dashboard_sql() -> dict[str, str]:
-    v = filtered_views()
-    q = {}
-    q["filtered_transactions"] = with_conform(filtered_views(DEMO_FILTER) + "\nSELECT * FROM ftxn")
-    q["filtered_tickets"] = with_conform(filtered_views(DEMO_FILTER) + "\nSELECT * FROM ftk")
-    q["filter_domains"] = with_conform("""
-SELECT 'min_date' AS kind, CAST(min(CAST("timestamp" AS DATE)) AS VARCHAR) AS value FROM transactions
-UNION ALL SELECT 'max_date', CAST(max(CAST("timestamp" AS DATE)) AS VARCHAR) FROM transactions
-UNION ALL SELECT DISTINCT 'region', region FROM transactions WHERE region IS NOT NULL
-UNION ALL SELECT DISTINCT 'gateway', gateway FROM transactions WHERE gateway IS NOT NULL""")
-    q["kpi_summary"] = with_conform(v + f"""
+def _kpi_body() -> str:
+    return f"""
 , t AS (SELECT COUNT(*) AS total_txns,
                CAST(SUM(CASE WHEN status = 'Success' THEN 1 ELSE 0 END) AS BIGINT) AS ok,
                CAST(SUM(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
@@ -322,7 +313,22 @@ SELECT total_txns,
        coalesce({pct('br', 'nullif(br_n, 0)')}, 0.0E0) AS sla_breach_rate,
        coalesce(CAST(res AS DOUBLE) / (100.0E0 * CAST(nullif(res_n, 0) AS DOUBLE)), 0.0E0) AS avg_resolution,
        coalesce(CAST(cs AS DOUBLE) / CAST(nullif(cs_n, 0) AS DOUBLE), 0.0E0) AS avg_csat
-FROM t, k""")
+FROM t, k"""
+
+
+def dashboard_sql() -> dict[str, str]:
+    v = filtered_views()
+    q = {}
+    q["filtered_transactions"] = with_conform(filtered_views(DEMO_FILTER) + "\nSELECT * FROM ftxn")
+    q["filtered_tickets"] = with_conform(filtered_views(DEMO_FILTER) + "\nSELECT * FROM ftk")
+    q["filter_domains"] = with_conform("""
+SELECT 'min_date' AS kind, CAST(min(CAST("timestamp" AS DATE)) AS VARCHAR) AS value FROM transactions
+UNION ALL SELECT 'max_date', CAST(max(CAST("timestamp" AS DATE)) AS VARCHAR) FROM transactions
+UNION ALL SELECT DISTINCT 'region', region FROM transactions WHERE region IS NOT NULL
+UNION ALL SELECT DISTINCT 'gateway', gateway FROM transactions WHERE gateway IS NOT NULL""")
+    q["kpi_summary"] = with_conform(v + _kpi_body())
+    q["kpi_summary_filtered"] = with_conform(filtered_views(DEMO_FILTER) + _kpi_body())
+
     q["daily_failure_trend"] = with_conform(v + """
 SELECT CAST("timestamp" AS DATE) AS date, COUNT(transaction_id) AS total,
        CAST(SUM(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,

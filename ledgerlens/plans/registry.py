@@ -75,6 +75,7 @@ def dashboard_queries() -> dict[str, Query]:
         "filtered_tickets": _view(lambda t, k: k, demo),
         "filter_domains": _txn(filter_domains),
         "kpi_summary": _view(D.kpi_summary),
+        "kpi_summary_filtered": _view(D.kpi_summary, demo),
         "daily_failure_trend": _view(lambda t, k: D.daily_failure_trend(t)),
         "gateway_performance": _view(lambda t, k: D.gateway_performance(t)),
         "top_failure_reasons": _view(lambda t, k: D.top_failure_reasons(t)),
