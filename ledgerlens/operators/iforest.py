@@ -179,11 +179,20 @@ def _per_tree_sample(x: DataFrame, n: int, psi: int, n_trees: int, seed: int):
 
 
 def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max_samples: int = 256,
-        seed: int = 42, n: int | None = None) -> IsolationForestModel:
-    ship_package(df.sparkSession)
-    x = _features_frame(df, id_col, features)
-    if n is None:
-        n = x.count()
+        seed: int = 42) -> IsolationForestModel:
+    """Fit on the id and feature columns of ``df`` (nulls as 0)."""
+    x = _features_frame(df, id_col, features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fit_features(x, features, x.count(), n_trees, max_samples, seed)
+    finally:
+        x.unpersist()
+
+
+def fit_features(x: DataFrame, features: list[str], n: int, n_trees: int = 150, max_samples: int = 256,
+                 seed: int = 42) -> IsolationForestModel:
+    """Fit on a frame of ``_id`` and the features (already null-filled) with ``n`` rows."""
+    spark = x.sparkSession
+    ship_package(spark)
     psi = max(1, min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     if n == 0:
@@ -204,7 +213,7 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max
     # Growing a tree is CPU work in Python: hash-partition by tree explicitly
     # (AQE does not coalesce an explicit partition count), so the trees are
     # grown in parallel instead of in the one task a tiny shuffle would get.
-    parts = max(1, min(n_trees, df.sparkSession.sparkContext.defaultParallelism * 2))
+    parts = max(1, min(n_trees, spark.sparkContext.defaultParallelism * 2))
     nodes = (sample.select("tree_id", "_id", *features).repartition(parts, "tree_id")
              .groupBy("tree_id").applyInPandas(_fit_group(features, seed, max_depth), NODE_SCHEMA))
     # The model is bounded by trees * (2 * psi - 1) rows whatever the data size.
@@ -227,27 +236,31 @@ def score_column(model: IsolationForestModel, features: list[str], spark) -> Col
     return score(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
 
 
+# Below this many rows an input is spread round-robin over the cores before
+# scoring (CPU-bound Python); above it, it already has many partitions.
+SPREAD_BELOW_ROWS = 5_000_000
+
+
 def isolation_forest_scores(df: DataFrame, id_col: str, features: list[str], contamination: float = 0.02,
                             n_trees: int = 150, max_samples: int = 256, seed: int = 42) -> DataFrame:
     """``df`` plus ``anomaly_score`` (higher is more anomalous) and ``is_anomaly``.
 
-    The input is read several times (count, sample, score), so it is
-    persisted for the fit. The scored frame is materialized
-    (``session.materialize``: a reliable checkpoint when the session names a
-    checkpoint folder) because the cut-off and any later min/max and filter
-    read it again; lineage is deterministic either way.
+    Only the id and feature columns are persisted for the fit (count and
+    sample read them); the scoring pass reads ``df`` itself and the scored
+    frame is materialized (``session.materialize``: a reliable checkpoint
+    when the session names a checkpoint folder), because the cut-off and any
+    later min/max and filter read it again. Lineage is deterministic.
     """
-    work = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = work.count()
-    model = fit(work, id_col, features, n_trees, max_samples, seed, n)
+    x = _features_frame(df, id_col, features).persist(StorageLevel.MEMORY_AND_DISK)
+    n = x.count()
+    try:
+        model = fit_features(x, features, n, n_trees, max_samples, seed)
+    finally:
+        x.unpersist()
     spark = df.sparkSession
-    # Scoring is CPU-bound; a small input that arrives in fewer partitions
-    # than there are cores is spread round-robin first. A large input already
-    # has far more partitions and is scored where it is.
     cores = spark.sparkContext.defaultParallelism
-    src = work if work.rdd.getNumPartitions() >= cores else work.repartition(cores)
+    src = df.repartition(cores) if n < SPREAD_BELOW_ROWS else df
     scored = materialize(src.withColumn("_ss", score_column(model, features, spark)))
-    work.unpersist()
     offset = exact_percentile(scored, "_ss", contamination, n=n)
     if offset is None:
         offset = 0.0
