@@ -109,6 +109,8 @@ def anomaly_queries() -> dict[str, Query]:
         "zscore_priority_anomalies": _txn(lambda t: AN.top_anomalies(
             AN.explain_and_rank(AN.zscore_scored(t)), K.DEFAULT_TOP_N)),
         "isolation_forest_scores": _txn(_forest_scores),
+        "transaction_anomalies": _txn(lambda t: AN.detect_transaction_anomalies(t).select(
+            "transaction_id", "anomaly_score", "is_anomaly", "anomaly_reason", "priority_score")),
         "top_priority_anomalies": _txn(AN.top_priority_anomalies),
         "sampled_anomaly_view": _view(lambda t, k: AN.sampled_anomaly_view(
             t, K.DEFAULT_CONTAMINATION, K.DASHBOARD_TOP_N, max_rows=K.DASHBOARD_SAMPLE_ROWS)),
