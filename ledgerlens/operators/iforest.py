@@ -136,10 +136,17 @@ class IsolationForestModel:
         return cls(feat, nodes["threshold"].to_numpy(np.float64), left, right, path, roots,
                    max_depth, psi, n_features)
 
-    def score_samples(self, x: np.ndarray) -> np.ndarray:
-        """-2 ** (-E[h(x)] / c(psi)) for each row of ``x`` (rows × features)."""
+    def score_samples(self, x: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        """-2 ** (-E[h(x)] / c(psi)) for each row of ``x`` (rows × features).
+
+        Rows are walked through all trees at once, ``chunk`` rows at a time,
+        so working memory is bounded (chunk × trees indices) whatever the
+        Arrow batch size.
+        """
         if len(self.roots) == 0:
             return np.zeros(len(x))
+        if len(x) > chunk:
+            return np.concatenate([self.score_samples(x[i:i + chunk], chunk) for i in range(0, len(x), chunk)])
         rows = np.arange(len(x))[:, None]
         node = np.broadcast_to(self.roots[None, :], (len(x), len(self.roots))).copy()
         for _ in range(self.max_depth):

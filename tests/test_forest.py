@@ -134,3 +134,9 @@ def test_per_tree_sample_equals_brute_force(spark):
         sample, cand = iforest._per_tree_sample(x, n, psi, trees, seed)
         assert sorted((r.tree_id, r._id) for r in sample.collect()) == want
         cand.unpersist()
+
+
+def test_chunked_scoring_equals_whole_batch(spark):
+    model = iforest.fit(_planted(spark, 2), "id", FEATURES, n_trees=10, max_samples=64, seed=2)
+    x = np.random.default_rng(0).normal(size=(1000, 3))
+    assert np.array_equal(model.score_samples(x, chunk=97), model.score_samples(x, chunk=10**6))
