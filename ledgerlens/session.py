@@ -87,14 +87,16 @@ def ship_package(spark: SparkSession) -> None:
     Python stages (the forest's ``applyInPandas`` fit and Pandas UDF scoring)
     unpickle functions and the broadcast model by module reference, so the
     executors need the package. A cluster would install it or pass it with
-    ``--py-files``; this ships a zip of the package once per application so
-    that it also works when neither was done.
+    ``--py-files`` and set ``spark.ledgerlens.shipPackage=false``; otherwise
+    this ships a zip of the package once per application (Spark serves it to
+    the executors from the driver), so that it also works when neither was
+    done.
     """
     import zipfile
 
     sc = spark.sparkContext
     app = sc.applicationId
-    if app in _SHIPPED:
+    if app in _SHIPPED or spark.conf.get("spark.ledgerlens.shipPackage", "true").lower() == "false":
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-pyfiles-"), "ledgerlens.zip")
