@@ -388,6 +388,24 @@ _ZSTATS = """avg(processing_time_ms) AS mp, stddev_samp(processing_time_ms) AS s
              avg(amount) AS ma, stddev_samp(amount) AS sa"""
 
 
+def _zscore_ranked() -> str:
+    """CTE ``ranked``: every transaction with the stand-in score, flag, reason and priority."""
+    return f"""
+, mo AS (
+  SELECT CAST(COUNT(processing_time_ms) AS HUGEINT) AS n, CAST(SUM(processing_time_ms) AS HUGEINT) AS s1,
+         SUM(CAST(processing_time_ms AS HUGEINT) * processing_time_ms) AS s2 FROM transactions),
+zr AS (SELECT t.*, mo.n * t.processing_time_ms - mo.s1 AS num, mo.n * mo.s2 - mo.s1 * mo.s1 AS v
+       FROM transactions t, mo),
+z AS (SELECT *, CASE WHEN v > 0 THEN abs(CAST(num AS DOUBLE) / sqrt(CAST(v AS DOUBLE))) END AS anomaly_score,
+             coalesce(v > 0 AND num * num > 9 * v, false) AS is_anomaly FROM zr),
+st AS (SELECT {_ZSTATS}, min(anomaly_score) AS smin, max(anomaly_score) AS smax,
+              min(amount) AS amin, max(amount) AS amax FROM z),
+ranked AS (
+  SELECT z.*, {_reason_sql()} AS anomaly_reason,
+         {round_half_even('(0.55E0 * ((anomaly_score - smin) / (smax - smin + 1e-9)) + 0.3E0 * ((amount - amin) / (amax - amin + 1e-9)) + 0.15E0 * is_fraud_flag) * 100.0E0', 2)} AS priority_score
+  FROM z, st)"""
+
+
 def anomaly_sql() -> dict[str, str]:
     q = {}
     q["zscore_flags"] = with_conform(f"""
@@ -402,21 +420,13 @@ SELECT transaction_id, {_reason_sql()} AS anomaly_reason FROM transactions, st""
     q["amount_minmax"] = with_conform("""
 , st AS (SELECT min(amount) AS lo, max(amount) AS hi FROM transactions)
 SELECT transaction_id, (amount - lo) / (hi - lo + 1e-9) AS norm_amount FROM transactions, st""")
-    q["zscore_priority_anomalies"] = with_conform(f"""
-, mo AS (
-  SELECT CAST(COUNT(processing_time_ms) AS HUGEINT) AS n, CAST(SUM(processing_time_ms) AS HUGEINT) AS s1,
-         SUM(CAST(processing_time_ms AS HUGEINT) * processing_time_ms) AS s2 FROM transactions),
-zr AS (SELECT t.*, mo.n * t.processing_time_ms - mo.s1 AS num, mo.n * mo.s2 - mo.s1 * mo.s1 AS v
-       FROM transactions t, mo),
-z AS (SELECT *, CASE WHEN v > 0 THEN abs(CAST(num AS DOUBLE) / sqrt(CAST(v AS DOUBLE))) END AS anomaly_score,
-             coalesce(v > 0 AND num * num > 9 * v, false) AS is_anomaly FROM zr),
-st AS (SELECT {_ZSTATS}, min(anomaly_score) AS smin, max(anomaly_score) AS smax,
-              min(amount) AS amin, max(amount) AS amax FROM z)
+    q["zscore_priority_anomalies"] = with_conform(_zscore_ranked() + """
 SELECT transaction_id, "timestamp", gateway, channel, amount, status, processing_time_ms, retry_count,
-       risk_score, {_reason_sql()} AS anomaly_reason,
-       {round_half_even('(0.55E0 * ((anomaly_score - smin) / (smax - smin + 1e-9)) + 0.3E0 * ((amount - amin) / (amax - amin + 1e-9)) + 0.15E0 * is_fraud_flag) * 100.0E0', 2)} AS priority_score
-FROM z, st WHERE is_anomaly
+       risk_score, anomaly_reason, priority_score
+FROM ranked WHERE is_anomaly
 ORDER BY priority_score DESC, transaction_id LIMIT 25""")
+    q["zscore_transaction_anomalies"] = with_conform(_zscore_ranked() + """
+SELECT transaction_id, anomaly_score, is_anomaly, anomaly_reason, priority_score FROM ranked""")
     return q
 
 

@@ -108,6 +108,8 @@ def anomaly_queries() -> dict[str, Query]:
                                                  minmax_norm(t, "amount", K.MINMAX_EPS).alias("norm_amount"))),
         "zscore_priority_anomalies": _txn(lambda t: AN.top_anomalies(
             AN.explain_and_rank(AN.zscore_scored(t)), K.DEFAULT_TOP_N)),
+        "zscore_transaction_anomalies": _txn(lambda t: AN.explain_and_rank(AN.zscore_scored(t)).select(
+            "transaction_id", "anomaly_score", "is_anomaly", "anomaly_reason", "priority_score")),
         "isolation_forest_scores": _txn(_forest_scores),
         "transaction_anomalies": _txn(lambda t: AN.detect_transaction_anomalies(t).select(
             "transaction_id", "anomaly_score", "is_anomaly", "anomaly_reason", "priority_score")),
