@@ -174,3 +174,12 @@ def test_scale_settings():
     s = scale_settings(100 * 10**12, 8000)
     assert s["spark.sql.shuffle.partitions"] == "100000"
     assert scale_settings(50 * 2**20, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_reason_tags_one_per_row(spark):
+    base = [{"processing_time_ms": 300 + (i % 7), "amount": 100.0 + (i % 5)} for i in range(60)]
+    rows = base + [{"processing_time_ms": 5000}, {"amount": 90000.0}]
+    df = txn_frame(spark, rows)
+    got = [r[0] for r in df.select(anomaly.anomaly_reasons(df)).collect()]
+    assert got[-2:] == ["Slow processing", "Unusual amount"]
+    assert set(got[:60]) == {"Multivariate pattern"}
