@@ -14,8 +14,6 @@ size-checked join selection, large ones are shuffled.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,21 +25,26 @@ from ..session import sf_path
 from .schemas import SUPPORT_TICKETS, TICKET_COLUMNS, TRANSACTION_COLUMNS, TRANSACTIONS
 
 
-@dataclass
 class StarTables:
-    region: DataFrame
-    nation: DataFrame
-    customer: DataFrame
-    supplier: DataFrame
-    orders: DataFrame
-    lineitem: DataFrame
-    events: DataFrame
-    source: str | None = None
+    """The driver's star tables, opened on first use (a query that needs only
+    some of them does not list or open the others)."""
+
+    NAMES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
+
+    def __init__(self, spark: SparkSession | None = None, sf_dir: str | None = None, **frames: DataFrame):
+        self._spark, self.source, self._frames = spark, sf_dir, dict(frames)
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str) -> "StarTables":
-        names = ["region", "nation", "customer", "supplier", "orders", "lineitem", "events"]
-        return cls(**{n: _read(spark, sf_path(sf_dir, n)) for n in names}, source=sf_dir)
+        return cls(spark, sf_dir)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in StarTables.NAMES:
+            raise AttributeError(name)
+        frames = self.__dict__["_frames"]
+        if name not in frames:
+            frames[name] = _read(self._spark, sf_path(self.source, name))
+        return frames[name]
 
 
 # Footer schemas already read in this process, by path: a later query over
