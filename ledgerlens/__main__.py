@@ -3,6 +3,7 @@
     python -m ledgerlens list
     python -m ledgerlens run gateway_health --input /data/star [--show 20 | --csv /out/dir]
     python -m ledgerlens build --input /data/star --out /data/tables
+    python -m ledgerlens build --csv-dir /data/csv --out /data/tables
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--input", required=True, help="folder of the star tables")
     r.add_argument("--show", type=int, default=20)
     r.add_argument("--csv", default=None, help="write the result as a CSV folder instead")
-    b = sub.add_parser("build", help="derive and store both tables, by day")
-    b.add_argument("--input", required=True)
+    b = sub.add_parser("build", help="store both tables, by day (from the star tables or from CSV)")
+    src = b.add_mutually_exclusive_group(required=True)
+    src.add_argument("--input", help="folder of the star tables")
+    src.add_argument("--csv-dir", help="folder with transactions.csv and support_tickets.csv")
     b.add_argument("--out", required=True)
     args = p.parse_args(argv)
 
@@ -45,8 +48,10 @@ def main(argv: list[str] | None = None) -> int:
         else:
             df.show(args.show, truncate=False)
     elif args.cmd == "build":
-        from .plans.build import build_tables
-        build_tables(spark, args.input, args.out).show()
+        from .plans.build import build_from_csv, build_tables
+        audit = (build_tables(spark, args.input, args.out) if args.input
+                 else build_from_csv(spark, args.csv_dir, args.out))
+        audit.show()
     return 0
 
 
