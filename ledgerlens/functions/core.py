@@ -88,14 +88,35 @@ def flag(cond: Column) -> Column:
     return cond.cast("int")
 
 
+def sql_literal(v) -> str:
+    """A Python constant as a Spark SQL literal (doubles as ``D`` literals)."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return repr(v) + "D"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def pick(values: Sequence[str], index) -> Column:
     """``values[index mod len(values)]`` as a literal array lookup."""
+    if isinstance(index, str):
+        # One expression (parsed on the JVM side) instead of one call per literal.
+        arr = ", ".join(sql_literal(v) for v in values)
+        return F.expr(f"element_at(array({arr}), CAST(pmod(`{index}`, {len(values)}) + 1 AS INT))")
     arr = F.array(*[F.lit(v) for v in values])
     return F.element_at(arr, (F.pmod(_c(index), F.lit(len(values))) + 1).cast("int"))
 
 
 def lookup(mapping: dict, key, default=None) -> Column:
     """Key lookup in a small literal map; unmapped keys give ``default``."""
+    if isinstance(key, str):
+        branches = " ".join(f"WHEN `{key}` = {sql_literal(k)} THEN {sql_literal(v)}" for k, v in mapping.items())
+        tail = "" if default is None else f" ELSE {sql_literal(default)}"
+        return F.expr(f"CASE {branches}{tail} END")
     out = None
     for k, v in mapping.items():
         out = F.when(_c(key) == F.lit(k), F.lit(v)) if out is None else out.when(_c(key) == F.lit(k), F.lit(v))

@@ -81,7 +81,7 @@ def _txn_columns(e, o, with_event_id: bool) -> list:
               .otherwise(F.lit("Success")))
     reason = (F.when(~is_error, F.lit(None).cast("string"))
               .when(F.pmod(eid, F.lit(41)) == 0, F.lit(""))
-              .otherwise(fx.pick(K.FAILURE_REASONS, eid)))
+              .otherwise(fx.pick(K.FAILURE_REASONS, "event_id")))
     channel = fx.lookup({"1-URGENT": "UPI", "2-HIGH": "Card", "3-MEDIUM": "NetBanking",
                          "4-NOT SPECIFIED": "Wallet"}, "o_orderpriority", default="POS")
     retry = (F.when(is_error, F.pmod(F.col("o_custkey"), F.lit(5)))
@@ -91,7 +91,7 @@ def _txn_columns(e, o, with_event_id: bool) -> list:
         F.col("ts").alias("timestamp"),
         F.col("o_custkey").cast("long").alias("customer_id"),
         channel.alias("channel"),
-        fx.pick(K.TRANSACTION_TYPES, eid).alias("transaction_type"),
+        fx.pick(K.TRANSACTION_TYPES, "event_id").alias("transaction_type"),
         amount.alias("amount"),
         F.lit("INR").alias("currency"),
         status.alias("status"),
@@ -99,7 +99,7 @@ def _txn_columns(e, o, with_event_id: bool) -> list:
         (F.lit(50) + F.floor(F.col("value") * F.lit(20.0))).cast("int").alias("processing_time_ms"),
         fx.pick(K.GATEWAYS, "user_id").alias("gateway"),
         F.col("r_name").alias("region"),
-        fx.pick(K.DEVICE_TYPES, eid).alias("device_type"),
+        fx.pick(K.DEVICE_TYPES, "event_id").alias("device_type"),
         retry.cast("int").alias("retry_count"),
         fx.flag((risk > F.lit(70.0)) & (F.pmod(eid, F.lit(5)) < 2)).alias("is_fraud_flag"),
         fx.pick(K.MERCHANT_CATEGORIES, "o_custkey").alias("merchant_category"),
@@ -209,7 +209,7 @@ def support_tickets(t: StarTables, txn_with_event_id: DataFrame | None = None) -
         created.alias("created_at"),
         F.col("o_custkey").cast("long").alias("customer_id"),
         related.alias("related_transaction_id"),
-        fx.pick(K.ISSUE_CATEGORIES, pk).alias("issue_category"),
+        fx.pick(K.ISSUE_CATEGORIES, "l_partkey").alias("issue_category"),
         priority.alias("priority"),
         fx.pick(K.TICKET_CHANNELS, "l_suppkey").alias("channel"),
         F.col("r_name").alias("region"),
