@@ -254,9 +254,10 @@ def isolation_forest_scores(df: DataFrame, id_col: str, features: list[str], con
 
     Only the id and feature columns are persisted for the fit (count and
     sample read them); the scoring pass reads ``df`` itself and the scored
-    frame is materialized (``session.materialize``: a reliable checkpoint
-    when the session names a checkpoint folder), because the cut-off and any
-    later min/max and filter read it again. Lineage is deterministic.
+    frame is materialized (``session.materialize``: a Parquet table in the
+    session's checkpoint folder when it names one), because the cut-off and
+    any later min/max and filter read it again, each only the columns it
+    needs. Lineage is deterministic.
     """
     x = _features_frame(df, id_col, features).persist(StorageLevel.MEMORY_AND_DISK)
     n = x.count()
@@ -267,7 +268,8 @@ def isolation_forest_scores(df: DataFrame, id_col: str, features: list[str], con
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     src = df.repartition(cores) if n < SPREAD_BELOW_ROWS else df
-    scored = materialize(src.withColumn("_ss", score_column(model, features, spark)))
+    # Written as a table: the cut-off passes read the score column only.
+    scored = materialize(src.withColumn("_ss", score_column(model, features, spark)), as_table=True)
     offset = exact_percentile(scored, "_ss", contamination, n=n)
     if offset is None:
         offset = 0.0

@@ -123,17 +123,27 @@ def configured_checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, as_table: bool = False) -> DataFrame:
     """Cut the lineage of a frame that later passes read several times.
 
-    With a reliable checkpoint folder configured, the frame is written there
-    (``checkpoint``), so a lost executor costs a re-read, not a recompute.
-    Without one, it is persisted (memory, spilling to disk) and a lost block
-    is recomputed from its deterministic lineage. The library never makes a
+    With a reliable checkpoint folder configured, the frame is written there,
+    so a lost executor costs a re-read, not a recompute: as a Parquet table
+    (``as_table``: later passes read only the columns they use and can skip
+    row groups by their statistics; the files stay in the checkpoint folder,
+    whose retention the cluster manages) or with ``checkpoint``. Without a
+    folder it is persisted (memory, spilling to disk) and a lost block is
+    recomputed from its deterministic lineage. The library never makes a
     machine-local folder for this.
     """
-    if configured_checkpoint_dir(df.sparkSession):
+    spark = df.sparkSession
+    folder = configured_checkpoint_dir(spark)
+    if folder:
         try:
+            if as_table:
+                import uuid
+                path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+                df.write.parquet(path)
+                return spark.read.parquet(path)
             return df.checkpoint(eager=True)
         except Exception:   # an unwritable folder: the persisted form gives the same rows
             pass
