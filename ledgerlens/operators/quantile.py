@@ -51,13 +51,16 @@ def select_ranks(df: DataFrame, column: str, ranks: Iterable[int], bins: int = 2
     if want and (want[0] < 0 or want[-1] >= n):
         raise ValueError(f"rank out of range for {n} values: {want}")
     out: dict[int, object] = {}
-    work = [(F.lit(True), 0, n, head["lo"], head["hi"], want)] if want else []
+    # The bucket function is monotone, so a bucket is exactly the value range
+    # between its min and max: each level's candidates are "v BETWEEN lo AND
+    # hi", a predicate a Parquet scan can use to skip row groups.
+    work = [(0, n, head["lo"], head["hi"], want)] if want else []
     while work:
-        cond, below, count, lo, hi, rs = work.pop()
+        below, count, lo, hi, rs = work.pop()
         if lo == hi:
             out.update({r: lo for r in rs})
             continue
-        cand = base.where(cond)
+        cand = base.where(F.col("v").between(F.lit(lo), F.lit(hi)))
         if count <= collect_limit:
             vals = [row[0] for row in cand.orderBy("v").collect()]
             out.update({r: vals[r - below] for r in rs})
@@ -74,7 +77,7 @@ def select_ranks(df: DataFrame, column: str, ranks: Iterable[int], bins: int = 2
             end = start + h["c"]
             inside = [r for r in rs[i:] if r < end]
             if inside:
-                work.append((cond & (b == F.lit(h["b"])), start, h["c"], h["lo"], h["hi"], inside))
+                work.append((start, h["c"], h["lo"], h["hi"], inside))
                 i += len(inside)
             start = end
     return out
