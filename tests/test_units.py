@@ -183,3 +183,23 @@ def test_reason_tags_one_per_row(spark):
     got = [r[0] for r in df.select(anomaly.anomaly_reasons(df)).collect()]
     assert got[-2:] == ["Slow processing", "Unusual amount"]
     assert set(got[:60]) == {"Multivariate pattern"}
+
+
+def test_materialize_paths(spark, monkeypatch):
+    from ledgerlens import session
+    df = spark.range(0, 100).withColumn("x", F.col("id") * 2)
+    import contextlib
+    import io as _io
+    t = session.materialize(df, as_table=True)          # a table in the checkpoint folder
+    buf = _io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        t.explain()
+    assert t.count() == 100 and "FileScan parquet" in buf.getvalue()
+    monkeypatch.setattr(session, "configured_checkpoint_dir", lambda s: None)
+    p = session.materialize(df)                          # no folder: persisted
+    assert p.is_cached and p.count() == 100
+    p.unpersist()
+    monkeypatch.setattr(session, "configured_checkpoint_dir", lambda s: "/proc/not-writable")
+    q = session.materialize(df, as_table=True)           # unwritable folder: persisted
+    assert q.is_cached and sorted(r.x for r in q.collect())[:3] == [0, 2, 4]
+    q.unpersist()
