@@ -43,11 +43,17 @@ def read_partitioned_table(spark: SparkSession, path: str, table: str) -> DataFr
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop file system of the path (any scheme)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    """Whether a stored (Parquet) table is at ``path`` (any file-system scheme).
+
+    Opening the path lists its files: a missing folder, or one with no
+    readable Parquet files, raises an analysis error, i.e. there is no table.
+    """
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.parquet(path).schema
+        return True
+    except AnalysisException:
+        return False
 
 
 def load_data(spark: SparkSession, table_dir: str, csv_dir: str) -> tuple[DataFrame, DataFrame]:
