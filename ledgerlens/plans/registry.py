@@ -68,25 +68,39 @@ def _view(fn, f: ViewFilter = ViewFilter()) -> Query:
     return run
 
 
-def dashboard_queries() -> dict[str, Query]:
-    demo = ViewFilter(**DEMO_FILTER)
+def _dashboard_specs() -> dict:
+    """name -> (fn(filtered_txn, filtered_tickets), view filter)."""
+    demo, full = ViewFilter(**DEMO_FILTER), ViewFilter()
     return {
-        "filtered_transactions": _view(lambda t, k: t, demo),
-        "filtered_tickets": _view(lambda t, k: k, demo),
-        "filter_domains": _txn(filter_domains),
-        "kpi_summary": _view(D.kpi_summary),
-        "kpi_summary_filtered": _view(D.kpi_summary, demo),
-        "daily_failure_trend": _view(lambda t, k: D.daily_failure_trend(t)),
-        "gateway_performance": _view(lambda t, k: D.gateway_performance(t)),
-        "top_failure_reasons": _view(lambda t, k: D.top_failure_reasons(t)),
-        "regional_ops": _view(lambda t, k: D.regional_ops(t)),
-        "sla_heatmap": _view(lambda t, k: D.sla_heatmap(k)),
-        "resolution_distribution": _view(lambda t, k: D.resolution_distribution(k)),
-        "csat_by_sla_outcome": _view(lambda t, k: D.csat_by_sla_outcome(k)),
-        "bottleneck_agents": _view(lambda t, k: D.bottleneck_agents(k)),
+        "filtered_transactions": (lambda t, k: t, demo),
+        "filtered_tickets": (lambda t, k: k, demo),
+        "kpi_summary": (D.kpi_summary, full),
+        "kpi_summary_filtered": (D.kpi_summary, demo),
+        "daily_failure_trend": (lambda t, k: D.daily_failure_trend(t), full),
+        "gateway_performance": (lambda t, k: D.gateway_performance(t), full),
+        "top_failure_reasons": (lambda t, k: D.top_failure_reasons(t), full),
+        "regional_ops": (lambda t, k: D.regional_ops(t), full),
+        "sla_heatmap": (lambda t, k: D.sla_heatmap(k), full),
+        "resolution_distribution": (lambda t, k: D.resolution_distribution(k), full),
+        "csat_by_sla_outcome": (lambda t, k: D.csat_by_sla_outcome(k), full),
+        "bottleneck_agents": (lambda t, k: D.bottleneck_agents(k), full),
     }
 
 
+def dashboard_queries() -> dict[str, Query]:
+    q = {name: _view(fn, f) for name, (fn, f) in _dashboard_specs().items()}
+    q["filter_domains"] = _txn(filter_domains)
+    return q
+
+
+def dashboard_over(txn: DataFrame, tickets: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """The dashboard datasets over given (e.g. stored) tables."""
+    out = {name: (lambda fn=fn, f=f: fn(filter_transactions(txn, f), filter_tickets(tickets, txn, f)))
+           for name, (fn, f) in _dashboard_specs().items()}
+    out["filter_domains"] = lambda: filter_domains(txn)
+    return out
+
+
 def _zscore_flags(txn: DataFrame) -> DataFrame:
     return txn.select("transaction_id",
                       zscore_flags(txn, "processing_time_ms", K.OUTLIER_Z).alias("pt_outlier"),

@@ -99,3 +99,19 @@ def test_build_from_csv_round_trip(spark, tmpdir_path):
     norm = lambda df: sorted(df.drop("_date").na.replace("", None).collect()) if "_date" in df.columns \
         else sorted(df.na.replace("", None).collect())
     assert norm(t) == norm(txn)
+
+
+def test_dashboard_over_stored_tables_equals_registered_queries(spark, tmpdir_path):
+    from conftest import SF_SMALL
+    from ledgerlens.plans.build import build_tables, load_tables
+    from ledgerlens.plans.registry import all_queries, dashboard_over
+
+    build_tables(spark, SF_SMALL, tmpdir_path).collect()
+    txn, tk = load_tables(spark, tmpdir_path)
+    queries = all_queries()
+    for name, make in dashboard_over(txn, tk).items():
+        got = make()
+        got = got.drop("_date") if "_date" in got.columns else got
+        want = queries[name](spark, SF_SMALL)
+        assert got.columns == want.columns, name
+        assert sorted(got.collect()) == sorted(want.collect()), name
