@@ -51,10 +51,22 @@ def select_ranks(df: DataFrame, column: str, ranks: Iterable[int], bins: int = 2
     if want and (want[0] < 0 or want[-1] >= n):
         raise ValueError(f"rank out of range for {n} values: {want}")
     out: dict[int, object] = {}
+    lo0, hi0, below0, count0 = head["lo"], head["hi"], 0, n
+    if not integral and want and (math.isinf(lo0) or math.isinf(hi0)):
+        # Infinities sit at the ends of the order: ranks inside those blocks
+        # are answered directly, the histogram runs over the finite values.
+        inf = base.agg(F.count_if(F.col("v") == F.lit(float("-inf"))).alias("neg"),
+                       F.count_if(F.col("v") == F.lit(float("inf"))).alias("pos"),
+                       F.min(F.when(~F.col("v").isin(float("inf"), float("-inf")), F.col("v"))).alias("lo"),
+                       F.max(F.when(~F.col("v").isin(float("inf"), float("-inf")), F.col("v"))).alias("hi")).first()
+        out.update({r: float("-inf") for r in want if r < inf["neg"]})
+        out.update({r: float("inf") for r in want if r >= n - inf["pos"]})
+        want = [r for r in want if inf["neg"] <= r < n - inf["pos"]]
+        lo0, hi0, below0, count0 = inf["lo"], inf["hi"], inf["neg"], n - inf["neg"] - inf["pos"]
     # The bucket function is monotone, so a bucket is exactly the value range
     # between its min and max: each level's candidates are "v BETWEEN lo AND
     # hi", a predicate a Parquet scan can use to skip row groups.
-    work = [(0, n, head["lo"], head["hi"], want)] if want else []
+    work = [(below0, count0, lo0, hi0, want)] if want else []
     while work:
         below, count, lo, hi, rs = work.pop()
         if lo == hi:

@@ -140,3 +140,13 @@ def test_chunked_scoring_equals_whole_batch(spark):
     model = iforest.fit(_planted(spark, 2), "id", FEATURES, n_trees=10, max_samples=64, seed=2)
     x = np.random.default_rng(0).normal(size=(1000, 3))
     assert np.array_equal(model.score_samples(x, chunk=97), model.score_samples(x, chunk=10**6))
+
+
+def test_select_ranks_with_infinities(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=500), [np.inf] * 7, [-np.inf] * 3])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    srt = np.sort(v)
+    ranks = [0, 2, 3, 250, 502, 503, 509]
+    got = select_ranks(df, "v", ranks, bins=8, collect_limit=20)
+    assert [got[r] for r in ranks] == [srt[r] for r in ranks]
