@@ -4,6 +4,7 @@
     python -m ledgerlens run gateway_health --input /data/star [--show 20 | --csv /out/dir]
     python -m ledgerlens build --input /data/star --out /data/tables
     python -m ledgerlens build --csv-dir /data/csv --out /data/tables
+    python -m ledgerlens dashboard sla_heatmap --tables /data/tables [--show 20 | --csv /out/dir]
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--input", help="folder of the star tables")
     src.add_argument("--csv-dir", help="folder with transactions.csv and support_tickets.csv")
     b.add_argument("--out", required=True)
+    d = sub.add_parser("dashboard", help="one dashboard dataset over stored tables")
+    d.add_argument("dataset")
+    d.add_argument("--tables", required=True, help="folder written by `build`")
+    d.add_argument("--show", type=int, default=20)
+    d.add_argument("--csv", default=None)
     args = p.parse_args(argv)
 
     from .plans.registry import all_queries
@@ -47,6 +53,21 @@ def main(argv: list[str] | None = None) -> int:
             write_csv(df, args.csv)
         else:
             df.show(args.show, truncate=False)
+    elif args.cmd == "dashboard":
+        from .plans.build import load_tables
+        from .plans.registry import dashboard_over
+        txn, tickets = load_tables(spark, args.tables)
+        make = dashboard_over(txn, tickets).get(args.dataset)
+        if make is None:
+            print(f"unknown dataset {args.dataset!r}", file=sys.stderr)
+            return 2
+        df = make()
+        df = df.drop("_date") if "_date" in df.columns else df
+        if args.csv:
+            from .sources.io import write_csv
+            write_csv(df, args.csv)
+        else:
+            df.show(args.show, truncate=False)
     elif args.cmd == "build":
         from .plans.build import build_from_csv, build_tables
         audit = (build_tables(spark, args.input, args.out) if args.input
