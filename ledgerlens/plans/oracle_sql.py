@@ -8,9 +8,17 @@ exact integer forms as ``functions.core``.
 
 from __future__ import annotations
 
+from .. import constants as K
+
 AS_OF = "2024-01-31 00:00:00"
 
-CONFORM = r"""
+
+def _list(values) -> str:
+    """A DuckDB list literal of the fixed values, in their order."""
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+CONFORM = f"""
 WITH nr AS (
   SELECT n.n_nationkey, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
@@ -38,22 +46,21 @@ txn_e AS (
     CAST(o_custkey AS BIGINT) AS customer_id,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'UPI' WHEN '2-HIGH' THEN 'Card'
          WHEN '3-MEDIUM' THEN 'NetBanking' WHEN '4-NOT SPECIFIED' THEN 'Wallet' ELSE 'POS' END AS channel,
-    ['P2P Transfer', 'Bill Payment', 'Merchant Payment', 'Refund', 'Loan EMI', 'Card Recharge'][event_id % 6 + 1] AS transaction_type,
+    {_list(K.TRANSACTION_TYPES)}[event_id % 6 + 1] AS transaction_type,
     amount,
     'INR' AS currency,
     CASE WHEN event_type = 'error' THEN 'Failed' WHEN event_id % 50 = 0 THEN 'Pending'
          WHEN event_id % 67 = 0 THEN 'Reversed' ELSE 'Success' END AS status,
     CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 41 = 0 THEN ''
-         ELSE ['Insufficient Funds', 'Gateway Timeout', 'Bank Server Down', 'Invalid Credentials',
-               'Network Error', 'Fraud Block', 'Limit Exceeded', 'OTP Expired', 'Issuer Decline'][event_id % 9 + 1]
+         ELSE {_list(K.FAILURE_REASONS)}[event_id % 9 + 1]
     END AS failure_reason,
     CAST(50 + floor(value * 20) AS INTEGER) AS processing_time_ms,
     'Gateway' || chr(CAST(65 + user_id % 4 AS INTEGER)) AS gateway,
     r_name AS region,
-    ['Android', 'iOS', 'Web', 'POS-Terminal'][event_id % 4 + 1] AS device_type,
+    {_list(K.DEVICE_TYPES)}[event_id % 4 + 1] AS device_type,
     CAST(CASE WHEN event_type = 'error' THEN o_custkey % 5 WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS INTEGER) AS retry_count,
     CAST(CASE WHEN risk_score > 70 AND event_id % 5 < 2 THEN 1 ELSE 0 END AS INTEGER) AS is_fraud_flag,
-    ['Grocery', 'Utilities', 'E-commerce', 'Travel', 'Fuel', 'Healthcare', 'Entertainment', 'P2P'][o_custkey % 8 + 1] AS merchant_category,
+    {_list(K.MERCHANT_CATEGORIES)}[o_custkey % 8 + 1] AS merchant_category,
     CAST(account_age_days AS INTEGER) AS account_age_days,
     risk_score,
     event_id
@@ -103,10 +110,9 @@ support_tickets AS (
     CAST(o_custkey AS BIGINT) AS customer_id,
     CASE WHEN t_event_id IS NOT NULL THEN t_transaction_id WHEN l_linenumber % 2 = 1 THEN '' ELSE NULL END
       AS related_transaction_id,
-    ['Failed Transaction', 'Refund Delay', 'Account Access', 'KYC Issue', 'Card Block/Unblock',
-     'Dispute/Chargeback', 'App/Tech Issue', 'Billing Query'][l_partkey % 8 + 1] AS issue_category,
+    {_list(K.ISSUE_CATEGORIES)}[l_partkey % 8 + 1] AS issue_category,
     priority,
-    ['App Chat', 'Email', 'Phone', 'Social Media'][l_suppkey % 4 + 1] AS channel,
+    {_list(K.TICKET_CHANNELS)}[l_suppkey % 4 + 1] AS channel,
     s_region AS region,
     CAST(target AS INTEGER) AS sla_target_hours,
     res AS resolution_time_hours,
