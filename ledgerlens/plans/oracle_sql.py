@@ -18,6 +18,19 @@ def _list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+def _sla_case(col: str, default_low: bool = True) -> str:
+    """CASE over the priority labels giving the fixed SLA hours."""
+    items = list(K.SLA_TARGET_BY_PRIORITY.items())
+    last = items[-1]
+    whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in (items[:-1] if default_low else items))
+    return f"CASE {col} {whens} " + (f"ELSE {last[1]} END" if default_low else "END")
+
+
+def _penalty_case(col: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN {v!r}E0" for k, v in K.TEAM_PENALTY_HOURS.items())
+    return f"CASE {col} {whens} ELSE 0.0E0 END"
+
+
 CONFORM = f"""
 WITH nr AS (
   SELECT n.n_nationkey, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
@@ -89,12 +102,12 @@ tk_base AS (
   JOIN nr ON s.s_nationkey = nr.n_nationkey
 ),
 tk_sla AS (
-  SELECT *, CASE priority WHEN 'Critical' THEN 4 WHEN 'High' THEN 12 WHEN 'Medium' THEN 24 ELSE 48 END AS target
+  SELECT *, {_sla_case("priority")} AS target
   FROM tk_base
 ),
 tk_res AS (
   SELECT *, l_quantity * 0.25E0
-            + CASE agent_team WHEN 'Fraud-Risk' THEN 10.0E0 WHEN 'Tier2-Technical' THEN 5.0E0 ELSE 0.0E0 END
+            + {_penalty_case("agent_team")}
             + CAST(target AS DOUBLE) * 0.15E0 AS res,
          CASE WHEN t_event_id IS NOT NULL THEN t_timestamp + to_hours(CAST(1 + l_partkey % 71 AS BIGINT))
               ELSE TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((l_orderkey * 13) % 43200 AS BIGINT)) END AS created
@@ -438,12 +451,11 @@ SELECT transaction_id, anomaly_score, is_anomaly, anomaly_reason, priority_score
 
 def enrich_sql() -> dict[str, str]:
     q = {}
-    q["enrich_sla"] = with_conform("""
+    q["enrich_sla"] = with_conform(f"""
 SELECT ticket_id,
-       CAST(CASE priority WHEN 'Critical' THEN 4 WHEN 'High' THEN 12 WHEN 'Medium' THEN 24 WHEN 'Low' THEN 48 END AS INTEGER)
-         AS sla_target_hours,
-       CAST(CASE WHEN resolution_time_hours > CASE priority WHEN 'Critical' THEN 4 WHEN 'High' THEN 12
-                 WHEN 'Medium' THEN 24 WHEN 'Low' THEN 48 END THEN 1 ELSE 0 END AS INTEGER) AS sla_breached
+       CAST({_sla_case("priority", default_low=False)} AS INTEGER) AS sla_target_hours,
+       CAST(CASE WHEN resolution_time_hours > {_sla_case("priority", default_low=False)} THEN 1 ELSE 0 END AS INTEGER)
+         AS sla_breached
 FROM support_tickets""")
     q["enrich_resolution_time"] = f"""
 WITH b AS (
@@ -456,7 +468,7 @@ WITH b AS (
          l.l_quantity * 0.25E0 AS base_hours
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)
 SELECT ticket_id, agent_team,
-       {round_half_even("base_hours + CASE agent_team WHEN 'Fraud-Risk' THEN 10.0E0 WHEN 'Tier2-Technical' THEN 5.0E0 ELSE 0.0E0 END + CAST(target AS DOUBLE) * 0.15E0", 2)}
+       {round_half_even("base_hours + " + _penalty_case("agent_team") + " + CAST(target AS DOUBLE) * 0.15E0", 2)}
          AS resolution_time_hours
 FROM b"""
     q["enrich_resolved_at"] = with_conform("""
@@ -476,9 +488,11 @@ SELECT transaction_id,
 FROM b"""
     q["failure_expectation"] = with_conform(f"""
 , g AS (
-  SELECT gateway, hour("timestamp") BETWEEN 1 AND 4 AS night, COUNT(*) AS txns,
-         CAST(SUM(CASE WHEN gateway = 'GatewayC' THEN 1800 ELSE 700 END
-                  + CASE WHEN hour("timestamp") BETWEEN 1 AND 4 THEN 600 ELSE 0 END) AS BIGINT) AS bp,
+  SELECT gateway, hour("timestamp") BETWEEN {K.NIGHT_HOURS[0]} AND {K.NIGHT_HOURS[1]} AS night, COUNT(*) AS txns,
+         CAST(SUM(CASE WHEN gateway = 'GatewayC' THEN {round(K.GATEWAY_C_FAILURE_PROB * 10000)}
+                       ELSE {round(K.BASE_FAILURE_PROB * 10000)} END
+                  + CASE WHEN hour("timestamp") BETWEEN {K.NIGHT_HOURS[0]} AND {K.NIGHT_HOURS[1]}
+                         THEN {round(K.NIGHT_FAILURE_BOOST * 10000)} ELSE 0 END) AS BIGINT) AS bp,
          CAST(SUM(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed
   FROM transactions WHERE "timestamp" IS NOT NULL GROUP BY ALL)
 SELECT gateway, night, txns, {ratio_half_up('bp', 'txns * 100', 100)} AS expected_rate_pct,
