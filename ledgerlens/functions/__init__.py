@@ -1,0 +1 @@
+"""Column functions: exact rounding, rates, time arithmetic, literal lookups."""

@@ -1,0 +1,2 @@
+"""Plans: the named analyses and dashboard datasets, the query registry and its
+DuckDB twins, the build path and the SQL path."""

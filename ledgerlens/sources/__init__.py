@@ -1,0 +1 @@
+"""Sources and sinks: fixed schemas, the conformed operational tables, CSV/Parquet I/O."""
