@@ -129,10 +129,16 @@ def ticket_priority(orderpriority) -> "F.Column":
 
 
 def ticket_team(partkey) -> "F.Column":
+    """Team by ``partkey mod 100``: below 35, 55, 70, 90, else the last team."""
+    if isinstance(partkey, str):
+        t = [fx.sql_literal(v) for v in K.AGENT_TEAMS]
+        b = f"pmod(`{partkey}`, 100)"
+        return F.expr(f"CASE WHEN {b} < 35 THEN {t[0]} WHEN {b} < 55 THEN {t[1]} WHEN {b} < 70 THEN {t[2]} "
+                      f"WHEN {b} < 90 THEN {t[3]} ELSE {t[4]} END")
     bucket = F.pmod(fx._c(partkey), F.lit(100))
-    return (F.when(bucket < 35, F.lit("Tier1-Support")).when(bucket < 55, F.lit("Tier2-Technical"))
-            .when(bucket < 70, F.lit("Fraud-Risk")).when(bucket < 90, F.lit("Billing-Ops"))
-            .otherwise(F.lit("Premium-Care")))
+    return (F.when(bucket < 35, F.lit(K.AGENT_TEAMS[0])).when(bucket < 55, F.lit(K.AGENT_TEAMS[1]))
+            .when(bucket < 70, F.lit(K.AGENT_TEAMS[2])).when(bucket < 90, F.lit(K.AGENT_TEAMS[3]))
+            .otherwise(F.lit(K.AGENT_TEAMS[4])))
 
 
 def ticket_base_hours() -> "F.Column":
@@ -189,14 +195,12 @@ def support_tickets(t: StarTables, txn_with_event_id: DataFrame | None = None) -
     priority = ticket_priority("o_orderpriority")
     target = enrich.sla_target_hours(priority)
     pk = F.col("l_partkey")
-    team = ticket_team(pk)
+    team = ticket_team("l_partkey")
     resolution = enrich.resolution_time(ticket_base_hours(), team, target, digits=None)
     breached = resolution > target
     ln3 = F.pmod(F.col("l_linenumber"), F.lit(3))
-    status = (F.when(F.col("l_returnflag") == "R", F.lit("Reopened"))
-              .when(F.col("l_returnflag") == "A", F.lit("Resolved"))
-              .when(F.col("l_linestatus") == "F", F.lit("Closed"))
-              .otherwise(F.lit("Pending")))
+    status = F.expr("CASE WHEN l_returnflag = 'R' THEN 'Reopened' WHEN l_returnflag = 'A' THEN 'Resolved' "
+                    "WHEN l_linestatus = 'F' THEN 'Closed' ELSE 'Pending' END")
     created = F.when(is_linked, fx.add_hours("t_timestamp", F.lit(1) + F.pmod(pk, F.lit(71)))).otherwise(
         fx.add_minutes(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"),
                        F.pmod(F.col("l_orderkey") * F.lit(13), F.lit(43200))))
