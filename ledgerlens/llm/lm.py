@@ -11,7 +11,7 @@ left-to-right traversal: take the arc of the next word if the state has it,
 else fail; add the logarithms of the weights on the way.
 
 The model of a corpus is as large as the corpus, so no task ever holds it. The
-documents are dealt into batches of about ``BATCH_BYTES`` of text. Each batch
+documents are dealt into batches of about 16 MB of text. Each batch
 lists its distinct n-grams as sorted 64-bit hashes with their training counts
 (0 for those that only held-out texts have) and sends contiguous ranges of the
 list to the bins of the hash space; a bin adds the counts up and answers every
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .exchange import MESSAGE, answers, messages, number_of_batches, sums, totals
 from .text import bound_batches, byte_values, mix, partitions, read_table, split_words, utf8, word_hashes
 
 ORDER = 2
 WEIGHT = 100.0                  # m, the prior's weight in tokens
-BATCH_BYTES = 16 << 20
 END = np.uint64(0x2545F4914F6CDD1D)
 _VALUES = byte_values(lower=True, seed=5)
 
@@ -76,54 +76,21 @@ def _listed(column, held_out: np.ndarray, order: int):
     return listed, count, place.reshape(order, len(tokens)), first, train
 
 
-def _bin(listed: np.ndarray, bins: int) -> np.ndarray:
-    return (((listed >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
-
-
-def _messages(key, listed: np.ndarray, count: np.ndarray, bins: int) -> pa.Table:
-    """(batch, bin, hashes, counts): contiguous ranges of a batch's list."""
-    where = _bin(listed, bins)
-    cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, np.int64)
-    stop = np.r_[cut[1:], len(where)]
-    return pa.table({"batch": pa.array([key] * len(cut), pa.int64()), "bin": pa.array(where[cut], pa.int32()),
-                     "hashes": pa.array([listed[a:b].tobytes() for a, b in zip(cut, stop)], pa.binary()),
-                     "counts": pa.array([count[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, stop)],
-                                        pa.binary())})
-
-
-MESSAGE = "batch long, bin int, hashes binary, counts binary"
-
-
-def _totals(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per message the corpus counts of its n-grams, in its order; and the totals of the bin's distinct n-grams."""
-    hashes = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()]).astype(np.int64)
-    both = np.concatenate(hashes)
-    order = np.argsort(both, kind="stable")
-    new = np.r_[True, both[order][1:] != both[order][:-1]]
-    total = np.add.reduceat(counts[order], np.flatnonzero(new))
-    out = np.empty(len(both), np.int64)
-    out[order] = total[np.cumsum(new) - 1]
-    return np.split(out, np.cumsum([len(h) for h in hashes])[:-1]), total
-
-
-def vocabulary_size(docs: DataFrame) -> tuple[int, int, int]:
-    """(training tokens N, distinct training tokens V, bytes of text), over all rows."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    bins = max(4 * partitions(docs), -(-size // BATCH_BYTES))
+def vocabulary_size(docs: DataFrame, bins: int) -> tuple[int, int]:
+    """(training tokens N, distinct training tokens V), over all rows."""
 
     def count(batches):
         for batch in batches:
             listed, n, _, _, _ = _listed(batch.column(1), np.asarray(batch.column(2)), 1)
-            yield from _messages(0, listed, n, bins).to_batches()
+            yield from messages(0, listed, n, bins).to_batches()
 
     def add(key, table):
-        _, total = _totals(table)
+        _, total = sums(table)
         return pa.table({"n": pa.array([int(total.sum())], pa.int64()), "v": pa.array([int((total > 0).sum())], pa.int64())})
 
     row = docs.mapInArrow(count, MESSAGE).groupBy("bin").applyInArrow(add, "n long, v long").agg(
         F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    return row["n"] or 0, row["v"] or 0, size
+    return row["n"] or 0, row["v"] or 0
 
 
 def score(df: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", order: int = ORDER,
@@ -136,28 +103,19 @@ def score(df: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", o
     docs = df.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
         held_out.alias("held_out"))
-    n_train, n_distinct, size = vocabulary_size(docs)
     parts = partitions(df)
-    batches = max(parts, -(-size // BATCH_BYTES))
-    bins = batches
+    batches = bins = number_of_batches(docs, "text", parts)
+    n_train, n_distinct = vocabulary_size(docs, bins)
     z = n_train + 0.5 * (n_distinct + 1)
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).repartition(parts, "batch")
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).repartition(parts, "batch")
 
     def ask(key, table):
         listed, count, _, _, _ = _listed(table["text"], np.asarray(table["held_out"]), order)
-        return _messages(key[0].as_py(), listed, count, bins)
-
-    def answer(key, table):
-        per_message, _ = _totals(table)
-        return pa.table({"batch": table["batch"], "bin": table["bin"],
-                         "counts": pa.array([t.astype(np.uint32).tobytes() for t in per_message], pa.binary())})
-
-    def traverse(key, texts, answers):
-        held = np.asarray(texts["held_out"])
-        _, _, place, first, _ = _listed(texts["text"], held, order)
-        in_order = np.argsort(np.asarray(answers["bin"]))
-        parts = answers["counts"].to_pylist()
-        count = np.concatenate([np.frombuffer(parts[i], np.uint32) for i in in_order]).astype(np.float64)
+        return messages(key[0].as_py(), listed, count, bins)
+
+    def traverse(key, texts, answered):
+        _, _, place, first, _ = _listed(texts["text"], np.asarray(texts["held_out"]), order)
+        count = totals(answered).astype(np.float64)
         arc = count[place]                                   # per length, the count of the n-gram that ends at each token
         starts = first[:-1]
         root = (arc[0] + 0.5) / z
@@ -175,9 +133,8 @@ def score(df: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", o
             "base_score": pa.array(total(np.log10(root)), pa.float64()),
             "score": pa.array(total(np.log10(path)), pa.float64())})
 
-    answers = (dealt.groupBy("batch").applyInArrow(ask, MESSAGE)
-               .repartition(parts, "bin").groupBy("bin").applyInArrow(answer, "batch long, bin int, counts binary"))
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
+    asked = dealt.groupBy("batch").applyInArrow(ask, MESSAGE)
+    return dealt.groupBy("batch").cogroup(answers(asked, parts).groupBy("batch")).applyInArrow(
         traverse, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                   "base_score double, score double")
 

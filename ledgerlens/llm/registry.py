@@ -6,6 +6,7 @@ from importlib import import_module
 
 # query name -> module; the query is the function of that name, its SQL the ``ORACLE_SQL`` there.
 MODULES = {
+    "op4_ngram_join": "jaccard",
     "op5_lm_score": "lm",
     "op6_substrings": "substrings",
     "op9_bpe": "bpe",
