@@ -10,6 +10,7 @@ MODULES = {
     "op4_ngram_join": "jaccard",
     "op5_lm_score": "lm",
     "op6_substrings": "substrings",
+    "op8_quality": "quality",
     "op9_bpe": "bpe",
 }
 
