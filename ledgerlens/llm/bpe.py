@@ -35,10 +35,10 @@ from ..session import ship_package
 from .text import add_columns, read_table
 
 WORD_END = "</w>"
-# Words kept by a task between batches; beyond it the cache starts anew (results do not depend on it).
-CACHED_WORDS = 600_000
+# Entries a worker keeps of each kind between batches; beyond it a cache starts anew (results do not depend on it).
+CACHED = 250_000
 # Suffixes of this many symbols are looked up at once.
-SUFFIX = 8
+SUFFIX = 5
 # White space, and the short endings that the vocabulary file splits off after an apostrophe.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTROL = re.compile("[\x1c-\x1f]")
@@ -94,13 +94,15 @@ class TrieCoder:
             whole[t] = rank < 0 or (whole[left] and whole[right] and self._stand(left, right, rank))
         self.inner = {s: i for s, i in inner.items() if whole[i]}
         self.final = {s: i for s, i in final.items() if whole[i]}
+        # For each tail, how long the tokens that end with it are (those longer than a tail only).
         self.long: dict[bool, dict[str, list]] = {}
         for ends, tokens in ((False, self.inner), (True, self.final)):
-            tails = self.long[ends] = {}
-            for text, t in sorted(tokens.items(), key=lambda x: -len(x[0])):
+            tails: dict[str, set] = {}
+            for text in tokens:
                 if len(text) > SUFFIX:
-                    tails.setdefault(text[-SUFFIX:], []).append((len(text), t, text))
-        self.suffixes: dict[bool, dict[str, list]] = {False: {}, True: {}}
+                    tails.setdefault(text[-SUFFIX:], set()).add(len(text))
+            self.long[ends] = {tail: sorted(ns, reverse=True) for tail, ns in tails.items()}
+        self.suffixes: dict[bool, dict[str, tuple]] = {False: {}, True: {}}
         letters, numbers = _ranges("L"), _ranges("N")
         self.find = re.compile(f"[{letters}]+|'(?:{'|'.join(ENDINGS)})|[{numbers}]|[^{SPACE}{letters}{numbers}]+").findall
         self.split = re.compile(f"[{SPACE}]+").split
@@ -145,67 +147,78 @@ class TrieCoder:
                 j += 1
 
     def _fit(self, p: int, t: int) -> bool:
-        got = self.fits.get((p, t))
-        if got is None:
-            if len(self.fits) > 4 * CACHED_WORDS:
-                self.fits.clear()
-            got = self.fits[p, t] = self._stand(p, t)
+        if len(self.fits) > CACHED:
+            self.fits.clear()
+        got = self.fits[p << 20 | t] = self._stand(p, t)
         return got
 
-    def _endings(self, tail: str, ends: bool) -> list:
-        """The tokens that a prefix with this tail can end with, longest first."""
+    def _endings(self, tail: str, ends: bool) -> tuple:
+        """How a prefix with this tail can end: the lengths of longer tokens to look
+        up, then (length, token) for the tokens inside the tail; longest first."""
         tokens, known = (self.final if ends else self.inner), self.suffixes[ends]
-        if len(known) > CACHED_WORDS:
+        if len(known) > CACHED // 4:
             known.clear()
-        got = list(self.long[ends].get(tail, ())) if len(tail) == SUFFIX else []
-        got += [(n, tokens[tail[-n:]], None) for n in range(len(tail), 0, -1) if tail[-n:] in tokens]
-        known[tail] = got
+        within = tuple((n, tokens[tail[-n:]]) for n in range(len(tail), 0, -1) if tail[-n:] in tokens)
+        got = known[tail] = (self.long[ends].get(tail, ()), within)
         return got
 
     def _last(self, symbols: str, depth: int, state: list, ends: bool) -> tuple[int, int]:
         """(last token, depth before it) of the prefix of this depth."""
         tail = symbols[depth - SUFFIX if depth > SUFFIX else 0:depth]
-        for n, t, text in self.suffixes[ends].get(tail) or self._endings(tail, ends):
-            start = depth - n
-            if start < 0 or (text is not None and symbols[start:depth] != text):
-                continue
-            if start == 0:
+        longer, within = self.suffixes[ends].get(tail) or self._endings(tail, ends)
+        fits = self.fits
+        if longer:
+            tokens = self.final if ends else self.inner
+            for n in longer:
+                if n <= depth:
+                    t = tokens.get(symbols[depth - n:depth])
+                    if t is not None:
+                        if n == depth:
+                            return t, 0
+                        p = state[depth - n][0]
+                        ok = fits.get(p << 20 | t)
+                        if ok or (ok is None and self._fit(p, t)):
+                            return t, depth - n
+        for n, t in within:
+            if n == depth:
                 return t, 0
-            p = state[start][0]
-            ok = self.fits.get((p, t))
+            p = state[depth - n][0]
+            ok = fits.get(p << 20 | t)
             if ok or (ok is None and self._fit(p, t)):
-                return t, start
+                return t, depth - n
         raise ValueError("the vocabulary has no symbol for a byte")
 
     def learn(self, words: set[str]) -> None:
         """Depth-first walk over the trie of words that are not known yet."""
-        if len(self.words) > CACHED_WORDS:
+        if len(self.words) > CACHED:
             self.words.clear()
-        new = sorted((w.encode("utf-8", "replace").decode("latin-1").translate(self.symbols), w)
-                     for w in words if w not in self.words)
+        known = self.words
+        new = sorted([(w.encode("utf-8", "replace").decode("latin-1").translate(self.symbols), w)
+                      for w in words if w not in known])
         state: list = [None]
         before, last, packed = "", self._last, self.packed
         for symbols, word in new:
-            shared, most = 0, min(len(before), len(symbols) - 1, len(state) - 1)
+            size = len(symbols)
+            shared, most = 0, min(len(before), size - 1, len(state) - 1)
             while shared < most and before[shared] == symbols[shared]:
                 shared += 1
             del state[shared + 1:]
-            for depth in range(shared + 1, len(symbols)):
+            for depth in range(shared + 1, size):
                 state.append(last(symbols, depth, state, False))
-            t, at = last(symbols, len(symbols), state, True)
-            ids = [packed[t]]
+            t, at = last(symbols, size, state, True)
+            ids = packed[t]
             while at:
                 t, at = state[at]
-                ids.append(packed[t])
-            ids.reverse()
-            self.words[word] = b"".join(ids)
+                ids = packed[t] + ids
+            known[word] = ids
             before = symbols
 
     def _split(self, run: str) -> list[str]:
         """The words of a run without white space."""
         if not run.isascii():
             run = unicodedata.normalize("NFC", run).replace("Σ", "σ")   # lower-cased by itself, wherever it stands
-        return self.find(run.lower())
+        run = run.lower()
+        return [run] if run.isalpha() else self.find(run)
 
     def _runs(self, text: str) -> list[str]:
         if CONTROL.search(text):        # str.split also splits at these, the file does not
@@ -216,7 +229,7 @@ class TrieCoder:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
         cut = [[text] if "<|" not in text else self.cut.split(text) for text in texts]
         split = [[self.packed[self.special[p]] if i % 2 else self._runs(p) for i, p in enumerate(ps)] for ps in cut]
-        if len(self.runs) > CACHED_WORDS:
+        if len(self.runs) > CACHED:
             self.runs.clear()
         runs: set[str] = set()
         for ps in split:
@@ -250,7 +263,7 @@ def _broadcast(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _texts(column: pa.Array, most: int = 1 << 22):
+def _texts(column: pa.Array, most: int = 1 << 23):
     """Lists of texts of about ``most`` characters together."""
     part, size = [], 0
     for x in column:
