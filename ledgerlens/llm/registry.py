@@ -7,6 +7,7 @@ from importlib import import_module
 # query name -> module; the query is the function of that name, its SQL the ``ORACLE_SQL`` there.
 MODULES = {
     "op1_ann": "ann",
+    "op2_chat_format": "chat",
     "op3_decontaminate": "decontaminate",
     "op4_ngram_join": "jaccard",
     "op5_lm_score": "lm",
