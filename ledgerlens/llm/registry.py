@@ -12,6 +12,7 @@ MODULES = {
     "op4_ngram_join": "jaccard",
     "op5_lm_score": "lm",
     "op6_substrings": "substrings",
+    "op7_line_dedup": "lines",
     "op8_quality": "quality",
     "op9_bpe": "bpe",
 }
