@@ -15,6 +15,7 @@ MODULES = {
     "op7_line_dedup": "lines",
     "op8_quality": "quality",
     "op9_bpe": "bpe",
+    "op10_token_counts": "rollup",
 }
 
 
