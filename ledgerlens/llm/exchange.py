@@ -30,20 +30,39 @@ def bin_of(hashes: np.ndarray, bins: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers by byte planes: the mostly equal high bytes lie together, so that Spark's shuffle compresses them away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(packed: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def steps(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as their differences."""
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def from_steps(packed: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(packed, np.uint64), dtype=np.uint64)
+
+
 def messages(batch: int, listed: np.ndarray, count: np.ndarray, bins: int) -> pa.Table:
     where = bin_of(listed, bins)
     cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, np.int64)
     stop = np.r_[cut[1:], len(where)]
     return pa.table({"batch": pa.array([batch] * len(cut), pa.int64()), "bin": pa.array(where[cut], pa.int32()),
-                     "hashes": pa.array([listed[a:b].tobytes() for a, b in zip(cut, stop)], pa.binary()),
-                     "counts": pa.array([count[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, stop)],
+                     "hashes": pa.array([steps(listed[a:b]) for a, b in zip(cut, stop)], pa.binary()),
+                     "counts": pa.array([planes(count[a:b].astype(np.uint32)) for a, b in zip(cut, stop)],
                                         pa.binary())})
 
 
 def sums(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     """Per message of one bin the totals of its hashes, in its order; and the total of each distinct hash."""
-    hashes = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()]).astype(np.int64)
+    hashes = [from_steps(h) for h in table["hashes"].to_pylist()]
+    counts = np.concatenate([from_planes(c, np.uint32) for c in table["counts"].to_pylist()]).astype(np.int64)
     both = np.concatenate(hashes)
     order = np.argsort(both, kind="stable")
     ranked = both[order]
@@ -57,7 +76,7 @@ def sums(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
 def answer(key, table):
     per_message, _ = sums(table)
     return pa.table({"batch": table["batch"], "bin": table["bin"],
-                     "counts": pa.array([t.astype(np.uint32).tobytes() for t in per_message], pa.binary())})
+                     "counts": pa.array([planes(t.astype(np.uint32)) for t in per_message], pa.binary())})
 
 
 def answers(asked: DataFrame, parts: int) -> DataFrame:
@@ -68,4 +87,4 @@ def totals(table: pa.Table) -> np.ndarray:
     """The answers to one batch, in the order of its list."""
     parts = table["counts"].to_pylist()
     order = np.argsort(np.asarray(table["bin"]))
-    return np.concatenate([np.frombuffer(parts[i], np.uint32) for i in order] or [np.zeros(0, np.uint32)])
+    return np.concatenate([from_planes(parts[i], np.uint32) for i in order] or [np.zeros(0, np.uint32)])
