@@ -14,6 +14,7 @@ it unless AQE finds one side small enough to broadcast.
 from __future__ import annotations
 
 import datetime as dt
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def daily_throughput(txn: DataFrame) -> DataFrame:
 def _ticket_means() -> list:
     return [
         F.count(F.lit(1)).alias("_n"),
-        F.sum(fx.cents("resolution_time_hours")).alias("_res_cents"),
+        F.sum(fx.units("resolution_time_hours")).alias("_res_units"),
         F.count("resolution_time_hours").alias("_n_res"),
         F.sum("csat_score").alias("_csat_sum"),
         F.count("csat_score").alias("_n_csat"),
@@ -83,7 +84,7 @@ def sla_by_priority_team(tickets: DataFrame) -> DataFrame:
         F.col("_n").alias("total_tickets"),
         "breached_tickets",
         fx.rate_pct_2dp("breached_tickets", "_n").alias("sla_breach_rate_pct"),
-        fx.mean_2dp_from_cents("_res_cents", "_n_res").alias("avg_resolution_hours"),
+        fx.mean_2dp_from_units("_res_units", "_n_res").alias("avg_resolution_hours"),
         fx.ratio_half_up("_csat_sum", "_n_csat", 100).alias("avg_csat"),
     ).orderBy(F.desc("sla_breach_rate_pct"), "priority", "agent_team")
 
@@ -98,7 +99,7 @@ def agent_efficiency(tickets: DataFrame, min_tickets: int = K.AGENT_MIN_TICKETS,
     return (agg.where(F.col("_n") >= min_tickets).select(
         "agent_id", "agent_team",
         F.col("_n").alias("tickets_handled"),
-        fx.mean_2dp_from_cents("_res_cents", "_n_res").alias("avg_resolution_hours"),
+        fx.mean_2dp_from_units("_res_units", "_n_res").alias("avg_resolution_hours"),
         "sla_breaches", "escalations",
         fx.ratio_half_up("_csat_sum", "_n_csat", 100).alias("avg_csat"),
     ).orderBy(F.desc("avg_resolution_hours"), "agent_id", "agent_team").limit(top_n))
@@ -111,14 +112,14 @@ def ticket_impact_by_reason(tickets: DataFrame, txn: DataFrame) -> DataFrame:
     joined = s.join(t, s.related_transaction_id == t.transaction_id, "inner")
     agg = joined.groupBy("failure_reason").agg(
         F.count_distinct("ticket_id").alias("tickets_generated"),
-        F.sum(fx.cents("resolution_time_hours")).alias("_res_cents"),
+        F.sum(fx.units("resolution_time_hours")).alias("_res_units"),
         F.count("resolution_time_hours").alias("_n_res"),
         F.sum("csat_score").alias("_csat_sum"),
         F.count("csat_score").alias("_n_csat"),
     )
     return agg.select(
         "failure_reason", "tickets_generated",
-        fx.mean_2dp_from_cents("_res_cents", "_n_res").alias("avg_resolution_hours"),
+        fx.mean_2dp_from_units("_res_units", "_n_res").alias("avg_resolution_hours"),
         fx.ratio_half_up("_csat_sum", "_n_csat", 100).alias("avg_csat"),
     ).orderBy(F.desc("tickets_generated"), F.asc_nulls_first("failure_reason"))
 
@@ -134,9 +135,11 @@ def sla_risk(tickets: DataFrame, as_of: str | dt.datetime | None = None) -> Data
            if as_of is None else F.lit(str(as_of)).cast("timestamp_ntz"))
     micros = fx.micros_between("created_at", now)
     target_us = F.col("sla_target_hours").cast("long") * F.lit(fx.HOUR_MICROS)
-    status = (F.when(micros > target_us, F.lit("BREACHED"))
-              .when(micros * F.lit(10) > target_us * F.lit(8), F.lit("AT RISK"))
-              .otherwise(F.lit("ON TRACK")))
+    breached, at_risk, on_track = K.SLA_RISK_LABELS
+    part, whole = Fraction(str(K.SLA_AT_RISK_SHARE)).as_integer_ratio()
+    status = (F.when(micros > target_us, F.lit(breached))
+              .when(micros * F.lit(whole) > target_us * F.lit(part), F.lit(at_risk))
+              .otherwise(F.lit(on_track)))
     return (tickets.where(F.col("status") == "Pending").select(
         "ticket_id", "priority", "agent_team", "created_at", "sla_target_hours",
         fx.hours_between_2dp("created_at", now).alias("hours_open"),
@@ -148,10 +151,8 @@ def processing_time_outliers(txn: DataFrame, threshold: float = K.OUTLIER_Z,
                              top_n: int = 100) -> DataFrame:
     """Transactions whose processing time is more than ``threshold`` population
     standard deviations from the mean; the 100 highest z-scores."""
-    z = stats.exact_population_z(txn, "processing_time_ms")
-    return (txn.select("transaction_id", "gateway", "processing_time_ms", z.z.alias("_z"),
-                       z.beyond(threshold).alias("_out"))
-            .where(F.col("_out"))
+    rows, z = stats.with_population_z(txn.select("transaction_id", "gateway", "processing_time_ms"), "processing_time_ms")
+    return (rows.where(z.beyond(threshold)).withColumn("_z", z.z)
             .select("transaction_id", "gateway", "processing_time_ms",
                     fx.round_half_away("_z", 2).alias("z_score"))
             .orderBy(F.desc("z_score"), "transaction_id").limit(top_n))

@@ -20,9 +20,8 @@ def build_tables(spark: SparkSession, sf_dir: str, table_dir: str, by_day: bool
     replace) and return the load audit of what was written."""
     txn, tickets = conformed_tables(spark, sf_dir)
     for name, df in (("transactions", txn), ("support_tickets", tickets)):
-        io.write_table(df, f"{table_dir}/{name}", DATE_COLUMNS[name] if by_day else None)
-    t, k = load_tables(spark, table_dir)
-    return io.load_audit(t, k)
+        io.write_table(df, f"{table_dir}/{name}", DATE_COLUMNS[name] if by_day else None, io.ORDER_KEYS[name])
+    return io.load_audit(*io.load_stored(spark, table_dir))
 
 
 def build_from_csv(spark: SparkSession, csv_dir: str, table_dir: str, by_day: bool = True) -> DataFrame:
@@ -31,17 +30,8 @@ def build_from_csv(spark: SparkSession, csv_dir: str, table_dir: str, by_day: bo
     replace); returns the load audit."""
     for name in ("transactions", "support_tickets"):
         df = io.read_csv(spark, f"{csv_dir}/{name}.csv", name)
-        io.write_table(df, f"{table_dir}/{name}", DATE_COLUMNS[name] if by_day else None)
-    t, k = load_tables(spark, table_dir)
-    return io.load_audit(t, k)
+        io.write_table(df, f"{table_dir}/{name}", DATE_COLUMNS[name] if by_day else None, io.ORDER_KEYS[name])
+    return io.load_audit(*io.load_stored(spark, table_dir))
 
 
-def load_tables(spark: SparkSession, table_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The stored tables, with ``_date`` kept when they are stored by day."""
-    out = []
-    for name in ("transactions", "support_tickets"):
-        path = f"{table_dir}/{name}"
-        cols = spark.read.parquet(path).columns
-        out.append(io.read_partitioned_table(spark, path, name) if "_date" in cols
-                   else io.read_table(spark, path, name))
-    return out[0], out[1]
+load_tables = io.load_stored

@@ -3,7 +3,7 @@
 These follow frame (not SQL) semantics: group keys that are null are left
 out, rates are unrounded, and a missing failure reason (null, or the empty
 string a Parquet source keeps) is not counted as a reason. Means of the
-2-decimal hours are taken over exact hundredths.
+hours are taken over exact millionths.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import core as fx
-from ..operators.stats import scalars_of
 
 
 def kpi_summary(ftxn: DataFrame, ftickets: DataFrame) -> DataFrame:
@@ -25,25 +24,23 @@ def kpi_summary(ftxn: DataFrame, ftickets: DataFrame) -> DataFrame:
         F.sum("processing_time_ms").alias("_pt_sum"),
         F.count("processing_time_ms").alias("_pt_n"),
     )
-    # The ticket figures ride along as one scalar subquery (a struct): no join
-    # between the two one-row results.
-    kv = scalars_of(
-        ftickets,
-        total_tickets=F.count(F.lit(1)),
-        _br=F.sum("sla_breached"), _br_n=F.count("sla_breached"),
-        _res=F.sum(fx.cents("resolution_time_hours")), _res_n=F.count("resolution_time_hours"),
-        _cs=F.sum("csat_score"), _cs_n=F.count("csat_score"),
+    k = ftickets.agg(
+        F.count(F.lit(1)).alias("total_tickets"),
+        F.sum("sla_breached").alias("_br"), F.count("sla_breached").alias("_br_n"),
+        F.sum(fx.units("resolution_time_hours")).alias("_res"), F.count("resolution_time_hours").alias("_res_n"),
+        F.sum("csat_score").alias("_cs"), F.count("csat_score").alias("_cs_n"),
     )
     zero = F.lit(0.0)
-    return t.select(
+    # One row beside one row.
+    return t.crossJoin(F.broadcast(k)).select(
         "total_txns",
         F.coalesce(fx.pct("_ok", "total_txns"), zero).alias("success_rate"),
         F.coalesce(fx.pct("_failed", "total_txns"), zero).alias("failure_rate"),
         F.coalesce(fx.safe_div("_pt_sum", "_pt_n"), zero).alias("avg_proc_time"),
-        kv["total_tickets"].alias("total_tickets"),
-        F.coalesce(fx.pct(kv["_br"], kv["_br_n"]), zero).alias("sla_breach_rate"),
-        F.coalesce(fx.mean_from_cents(kv["_res"], kv["_res_n"]), zero).alias("avg_resolution"),
-        F.coalesce(fx.safe_div(kv["_cs"], kv["_cs_n"]), zero).alias("avg_csat"),
+        "total_tickets",
+        F.coalesce(fx.pct("_br", "_br_n"), zero).alias("sla_breach_rate"),
+        F.coalesce(fx.mean_from_units("_res", "_res_n"), zero).alias("avg_resolution"),
+        F.coalesce(fx.safe_div("_cs", "_cs_n"), zero).alias("avg_csat"),
     )
 
 
@@ -99,14 +96,14 @@ def sla_heatmap(ftickets: DataFrame) -> DataFrame:
 def resolution_distribution(ftickets: DataFrame) -> DataFrame:
     """Five-number summary of resolution hours per team (quartiles by linear
     interpolation). The exact percentile keeps one counter per distinct value
-    per team; hours have two decimals, so that state is bounded by the value
+    per team; hours count in millionths, so that state is bounded by the value
     range, not by the row count, and it is merged map-side."""
-    c = fx.cents("resolution_time_hours")
+    u = fx.units("resolution_time_hours")
     agg = (ftickets.where(F.col("agent_team").isNotNull() & F.col("resolution_time_hours").isNotNull())
            .groupBy("agent_team")
-           .agg(F.min(c).alias("_min"), F.percentile(c, [0.25, 0.5, 0.75]).alias("_q"),
-                F.max(c).alias("_max")))
-    h = F.lit(100.0)
+           .agg(F.min(u).alias("_min"), F.percentile(u, [0.25, 0.5, 0.75]).alias("_q"),
+                F.max(u).alias("_max")))
+    h = F.lit(float(fx.UNITS))
     return agg.select(
         "agent_team",
         (F.col("_min").cast("double") / h).alias("min"),
@@ -132,10 +129,10 @@ def bottleneck_agents(ftickets: DataFrame, min_tickets: int = K.AGENT_MIN_TICKET
     agg = (ftickets.where(F.col("agent_id").isNotNull() & F.col("agent_team").isNotNull())
            .groupBy("agent_id", "agent_team")
            .agg(F.count("ticket_id").alias("tickets"),
-                F.sum(fx.cents("resolution_time_hours")).alias("_rc"),
+                F.sum(fx.units("resolution_time_hours")).alias("_rc"),
                 F.count("resolution_time_hours").alias("_rn"),
                 F.sum("sla_breached").alias("breaches")))
     return (agg.where(F.col("tickets") >= min_tickets)
             .select("agent_id", "agent_team", "tickets",
-                    fx.mean_from_cents("_rc", "_rn").alias("avg_resolution"), "breaches")
+                    fx.mean_from_units("_rc", "_rn").alias("avg_resolution"), "breaches")
             .orderBy(F.desc("avg_resolution"), "agent_id", "agent_team").limit(top_n))

@@ -9,6 +9,7 @@ exact integer forms as ``functions.core``.
 from __future__ import annotations
 
 from .. import constants as K
+from .forest_sql import forest_ctes
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -32,7 +33,7 @@ def _penalty_case(col: str) -> str:
 
 
 CONFORM = f"""
-WITH nr AS (
+WITH RECURSIVE nr AS (
   SELECT n.n_nationkey, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
 txn_base AS (
@@ -152,12 +153,12 @@ def ratio_half_up(num: str, den: str, scale: int) -> str:
             f" // (2 * CAST({den} AS BIGINT)) AS DOUBLE) / {float(scale)!r}E0 END")
 
 
-def cents(x: str) -> str:
-    return f"CAST(round({x} * 100.0E0) AS BIGINT)"
+def units(x: str) -> str:
+    return f"CAST(round({x} * 1000000.0E0) AS BIGINT)"
 
 
-def mean_2dp_cents(sum_cents: str, n: str) -> str:
-    return ratio_half_up(sum_cents, f"({n}) * 100", 100)
+def mean_2dp_units(sum_units: str, n: str) -> str:
+    return ratio_half_up(sum_units, f"({n}) * 1000000", 100)
 
 
 def round_half_away(x: str, digits: int) -> str:
@@ -175,6 +176,11 @@ def pct(num: str, den: str) -> str:
     return f"(100.0E0 * (CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE)))"
 
 
+def sample_hash(key: str, seed: int) -> str:
+    """Twin of ``operators.quantile.sample_hash``."""
+    return f"CAST('0x' || substr(md5('{seed}:' || {key}), 1, 15) AS BIGINT)"
+
+
 def with_conform(body: str) -> str:
     """A full statement: the conform CTEs followed by ``body``'s CTEs/select.
 
@@ -221,7 +227,7 @@ SELECT txn_date, total_txns, failed_txns, {rate_pct('failed_txns', 'total_txns')
        {round_half_away('a', 2)} AS avg_txn_amount
 FROM d ORDER BY txn_date""")
 
-    means = f"""COUNT(*) AS n, CAST(SUM({cents('resolution_time_hours')}) AS BIGINT) AS rc,
+    means = f"""COUNT(*) AS n, CAST(SUM({units('resolution_time_hours')}) AS BIGINT) AS rc,
          COUNT(resolution_time_hours) AS n_res, CAST(SUM(csat_score) AS BIGINT) AS cs, COUNT(csat_score) AS n_cs"""
     q["sla_by_priority_team"] = with_conform(f"""
 , g AS (
@@ -229,7 +235,7 @@ FROM d ORDER BY txn_date""")
   FROM support_tickets GROUP BY priority, agent_team)
 SELECT priority, agent_team, n AS total_tickets, breached_tickets,
        {rate_pct('breached_tickets', 'n')} AS sla_breach_rate_pct,
-       {mean_2dp_cents('rc', 'n_res')} AS avg_resolution_hours,
+       {mean_2dp_units('rc', 'n_res')} AS avg_resolution_hours,
        {ratio_half_up('cs', 'n_cs', 100)} AS avg_csat
 FROM g ORDER BY sla_breach_rate_pct DESC, priority, agent_team""")
 
@@ -239,19 +245,19 @@ FROM g ORDER BY sla_breach_rate_pct DESC, priority, agent_team""")
          CAST(SUM(sla_breached) AS BIGINT) AS sla_breaches, CAST(SUM(escalation_flag) AS BIGINT) AS escalations
   FROM support_tickets GROUP BY agent_id, agent_team HAVING COUNT(*) >= 20)
 SELECT agent_id, agent_team, n AS tickets_handled,
-       {mean_2dp_cents('rc', 'n_res')} AS avg_resolution_hours,
+       {mean_2dp_units('rc', 'n_res')} AS avg_resolution_hours,
        sla_breaches, escalations, {ratio_half_up('cs', 'n_cs', 100)} AS avg_csat
 FROM g ORDER BY avg_resolution_hours DESC, agent_id, agent_team LIMIT 20""")
 
     q["ticket_impact_by_reason"] = with_conform(f"""
 , g AS (
   SELECT t.failure_reason, COUNT(DISTINCT s.ticket_id) AS tickets_generated,
-         CAST(SUM({cents('s.resolution_time_hours')}) AS BIGINT) AS rc, COUNT(s.resolution_time_hours) AS n_res,
+         CAST(SUM({units('s.resolution_time_hours')}) AS BIGINT) AS rc, COUNT(s.resolution_time_hours) AS n_res,
          CAST(SUM(s.csat_score) AS BIGINT) AS cs, COUNT(s.csat_score) AS n_cs
   FROM support_tickets s JOIN transactions t ON s.related_transaction_id = t.transaction_id
   WHERE s.related_transaction_id <> ''
   GROUP BY t.failure_reason)
-SELECT failure_reason, tickets_generated, {mean_2dp_cents('rc', 'n_res')} AS avg_resolution_hours,
+SELECT failure_reason, tickets_generated, {mean_2dp_units('rc', 'n_res')} AS avg_resolution_hours,
        {ratio_half_up('cs', 'n_cs', 100)} AS avg_csat
 FROM g ORDER BY tickets_generated DESC, failure_reason NULLS FIRST""")
 
@@ -322,7 +328,7 @@ def _kpi_body() -> str:
                CAST(SUM(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
                CAST(SUM(processing_time_ms) AS BIGINT) AS pt_sum, COUNT(processing_time_ms) AS pt_n FROM ftxn),
 k AS (SELECT COUNT(*) AS total_tickets, CAST(SUM(sla_breached) AS BIGINT) AS br, COUNT(sla_breached) AS br_n,
-             CAST(SUM({cents('resolution_time_hours')}) AS BIGINT) AS res, COUNT(resolution_time_hours) AS res_n,
+             CAST(SUM({units('resolution_time_hours')}) AS BIGINT) AS res, COUNT(resolution_time_hours) AS res_n,
              CAST(SUM(csat_score) AS BIGINT) AS cs, COUNT(csat_score) AS cs_n FROM ftk)
 SELECT total_txns,
        coalesce({pct('ok', 'nullif(total_txns, 0)')}, 0.0E0) AS success_rate,
@@ -330,7 +336,7 @@ SELECT total_txns,
        coalesce(CAST(pt_sum AS DOUBLE) / CAST(nullif(pt_n, 0) AS DOUBLE), 0.0E0) AS avg_proc_time,
        total_tickets,
        coalesce({pct('br', 'nullif(br_n, 0)')}, 0.0E0) AS sla_breach_rate,
-       coalesce(CAST(res AS DOUBLE) / (100.0E0 * CAST(nullif(res_n, 0) AS DOUBLE)), 0.0E0) AS avg_resolution,
+       coalesce(CAST(res AS DOUBLE) / (1000000.0E0 * CAST(nullif(res_n, 0) AS DOUBLE)), 0.0E0) AS avg_resolution,
        coalesce(CAST(cs AS DOUBLE) / CAST(nullif(cs_n, 0) AS DOUBLE), 0.0E0) AS avg_csat
 FROM t, k"""
 
@@ -373,12 +379,12 @@ SELECT priority, agent_team, COUNT(ticket_id) AS total,
        {pct('SUM(sla_breached)', 'COUNT(sla_breached)')} AS breach_rate
 FROM ftk WHERE priority IS NOT NULL AND agent_team IS NOT NULL
 GROUP BY priority, agent_team ORDER BY priority, agent_team""")
-    c = cents("resolution_time_hours")
+    c = units("resolution_time_hours")
     q["resolution_distribution"] = with_conform(v + f"""
 , g AS (SELECT agent_team, min({c}) AS mn, quantile_cont({c}, [0.25, 0.5, 0.75]) AS qs, max({c}) AS mx
         FROM ftk WHERE agent_team IS NOT NULL AND resolution_time_hours IS NOT NULL GROUP BY agent_team)
-SELECT agent_team, CAST(mn AS DOUBLE) / 100.0E0 AS "min", qs[1] / 100.0E0 AS q1, qs[2] / 100.0E0 AS median,
-       qs[3] / 100.0E0 AS q3, CAST(mx AS DOUBLE) / 100.0E0 AS "max"
+SELECT agent_team, CAST(mn AS DOUBLE) / 1000000.0E0 AS "min", qs[1] / 1000000.0E0 AS q1, qs[2] / 1000000.0E0 AS median,
+       qs[3] / 1000000.0E0 AS q3, CAST(mx AS DOUBLE) / 1000000.0E0 AS "max"
 FROM g ORDER BY agent_team""")
     q["csat_by_sla_outcome"] = with_conform(v + """
 SELECT CASE sla_breached WHEN 0 THEN 'SLA Met' WHEN 1 THEN 'SLA Breached' END AS sla_outcome,
@@ -386,7 +392,7 @@ SELECT CASE sla_breached WHEN 0 THEN 'SLA Met' WHEN 1 THEN 'SLA Breached' END AS
 FROM ftk WHERE sla_breached IS NOT NULL GROUP BY sla_breached ORDER BY sla_outcome""")
     q["bottleneck_agents"] = with_conform(v + f"""
 , g AS (SELECT agent_id, agent_team, COUNT(ticket_id) AS tickets,
-               CAST(SUM({c}) AS DOUBLE) / (100.0E0 * CAST(COUNT(resolution_time_hours) AS DOUBLE)) AS avg_resolution,
+               CAST(SUM({c}) AS DOUBLE) / (1000000.0E0 * CAST(COUNT(resolution_time_hours) AS DOUBLE)) AS avg_resolution,
                CAST(SUM(sla_breached) AS BIGINT) AS breaches
         FROM ftk WHERE agent_id IS NOT NULL AND agent_team IS NOT NULL GROUP BY agent_id, agent_team)
 SELECT * FROM g WHERE tickets >= 20 ORDER BY avg_resolution DESC, agent_id, agent_team LIMIT 10""")
@@ -417,12 +423,25 @@ zr AS (SELECT t.*, mo.n * t.processing_time_ms - mo.s1 AS num, mo.n * mo.s2 - mo
        FROM transactions t, mo),
 z AS (SELECT *, CASE WHEN v > 0 THEN abs(CAST(num AS DOUBLE) / sqrt(CAST(v AS DOUBLE))) END AS anomaly_score,
              coalesce(v > 0 AND num * num > 9 * v, false) AS is_anomaly FROM zr),
+{_explained('z')}"""
+
+
+def _explained(scored: str) -> str:
+    """CTE ``ranked``: the rows of a scored CTE with reason and priority."""
+    return f"""
 st AS (SELECT {_ZSTATS}, min(anomaly_score) AS smin, max(anomaly_score) AS smax,
-              min(amount) AS amin, max(amount) AS amax FROM z),
+              min(amount) AS amin, max(amount) AS amax FROM {scored}),
 ranked AS (
-  SELECT z.*, {_reason_sql()} AS anomaly_reason,
+  SELECT {scored}.*, {_reason_sql()} AS anomaly_reason,
          {round_half_even('(0.55E0 * ((anomaly_score - smin) / (smax - smin + 1e-9)) + 0.3E0 * ((amount - amin) / (amax - amin + 1e-9)) + 0.15E0 * is_fraud_flag) * 100.0E0', 2)} AS priority_score
-  FROM z, st)"""
+  FROM {scored}, st)"""
+
+
+# Other sensitivities and list lengths than the defaults.
+ANOMALY_SETTINGS = {"top_anomalies_strict": (0.005, 10), "top_anomalies_wide": (0.05, 50)}
+
+# A thirtieth of the tickets: fewer links than candidates, so that a sample is drawn.
+LINK_SAMPLE_DIVISOR = 30
 
 
 def anomaly_sql() -> dict[str, str]:
@@ -444,6 +463,20 @@ SELECT transaction_id, "timestamp", gateway, channel, amount, status, processing
        risk_score, anomaly_reason, priority_score
 FROM ranked WHERE is_anomaly
 ORDER BY priority_score DESC, transaction_id LIMIT 25""")
+    nine = "round(anomaly_score * 1.0E9) / 1.0E9 AS anomaly_score"
+    forest = lambda rows, share: forest_ctes(rows, sample_hash, share)
+    listed = f"SELECT {', '.join(K.ANOMALY_COLUMNS)} FROM ranked WHERE is_anomaly ORDER BY priority_score DESC, transaction_id"
+    q["isolation_forest_scores"] = with_conform(
+        forest("transactions", K.DEFAULT_CONTAMINATION) + f"SELECT transaction_id, {nine}, is_anomaly FROM scored")
+    whole = forest("transactions", K.DEFAULT_CONTAMINATION) + "," + _explained("scored")
+    q["transaction_anomalies"] = with_conform(
+        whole + f"SELECT transaction_id, {nine}, is_anomaly, anomaly_reason, priority_score FROM ranked")
+    q["top_priority_anomalies"] = with_conform(whole + f"{listed} LIMIT {K.DEFAULT_TOP_N}")
+    view = filtered_views()
+    q["sampled_anomaly_view"] = with_conform(
+        view + forest("ftxn", K.DEFAULT_CONTAMINATION) + "," + _explained("scored") + f"{listed} LIMIT {K.DASHBOARD_TOP_N}")
+    for name, (share, top) in ANOMALY_SETTINGS.items():
+        q[name] = with_conform(forest("transactions", share) + "," + _explained("scored") + f"{listed} LIMIT {top}")
     q["zscore_transaction_anomalies"] = with_conform(_zscore_ranked() + """
 SELECT transaction_id, anomaly_score, is_anomaly, anomaly_reason, priority_score FROM ranked""")
     return q
@@ -498,6 +531,12 @@ FROM b"""
 SELECT gateway, night, txns, {ratio_half_up('bp', 'txns * 100', 100)} AS expected_rate_pct,
        {rate_pct('failed', 'txns')} AS observed_rate_pct
 FROM g ORDER BY gateway, night""")
+    for name, divisor in (("link_candidates", 1), ("link_candidates_sampled", LINK_SAMPLE_DIVISOR)):
+        q[name] = with_conform(f"""
+SELECT transaction_id, "timestamp", customer_id, status FROM transactions
+WHERE status IN ('Failed', 'Reversed')
+ORDER BY {sample_hash('transaction_id', K.DASHBOARD_SAMPLE_SEED)}, transaction_id
+LIMIT (SELECT CAST(floor((COUNT(*) // {divisor}) * {K.LINKED_TICKET_SHARE}E0) AS BIGINT) FROM support_tickets)""")
     q["ticket_links"] = with_conform("""
 SELECT ticket_id, related_transaction_id, 'linked' AS link_kind FROM support_tickets
 WHERE related_transaction_id <> ''

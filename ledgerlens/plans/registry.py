@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import anomaly as AN
@@ -19,10 +20,11 @@ from ..operators.filters import ViewFilter, filter_domains, filter_tickets, filt
 from ..operators.stats import minmax_norm, zscore_flags
 from ..sources import io
 from ..sources.conform import (StarTables, conformed_tables, conformed_tickets, conformed_transactions,
-                               risk_inputs, ticket_inputs)
+                               risk_inputs, ticket_inputs, transactions)
 from . import analyses as A
 from . import dashboard as D
-from .oracle_sql import AS_OF, DEMO_FILTER, analysis_sql, anomaly_sql, dashboard_sql, enrich_sql, source_sql
+from .oracle_sql import (ANOMALY_SETTINGS, AS_OF, DEMO_FILTER, LINK_SAMPLE_DIVISOR, analysis_sql, anomaly_sql,
+                         dashboard_sql, enrich_sql, source_sql)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,9 +35,9 @@ def _txn(fn) -> Query:
     return run
 
 
-def _tk(fn) -> Query:
+def _tk(fn, links: bool = True) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(conformed_tickets(spark, sf_dir))
+        return fn(conformed_tickets(spark, sf_dir, links))
     return run
 
 
@@ -51,8 +53,8 @@ def analysis_queries() -> dict[str, Query]:
         "gateway_health": _txn(A.gateway_health),
         "failure_reasons": _txn(A.failure_reasons),
         "daily_throughput": _txn(A.daily_throughput),
-        "sla_by_priority_team": _tk(A.sla_by_priority_team),
-        "agent_efficiency": _tk(A.agent_efficiency),
+        "sla_by_priority_team": _tk(A.sla_by_priority_team, links=False),
+        "agent_efficiency": _tk(A.agent_efficiency, links=False),
         "ticket_impact_by_reason": _both(lambda txn, tk: A.ticket_impact_by_reason(tk, txn)),
         "sla_risk": _tk(lambda tk: A.sla_risk(tk, as_of=AS_OF)),
         "processing_time_outliers": _txn(A.processing_time_outliers),
@@ -93,10 +95,19 @@ def dashboard_queries() -> dict[str, Query]:
     return q
 
 
-def dashboard_over(txn: DataFrame, tickets: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    """The dashboard datasets over given (e.g. stored) tables."""
-    out = {name: (lambda fn=fn, f=f: fn(filter_transactions(txn, f), filter_tickets(tickets, txn, f)))
-           for name, (fn, f) in _dashboard_specs().items()}
+def dashboard_over(txn: DataFrame, tickets: DataFrame, reuse: bool = False) -> dict[str, Callable[[], DataFrame]]:
+    """The dashboard datasets over given (e.g. stored) tables. With ``reuse`` each
+    filtered view is kept (memory, spilling to disk) for the datasets that
+    share it; ``spark.catalog.clearCache()`` lets go of them."""
+    views: dict[ViewFilter, tuple[DataFrame, DataFrame]] = {}
+
+    def view(f: ViewFilter) -> tuple[DataFrame, DataFrame]:
+        if f not in views:
+            pair = filter_transactions(txn, f), filter_tickets(tickets, txn, f)
+            views[f] = tuple(io.reuse(x) for x in pair) if reuse else pair
+        return views[f]
+
+    out = {name: (lambda fn=fn, f=f: fn(*view(f))) for name, (fn, f) in _dashboard_specs().items()}
     out["filter_domains"] = lambda: filter_domains(txn)
     return out
 
@@ -107,17 +118,21 @@ def _zscore_flags(txn: DataFrame) -> DataFrame:
                       zscore_flags(txn, "amount", K.OUTLIER_Z).alias("amount_outlier"))
 
 
+def _nine(column: str):
+    """A score to nine digits, as the DuckDB twin is compared."""
+    return F.round(column, 9).alias(column)
+
+
 def _forest_scores(txn: DataFrame) -> DataFrame:
     return iforest.isolation_forest_scores(
         txn, "transaction_id", K.FEATURES, K.DEFAULT_CONTAMINATION, K.FOREST_TREES,
-        K.FOREST_MAX_SAMPLES, K.FOREST_SEED).select("transaction_id", "anomaly_score", "is_anomaly")
+        K.FOREST_MAX_SAMPLES, K.FOREST_SEED).select("transaction_id", _nine("anomaly_score"), "is_anomaly")
 
 
 def anomaly_queries() -> dict[str, Query]:
     return {
         "zscore_flags": _txn(_zscore_flags),
-        "anomaly_reasons": _txn(lambda t: t.select("transaction_id",
-                                                   AN.anomaly_reasons(t).alias("anomaly_reason"))),
+        "anomaly_reasons": _txn(lambda t: AN.with_reasons(t).select("transaction_id", "anomaly_reason")),
         "amount_minmax": _txn(lambda t: t.select("transaction_id",
                                                  minmax_norm(t, "amount", K.MINMAX_EPS).alias("norm_amount"))),
         "zscore_priority_anomalies": _txn(lambda t: AN.top_anomalies(
@@ -126,10 +141,12 @@ def anomaly_queries() -> dict[str, Query]:
             "transaction_id", "anomaly_score", "is_anomaly", "anomaly_reason", "priority_score")),
         "isolation_forest_scores": _txn(_forest_scores),
         "transaction_anomalies": _txn(lambda t: AN.detect_transaction_anomalies(t).select(
-            "transaction_id", "anomaly_score", "is_anomaly", "anomaly_reason", "priority_score")),
+            "transaction_id", _nine("anomaly_score"), "is_anomaly", "anomaly_reason", "priority_score")),
         "top_priority_anomalies": _txn(AN.top_priority_anomalies),
         "sampled_anomaly_view": _view(lambda t, k: AN.sampled_anomaly_view(
-            t, K.DEFAULT_CONTAMINATION, K.DASHBOARD_TOP_N, max_rows=K.DASHBOARD_SAMPLE_ROWS)),
+            t, K.DEFAULT_CONTAMINATION, K.DASHBOARD_TOP_N)),
+        **{name: _txn(lambda t, share=share, top=top: AN.top_priority_anomalies(t, top, share))
+           for name, (share, top) in ANOMALY_SETTINGS.items()},
     }
 
 
@@ -139,10 +156,18 @@ def _star(fn) -> Query:
     return run
 
 
+def _link_candidates(t: StarTables, divisor: int) -> DataFrame:
+    """Link candidates for as many tickets as there are (line items with an order
+    and a supplier), or a fraction of them."""
+    n = (t.lineitem.join(t.orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+         .join(t.supplier.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").count())
+    return EN.link_candidates(transactions(t), n // divisor).select("transaction_id", "timestamp", "customer_id", "status")
+
+
 def enrich_queries() -> dict[str, Query]:
     return {
         "enrich_sla": _tk(lambda k: EN.enrich_sla(k.select("ticket_id", "priority", "resolution_time_hours"))
-                          .select("ticket_id", "sla_target_hours", "sla_breached")),
+                          .select("ticket_id", "sla_target_hours", "sla_breached"), links=False),
         "enrich_resolution_time": _star(lambda t: ticket_inputs(t).select(
             "ticket_id", "agent_team",
             EN.resolution_time("base_hours", "agent_team", "sla_target_hours").alias("resolution_time_hours"))),
@@ -151,8 +176,8 @@ def enrich_queries() -> dict[str, Query]:
             "transaction_id",
             EN.risk_score("base_risk", "amount", "account_age_days").alias("risk_score"))),
         "failure_expectation": _txn(EN.failure_expectation),
-        "link_candidates": _both(lambda t, k: EN.link_candidates(t, k.count()).select(
-            "transaction_id", "timestamp", "customer_id", "status")),
+        "link_candidates": _star(lambda t: _link_candidates(t, 1)),
+        "link_candidates_sampled": _star(lambda t: _link_candidates(t, LINK_SAMPLE_DIVISOR)),
         "ticket_links": _tk(EN.ticket_links),
     }
 
