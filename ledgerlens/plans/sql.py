@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 JULIANDAY = """
 CREATE OR REPLACE TEMPORARY FUNCTION julianday(x STRING) RETURNS DOUBLE RETURN
-  2440587.5D + CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00',
-      CASE WHEN lower(trim(x)) = 'now' THEN convert_timezone('UTC', CAST(current_timestamp() AS TIMESTAMP_NTZ))
-           ELSE CAST(x AS TIMESTAMP_NTZ) END) AS DOUBLE) / 86400000000.0D
+  2440587.5D + CAST(CASE WHEN lower(trim(x)) = 'now' THEN unix_micros(current_timestamp())
+      ELSE timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(x AS TIMESTAMP_NTZ)) END
+      AS DOUBLE) / 86400000000.0D
 """
 
 

@@ -15,7 +15,8 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from ledgerlens.session import build_session
-    s = build_session(master="local[4]", shuffle_partitions=8, app_name="ledgerlens-tests")
+    s = build_session(master="local[4]", shuffle_partitions=8, app_name="ledgerlens-tests", extra={
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="ledgerlens-ckpt-"), "spark.ui.showConsoleProgress": "false"})
     yield s
     s.stop()
 

@@ -64,14 +64,3 @@ def test_agent_figures_agree_on_the_same_tickets(tables):
         assert sql[k]["tickets_handled"] == dash[k]["tickets"]
         assert sql[k]["sla_breaches"] == dash[k]["breaches"]
         assert sql[k]["avg_resolution_hours"] == _half_up(dash[k]["avg_resolution"])
-
-
-def test_sorted_for_write_is_globally_ordered(spark, tables, tmpdir_path):
-    txn = tables[0]
-    out = f"{tmpdir_path}/sorted_csv"
-    io.write_csv(io.sorted_for_write(txn.select("transaction_id", "timestamp"), "transactions"), out)
-    back = spark.read.option("header", True).csv(out)
-    assert back.count() == txn.count()
-    rows = io.sorted_for_write(txn, "transactions").select("timestamp", "transaction_id").collect()
-    keys = [(r[0], r[1]) for r in rows]
-    assert keys == sorted(keys)

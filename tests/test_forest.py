@@ -39,31 +39,21 @@ def test_same_scores_for_1_and_8_partitions(spark):
     assert np.allclose(pa["anomaly_score"], pb["anomaly_score"], rtol=0, atol=1e-12)
 
 
-def test_large_pool_path(spark):
-    # n >= trees * psi: the pooled sample is dealt round-robin to the trees.
-    df = spark.range(0, 6000).select(F.col("id").cast("string").alias("id"),
-                                     (F.col("id") % 97).cast("double").alias("a"),
-                                     (F.col("id") % 13).cast("double").alias("b"),
-                                     F.lit(1.0).alias("c"))
-    model = iforest.fit(df, "id", FEATURES, n_trees=20, max_samples=64, seed=3)
-    assert len(model.roots) == 20 and model.psi == 64
-
-
 def test_select_ranks_with_ties(spark):
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.normal(size=3000), np.full(3000, 0.25)])
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
     srt = np.sort(v)
     ranks = [0, 1, 2999, 3000, 4500, 5999]
-    got = select_ranks(df, "v", ranks, bins=8, collect_limit=50)
+    got = select_ranks(df, "v", ranks, bins=8)
     assert all(got[r] == srt[r] for r in ranks)
-    assert exact_percentile(df, "v", 0.02, collect_limit=50) == np.percentile(v, 2.0)
+    assert exact_percentile(df, "v", 0.02) == np.percentile(v, 2.0)
 
 
 def test_hash_sample_exact_and_repeatable(spark):
     df = spark.range(0, 5000).withColumn("k", F.concat(F.lit("k"), F.col("id").cast("string")))
-    a = hash_sample(df, "k", 777, seed=1, collect_limit=100)
-    b = hash_sample(df.repartition(7), "k", 777, seed=1, collect_limit=100)
+    a = hash_sample(df, "k", 777, seed=1)
+    b = hash_sample(df.repartition(7), "k", 777, seed=1)
     assert a.count() == 777
     assert sorted(r.k for r in a.collect()) == sorted(r.k for r in b.collect())
     assert hash_sample(df, "k", 10**6, seed=1).count() == 5000
@@ -79,7 +69,7 @@ def test_vectorised_scoring_matches_tree_walk(spark):
         while model.feature[node] >= 0:
             f = model.feature[node]
             node = model.left[node] if row[f] <= model.threshold[node] else model.right[node]
-        return model.path[node]
+        return model.path[node] / iforest.PATH_UNITS
 
     c = iforest.average_path_length([model.psi])[0]
     brute = np.array([-(2.0 ** (-np.mean([path(r, t) for t in model.roots]) / c)) for r in x])
@@ -97,43 +87,79 @@ def test_integral_rank_selection(spark):
     df = spark.range(0, 20000).select((F.xxhash64("id") % 1000).alias("v"))
     srt = np.sort(np.array([r.v for r in df.collect()]))
     ranks = [0, 1, 9999, 19999]
-    got = select_ranks(df, "v", ranks, bins=4, collect_limit=10)
+    got = select_ranks(df, "v", ranks, bins=4)
     assert [got[r] for r in ranks] == [int(srt[r]) for r in ranks]
 
 
-def test_sampler_retries_when_cut_off_is_short(spark):
-    from ledgerlens.operators.quantile import smallest_by_hash
-    df = spark.range(0, 3000).withColumn("k", F.concat(F.lit("k"), F.col("id").cast("string")))
-    # A tenfold overstated row count puts the first cut-off far too low.
-    out = smallest_by_hash(df, "k", 500, seed=9, n=30000)
-    full = smallest_by_hash(df, "k", 500, seed=9)
-    assert out.count() == 500
-    assert sorted(r.k for r in out.collect()) == sorted(r.k for r in full.collect())
-
-
-def test_large_sample_path(spark, monkeypatch):
-    from ledgerlens.operators import quantile
+def test_hash_sample_takes_the_smallest_hashes(spark):
+    from ledgerlens.operators.quantile import sample_hash
     df = spark.range(0, 4000).withColumn("k", F.concat(F.lit("k"), F.col("id").cast("string")))
-    small = quantile.hash_sample(df, "k", 1500, seed=3)
-    monkeypatch.setattr(quantile, "BOUNDED_SAMPLE_ROWS", 10)
-    large = quantile.hash_sample(df, "k", 1500, seed=3, collect_limit=100)
-    assert large.count() == 1500
-    assert sorted(r.k for r in large.collect()) == sorted(r.k for r in small.collect())
+    want = sorted((r.h, r.k) for r in df.select(sample_hash("k", 3).alias("h"), "k").collect())[:1500]
+    assert sorted(r.k for r in hash_sample(df, "k", 1500, seed=3).collect()) == sorted(k for _, k in want)
+    assert hash_sample(df, "k", 0, seed=3).count() == 0
 
 
-def test_per_tree_sample_equals_brute_force(spark):
-    from pyspark.sql import Window
-    x = spark.range(0, 2000).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("_id"))
+def test_tree_samples_equal_brute_force(spark):
+    """Exactly the psi smallest draws a tree, also when the first cut-off is too low."""
     trees, psi, seed = 7, 64, 11
-    brute = (x.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-             .withColumn("_h", F.xxhash64(F.col("_id"), F.lit(seed), F.col("tree_id")))
-             .withColumn("_rn", F.row_number().over(Window.partitionBy("tree_id").orderBy("_h", "_id")))
-             .where(F.col("_rn") <= psi))
-    want = sorted((r.tree_id, r._id) for r in brute.collect())
-    for n in (2000, 200000):          # the second overstates n: the first cut-off is short, retried
-        sample, cand = iforest._per_tree_sample(x, n, psi, trees, seed)
-        assert sorted((r.tree_id, r._id) for r in sample.collect()) == want
-        cand.unpersist()
+    df = spark.range(0, 2000).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), F.col("id").cast("double").alias("a"))
+    x = iforest._features_frame(df, "id", ["a"], seed)
+    rows = [(r._h, r._id) for r in x.collect()]
+    want = {(t, i) for t in range(trees) for _, i in sorted((iforest.draw(h, t), i) for h, i in rows)[:psi]}
+    for n in (2000, 200000):          # the second overstates n: the first cut-off is short
+        sample, held = iforest._tree_samples(x, ["a"], n, psi, trees)
+        got = [(r.tree_id, r._id) for r in sample.collect()]
+        assert len(got) == trees * psi and set(got) == want
+        held.unpersist()
+
+
+def test_many_trees_on_many_rows(spark):
+    df = spark.range(0, 300_000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 997).cast("double").alias("a"))
+    model = iforest.fit(df, "id", ["a"], n_trees=1000, max_samples=256, seed=3)
+    assert len(model.roots) == 1000 and model.psi == 256
+
+
+def test_a_model_beyond_the_bound_is_refused(spark):
+    import pytest
+    with pytest.raises(ValueError, match="nodes"):
+        iforest.fit(spark.range(100_000).select(F.col("id").alias("id"), F.lit(1.0).alias("a")), "id", ["a"],
+                    n_trees=1000, max_samples=50_000)
+
+
+def test_views_of_no_one_and_two_rows(spark):
+    from frames import txn_frame
+    from ledgerlens.operators import anomaly
+    rows = [{}, {"amount": 900.0, "processing_time_ms": 7000}]
+    for n in (0, 1, 2):
+        df = txn_frame(spark, rows).limit(n)
+        out = anomaly.detect_transaction_anomalies(df).collect()
+        assert len(out) == n and (n == 2 or not any(r["is_anomaly"] for r in out))
+        assert anomaly.top_priority_anomalies(df).count() == sum(r["is_anomaly"] for r in out)
+
+
+def test_scores_leave_no_files(spark):
+    import os
+    from ledgerlens.session import configured_checkpoint_dir
+    folder = os.path.join(configured_checkpoint_dir(spark).replace("file:", "", 1), "tables")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert iforest.isolation_forest_scores(_planted(spark, 2), "id", FEATURES, n_trees=10).count() == 2020
+    assert set(os.listdir(folder)) == before
+
+
+def test_only_the_score_is_written(spark, monkeypatch):
+    written = []
+    keep = iforest.materialize
+    monkeypatch.setattr(iforest, "materialize", lambda df, as_table=False: (written.append(df.columns), keep(df, as_table))[1])
+    iforest.isolation_forest_scores(_planted(spark, 2), "id", FEATURES, n_trees=5).count()
+    assert written == [["_ss"]]
+
+
+def test_a_failed_write_is_an_error(spark, monkeypatch):
+    import pytest
+    from ledgerlens import session
+    monkeypatch.setattr(session, "configured_checkpoint_dir", lambda s: "nosuchscheme://nowhere")
+    with pytest.raises(Exception):
+        session.materialize(spark.range(3), as_table=True)
 
 
 def test_chunked_scoring_equals_whole_batch(spark):
@@ -148,5 +174,5 @@ def test_select_ranks_with_infinities(spark):
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
     srt = np.sort(v)
     ranks = [0, 2, 3, 250, 502, 503, 509]
-    got = select_ranks(df, "v", ranks, bins=8, collect_limit=20)
+    got = select_ranks(df, "v", ranks, bins=8)
     assert [got[r] for r in ranks] == [srt[r] for r in ranks]

@@ -33,11 +33,11 @@ def test_zscore_one_extreme_among_twenty(spark):
     assert _flags(df, "processing_time_ms") == [False] * 19 + [True]
 
 
-def test_exact_population_z_matches_formula(spark):
+def test_population_z_matches_formula(spark):
     vals = [50, 60, 70, 80, 5000]
     df = txn_frame(spark, [{"processing_time_ms": v} for v in vals])
-    z = stats.exact_population_z(df, "processing_time_ms")
-    got = [r[0] for r in df.select(z.z).collect()]
+    rows, z = stats.with_population_z(df, "processing_time_ms")
+    got = [r[0] for r in rows.select(z.z).collect()]
     n = len(vals); m = sum(vals) / n; sd = (sum((v - m) ** 2 for v in vals) / n) ** 0.5
     for g, v in zip(got, vals):
         assert abs(g - (v - m) / sd) < 1e-12
@@ -54,7 +54,7 @@ def test_reason_tags(spark):
         {"processing_time_ms": 90000, "amount": 1e7, "retry_count": 5, "risk_score": 99.0, "status": "Failed"},
     ]
     df = txn_frame(spark, rows)
-    got = [r[0] for r in df.select(anomaly.anomaly_reasons(df)).collect()]
+    got = [r[0] for r in anomaly.with_reasons(df).select("anomaly_reason").collect()]
     assert got[:40] == ["Multivariate pattern"] * 40
     assert got[40:] == [
         "High retries", "Multivariate pattern", "Multivariate pattern", "High risk score", "Failed txn",
@@ -180,7 +180,7 @@ def test_reason_tags_one_per_row(spark):
     base = [{"processing_time_ms": 300 + (i % 7), "amount": 100.0 + (i % 5)} for i in range(60)]
     rows = base + [{"processing_time_ms": 5000}, {"amount": 90000.0}]
     df = txn_frame(spark, rows)
-    got = [r[0] for r in df.select(anomaly.anomaly_reasons(df)).collect()]
+    got = [r[0] for r in anomaly.with_reasons(df).select("anomaly_reason").collect()]
     assert got[-2:] == ["Slow processing", "Unusual amount"]
     assert set(got[:60]) == {"Multivariate pattern"}
 
@@ -198,8 +198,22 @@ def test_materialize_paths(spark, monkeypatch):
     monkeypatch.setattr(session, "configured_checkpoint_dir", lambda s: None)
     p = session.materialize(df)                          # no folder: persisted
     assert p.is_cached and p.count() == 100
-    p.unpersist()
-    monkeypatch.setattr(session, "configured_checkpoint_dir", lambda s: "/proc/not-writable")
-    q = session.materialize(df, as_table=True)           # unwritable folder: persisted
-    assert q.is_cached and sorted(r.x for r in q.collect())[:3] == [0, 2, 4]
-    q.unpersist()
+    session.drop_materialized(p)
+    session.drop_materialized(t)
+
+
+def test_means_and_quartiles_do_not_round_their_inputs(spark):
+    """Hours with three decimals."""
+    df = ticket_frame(spark, [{"resolution_time_hours": v, "agent_id": "AGT1"} for v in (1.001, 1.002, 1.004, 1.008)])
+    r = D.resolution_distribution(df).first()
+    assert (r["min"], r["median"], r["max"]) == (1.001, 1.003, 1.008)
+    assert abs(r["q1"] - 1.00175) < 1e-9 and abs(r["q3"] - 1.005) < 1e-9
+    assert abs(D.kpi_summary(txn_frame(spark, [{}]), df).first()["avg_resolution"] - 1.00375) < 1e-12
+    assert abs(D.bottleneck_agents(df, min_tickets=1).first()["avg_resolution"] - 1.00375) < 1e-12
+
+
+def test_z_score_of_a_large_spread_does_not_overflow(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(1000).select(F.when(F.col("id") == 0, 2_000_000_000).otherwise(F.col("id")).cast("int").alias("x"))
+    rows, z = stats.with_population_z(df, "x")
+    assert rows.where(z.beyond(3)).count() == 1
