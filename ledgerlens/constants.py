@@ -6,7 +6,6 @@ make a result change.
 """
 
 # --- fixed values: transaction domains -------------------------------------
-CHANNELS = ["UPI", "Card", "NetBanking", "Wallet", "POS"]
 TRANSACTION_TYPES = ["P2P Transfer", "Bill Payment", "Merchant Payment", "Refund", "Loan EMI", "Card Recharge"]
 GATEWAYS = ["GatewayA", "GatewayB", "GatewayC", "GatewayD"]
 DEVICE_TYPES = ["Android", "iOS", "Web", "POS-Terminal"]
@@ -15,17 +14,14 @@ FAILURE_REASONS = [
     "Insufficient Funds", "Gateway Timeout", "Bank Server Down", "Invalid Credentials",
     "Network Error", "Fraud Block", "Limit Exceeded", "OTP Expired", "Issuer Decline",
 ]
-TRANSACTION_STATUSES = ["Success", "Failed", "Pending", "Reversed"]
 
 # --- fixed values: ticket domains --------------------------------------------
 ISSUE_CATEGORIES = [
     "Failed Transaction", "Refund Delay", "Account Access", "KYC Issue",
     "Card Block/Unblock", "Dispute/Chargeback", "App/Tech Issue", "Billing Query",
 ]
-PRIORITIES = ["Low", "Medium", "High", "Critical"]
 TICKET_CHANNELS = ["App Chat", "Email", "Phone", "Social Media"]
 AGENT_TEAMS = ["Tier1-Support", "Tier2-Technical", "Fraud-Risk", "Billing-Ops", "Premium-Care"]
-TICKET_STATUSES = ["Resolved", "Closed", "Reopened", "Pending"]
 SLA_TARGET_BY_PRIORITY = {"Critical": 4, "High": 12, "Medium": 24, "Low": 48}
 TEAM_PENALTY_HOURS = {"Fraud-Risk": 10.0, "Tier2-Technical": 5.0}
 CLOSED_TICKET_STATUSES = ["Resolved", "Closed", "Reopened"]
@@ -45,6 +41,12 @@ DEFAULT_REASON = "Multivariate pattern"
 PRIORITY_WEIGHTS = (0.55, 0.30, 0.15)   # anomaly score, amount, fraud flag
 MINMAX_EPS = 1e-9
 
+# --- fixed values: columns of the ranked anomaly table ------------------------
+ANOMALY_COLUMNS = [
+    "transaction_id", "timestamp", "gateway", "channel", "amount", "status",
+    "processing_time_ms", "retry_count", "risk_score", "anomaly_reason", "priority_score",
+]
+
 # --- fixed values: anomaly model parameters ----------------------------------
 FOREST_TREES = 150
 FOREST_MAX_SAMPLES = 256
@@ -52,7 +54,6 @@ FOREST_SEED = 42
 DEFAULT_CONTAMINATION = 0.02
 DEFAULT_TOP_N = 25
 DASHBOARD_TOP_N = 20
-DASHBOARD_SAMPLE_ROWS = 20000
 DASHBOARD_SAMPLE_SEED = 1
 PREVIEW_ROWS = 1000
 FEATURES = ["processing_time_ms", "amount", "retry_count", "risk_score"]

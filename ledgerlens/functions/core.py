@@ -40,19 +40,24 @@ def rate_pct_2dp(num, den) -> Column:
     return ratio_half_up(F.lit(100).cast("decimal(38,0)") * _c(num).cast("decimal(38,0)"), den, 100)
 
 
-def cents(x) -> Column:
-    """A 2-decimal quantity as an exact integer number of hundredths."""
-    return F.round(_c(x) * F.lit(100.0), 0).cast("long")
+# Hours are added up in millionths (3.6 ms), whole numbers, so that sums do not
+# depend on their order.
+UNITS = 1_000_000
 
 
-def mean_2dp_from_cents(sum_cents, n) -> Column:
-    """Mean of 2-decimal values to 2 digits, from the exact sum of hundredths."""
-    return ratio_half_up(sum_cents, _c(n).cast("decimal(38,0)") * F.lit(100).cast("decimal(38,0)"), 100)
+def units(x) -> Column:
+    """A quantity as a whole number of millionths."""
+    return F.round(_c(x) * F.lit(float(UNITS)), 0).cast("long")
 
 
-def mean_from_cents(sum_cents, n) -> Column:
-    """Unrounded mean of 2-decimal values, from the exact sum of hundredths."""
-    return safe_div(sum_cents, F.lit(100.0) * _c(n).cast("double"))
+def mean_2dp_from_units(sum_units, n) -> Column:
+    """Mean to 2 digits, from the exact sum of millionths."""
+    return ratio_half_up(sum_units, _c(n).cast("decimal(38,0)") * F.lit(UNITS).cast("decimal(38,0)"), 100)
+
+
+def mean_from_units(sum_units, n) -> Column:
+    """Unrounded mean, from the exact sum of millionths."""
+    return safe_div(sum_units, F.lit(float(UNITS)) * _c(n).cast("double"))
 
 
 def safe_div(num, den) -> Column:

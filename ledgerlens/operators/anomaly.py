@@ -3,7 +3,7 @@
 Given a frame with an anomaly score and flag, every row gets the tags that
 explain it and a priority score; the flagged rows are ranked by priority.
 The global statistics behind the tags and the min-max scaling are taken over
-all rows passed in (before the anomaly filter), as scalar subqueries.
+all rows passed in (before the anomaly filter), attached once as one row.
 """
 
 from __future__ import annotations
@@ -13,22 +13,22 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import core as fx
-from . import iforest
+from . import iforest, stats
 from .quantile import hash_sample
-from .stats import exact_population_z, minmax_norm, zscore_flags
 
-OUTPUT_COLUMNS = [
-    "transaction_id", "timestamp", "gateway", "channel", "amount", "status",
-    "processing_time_ms", "retry_count", "risk_score", "anomaly_reason", "priority_score",
-]
+STATS = "_stats"
 
 
-def anomaly_reasons(df: DataFrame) -> Column:
-    """Comma-separated tags in a fixed order, or the default text when none applies."""
+def _reason_stats() -> dict[str, Column]:
+    return {"mean_pt": F.avg("processing_time_ms"), "std_pt": F.stddev_samp("processing_time_ms"),
+            "mean_amount": F.avg("amount"), "std_amount": F.stddev_samp("amount")}
+
+
+def _reasons(st: Column) -> Column:
     slow, unusual, retries, risky, failed = K.REASON_TAGS
     tags = [
-        F.when(zscore_flags(df, "processing_time_ms", K.REASON_Z), F.lit(slow)),
-        F.when(zscore_flags(df, "amount", K.REASON_Z), F.lit(unusual)),
+        F.when(stats._flag(F.col("processing_time_ms"), st["mean_pt"], st["std_pt"], K.REASON_Z), F.lit(slow)),
+        F.when(stats._flag(F.col("amount"), st["mean_amount"], st["std_amount"], K.REASON_Z), F.lit(unusual)),
         F.when(F.col("retry_count") >= K.HIGH_RETRIES, F.lit(retries)),
         F.when(F.col("risk_score") > K.HIGH_RISK_SCORE, F.lit(risky)),
         F.when(F.col("status") == "Failed", F.lit(failed)),
@@ -37,24 +37,30 @@ def anomaly_reasons(df: DataFrame) -> Column:
     return F.coalesce(F.nullif(joined, F.lit("")), F.lit(K.DEFAULT_REASON))
 
 
-def priority_score(df: DataFrame, score_col: str = "anomaly_score") -> Column:
-    """round((0.55·norm score + 0.30·norm amount + 0.15·fraud flag)·100, 2), half to even."""
-    w_score, w_amount, w_fraud = K.PRIORITY_WEIGHTS
-    blend = (F.lit(w_score) * minmax_norm(df, score_col, K.MINMAX_EPS)
-             + F.lit(w_amount) * minmax_norm(df, "amount", K.MINMAX_EPS)
-             + F.lit(w_fraud) * F.col("is_fraud_flag")) * F.lit(100.0)
-    return fx.round_half_even(blend, 2)
+def with_reasons(df: DataFrame) -> DataFrame:
+    """``df`` with ``anomaly_reason``: comma-separated tags in a fixed order, or
+    the default text when none applies."""
+    return stats.with_stats(df, STATS, **_reason_stats()).select(
+        *df.columns, _reasons(F.col(STATS)).alias("anomaly_reason"))
 
 
-def explain_and_rank(scored: DataFrame, score_col: str = "anomaly_score",
-                     flag_col: str = "is_anomaly") -> DataFrame:
-    """Adds ``anomaly_reason`` and ``priority_score`` to every row (one projection)."""
-    return scored.select("*", anomaly_reasons(scored).alias("anomaly_reason"),
-                         priority_score(scored, score_col).alias("priority_score"))
+def explain_and_rank(scored: DataFrame, score_col: str = "anomaly_score") -> DataFrame:
+    """Adds ``anomaly_reason`` and ``priority_score`` =
+    round((0.55·norm score + 0.30·norm amount + 0.15·fraud flag)·100, 2), half to
+    even, to every row; all statistics come from one aggregate over all rows."""
+    rows = stats.with_stats(scored, STATS, **_reason_stats(), lo=F.min(score_col), hi=F.max(score_col),
+                            lo_amount=F.min("amount"), hi_amount=F.max("amount"))
+    st = F.col(STATS)
+    norm = lambda c, lo, hi: (F.col(c) - st[lo]) / (st[hi] - st[lo] + F.lit(K.MINMAX_EPS))
+    w_score, w_amount, w_fraud = K.PRIORITY_WEIGHTS
+    blend = (F.lit(w_score) * norm(score_col, "lo", "hi") + F.lit(w_amount) * norm("amount", "lo_amount", "hi_amount")
+             + F.lit(w_fraud) * F.col("is_fraud_flag")) * F.lit(100.0)
+    return rows.select(*scored.columns, _reasons(st).alias("anomaly_reason"),
+                       fx.round_half_even(blend, 2).alias("priority_score"))
 
 
 def top_anomalies(ranked: DataFrame, top_n: int, flag_col: str = "is_anomaly") -> DataFrame:
-    return (ranked.where(F.col(flag_col)).select(*OUTPUT_COLUMNS)
+    return (ranked.where(F.col(flag_col)).select(*K.ANOMALY_COLUMNS)
             .orderBy(F.desc("priority_score"), "transaction_id").limit(top_n))
 
 
@@ -86,7 +92,6 @@ def zscore_scored(txn: DataFrame, threshold: float = K.OUTLIER_Z) -> DataFrame:
     """A deterministic stand-in for the forest: the anomaly score is the
     absolute population z-score of processing time, flagged beyond
     ``threshold``. It drives the same explanation and ranking stages."""
-    # Not persisted: each statistic pass reads only the columns it needs.
-    z = exact_population_z(txn, "processing_time_ms")
-    return txn.select("*", F.abs(z.z).alias("anomaly_score"),
-                      F.coalesce(z.beyond(threshold), F.lit(False)).alias("is_anomaly"))
+    rows, z = stats.with_population_z(txn, "processing_time_ms")
+    return rows.select(*txn.columns, F.abs(z.z).alias("anomaly_score"),
+                       F.coalesce(z.beyond(threshold), F.lit(False)).alias("is_anomaly"))

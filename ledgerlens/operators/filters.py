@@ -72,15 +72,15 @@ def _and(*conds) -> Column:
 def filter_transactions(txn: DataFrame, f: ViewFilter = ViewFilter()) -> DataFrame:
     if not f.has_dates and f.regions is None and f.gateways is None:
         # The default view is the full domain: every row with a timestamp.
-        return txn.where(F.col("timestamp").isNotNull())
+        return txn.where(F.col("timestamp").isNotNull()).drop("_date")
     return txn.where(_and(_date_range("timestamp", f, txn, txn), _member("region", f.regions),
-                          _member("gateway", f.gateways)))
+                          _member("gateway", f.gateways))).drop("_date")
 
 
 def filter_tickets(tickets: DataFrame, txn: DataFrame, f: ViewFilter = ViewFilter()) -> DataFrame:
     """Tickets by creation date and region; no gateway predicate. The default
     date bounds are those of the transactions, so later tickets drop out."""
-    return tickets.where(_and(_date_range("created_at", f, txn, tickets), _member("region", f.regions)))
+    return tickets.where(_and(_date_range("created_at", f, txn, tickets), _member("region", f.regions))).drop("_date")
 
 
 def filter_domains(txn: DataFrame) -> DataFrame:

@@ -1,24 +1,25 @@
 """Isolation forest (Liu, Ting & Zhou, ICDM 2008) as Spark jobs.
 
 Fit
-  1. Subsample: each tree gets ``psi = min(max_samples, n)`` rows without
-     replacement. For ``n >= trees * psi`` one pool of ``trees * psi`` rows
-     is taken by the smallest ``xxhash64(id, seed)`` (cut-off found with an
-     exact distributed rank selection) and dealt round-robin to the trees;
-     otherwise every row is offered to every tree (``n < trees * psi``, so
-     the expansion is bounded) and each tree keeps its ``psi`` smallest
-     ``xxhash64(id, seed, tree)``.
-  2. ``groupBy(tree).applyInPandas``: one tree per group of ``psi`` rows,
-     grown with a numpy generator seeded by (seed, tree), rows sorted by id
-     first, so the forest does not depend on partitioning.
-  3. The model (at most ``trees * (2 * psi - 1)`` nodes, independent of the
-     data size) is collected and broadcast.
+  1. Subsample: every row has one hash h of (id, seed); tree t draws the
+     ``psi = min(max_samples, n)`` rows with the smallest ``draw(h, t)``, a cheap
+     integer mix, of equal draws the smaller id. A cut-off a few standard
+     deviations above the expected psi-th draw is applied where the rows are
+     read, so only a few rows a tree are shuffled; if a tree got too few, the
+     cut-off is raised. Every table size takes this path.
+  2. ``groupBy(tree).applyInArrow``: one tree per group of ``psi`` rows. The
+     split feature and threshold of a node are draws of (seed, tree, node), so
+     the forest does not depend on partitioning or row order.
+  3. The model (at most ``trees * (2 * psi - 1)`` nodes whatever the data; a
+     fit beyond ``MOST_NODES`` is refused) is collected and broadcast.
 Score
   A scalar Pandas UDF walks all trees at once over Arrow batches:
   ``score_samples = -2 ** (-mean path length / c(psi))`` where a leaf adds
-  ``c(leaf size)``; the cut-off is the ``contamination`` percentile of
-  ``score_samples`` (exact, distributed), ``decision = score_samples - offset``,
-  ``anomaly_score = -decision`` and ``is_anomaly = decision < 0``.
+  ``c(leaf size)`` (path lengths are added up in units of 1e-9, exactly); the
+  cut-off is the ``contamination`` percentile of ``score_samples`` (exact,
+  distributed), ``decision = score_samples - offset``, ``anomaly_score =
+  -decision`` and ``is_anomaly = decision < 0``. With one row, c(psi) is 0 and
+  every score is -0.5: nothing is flagged.
 Split rule
   A random feature among those not constant in the node, a threshold uniform
   in [min, max) of it (the max maps back to the min), left when ``x <= t``.
@@ -33,28 +34,40 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, ship_package
-from .quantile import exact_percentile, smallest_by_hash
+from ..session import drop_materialized, materialize, ship_package
+from .quantile import exact_percentile, sample_hash
 
 EULER_GAMMA = 0.5772156649015329
 
+# Nodes of a model that may be collected and broadcast (about 30 bytes each).
+MOST_NODES = 5_000_000
+# Draws are linear congruences modulo this prime (2**31 - 1); a twin in SQL can repeat them.
+PRIME = 2_147_483_647
+
 NODE_SCHEMA = T.StructType([
     T.StructField("tree_id", T.IntegerType()),
-    T.StructField("node_id", T.IntegerType()),
+    T.StructField("node_id", T.LongType()),
     T.StructField("feature", T.IntegerType()),
     T.StructField("threshold", T.DoubleType()),
-    T.StructField("left", T.IntegerType()),
-    T.StructField("right", T.IntegerType()),
     T.StructField("size", T.IntegerType()),
     T.StructField("depth", T.IntegerType()),
 ])
 
 
+def draw(x, k):
+    """A number below ``PRIME`` from a number and a stream, for ints and int64 arrays
+    (all products stay below 2**63)."""
+    a = (k * 48271 + 11) % PRIME + 1
+    y = ((x % PRIME) * a + 12345 + k) % PRIME
+    return ((y ^ (y >> 15)) * 16807 + k) % PRIME
+
+
 def average_path_length(n) -> np.ndarray:
     """c(n): mean path length of an unsuccessful search in a BST of n points."""
     n = np.asarray(n, dtype=np.float64)
@@ -66,57 +79,52 @@ def average_path_length(n) -> np.ndarray:
     return out
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Nodes (node_id, feature, threshold, left, right, size, depth) of one tree."""
-    nodes: list[list] = []
-    stack = [(np.arange(len(x)), 0, 0)]
-    nodes.append(None)
+def grow_tree(x: np.ndarray, seed: int, tree: int, max_depth: int) -> list[tuple]:
+    """Nodes (node_id, feature, threshold, size, depth) of one tree; the children
+    of node i are 2i (left) and 2i + 1, the root is 1."""
+    nodes: list[tuple] = []
+    stack = [(np.arange(len(x)), 0, 1)]
     while stack:
-        idx, depth, nid = stack.pop()
-        size = len(idx)
-        leaf = [nid, -1, 0.0, -1, -1, size, depth]
-        if depth >= max_depth or size <= 1:
-            nodes[nid] = leaf
-            continue
+        idx, depth, node = stack.pop()
         xs = x[idx]
         lo, hi = xs.min(axis=0), xs.max(axis=0)
         usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
-            nodes[nid] = leaf
+        if depth >= max_depth or len(idx) <= 1 or usable.size == 0:
+            nodes.append((node, -1, 0.0, len(idx), depth))
             continue
-        f = int(usable[rng.integers(usable.size)])
-        t = float(rng.uniform(lo[f], hi[f]))
+        first = draw(seed * 1000003 + tree, 1) * 1024 + node
+        f = int(usable[draw(first, 2) % usable.size])
+        t = float(lo[f] + (draw(first, 3) / PRIME) * (hi[f] - lo[f]))
         if t >= hi[f]:
             t = float(lo[f])
+        nodes.append((node, f, t, len(idx), depth))
         go_left = xs[:, f] <= t
-        left_id, right_id = len(nodes), len(nodes) + 1
-        nodes.extend([None, None])
-        nodes[nid] = [nid, f, t, left_id, right_id, size, depth]
-        stack.append((idx[~go_left], depth + 1, right_id))
-        stack.append((idx[go_left], depth + 1, left_id))
-    return [tuple(n) for n in nodes]
+        stack.append((idx[~go_left], depth + 1, 2 * node + 1))
+        stack.append((idx[go_left], depth + 1, 2 * node))
+    return nodes
 
 
 def _fit_group(features: list[str], seed: int, max_depth: int):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_id", kind="mergesort")
-        tree = int(pdf["tree_id"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        nodes = grow_tree(pdf[features].to_numpy(dtype=np.float64), rng, max_depth)
-        out = pd.DataFrame(nodes, columns=["node_id", "feature", "threshold", "left", "right", "size", "depth"])
-        out.insert(0, "tree_id", tree)
-        return out.astype({"tree_id": "int32", "node_id": "int32", "feature": "int32", "left": "int32",
-                           "right": "int32", "size": "int32", "depth": "int32", "threshold": "float64"})
+    def fit(key, table):
+        x = np.column_stack([table[f].to_numpy() for f in features])
+        tree = key[0].as_py()
+        nodes = list(zip(*grow_tree(x, seed, tree, max_depth)))
+        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
+        return pa.table([pa.array([tree] * len(nodes[0]), pa.int32()), *(pa.array(c, k) for c, k in zip(nodes, kinds))],
+                        names=NODE_SCHEMA.fieldNames())
     return fit
 
 
+PATH_UNITS = 1_000_000_000
+
+
 @dataclass
 class IsolationForestModel:
     feature: np.ndarray     # per node, -1 for a leaf
     threshold: np.ndarray
     left: np.ndarray        # global node index
     right: np.ndarray
-    path: np.ndarray        # depth + c(size) for leaves
+    path: np.ndarray        # depth + c(size) for leaves, in units of 1 / PATH_UNITS
     roots: np.ndarray       # global index of each tree's root
     max_depth: int
     psi: int
@@ -125,16 +133,14 @@ class IsolationForestModel:
     @classmethod
     def from_nodes(cls, nodes: pd.DataFrame, psi: int, max_depth: int, n_features: int) -> "IsolationForestModel":
         nodes = nodes.sort_values(["tree_id", "node_id"]).reset_index(drop=True)
-        # Node ids of a tree are 0..m-1, so after the sort a node's global
-        # index is its tree root's index plus its id.
-        base = np.arange(len(nodes)) - nodes["node_id"].to_numpy()
-        left = np.where(nodes["left"].to_numpy() >= 0, base + nodes["left"].to_numpy(), -1)
-        right = np.where(nodes["right"].to_numpy() >= 0, base + nodes["right"].to_numpy(), -1)
-        feat = nodes["feature"].to_numpy().astype(np.int64)
-        path = nodes["depth"].to_numpy().astype(np.float64) + average_path_length(nodes["size"].to_numpy())
-        roots = np.flatnonzero(nodes["node_id"].to_numpy() == 0)
-        return cls(feat, nodes["threshold"].to_numpy(np.float64), left, right, path, roots,
-                   max_depth, psi, n_features)
+        tree, node = nodes["tree_id"].to_numpy(np.int64), nodes["node_id"].to_numpy(np.int64)
+        key = (tree << 40) | node
+        inner = nodes["feature"].to_numpy() >= 0
+        at = lambda child: np.where(inner, np.searchsorted(key, (tree << 40) | child), -1)
+        units = (nodes["depth"].to_numpy(np.int64) * PATH_UNITS
+                 + np.rint(average_path_length(nodes["size"].to_numpy()) * PATH_UNITS).astype(np.int64))
+        return cls(nodes["feature"].to_numpy().astype(np.int64), nodes["threshold"].to_numpy(np.float64),
+                   at(2 * node), at(2 * node + 1), units, np.flatnonzero(node == 1), max_depth, psi, n_features)
 
     def score_samples(self, x: np.ndarray, chunk: int = 4096) -> np.ndarray:
         """-2 ** (-E[h(x)] / c(psi)) for each row of ``x`` (rows × features).
@@ -143,8 +149,9 @@ class IsolationForestModel:
         so working memory is bounded (chunk × trees indices) whatever the
         Arrow batch size.
         """
-        if len(self.roots) == 0:
-            return np.zeros(len(x))
+        scale = float(average_path_length([self.psi])[0])
+        if len(self.roots) == 0 or scale == 0.0:
+            return np.full(len(x), -0.5)
         if len(x) > chunk:
             return np.concatenate([self.score_samples(x[i:i + chunk], chunk) for i in range(0, len(x), chunk)])
         rows = np.arange(len(x))[:, None]
@@ -157,38 +164,56 @@ class IsolationForestModel:
             xv = x[rows, np.where(internal, f, 0)]
             nxt = np.where(xv <= self.threshold[node], self.left[node], self.right[node])
             node = np.where(internal, nxt, node)
-        mean_path = self.path[node].mean(axis=1)
-        return -np.power(2.0, -mean_path / average_path_length([self.psi])[0])
+        mean_path = self.path[node].sum(axis=1) / (PATH_UNITS * len(self.roots))
+        return -np.power(2.0, -mean_path / scale)
 
 
-def _features_frame(df: DataFrame, id_col: str, features: list[str]) -> DataFrame:
-    return df.select(F.col(id_col).alias("_id"),
+def _features_frame(df: DataFrame, id_col: str, features: list[str], seed: int) -> DataFrame:
+    """The id, its hash and the features as doubles, nulls as 0."""
+    return df.select(F.col(id_col).alias("_id"), F.coalesce(sample_hash(id_col, seed), F.lit(0)).alias("_h"),
                      *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
 
 
-def _per_tree_sample(x: DataFrame, n: int, psi: int, n_trees: int, seed: int):
+def _tree_samples(x: DataFrame, features: list[str], n: int, psi: int, n_trees: int) -> tuple[DataFrame, DataFrame]:
+    """(tree_id, draw, _id, features) with exactly ``psi`` rows a tree, and the cached candidates."""
+    id_type = x.schema["_id"].dataType.simpleString()
+    schema = f"tree_id int, draw long, _id {id_type}, " + ", ".join(f"`{f}` double" for f in features)
+
+    def candidates(cut: int):
+        def run(batches):
+            for batch in batches:
+                h = batch.column(1).to_numpy(zero_copy_only=False)
+                for t in range(n_trees):
+                    d = draw(h, t)
+                    at = np.flatnonzero(d <= cut)
+                    if len(at):
+                        rows = batch.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), t), pa.int32()), pa.array(d[at]), rows.column(0), *rows.columns[2:]],
+                            names=["tree_id", "draw", "_id", *features])
+        return x.mapInArrow(run, schema)
+
+    def keep(key, table):
+        order = table.sort_by([("draw", "ascending"), ("_id", "ascending")])
+        return order.slice(0, psi)
+
     slack = 8.0 * math.sqrt(psi) + 64.0
     while True:
-        frac = min(1.0, (psi + slack) / n)
-        cut = min(2 ** 63 - 1, -(2 ** 63) + int(frac * 2.0 ** 64))
-        cand = (x.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-                .withColumn("_h", F.xxhash64(F.col("_id"), F.lit(seed), F.col("tree_id")))
-                .where(F.col("_h") <= F.lit(cut))
-                .persist(StorageLevel.MEMORY_AND_DISK))
-        counts = [r["count"] for r in cand.groupBy("tree_id").count().collect()]   # <= n_trees rows
-        if frac >= 1.0 or (len(counts) == n_trees and min(counts) >= psi):
-            break
+        cut = min(PRIME, int((psi + slack) / n * PRIME))
+        cand = candidates(cut).persist(StorageLevel.MEMORY_AND_DISK)
+        counts = [r["count"] for r in cand.groupBy("tree_id").count().collect()]   # one row a tree
+        if cut >= PRIME or (len(counts) == n_trees and min(counts) >= psi):
+            # Growing trees is CPU work: an explicit number of partitions is not coalesced.
+            parts = max(1, min(n_trees, x.sparkSession.sparkContext.defaultParallelism * 2))
+            return cand.repartition(parts, "tree_id").groupBy("tree_id").applyInArrow(keep, schema), cand
         cand.unpersist()
         slack *= 4
-    per_tree = Window.partitionBy("tree_id").orderBy("_h", "_id")
-    sample = cand.withColumn("_rn", F.row_number().over(per_tree)).where(F.col("_rn") <= psi)
-    return sample, cand
 
 
 def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max_samples: int = 256,
         seed: int = 42) -> IsolationForestModel:
     """Fit on the id and feature columns of ``df`` (nulls as 0)."""
-    x = _features_frame(df, id_col, features).persist(StorageLevel.MEMORY_AND_DISK)
+    x = _features_frame(df, id_col, features, seed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return fit_features(x, features, x.count(), n_trees, max_samples, seed)
     finally:
@@ -197,37 +222,22 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max
 
 def fit_features(x: DataFrame, features: list[str], n: int, n_trees: int = 150, max_samples: int = 256,
                  seed: int = 42) -> IsolationForestModel:
-    """Fit on a frame of ``_id`` and the features (already null-filled) with ``n`` rows."""
-    spark = x.sparkSession
-    ship_package(spark)
+    """Fit on a frame of ``_id``, ``_h`` and the features (already null-filled) with ``n`` rows."""
+    ship_package(x.sparkSession)
     psi = max(1, min(max_samples, n))
+    if n_trees * (2 * psi - 1) > MOST_NODES:
+        raise ValueError(f"{n_trees} trees of {psi} rows may have more than {MOST_NODES} nodes")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     if n == 0:
-        empty = pd.DataFrame(columns=[f.name for f in NODE_SCHEMA.fields])
+        empty = pd.DataFrame(columns=NODE_SCHEMA.fieldNames())
         return IsolationForestModel.from_nodes(empty, psi, max_depth, len(features))
-    pool_size = n_trees * psi
-    if n >= pool_size:
-        # One pool of trees * psi rows (bounded), dealt round-robin.
-        pool = smallest_by_hash(x, "_id", pool_size, seed, n)
-        sample = pool.withColumn("tree_id", F.pmod(F.col("_rn") - 1, F.lit(n_trees)).cast("int"))
-    else:
-        # n < trees * psi: each tree keeps the psi rows with the smallest
-        # xxhash64(id, seed, tree). The hash is uniform, so a cut-off a few
-        # standard deviations above psi/n keeps a bounded candidate set per
-        # tree, filtered map-side right after the explode; a per-tree count
-        # confirms every tree has psi candidates (else the cut-off is raised).
-        sample, cand = _per_tree_sample(x, n, psi, n_trees, seed)
-    # Growing a tree is CPU work in Python: hash-partition by tree explicitly
-    # (AQE does not coalesce an explicit partition count), so the trees are
-    # grown in parallel instead of in the one task a tiny shuffle would get.
-    parts = max(1, min(n_trees, spark.sparkContext.defaultParallelism * 2))
-    nodes = (sample.select("tree_id", "_id", *features).repartition(parts, "tree_id")
-             .groupBy("tree_id").applyInPandas(_fit_group(features, seed, max_depth), NODE_SCHEMA))
-    # The model is bounded by trees * (2 * psi - 1) rows whatever the data size.
-    pdf = nodes.toPandas()
-    if n < pool_size:
-        cand.unpersist()
-    return IsolationForestModel.from_nodes(pdf, psi, max_depth, len(features))
+    sample, held = _tree_samples(x, features, n, psi, n_trees)
+    try:
+        # At most MOST_NODES rows.
+        nodes = sample.groupBy("tree_id").applyInArrow(_fit_group(features, seed, max_depth), NODE_SCHEMA).toPandas()
+    finally:
+        held.unpersist()
+    return IsolationForestModel.from_nodes(nodes, psi, max_depth, len(features))
 
 
 def score_column(model: IsolationForestModel, features: list[str], spark) -> Column:
@@ -243,36 +253,28 @@ def score_column(model: IsolationForestModel, features: list[str], spark) -> Col
     return score(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
 
 
-# Below this many rows an input is spread round-robin over the cores before
-# scoring (CPU-bound Python); above it, it already has many partitions.
-SPREAD_BELOW_ROWS = 5_000_000
-
-
 def isolation_forest_scores(df: DataFrame, id_col: str, features: list[str], contamination: float = 0.02,
                             n_trees: int = 150, max_samples: int = 256, seed: int = 42) -> DataFrame:
     """``df`` plus ``anomaly_score`` (higher is more anomalous) and ``is_anomaly``.
 
-    Only the id and feature columns are persisted for the fit (count and
-    sample read them); the scoring pass reads ``df`` itself and the scored
-    frame is materialized (``session.materialize``: a Parquet table in the
-    session's checkpoint folder when it names one), because the cut-off and
-    any later min/max and filter read it again, each only the columns it
-    needs. Lineage is deterministic.
+    Only the id, its hash and the features are persisted for the fit. The
+    cut-off search reads a table of the scores alone (one column, in the
+    session's checkpoint folder, removed when the cut-off is known); the rows
+    returned are scored where they are read, so no other column is rewritten.
     """
-    x = _features_frame(df, id_col, features).persist(StorageLevel.MEMORY_AND_DISK)
-    n = x.count()
+    x = _features_frame(df, id_col, features, seed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        n = x.count()
         model = fit_features(x, features, n, n_trees, max_samples, seed)
+        score = score_column(model, features, df.sparkSession)
+        scores = materialize(x.select(score.alias("_ss")), as_table=True)
+        try:
+            offset = exact_percentile(scores, "_ss", contamination, n=n) or 0.0
+        finally:
+            drop_materialized(scores)
     finally:
         x.unpersist()
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    src = df.repartition(cores) if n < SPREAD_BELOW_ROWS else df
-    # Written as a table: the cut-off passes read the score column only.
-    scored = materialize(src.withColumn("_ss", score_column(model, features, spark)), as_table=True)
-    offset = exact_percentile(scored, "_ss", contamination, n=n)
-    if offset is None:
-        offset = 0.0
     decision = F.col("_ss") - F.lit(float(offset))
     keep = [F.col(c) for c in df.columns]
-    return scored.select(*keep, (-decision).alias("anomaly_score"), (decision < 0).alias("is_anomaly"))
+    return df.withColumn("_ss", score).select(
+        *keep, (-decision).alias("anomaly_score"), (decision < 0).alias("is_anomaly"))

@@ -20,20 +20,11 @@ from pyspark.sql import functions as F
 
 DIMENSION_ROW_LIMIT = 100_000
 
-# Outcome of the row-count check per input (e.g. the paths of the files the
-# dimension is read from), so repeated plans over the same files do not
-# repeat the check job. Booleans only, never data.
-_CHECKED: dict[object, bool] = {}
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_LIMIT, key: object | None = None) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_LIMIT) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
 
-    The check reads at most ``max_rows + 1`` rows of the dimension alone.
+    The check reads at most ``max_rows + 1`` rows of the dimension alone, each
+    time a plan is built: the files may have grown since the last.
     """
-    ok = _CHECKED.get(key) if key is not None else None
-    if ok is None:
-        ok = df.limit(max_rows + 1).count() <= max_rows
-        if key is not None:
-            _CHECKED[key] = ok
-    return F.broadcast(df) if ok else df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -6,9 +6,8 @@ of a very large table. Here the k-th smallest value is found by successive
 histograms: each pass buckets the remaining candidates into ``bins`` buckets
 between their min and max (one scan with a map-side partial aggregate, at
 most ``bins`` rows reach the driver), keeps the bucket that holds rank k, and
-stops when that bucket is a single value or small enough (``collect_limit``)
-to be read in full. The bucket index is a monotone function of the value, so
-the ranks are exact; with 2,048 buckets, 10^12 rows need three passes.
+stops when that bucket is a single value. The bucket index is a monotone
+function of the value, so the ranks are exact; every size takes this path.
 """
 
 from __future__ import annotations
@@ -17,13 +16,10 @@ import math
 from collections.abc import Iterable
 from decimal import Decimal
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
-
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -32,12 +28,17 @@ def _bucket(v: Column, lo, hi, bins: int, integral: bool) -> Column:
         d = v.cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")
         width = F.lit(Decimal(int(hi) - int(lo) + 1)).cast("decimal(38,0)")
         return F.floor(d * F.lit(bins) / width).cast("int")
+    # The middle bucket border always parts lo from hi, however near they are.
+    mid = (float(lo) + float(hi)) / 2
+    mid = mid if lo < mid <= hi else float(hi)
     frac = (v - F.lit(float(lo))) / (F.lit(float(hi)) - F.lit(float(lo)))
-    return F.least(F.floor(frac * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
+    place = F.floor(frac * F.lit(float(bins))).cast("int")
+    half = bins // 2
+    return (F.when(v < F.lit(mid), F.least(place, F.lit(half - 1)))
+            .otherwise(F.greatest(F.lit(half), F.least(place, F.lit(bins - 1)))))
 
 
-def select_ranks(df: DataFrame, column: str, ranks: Iterable[int], bins: int = 2048,
-                 collect_limit: int = 50_000) -> dict[int, object]:
+def select_ranks(df: DataFrame, column: str, ranks: Iterable[int], bins: int = 2048) -> dict[int, object]:
     """Values at the given 0-based ranks of ``column`` in ascending order
     (nulls and NaN left out). Raises if a rank is out of range."""
     field = df.schema[column].dataType
@@ -51,7 +52,7 @@ def select_ranks(df: DataFrame, column: str, ranks: Iterable[int], bins: int = 2
     if want and (want[0] < 0 or want[-1] >= n):
         raise ValueError(f"rank out of range for {n} values: {want}")
     out: dict[int, object] = {}
-    lo0, hi0, below0, count0 = head["lo"], head["hi"], 0, n
+    lo0, hi0, below0 = head["lo"], head["hi"], 0
     if not integral and want and (math.isinf(lo0) or math.isinf(hi0)):
         # Infinities sit at the ends of the order: ranks inside those blocks
         # are answered directly, the histogram runs over the finite values.
@@ -62,34 +63,28 @@ def select_ranks(df: DataFrame, column: str, ranks: Iterable[int], bins: int = 2
         out.update({r: float("-inf") for r in want if r < inf["neg"]})
         out.update({r: float("inf") for r in want if r >= n - inf["pos"]})
         want = [r for r in want if inf["neg"] <= r < n - inf["pos"]]
-        lo0, hi0, below0, count0 = inf["lo"], inf["hi"], inf["neg"], n - inf["neg"] - inf["pos"]
+        lo0, hi0, below0 = inf["lo"], inf["hi"], inf["neg"]
     # The bucket function is monotone, so a bucket is exactly the value range
     # between its min and max: each level's candidates are "v BETWEEN lo AND
     # hi", a predicate a Parquet scan can use to skip row groups.
-    work = [(below0, count0, lo0, hi0, want)] if want else []
+    work = [(below0, lo0, hi0, want)] if want else []
     while work:
-        below, count, lo, hi, rs = work.pop()
+        below, lo, hi, rs = work.pop()
         if lo == hi:
             out.update({r: lo for r in rs})
             continue
         cand = base.where(F.col("v").between(F.lit(lo), F.lit(hi)))
-        if count <= collect_limit:
-            vals = [row[0] for row in cand.orderBy("v").collect()]
-            out.update({r: vals[r - below] for r in rs})
-            continue
         b = _bucket(F.col("v"), lo, hi, bins, integral)
         hist = sorted(cand.groupBy(b.alias("b")).agg(
             F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(),
             key=lambda r: r["b"])
-        if len(hist) == 1:
-            raise RuntimeError("rank selection made no progress; the value range is degenerate")
         start = below
         i = 0
         for h in hist:
             end = start + h["c"]
             inside = [r for r in rs[i:] if r < end]
             if inside:
-                work.append((start, h["c"], h["lo"], h["hi"], inside))
+                work.append((start, h["lo"], h["hi"], inside))
                 i += len(inside)
             start = end
     return out
@@ -102,7 +97,8 @@ def _lerp(a: float, b: float, t: float) -> float:
 
 
 def exact_percentile(df: DataFrame, column: str, q: float, n: int | None = None, **kw) -> float | None:
-    """The ``q``-quantile (0..1) with linear interpolation, as ``numpy.percentile``."""
+    """The ``q``-quantile (0..1) with linear interpolation, as ``numpy.percentile``;
+    None without values. ``n``, if given, is the number of values."""
     if n is None:
         c = F.col(column)
         n = df.where(c.isNotNull() & ~F.isnan(c)).count()
@@ -115,59 +111,21 @@ def exact_percentile(df: DataFrame, column: str, q: float, n: int | None = None,
     return _lerp(float(vals[k]), float(vals[k1]), pos - k)
 
 
-# Up to this many rows, a sample is cut from a prefiltered candidate set that
-# is ranked in one task; beyond it the cut-off hash is found by select_ranks.
-BOUNDED_SAMPLE_ROWS = 250_000
-
-
-def smallest_by_hash(df: DataFrame, key: str, k: int, seed: int, n: int | None = None) -> DataFrame:
-    """The ``k`` rows with the smallest ``(xxhash64(key, seed), key)``, with
-    their rank in ``_rn`` (1..k) and the hash in ``_h``.
-
-    ``xxhash64`` is uniform over the 64-bit range, so the k-th smallest hash
-    lies near ``-2^63 + 2^64 k / n``. One pass keeps the rows below a cut-off
-    set a few standard deviations above that point (a bounded candidate set,
-    persisted); if it holds fewer than ``k`` rows the cut-off is raised and
-    the pass repeated, so the result is exact. Only the candidates are
-    ranked, in one task: ``k`` is bounded by ``BOUNDED_SAMPLE_ROWS``.
-    """
-    if k > BOUNDED_SAMPLE_ROWS:
-        raise ValueError("use hash_sample for samples above BOUNDED_SAMPLE_ROWS")
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    if n is None:
-        n = df.count()
-    w = Window.orderBy("_h", key)
-    if k >= n:
-        return hashed.withColumn("_rn", F.row_number().over(w))
-    slack = 8.0 * math.sqrt(k) + 64.0
-    while True:
-        frac = min(1.0, (k + slack) / n)
-        cut = min(2 ** 63 - 1, -(2 ** 63) + int(frac * 2.0 ** 64))
-        cand = hashed.where(F.col("_h") <= F.lit(cut)).persist(StorageLevel.MEMORY_AND_DISK)
-        if frac >= 1.0 or cand.count() >= k:
-            break
-        cand.unpersist()
-        slack *= 4
-    # The k rows (bounded) are materialized, then the candidate cache released.
-    out = materialize(cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k))
-    cand.unpersist()
-    return out
+def sample_hash(key, seed: int) -> Column:
+    """A 60-bit hash of a key and a seed from md5, so that other engines can draw the same sample."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int, **kw) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, chosen by the smallest ``xxhash64(key, seed)``.
-
-    Repeatable and independent of partitioning. Samples up to
-    ``BOUNDED_SAMPLE_ROWS`` take one pass (``smallest_by_hash``); larger ones
-    find the cut-off hash with ``select_ranks`` and take the rows sharing it
-    in key order.
-    """
-    total = df.count()
+    """Exactly ``min(n, rows)`` rows, chosen by the smallest ``sample_hash(key, seed)``,
+    of equal hashes by the key. Repeatable and independent of partitioning: the
+    cut-off hash is found by rank selection, whatever the sizes."""
+    hashed = df.withColumn("_h", F.coalesce(sample_hash(key, seed), F.lit(-1)))
+    total = hashed.count()
     if n >= total:
         return df
-    if n <= BOUNDED_SAMPLE_ROWS:
-        return smallest_by_hash(df, key, n, seed, total).drop("_h", "_rn")
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    if n <= 0:
+        return df.limit(0)
     cut = select_ranks(hashed, "_h", [n - 1], **kw)[n - 1]
     below = hashed.where(F.col("_h") < F.lit(cut))
     taken = below.count()

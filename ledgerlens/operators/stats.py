@@ -4,16 +4,15 @@ A global statistic (mean, standard deviation, min, max, a count) is an
 aggregate with no keys: a partial aggregate per task and one tiny final
 merge. It is attached to the rows as a *scalar subquery* (``DataFrame.scalar``),
 which Spark evaluates once and inlines as a value; several statistics of the
-same frame are merged into one aggregate by the optimizer. There is no window
-without a partition (which would pull every row into one task) and no cross
-join.
+same frame are merged into one aggregate by the optimizer. Where a statistic is
+taken of a column that has statistics in it, it is attached as a one-row
+broadcast side instead (``with_stats``). There is no window without a partition
+(which would pull every row into one task).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,33 +31,45 @@ def scalars_of(df: DataFrame, **exprs: Column) -> dict[str, Column]:
     return {k: s.getField(k) for k in exprs}
 
 
+def with_stats(df: DataFrame, name: str, **exprs: Column) -> DataFrame:
+    """``df`` with one more column ``name``: a struct of aggregates over all of
+    ``df``. It rides along as a one-row broadcast side, so a statistic of a
+    column that itself needs statistics is planned once, not once a reference."""
+    one = df.agg(F.struct(*[e.alias(k) for k, e in exprs.items()]).alias(name))
+    return df.crossJoin(F.broadcast(one))
+
+
 @dataclass
-class ExactZ:
-    """Population z-score of an integral column from exact integer moments.
-
-    With n rows, S1 = Σx and S2 = Σx² (all exact decimals),
-    z = (n·x − S1) / sqrt(n·S2 − S1²). The test |z| > k is done exactly as
-    (n·x − S1)² > k²·(n·S2 − S1²), so no row near the threshold flips with
-    the summation order, and there is no cancellation as E[x²]−E[x]² would
-    have at scale. A constant column (variance 0) gives z = null.
-    """
+class PopulationZ:
+    """Population z-score of an integral column: with n rows, S1 = sum x and
+    S2 = sum x*x (exact), z = (n x - S1) / sqrt(n S2 - S1^2), and |z| > k is
+    |n x - S1| > k sqrt(n S2 - S1^2). There is no cancellation as
+    E[x^2] - E[x]^2 would have at scale. A constant column gives z = null."""
 
-    num: Column
-    var_n2: Column
+    gap: Column
+    root: Column
 
     @property
     def z(self) -> Column:
-        return F.when(self.var_n2 > 0, self.num.cast("double") / F.sqrt(self.var_n2.cast("double")))
+        return F.when(self.root > 0, self.gap / self.root)
 
     def beyond(self, k: float) -> Column:
-        k2 = Decimal(repr(float(k))) ** 2
-        return (self.var_n2 > 0) & (self.num * self.num > F.lit(k2) * self.var_n2)
+        return (self.root > 0) & (F.abs(self.gap) > F.lit(float(k)) * self.root)
 
 
-def exact_population_z(df: DataFrame, column: str) -> ExactZ:
-    x = F.col(column).cast(_EXACT)
-    m = scalars_of(df, n=F.count(column).cast(_EXACT), s1=F.sum(x), s2=F.sum(x * x))
-    return ExactZ(num=m["n"] * x - m["s1"], var_n2=m["n"] * m["s2"] - m["s1"] * m["s1"])
+def with_population_z(df: DataFrame, column: str, name: str = "_moments") -> tuple[DataFrame, PopulationZ]:
+    """``df`` with the moments of ``column`` attached once, and its z-score."""
+    x = F.col(column).cast("long")
+    n, s1 = F.count(column).cast(_EXACT), F.sum(x.cast("decimal(20,0)")).cast(_EXACT)
+    s2 = F.sum((x * x).cast("decimal(20,0)")).cast(_EXACT)
+    rows = with_stats(df, name, n=n.cast("double"), s1=s1.cast("double"), root=F.sqrt((n * s2 - s1 * s1).cast("double")))
+    m = F.col(name)
+    return rows, PopulationZ(m["n"] * x.cast("double") - m["s1"], m["root"])
+
+
+def _flag(x: Column, mean: Column, std: Column, threshold: float) -> Column:
+    z = (x - mean) / F.when(std > 0, std)
+    return F.coalesce(F.abs(z) > F.lit(float(threshold)), F.lit(False))
 
 
 def zscore_flags(df: DataFrame, column: str, threshold: float = 3.0) -> Column:
@@ -68,9 +79,7 @@ def zscore_flags(df: DataFrame, column: str, threshold: float = 3.0) -> Column:
     null); a null value is false.
     """
     st = scalars_of(df, mean=F.avg(column), std=F.stddev_samp(column))
-    mean, std = st["mean"], st["std"]
-    z = (F.col(column) - mean) / F.when(std > 0, std)
-    return F.coalesce(F.abs(z) > F.lit(float(threshold)), F.lit(False))
+    return _flag(F.col(column), st["mean"], st["std"], threshold)
 
 
 def minmax_norm(df: DataFrame, column: str, eps: float = 1e-9) -> Column:

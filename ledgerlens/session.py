@@ -42,7 +42,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    configured_checkpoint_dir(spark)
     return spark
 
 
@@ -123,51 +123,63 @@ def configured_checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
+_TABLES: dict[int, tuple[DataFrame, str]] = {}
+
+
 def materialize(df: DataFrame, as_table: bool = False) -> DataFrame:
     """Cut the lineage of a frame that later passes read several times.
 
     With a reliable checkpoint folder configured, the frame is written there,
     so a lost executor costs a re-read, not a recompute: as a Parquet table
     (``as_table``: later passes read only the columns they use and can skip
-    row groups by their statistics; the files stay in the checkpoint folder,
-    whose retention the cluster manages) or with ``checkpoint``. Without a
-    folder it is persisted (memory, spilling to disk) and a lost block is
-    recomputed from its deterministic lineage. The library never makes a
-    machine-local folder for this.
+    row groups by their statistics; ``drop_materialized`` removes it) or with
+    ``checkpoint``. A write that fails is an error. Without a folder the frame
+    is persisted (memory, spilling to disk) and a lost block is recomputed from
+    its deterministic lineage. The library never makes a machine-local folder
+    for this.
     """
     spark = df.sparkSession
     folder = configured_checkpoint_dir(spark)
     if folder:
-        try:
-            if as_table:
-                import uuid
-                path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
-                df.write.parquet(path)
-                return spark.read.parquet(path)
-            return df.checkpoint(eager=True)
-        except Exception:   # an unwritable folder: the persisted form gives the same rows
-            pass
+        if as_table:
+            import uuid
+            path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            out = spark.read.schema(df.schema).parquet(path)
+            _TABLES[id(out)] = (out, path)
+            return out
+        return df.checkpoint(eager=True)
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
 
 
+def drop_materialized(df: DataFrame) -> None:
+    """Remove what ``materialize`` made, once nothing reads it any more."""
+    _, path = _TABLES.pop(id(df), (None, None))
+    if path is None:
+        df.unpersist()
+        return
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder of the session (tests, bench).
+    """The reliable checkpoint folder of the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is used as
-    given. Only when nothing is configured (a local test) is a fresh folder
-    made, so that ``DataFrame.checkpoint()`` works there too.
+    given, and without one this is an error there. Only in local mode, where
+    driver and executors are one process, is a fresh folder made.
     """
+    folder = configured_checkpoint_dir(spark)
+    if folder:
+        return folder
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def sf_path(sf_dir: str, table: str) -> str:

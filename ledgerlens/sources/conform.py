@@ -43,30 +43,16 @@ class StarTables:
             raise AttributeError(name)
         frames = self.__dict__["_frames"]
         if name not in frames:
-            frames[name] = _read(self._spark, sf_path(self.source, name))
+            frames[name] = self._spark.read.parquet(sf_path(self.source, name))
         return frames[name]
 
 
-# Footer schemas already read in this process, by path: a later query over
-# the same files skips the schema-reading job. (Schemas only, never data.)
-_SCHEMAS: dict[str, object] = {}
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    known = _SCHEMAS.get(path)
-    if known is not None:
-        return spark.read.schema(known).parquet(path)
-    df = spark.read.parquet(path)
-    _SCHEMAS[path] = df.schema
-    return df
-
-
 def region_of_nation(t: StarTables) -> DataFrame:
     """(nation key → region name): 25 rows, joined on a 25-value key, so it is
     broadcast (after a row-count check) rather than shuffle-joined."""
     dim = t.nation.join(t.region, t.nation.n_regionkey == t.region.r_regionkey).select(
         "n_nationkey", "r_name")
-    return bounded_broadcast(dim, key=("region_of_nation", t.source) if t.source else None)
+    return bounded_broadcast(dim)
 
 
 def _txn_columns(e, o, with_event_id: bool) -> list:
@@ -174,21 +160,35 @@ def risk_inputs(t: StarTables) -> DataFrame:
         (F.lit(1) + F.pmod(F.col("o_custkey") * F.lit(37), F.lit(3650))).cast("int").alias("account_age_days"))
 
 
-def support_tickets(t: StarTables, txn_with_event_id: DataFrame | None = None) -> DataFrame:
-    txn = txn_with_event_id if txn_with_event_id is not None else transactions(t, with_event_id=True)
-    linked = (txn.where(F.col("status").isin(*K.LINKABLE_TRANSACTION_STATUSES))
-              .select(F.col("event_id").alias("t_event_id"),
-                      F.col("transaction_id").alias("t_transaction_id"),
-                      F.col("timestamp").alias("t_timestamp")))
+# What a ticket takes from its linked transaction.
+LINK_COLUMNS = ["created_at", "related_transaction_id", "resolved_at"]
+
+
+def support_tickets(t: StarTables, txn_with_event_id: DataFrame | None = None, links: bool = True) -> DataFrame:
+    """The tickets; without ``links`` the columns of ``LINK_COLUMNS`` and the join
+    they need are left out (the events have one row an ``event_id``, so the
+    join adds no rows).
+
+    Orders and linked transactions, both one row a key, are joined first, so the
+    line items are shuffled by order key once and AQE can split a hot order.
+    """
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                            "l_returnflag", "l_linestatus")
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
     s = t.supplier.select("s_suppkey", "s_nationkey")
     nr = region_of_nation(t)
     supplier_region = s.join(nr, s.s_nationkey == nr.n_nationkey).select("s_suppkey", "r_name")
-
+    if links:
+        txn = txn_with_event_id if txn_with_event_id is not None else transactions(t, with_event_id=True)
+        linked = (txn.where(F.col("status").isin(*K.LINKABLE_TRANSACTION_STATUSES))
+                  .select(F.col("event_id").alias("t_event_id"),
+                          F.col("transaction_id").alias("t_transaction_id"),
+                          F.col("timestamp").alias("t_timestamp")))
+        o = o.join(linked, o.o_orderkey == linked.t_event_id, "left")
+    else:
+        o = o.select("*", F.lit(None).cast("long").alias("t_event_id"), F.lit(None).cast("string").alias("t_transaction_id"),
+                     F.lit(None).cast("timestamp_ntz").alias("t_timestamp"))
     joined = (li.join(o, li.l_orderkey == o.o_orderkey)
-              .join(linked, li.l_orderkey == linked.t_event_id, "left")
               .join(supplier_region, li.l_suppkey == supplier_region.s_suppkey))
 
     is_linked = F.col("t_event_id").isNotNull()
@@ -228,7 +228,8 @@ def support_tickets(t: StarTables, txn_with_event_id: DataFrame | None = None) -
         fx.flag(breached & (F.pmod(pk, F.lit(10)) < 3)).alias("escalation_flag"),
         F.when(status == "Reopened", F.lit(1) + ln3).otherwise(F.lit(0)).cast("int").alias("reopened_count"),
     )
-    return enrich.enrich_resolved_at(df).select(*TICKET_COLUMNS)
+    df = enrich.enrich_resolved_at(df).select(*TICKET_COLUMNS)
+    return df if links else df.drop(*LINK_COLUMNS)
 
 
 def conformed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -243,9 +244,9 @@ def conformed_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions(StarTables.load(spark, sf_dir))
 
 
-def conformed_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the support tickets."""
-    return support_tickets(StarTables.load(spark, sf_dir))
+def conformed_tickets(spark: SparkSession, sf_dir: str, links: bool = True) -> DataFrame:
+    """Only the support tickets (``links``: see ``support_tickets``)."""
+    return support_tickets(StarTables.load(spark, sf_dir), links=links)
 
 
 __all__ = ["StarTables", "transactions", "support_tickets", "conformed_tables",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .schemas import SUPPORT_TICKETS, TIMESTAMP_COLUMNS, TRANSACTIONS
+from .schemas import SUPPORT_TICKETS, TRANSACTIONS
 
 SCHEMAS = {"transactions": TRANSACTIONS, "support_tickets": SUPPORT_TICKETS}
 ORDER_KEYS = {"transactions": ["timestamp", "transaction_id"], "support_tickets": ["created_at", "ticket_id"]}
@@ -43,43 +43,44 @@ def read_partitioned_table(spark: SparkSession, path: str, table: str) -> DataFr
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a stored (Parquet) table is at ``path`` (any file-system scheme).
-
-    Opening the path lists its files: a missing folder, or one with no
-    readable Parquet files, raises an analysis error, i.e. there is no table.
-    """
-    from pyspark.errors import AnalysisException
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
+    """Whether there is anything at ``path`` (any file-system scheme)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def load_data(spark: SparkSession, table_dir: str, csv_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(transactions, support_tickets): the stored tables when they exist,
-    else the CSV files; the same schema either way."""
+def load_stored(spark: SparkSession, table_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored tables, with ``_date`` kept when they are stored by day (the
+    view filters prune directories by it and leave it out of their result)."""
     out = []
-    for table in ("transactions", "support_tickets"):
-        stored = f"{table_dir}/{table}"
-        if path_exists(spark, stored):
-            out.append(read_table(spark, stored, table))
-        else:
-            out.append(read_csv(spark, f"{csv_dir}/{table}.csv", table))
+    for name in SCHEMAS:
+        path = f"{table_dir}/{name}"
+        by_day = "_date" in spark.read.parquet(path).columns
+        out.append((read_partitioned_table if by_day else read_table)(spark, path, name))
     return out[0], out[1]
 
 
-def write_table(df: DataFrame, path: str, partition_by_date: str | None = None) -> None:
-    """Replace the stored table at ``path``. With ``partition_by_date`` (a
-    timestamp column), rows are laid out by calendar day so that date
-    filters prune whole directories. The rows are rebalanced by day with
-    AQE's ``rebalance`` (few files per day), which also splits a day holding
-    a large share of the rows over several writers instead of one."""
+def load_data(spark: SparkSession, table_dir: str, csv_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(transactions, support_tickets): both from storage when both are there,
+    else both from the CSV files; never one of each. A table that is there but
+    cannot be read is an error."""
+    if all(path_exists(spark, f"{table_dir}/{name}") for name in SCHEMAS):
+        return load_stored(spark, table_dir)
+    return tuple(read_csv(spark, f"{csv_dir}/{name}.csv", name) for name in SCHEMAS)
+
+
+def write_table(df: DataFrame, path: str, partition_by_date: str | None = None, order: list[str] | None = None) -> None:
+    """Replace the stored table at ``path``, in the given order: rows of a file
+    are sorted, so that row-group statistics of the sort columns are narrow.
+    With ``partition_by_date`` (a timestamp column), rows are laid out by
+    calendar day so that date filters prune whole directories. The rows are
+    rebalanced by day with AQE's ``rebalance`` (few files per day), which also
+    splits a day holding a large share of the rows over several writers."""
     if partition_by_date:
         w = df.withColumn("_date", F.to_date(partition_by_date)).hint("rebalance", "_date")
+        w = w.sortWithinPartitions("_date", *(order or []))
         w.write.mode("overwrite").partitionBy("_date").parquet(path)
         return
-    df.write.mode("overwrite").parquet(path)
+    (df.orderBy(*order) if order else df).write.mode("overwrite").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -88,11 +89,6 @@ def write_csv(df: DataFrame, path: str) -> None:
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
 
 
-def sorted_for_write(df: DataFrame, table: str) -> DataFrame:
-    """Globally ordered by time then id (range partitioning, each part sorted)."""
-    return df.orderBy(*ORDER_KEYS[table])
-
-
 def load_audit(txn: DataFrame, tickets: DataFrame) -> DataFrame:
     """(table, rows) for both tables; two partial counts, no data movement."""
     return (txn.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("transactions").alias("table"), "rows")
@@ -110,5 +106,3 @@ def reuse(df: DataFrame) -> DataFrame:
     """Keep a frame that several queries read (memory, spilling to disk)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
-
-TIMESTAMPS = TIMESTAMP_COLUMNS
