@@ -13,7 +13,7 @@ QUERIES = all_queries()
 MODEL_QUERIES = {n for n in QUERIES if n in ("isolation_forest_scores", "sampled_anomaly_view", "transaction_anomalies")
                  or n.startswith("top_") and n.endswith(("anomalies", "strict", "wide"))}
 # One-row broadcast sides that carry statistics to the rows.
-ONE_ROW_SIDES = {"zscore_priority_anomalies": 2, "zscore_transaction_anomalies": 2, "processing_time_outliers": 1,
+ONE_ROW_SIDES = {"zscore_priority_anomalies": 3, "zscore_transaction_anomalies": 3, "processing_time_outliers": 1,
                  "anomaly_reasons": 1, "kpi_summary": 1, "kpi_summary_filtered": 1}
 
 
