@@ -121,31 +121,34 @@ def search_block(unit: np.ndarray, projected: np.ndarray, ids: np.ndarray, q_uni
     """For each query the rows of the block that may be among its k nearest.
     ``bound``: squared distance of its k-th best so far (4: none known)."""
     tree = KdTree(projected, max(0, math.ceil(math.log2(max(1, len(ids)) / LEAF))))
+    place = np.concatenate(tree.leaves)                 # rows leaf by leaf
+    size = np.array([len(x) for x in tree.leaves])
+    start = np.cumsum(size) - size
+    unit, projected = unit[place], projected[place]
     out = []
     for u, p, limit in zip(q_unit, q_projected, bound):
         box = tree.distances(p)
-        rows, near = np.zeros(0, np.int64), np.zeros(0)
-        for leaf in np.argsort(box, kind="stable"):
-            if box[leaf] > quantile * limit + SLACK:
+        order = np.argsort(box, kind="stable")
+        rows, near = [], []
+        at, step = 0, 1
+        while at < len(order):
+            # The next leaves in order of distance, ever more at a time, as far as the test allows.
+            leaves = order[at:at + step]
+            at, step = at + step, 2 * step
+            leaves = leaves[box[leaves] <= quantile * limit + SLACK]
+            if len(leaves) == 0:
                 break
-            new = tree.leaves[leaf]
+            n = size[leaves]
+            new = np.arange(n.sum()) + np.repeat(start[leaves] - (np.cumsum(n) - n), n)
             gap = projected[new] - p
-            new = new[(gap * gap).sum(axis=1) <= quantile * limit + SLACK]
-            if len(new) == 0:
-                continue
-            rows = np.r_[rows, new]
-            near = np.r_[near, 2 - 2 * (unit[new] @ u)]
-            if len(rows) > k:
-                kth = np.partition(near, k - 1)[k - 1]
-                keep = near <= kth + SLACK
-                if keep.sum() > k:                      # equally near: smaller ids
-                    order = np.lexsort((ids[rows], np.round(near, 10)))
-                    tied = near[order[k - 1]]
-                    keep = (near < tied - SLACK) | np.isin(np.arange(len(rows)), order[:k + 4 * k])
-                rows, near = rows[keep], near[keep]
-            if len(rows) >= k:
-                limit = min(limit, max(0.0, float(np.partition(near, k - 1)[k - 1])))
-        out.append(rows)
+            new = new[np.einsum("ij,ij->i", gap, gap) <= quantile * limit + SLACK]
+            rows.append(new)
+            near.append(2 - 2 * (unit[new] @ u))
+            every = np.concatenate(near)
+            if len(every) >= k:
+                limit = min(limit, max(0.0, float(np.partition(every, k - 1)[k - 1])))
+        every = np.concatenate(near or [np.zeros(0)])
+        out.append(place[np.concatenate(rows or [np.zeros(0, np.int64)])[every <= limit + SLACK]])
     return out
 
 
