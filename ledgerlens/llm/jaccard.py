@@ -49,6 +49,8 @@ from .text import (bound_batches, byte_values, inside, mix, ngram_hashes, partit
 WORDS = 5
 PERCENT = 75
 HASH_ORDERS = 4
+BATCH_ENTRIES = 2_000_000       # matrix entries in one batch of sets
+BROADCAST_PAIRS = 200_000
 _VALUES = byte_values(lower=True, seed=4)
 
 
@@ -97,51 +99,70 @@ def _need(n, percent: int):
     return -(-percent * n // 100)
 
 
-ROW = "doc_id long, n_shingles long, fingerprint binary, hashes array<long>"
+TEXT = "h1 long, h2 long, text string"
+ROW = "h1 long, h2 long, n_shingles long, fingerprint binary, node long, hashes array<long>"
 
 
-def incidence(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
-    """Step 1: every row with its set size and fingerprint; its shared shingle hashes only if it may have a link."""
-    parts = partitions(df)
-    docs = df.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """The texts of each Arrow batch, equal ones once: a text that many rows share is shuffled once a batch."""
+
+    def once(batches):
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1)
+            _, first = np.unique(keys, axis=0, return_index=True)
+            yield batch.take(pa.array(np.sort(first))) if len(first) < len(keys) else batch
+
+    return docs.select("h1", "h2", "text").mapInArrow(once, TEXT)
+
+
+def incidence(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Step 1: every distinct text with its set size and fingerprint; its shared shingle hashes only if it may have a link."""
+    parts = partitions(docs)
     batches = number_of_batches(docs, "text", parts)
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).repartition(parts, "batch")
+    dealt = distinct_texts(docs).withColumn("batch", F.pmod("h1", F.lit(batches))).repartition(parts, "batch")
+
+    def own(table):
+        """The rows of a batch, equal texts once."""
+        keys = np.stack([np.asarray(table["h1"]), np.asarray(table["h2"])], axis=1)
+        _, first = np.unique(keys, axis=0, return_index=True)
+        return table.take(pa.array(first))          # by key, so the same rows in the same order each time
 
     def ask(key, table):
-        listed, _, place, _ = shingles(table["text"], words)
+        listed, _, place, _ = shingles(own(table)["text"], words)
         return messages(key[0].as_py(), listed, np.bincount(place, minlength=len(listed)), batches)
 
     def keep(key, table, answered):
+        table = own(table)
         listed, row, place, n = shingles(table["text"], words)
         size, prints = fingerprints(listed, row, place, n)
         shared = totals(answered)[place] >= 2
         count = np.bincount(row[shared], minlength=n)
-        may = (size > 0) & (count >= _need(size, percent))
-        ids = np.asarray(table["doc_id"])
-        first: dict[bytes, int] = {}
-        for i in sorted(np.flatnonzero(may), key=lambda i: ids[i]):      # equal sets of a batch: one is enough
-            first.setdefault(prints[i], i)
-        carries = np.zeros(n, bool)
-        carries[list(first.values())] = True
-        use = shared & carries[row]
-        return pa.table({"doc_id": table["doc_id"], "n_shingles": pa.array(size, pa.int64()),
+        carries = (size > 0) & (count >= _need(size, percent))
+        return pa.table({"h1": table["h1"], "h2": table["h2"], "n_shingles": pa.array(size, pa.int64()),
                          "fingerprint": pa.array(prints, pa.binary()),
-                         "hashes": _lists(listed[place[use]], count, carries)})
+                         "node": pa.array([p and int.from_bytes(p[:8], "little", signed=True) for p in prints], pa.int64()),
+                         "hashes": _lists(listed[place[shared & carries[row]]], count, carries)})
 
     asked = dealt.groupBy("batch").applyInArrow(ask, MESSAGE)
     return dealt.groupBy("batch").cogroup(answers(asked, parts).groupBy("batch")).applyInArrow(keep, ROW)
 
 
-SET = "doc_id long, n long, hashes array<long>, prefix int, keys array<long>, share double"
+SET = "node long, n long, hashes array<long>, prefix int, keys array<long>, share double"
+
 
+def ordered_sets(rows: DataFrame, percent: int) -> DataFrame:
+    """Step 2: the distinct sets that still may have a link, by node (the first half
+    of the fingerprint), columns rarest first, and their least hashes under several hash orders."""
+    parts = partitions(rows)
+    some = rows.where("hashes is not null").select("node", F.col("n_shingles").alias("n"), "hashes")
+    size = rows.where("hashes is not null").agg(F.sum("n_shingles").alias("b")).first()["b"] or 0
+    batches = max(parts, -(-size // BATCH_ENTRIES))
+    dealt = some.withColumn("batch", F.pmod("node", F.lit(batches))).repartition(parts, "batch")
 
-def ordered_sets(nodes: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Step 2: the rows that still may have a link, columns rarest first, and the
-    least hashes of each row under several hash orders."""
-    size = nodes.agg(F.sum(F.size("hashes")).alias("b")).first()["b"] or 0
-    batches = max(parts, -(-size // 2_000_000))
-    dealt = nodes.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).repartition(parts, "batch")
+    def own(table):
+        """The distinct sets of a batch: equal ones are in one batch."""
+        nodes, first = np.unique(np.asarray(table["node"]), return_index=True)
+        return nodes, table.take(pa.array(first))
 
     def entries(table):
         lists = table["hashes"].combine_chunks()
@@ -151,10 +172,11 @@ def ordered_sets(nodes: DataFrame, percent: int, parts: int) -> DataFrame:
         return listed, np.repeat(np.arange(len(count)), count), place
 
     def ask(key, table):
-        listed, _, place = entries(table)
+        listed, _, place = entries(own(table)[1])
         return messages(key[0].as_py(), listed, np.bincount(place, minlength=len(listed)), batches)
 
     def order(key, table, answered):
+        nodes, table = own(table)
         listed, row, place = entries(table)
         n = np.asarray(table["n"])
         total = totals(answered)[place]
@@ -172,7 +194,7 @@ def ordered_sets(nodes: DataFrame, percent: int, parts: int) -> DataFrame:
                  if len(stays) else np.zeros(0, np.uint64) for j in range(HASH_ORDERS)]
         keys = np.stack(least, axis=1).reshape(-1) if len(stays) else np.zeros(0, np.uint64)
         yes = np.ones(len(stays), bool)
-        return pa.table({"doc_id": pa.array(np.asarray(table["doc_id"])[stays], pa.int64()), "n": pa.array(size, pa.int64()),
+        return pa.table({"node": pa.array(nodes[stays], pa.int64()), "n": pa.array(size, pa.int64()),
                          "hashes": _lists(hashes, count, yes),
                          "prefix": pa.array(np.maximum(1, count - _need(size, percent) + 1), pa.int32()),
                          "keys": _lists(keys, np.full(len(stays), HASH_ORDERS), yes),
@@ -183,34 +205,38 @@ def ordered_sets(nodes: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, compared in full."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("set_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("set_b"))
-    both = pairs.join(a, "a").join(b, "b").where(
+    """Those of the pairs (a, b) that link, compared in full. Few pairs are
+    broadcast, so that only the sets they name are shuffled."""
+    pairs = materialize(pairs, as_table=True)
+    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda x: x)
+    a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("set_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("set_b"))
+    b = b.join(few(pairs.select("b").distinct()), "b", "left_semi")
+    both = a.join(few(pairs), "a").join(b, "b").where(
         f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     both = both.withColumn("overlap", F.size(F.array_intersect("set_a", "set_b")))
     return both.where(f"100 * overlap >= {percent} * (n_a + n_b - overlap)").select("a", "b")
 
 
 def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
-    known = found.select(F.col("node").alias("doc_id"), F.col("component").alias("known"))
-    return rows.join(known, "doc_id", "left").withColumn("component", F.coalesce("known", "doc_id")).drop("known")
+    known = found.select("node", F.col("component").alias("known"))
+    return rows.join(known, "node", "left").withColumn("component", F.coalesce("known", "node")).drop("known")
 
 
 def _to_centres(keyed: DataFrame, key: list[str]) -> DataFrame:
     """Pairs (a, b) of each row and the row of its key's group that shares most, in other components only."""
     centre = keyed.groupBy(*key).agg(
-        F.min(F.struct(-F.col("share"), "doc_id", "component")).alias("c"),
+        F.min(F.struct(-F.col("share"), "node", "component")).alias("c"),
         F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(
-        *key, F.col("c.doc_id").alias("b"), F.col("c.component").alias("of_b"))
-    return keyed.join(centre, key).where("component <> of_b").select(F.col("doc_id").alias("a"), "b").distinct()
+        *key, F.col("c.node").alias("b"), F.col("c.component").alias("of_b"))
+    return keyed.join(centre, key).where("component <> of_b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def products(prefixes: DataFrame, parts: int) -> DataFrame:
     """(a, b, partial): for rows of different components, the number of prefix columns they share."""
 
     def multiply(key, table):
-        h, doc, comp = (np.asarray(table[c]) for c in ("h", "doc_id", "component"))
+        h, doc, comp = (np.asarray(table[c]) for c in ("h", "node", "component"))
         by = np.lexsort((comp, h))
         h, doc, comp = h[by], doc[by], comp[by]
         cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -250,39 +276,39 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ship_package(df.sparkSession)
     bound_batches(df.sparkSession)
     parts = partitions(df)
-    rows = materialize(incidence(df, doc_id, text, words, percent), as_table=True)
-    classes = rows.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("class"))
-    nodes = rows.where("hashes is not null").groupBy("fingerprint").agg(
-        F.max_by(F.struct(F.col("n_shingles").alias("n"), "hashes"), -F.col("doc_id")).alias("s"))
-    nodes = materialize(nodes.join(classes, "fingerprint").select(
-        F.col("class").alias("doc_id"), "s.n", "s.hashes"), as_table=True)
-    sets = materialize(ordered_sets(nodes, percent, parts), as_table=True)
-
-    none = F.col("doc_id")
-    slim = sets.select("doc_id", "n", "share", "keys", F.slice("hashes", F.lit(1), F.col("prefix")).alias("prefix_columns"))
-    keyed = slim.select("doc_id", "share", none.alias("component"), F.posexplode("keys").alias("j", "key"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    docs = df.where(F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("h1"),
+        F.xxhash64(whole, F.lit(4)).alias("h2"), whole.alias("text"))
+    rows = materialize(incidence(docs, words, percent), as_table=True)
+    sets = materialize(ordered_sets(rows, percent), as_table=True)
+
+    slim = sets.select("node", "n", "share", "keys", F.slice("hashes", F.lit(1), F.col("prefix")).alias("prefix_columns"))
+    keyed = slim.select("node", "share", F.col("node").alias("component"), F.posexplode("keys").alias("j", "key"))
     links = materialize(linked(_to_centres(keyed, ["j", "key"]), sets, percent), as_table=True)
     found = components(links)
     for _ in range(2):
-        by_column = _with_component(slim, found).select("doc_id", "share", "component", F.explode("prefix_columns").alias("h"))
+        by_column = _with_component(slim, found).select("node", "share", "component", F.explode("prefix_columns").alias("h"))
         links = materialize(links.union(linked(_to_centres(by_column, ["h"]), sets, percent)), as_table=True)
         found = components(links)
-    by_column = _with_component(slim, found).select("doc_id", "component", F.explode("prefix_columns").alias("h"))
+    by_column = _with_component(slim, found).select("node", "component", F.explode("prefix_columns").alias("h"))
     mixed = by_column.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     partial = products(by_column.join(mixed.select("h"), "h", "left_semi"), parts)
-    size = sets.select("doc_id", "n", (F.size("hashes") - F.col("prefix")).alias("rest"))
+    size = sets.select("node", "n", (F.size("hashes") - F.col("prefix")).alias("rest"))
     a, b = (size.select(*(F.col(c).alias(f"{c}_{s}") for c in size.columns)) for s in "ab")
-    able = partial.join(a, F.col("a") == F.col("doc_id_a")).join(b, F.col("b") == F.col("doc_id_b")).where(
+    able = partial.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).where(
         f"{100 + percent} * (partial + greatest(rest_a, rest_b)) >= {percent} * (n_a + n_b) "
         f"and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
     links = materialize(links.union(linked(able, sets, percent)), as_table=True)
     found = components(links)
 
-    class_of = classes.select("fingerprint", F.col("class"))
-    top = found.select(F.col("node").alias("class"), "component")
-    return (rows.select("doc_id", "n_shingles", "fingerprint").join(class_of, "fingerprint", "left")
-            .join(top, "class", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id")))
+    # A text's group: its component, or (a decimal number and 32 hex digits cannot be equal) its own set.
+    texts = rows.select("h1", "h2", "n_shingles", "fingerprint", "node").join(found, "node", "left").select(
+        "h1", "h2", "n_shingles", F.coalesce(F.col("component").cast("string"), F.hex("fingerprint")).alias("group"))
+    out = materialize(docs.select("doc_id", "h1", "h2").join(texts, ["h1", "h2"]).drop("h1", "h2"), as_table=True)
+    least = out.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    return out.join(least, "group", "left").select(
+        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
