@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 MESSAGE = "batch long, bin int, hashes binary, counts binary"
 ANSWER = "batch long, bin int, counts binary"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def number_of_batches(docs: DataFrame, text: str, parts: int) -> int:

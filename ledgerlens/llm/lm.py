@@ -11,7 +11,7 @@ left-to-right traversal: take the arc of the next word if the state has it,
 else fail; add the logarithms of the weights on the way.
 
 The model of a corpus is as large as the corpus, so no task ever holds it. The
-documents are dealt into batches of about 16 MB of text. Each batch
+documents are dealt into batches of about 8 MB of text. Each batch
 lists its distinct n-grams as sorted 64-bit hashes with their training counts
 (0 for those that only held-out texts have) and sends contiguous ranges of the
 list to the bins of the hash space; a bin adds the counts up and answers every
