@@ -223,20 +223,27 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(known, "node", "left").withColumn("component", F.coalesce("known", "node")).drop("known")
 
 
-def _to_centres(keyed: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs (a, b) of each row and the row of its key's group that shares most, in other components only."""
+def _to_centres(keyed: DataFrame, key: list[str], any_row: bool = False) -> DataFrame:
+    """Pairs (a, b) of each row and one row of its key's group, in other components
+    only: the row that shares most, or (``any_row``) another one for each key."""
+    first = F.xxhash64("node", *key) if any_row else -F.col("share")
     centre = keyed.groupBy(*key).agg(
-        F.min(F.struct(-F.col("share"), "node", "component")).alias("c"),
+        F.min(F.struct(first.alias("first"), "node", "component")).alias("c"),
         F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(
         *key, F.col("c.node").alias("b"), F.col("c.component").alias("of_b"))
     return keyed.join(centre, key).where("component <> of_b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def products(prefixes: DataFrame, parts: int) -> DataFrame:
-    """(a, b, partial): for rows of different components, the number of prefix columns they share."""
+def products(prefixes: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(a, b): rows of different components that share prefix columns and whose
+    overlap may reach the bound. Rows of ``prefixes``: h, node, component, n and
+    rest (the columns beyond the prefix); what two rows share outside both
+    prefixes is beyond the prefix of the one that ends first."""
 
     def multiply(key, table):
-        h, doc, comp = (np.asarray(table[c]) for c in ("h", "node", "component"))
+        h, doc, comp, size_of, rest = (np.asarray(table[c]) for c in ("h", "node", "component", "n", "rest"))
+        nodes, at = np.unique(doc, return_index=True)
+        size_of, rest = size_of[at], rest[at]
         by = np.lexsort((comp, h))
         h, doc, comp = h[by], doc[by], comp[by]
         cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -254,20 +261,27 @@ def products(prefixes: DataFrame, parts: int) -> DataFrame:
             return pa.table({"to": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary())})
         pairs = np.sort(np.concatenate(found), axis=1)
         pairs, count = np.unique(pairs, axis=0, return_counts=True)
+        place = np.searchsorted(nodes, pairs)
+        n, beyond = size_of[place], rest[place].max(axis=1)
+        near = 100 * n.min(axis=1) >= percent * n.max(axis=1)
+        pairs, count, n, beyond = pairs[near], count[near], n[near], beyond[near]
         to = (mix(pairs[:, 0].view(np.uint64) * np.uint64(31) + pairs[:, 1].view(np.uint64)) % np.uint64(parts)).astype(int)
-        triples = np.column_stack([pairs, count])
+        # What the prefix columns must have in common for the overlap to reach percent (|x| + |y|) / (100 + percent).
+        least = -(-percent * n.sum(axis=1) // (100 + percent)) - beyond
+        rows = np.column_stack([pairs, count, least])
         return pa.table({"to": pa.array(np.unique(to), pa.int32()),
-                         "pairs": pa.array([triples[to == t].tobytes() for t in np.unique(to)], pa.binary())})
+                         "pairs": pa.array([rows[to == t].tobytes() for t in np.unique(to)], pa.binary())})
 
     def accumulate(key, table):
-        triples = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 3) for p in table["pairs"].to_pylist()])
-        pairs, place = np.unique(triples[:, :2], axis=0, return_inverse=True)
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(),
-                         "partial": np.bincount(place.reshape(-1), weights=triples[:, 2]).astype(np.int64)})
+        rows = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 4) for p in table["pairs"].to_pylist()])
+        pairs, first, place = np.unique(rows[:, :2], axis=0, return_index=True, return_inverse=True)
+        partial = np.bincount(place.reshape(-1), weights=rows[:, 2], minlength=len(pairs))
+        able = partial >= rows[first, 3]
+        return pa.table({"a": pairs[able, 0].copy(), "b": pairs[able, 1].copy()})
 
     binned = prefixes.withColumn("bin", F.pmod(F.xxhash64("h"), F.lit(4 * parts)))
     made = binned.groupBy("bin").applyInArrow(multiply, "to int, pairs binary")
-    return made.groupBy("to").applyInArrow(accumulate, "a long, b long, partial long")
+    return made.groupBy("to").applyInArrow(accumulate, "a long, b long")
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -283,22 +297,17 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = materialize(incidence(docs, words, percent), as_table=True)
     sets = materialize(ordered_sets(rows, percent), as_table=True)
 
-    slim = sets.select("node", "n", "share", "keys", F.slice("hashes", F.lit(1), F.col("prefix")).alias("prefix_columns"))
+    slim = sets.select("node", "n", "share", "keys", (F.size("hashes") - F.col("prefix")).cast("long").alias("rest"), F.slice("hashes", F.lit(1), F.col("prefix")).alias("prefix_columns"))
     keyed = slim.select("node", "share", F.col("node").alias("component"), F.posexplode("keys").alias("j", "key"))
     links = materialize(linked(_to_centres(keyed, ["j", "key"]), sets, percent), as_table=True)
     found = components(links)
-    for _ in range(2):
+    for any_row in (False, True):
         by_column = _with_component(slim, found).select("node", "share", "component", F.explode("prefix_columns").alias("h"))
-        links = materialize(links.union(linked(_to_centres(by_column, ["h"]), sets, percent)), as_table=True)
+        links = materialize(links.union(linked(_to_centres(by_column, ["h"], any_row), sets, percent)), as_table=True)
         found = components(links)
-    by_column = _with_component(slim, found).select("node", "component", F.explode("prefix_columns").alias("h"))
+    by_column = _with_component(slim, found).select("node", "component", "n", "rest", F.explode("prefix_columns").alias("h"))
     mixed = by_column.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    partial = products(by_column.join(mixed.select("h"), "h", "left_semi"), parts)
-    size = sets.select("node", "n", (F.size("hashes") - F.col("prefix")).alias("rest"))
-    a, b = (size.select(*(F.col(c).alias(f"{c}_{s}") for c in size.columns)) for s in "ab")
-    able = partial.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).where(
-        f"{100 + percent} * (partial + greatest(rest_a, rest_b)) >= {percent} * (n_a + n_b) "
-        f"and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+    able = products(by_column.join(mixed.select("h"), "h", "left_semi"), parts, percent)
     links = materialize(links.union(linked(able, sets, percent)), as_table=True)
     found = components(links)
 
