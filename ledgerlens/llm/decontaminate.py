@@ -177,16 +177,15 @@ class Items:
         return out
 
 
-_INDEX: dict[int, Items] = {}
+_INDEX: list[tuple] = []
 
 
 def _index(rows, radius: int, similarity: float) -> Items:
-    """The worker's index over a broadcast chunk."""
+    """The worker's index over a broadcast chunk. The entry holds the chunk, so no other can be taken for it."""
     value = rows.value
-    if id(value) not in _INDEX:
-        _INDEX.clear()
-        _INDEX[id(value)] = Items(*value, radius, similarity)
-    return _INDEX[id(value)]
+    if not _INDEX or _INDEX[0][0] is not value or _INDEX[0][1:3] != (radius, similarity):
+        _INDEX[:] = [(value, radius, similarity, Items(*value, radius, similarity))]
+    return _INDEX[0][3]
 
 
 def item_chunks(items: DataFrame, item_id: str, text: str):
