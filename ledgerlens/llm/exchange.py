@@ -76,7 +76,7 @@ def sums(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
 def answer(key, table):
     per_message, _ = sums(table)
     return pa.table({"batch": table["batch"], "bin": table["bin"],
-                     "counts": pa.array([planes(t.astype(np.uint32)) for t in per_message], pa.binary())})
+                     "counts": pa.array([planes(t.astype(np.uint64)) for t in per_message], pa.binary())})
 
 
 def answers(asked: DataFrame, parts: int) -> DataFrame:
@@ -87,4 +87,4 @@ def totals(table: pa.Table) -> np.ndarray:
     """The answers to one batch, in the order of its list."""
     parts = table["counts"].to_pylist()
     order = np.argsort(np.asarray(table["bin"]))
-    return np.concatenate([from_planes(parts[i], np.uint32) for i in order] or [np.zeros(0, np.uint32)])
+    return np.concatenate([from_planes(parts[i], np.uint64) for i in order] or [np.zeros(0, np.uint64)])
