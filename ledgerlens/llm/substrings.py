@@ -5,9 +5,11 @@ reached from its anchor, the suffix that starts at the window's least gram of
 ``GRAM`` words (least by hash, so equal windows have equal anchors). The
 anchor's prefix decides which group a window goes to: neighbouring windows
 share an anchor, so a run of them travels as one entry (document, first word,
-labels) and no text is shuffled. Groups are dealt over as many bins as keep a
-bin memory-sized; a prefix may be extended by the label, as equal windows
-agree in both. Within a bin the windows of each prefix are sorted by label (the
+labels) and no text is shuffled. A first scan counts the windows by slots of the
+prefix' hash; groups are dealt over as many bins as keep a bin at ``BIN_WINDOWS``
+windows, and the prefixes of a slot with more than half a bin are extended by part
+of the label, so that its windows go to several bins (equal windows agree in both).
+Within a bin the windows of each prefix are sorted by label (the
 64-bit fingerprint of the path of ``width`` words, read together with the
 64-bit prefix): equal neighbours are the leaves under one internal node of
 depth ``width`` or more. A node with leaves in two documents is a repeat; the
@@ -35,13 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 from .text import (add_columns, bound_batches, byte_values, inside, mix, ngram_hashes, partitions, read_table,
                    split_words, utf8, pieces, word_hashes)
 
 WIDTH = 50
 GRAM = 10
 BINS_A_PARTITION = 4
+BIN_WINDOWS = 2_000_000         # about 200 MB while a bin is compared
+SLOTS_A_BIN = 64
 
 
 def least_grams(hashes: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -101,8 +105,31 @@ def _covered(doc, text, lo, hi) -> bytes:
     return _pack(np.array([-len(doc)], np.int64), doc, text, lo.astype(np.int64), hi.astype(np.int64))
 
 
-def _window_entries(column, doc_ids, text_hashes, width: int, bins: int) -> Iterator[tuple[int, bytes]]:
-    """(bin, message) for the windows of one Arrow batch."""
+class Dealing:
+    """Which bin a window goes to: by its prefix, and in heavy slots of the prefix' hash also by its label."""
+
+    def __init__(self, bins: int, slots: int, heavy: dict[int, int] | None = None):
+        """``heavy``: for slots that have to be split, into how many."""
+        self.bins, self.slots = bins, slots
+        self.slot = np.array(sorted(heavy or {}), np.int64)
+        self.ways = np.array([heavy[i] for i in self.slot.tolist()] if heavy else [], np.uint64)
+
+    def slot_of(self, prefix: np.ndarray) -> np.ndarray:
+        return (mix(prefix) % np.uint64(self.slots)).astype(np.int64)
+
+    def bin_of(self, prefix: np.ndarray, label: np.ndarray) -> np.ndarray:
+        key = mix(prefix)
+        if len(self.slot):
+            slot = self.slot_of(prefix)
+            place = np.minimum(np.searchsorted(self.slot, slot), len(self.slot) - 1)
+            split = np.flatnonzero(self.slot[place] == slot)
+            key[split] = mix(key[split] + mix(label[split]) % self.ways[place[split]])
+        return (mix(key) % np.uint64(self.bins)).astype(np.int64)
+
+
+def _windows(column, doc_ids, text_hashes, width: int) -> Iterator[tuple]:
+    """For the pieces of one Arrow batch: the covered spans within the piece, if
+    any, as a message, and (prefix, label, doc, text, start, row) of the other windows."""
     values = byte_values(lower=False, seed=6)
     raw, at = utf8(column)
     for a, b in pieces(at, 1 << 23):
@@ -115,15 +142,23 @@ def _window_entries(column, doc_ids, text_hashes, width: int, bins: int) -> Iter
         row = words.text[spot]
         doc, text, start = doc_ids[a:b][row], text_hashes[a:b][row], spot - words.first[row]
         later = later_windows(prefix, label, doc)
+        covered = None
         if later.any():
             r, lo, hi = _spans(start[later], row[later], width)
-            yield int(mix(np.array([doc[0]], np.int64).view(np.uint64))[0] % np.uint64(bins)), _covered(
-                doc_ids[a:b][r], text_hashes[a:b][r], lo, hi)
+            covered = _covered(doc_ids[a:b][r], text_hashes[a:b][r], lo, hi)
         ship = np.flatnonzero(~later)
-        prefix, label, doc, text, start, row = (x[ship] for x in (prefix, label, doc, text, start, row))
-        first = runs_of(prefix, row, start - np.arange(len(start)))
+        yield covered, [x[ship] for x in (prefix, label, doc, text, start, row)]
+
+
+def _window_entries(column, doc_ids, text_hashes, width: int, dealing: Dealing) -> Iterator[tuple[int, bytes]]:
+    """(bin, message) for the windows of one Arrow batch."""
+    for covered, (prefix, label, doc, text, start, row) in _windows(column, doc_ids, text_hashes, width):
+        if covered is not None:
+            yield int(mix(np.array([doc[0]], np.int64).view(np.uint64))[0] % np.uint64(dealing.bins)), covered
+        at = dealing.bin_of(prefix, label)
+        first = runs_of(prefix, row, start - np.arange(len(start)), at)
         count = np.diff(np.r_[first, len(start)])
-        to = (mix(prefix[first]) % np.uint64(bins)).astype(np.int64)
+        to = at[first]
         order = np.argsort(to, kind="stable")
         cut = runs_of(to[order])
         for x, y in zip(cut, np.r_[cut[1:], len(order)]):
@@ -134,6 +169,30 @@ def _window_entries(column, doc_ids, text_hashes, width: int, bins: int) -> Iter
                                           start[f].astype(np.uint32), c.astype(np.uint32), label[window])
 
 
+def deal(rows: DataFrame, width: int, parts: int, bin_windows: int = BIN_WINDOWS) -> Dealing:
+    """Count the windows of ``rows`` (doc_id, text_hash, text) by slot, and size the bins."""
+    slots = parts * BINS_A_PARTITION * SLOTS_A_BIN
+    by = Dealing(1, slots)
+
+    def count(batches):
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            for _, (prefix, *_rest) in _windows(batch.column(2), *ids, width):
+                np.add.at(total, by.slot_of(prefix), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())],
+                                         names=["slot", "n"])
+
+    found = rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = materialize(found, as_table=True)
+    windows = found.agg(F.sum("n").alias("n")).first()["n"] or 0
+    bins = max(parts * BINS_A_PARTITION, -(-2 * windows // bin_windows))
+    most = max(1, windows // (2 * bins))                # half a bin; so at most 2 * bins slots are heavier
+    heavy = {r["slot"]: -(-r["n"] // most) for r in found.where(F.col("n") > most).collect()}
+    return Dealing(bins, slots, heavy)
+
+
 def _read(message: bytes, kinds) -> list:
     n = abs(int(np.frombuffer(message, np.int64, 1)[0]))
     at, out = 8, []
@@ -166,12 +225,13 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     ship_package(df.sparkSession)
     bound_batches(df.sparkSession)
     parts = partitions(df)
-    bins = parts * BINS_A_PARTITION
+    rows = _numbered(df, doc_id, text)
+    dealing = deal(rows, width, parts)
 
     def cut(batches):
         for batch in batches:
             ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-            found = [*_window_entries(batch.column(2), *ids, width, bins)]
+            found = [*_window_entries(batch.column(2), *ids, width, dealing)]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()),
                                               pa.array([m for _, m in found], pa.binary())], names=["bin", "message"])
 
@@ -195,7 +255,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         if held:
             yield out(_bin_repeats(held, width))
 
-    dealt = _numbered(df, doc_id, text).mapInArrow(cut, "bin int, message binary").repartition(parts, "bin")
+    dealt = rows.mapInArrow(cut, "bin int, message binary").repartition(parts, "bin")
     return dealt.sortWithinPartitions("bin").mapInArrow(
         grow, "doc_id long, text_hash long, from_word int, to_word int")
 
