@@ -20,7 +20,7 @@ def duck_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, float):
         if math.isnan(v):
