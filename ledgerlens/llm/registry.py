@@ -16,6 +16,7 @@ MODULES = {
     "op8_quality": "quality",
     "op9_bpe": "bpe",
     "op10_token_counts": "rollup",
+    "op12_prefix_trie": "prefix_trie",
 }
 
 

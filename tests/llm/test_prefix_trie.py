@@ -1,0 +1,155 @@
+import hashlib
+import random
+import zlib
+
+import duckdb
+import numpy as np
+from brute import SF, empty
+from compare import compare
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import prefix_trie as pt
+
+KIND = "conv_id long, turn long, role string, text string"
+ROWS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def brute(convs):
+    """{conv_id: [(role, text), ...]} -> the rows of the trie."""
+    members = {}
+    for c, seq in convs.items():
+        for d in range(len(seq) + 1):
+            members.setdefault(tuple(seq[:d]), []).append(c)
+    kids = {}
+    for path in members:
+        if path:
+            kids.setdefault(path[:-1], []).append(path)
+
+    def below(path):
+        yield path
+        for kid in kids.get(path, ()):
+            yield from below(kid)
+
+    out = []
+    for path, ids in members.items():
+        ends = sorted(c for c in ids if len(convs[c]) == len(path))
+        out.append((min(ids), len(path), min(members[path[:-1]]) if path else None, len(ids), len(kids.get(path, ())),
+                    sum(p not in kids for p in below(path)),
+                    sum((len(members[p]) - 1) * len(p[-1][1].encode()) for p in below(path) if p),
+                    hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def rows(df):
+    return sorted((tuple(r[c] for c in ROWS) for r in df.collect()), key=str)
+
+
+def by_conv(spark_rows):
+    turns = {}
+    for c, turn, role, text in spark_rows:
+        if c is not None:
+            turns.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    key = lambda t: (t[0], t[1], hashlib.md5(f"{len(t[2].encode())}:{t[2]}{t[3]}".encode()).hexdigest())
+    own = {c: [(t[2], t[3]) for t in sorted(ts, key=key)] for c, ts in turns.items()}
+    out = {}
+    for c, seq in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = own.get(c - c % 5, [])[:h] + seq[h:]
+    return own, out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc", max_size=6), min_size=1, max_size=60), st.integers(1, 7), st.integers(2, 4), st.randoms())
+def test_forests_merged_across_boundaries_equal_brute_force(words, parts, fan, rng):
+    convs = {i: [(ch, ch * (ord(ch) - 95)) for ch in w] for i, w in enumerate(words)}
+    sym = {ch: hashlib.md5(ch.encode()).digest() for ch in "abc"}
+    found = {}
+    for c, w in enumerate(words):
+        found.setdefault(b"".join(sym[ch] for ch in w), []).append((c, w))
+    order = sorted(found)
+    cuts = sorted(rng.sample(range(len(order) + 1), min(parts - 1, len(order) + 1)))
+    ends = {}
+    lists, nodes = [], []
+    for a, b in zip([0, *cuts], [*cuts, len(order)]):
+        items = []
+        for seq in order[a:b]:
+            ids, w = [c for c, _ in found[seq]], found[seq][0][1]
+            cum = np.cumsum([0, *(ord(ch) - 95 for ch in w)], dtype=np.int64)
+            one = pt.Item(seq, cum, len(w), 0, len(ids), min(ids), 1, 0, len(ids) * int(cum[-1]), int(cum[-1]), len(w))
+            pt._linked([one], items[-1] if items else None)
+            ends[pt._key(seq, len(w))] = hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+            items.append(one)
+        if items:
+            nodes += pt.grow(items, False, False)
+            lists.append(pt.contract(items))
+    while True:
+        groups = [lists[i:i + fan] for i in range(0, len(lists), fan)]
+        whole, lists = len(groups) == 1, []
+        for group in groups:
+            items = []
+            for part in group:
+                pt._linked(part, items[-1] if items else None)
+                items += part
+            nodes += pt.grow(items, whole, True)
+            lists.append(pt.contract(items))
+        if whole:
+            break
+    keys = {n[8]: n[1] for n in nodes if n[8]}
+    got = sorted(((n[1], n[0], keys[n[9]] if n[9] else n[2], *n[3:7], ends[n[7]] if n[7] else pt.NO_ENDS) for n in nodes), key=str)
+    assert got == brute(convs)
+
+
+def test_contracted_lists_are_short():
+    rng, items = random.Random(5), []
+    for seq in sorted({bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(900)}):
+        path = b"".join(hashlib.md5(bytes([x])).digest() for x in seq)
+        items.append(path)
+    made = []
+    for path in sorted(items):
+        one = pt.Item(path, np.arange(13), 12, 0, 1, 1, 1, 0, 12, 12, 12)
+        pt._linked([one], made[-1] if made else None)
+        made.append(one)
+    assert len(pt.contract(made)) <= 2 * 12 + 3
+
+
+def given_rows():
+    out = [(c, t, "user" if t % 2 == 0 else "assistant", f"common {t}" if c % 3 == 0 else f"own {c} {t}")
+           for c in range(60) for t in range(c % 11)]
+    out += [(c, t, "user", "the same") for c in range(100, 400) for t in range(3)]               # a hot conversation
+    out += [(500, None, "user", "no turn"), (500, 0, None, None), (500, 0, "user", "tie"), (500, 0, "a", "tie"), (501, 1, "", "é" * 9),
+            (None, 0, "user", "nobody"), (502, 5, "user", "x" * 300_000), (502, 5, "user", "x" * 300_000), (-7, 0, "user", "minus"),
+            (503, 0, "us", "er"), (504, 0, "user", "")]
+    return out
+
+
+def test_spark_equals_brute_force_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pt, "FAN", 3)
+    monkeypatch.setattr(pt, "PARTITION_BYTES", 400)
+    monkeypatch.setattr(pt, "PIECE_BYTES", 100)
+    found = spark.createDataFrame(given_rows(), KIND).repartition(5).withColumn("seq", F.lit("clash")).withColumn("depth", F.lit(1))
+    own, new = by_conv(given_rows())
+    assert rows(pt.prefix_trie(pt.sequences(found))) == brute(own)
+    assert rows(pt.prefix_trie(pt.rebuilt(pt.sequences(found)))) == brute(new)
+
+
+def test_empty(spark):
+    assert rows(pt.prefix_trie(pt.rebuilt(pt.sequences(empty(spark, KIND))))) == []
+    nobody = spark.createDataFrame([(None, 1, "user", "x")], KIND)
+    assert rows(pt.prefix_trie(pt.sequences(nobody))) == []
+
+
+def test_turnless_conversation(spark):
+    """Conversation 5k + r may lose all its turns to an absent base."""
+    found = [(c, 0, "user", "hello") for c in range(1, 100) if c % 5]
+    _, new = by_conv(found)
+    assert any(not s for s in new.values())
+    assert rows(pt.prefix_trie(pt.rebuilt(pt.sequences(spark.createDataFrame(found, KIND))))) == brute(new)
+
+
+def test_oracle(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
+    ok, why = compare(pt.op12_prefix_trie(spark, SF), con, pt.ORACLE_SQL)
+    assert ok, why
