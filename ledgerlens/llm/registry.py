@@ -17,6 +17,7 @@ MODULES = {
     "op9_bpe": "bpe",
     "op10_token_counts": "rollup",
     "op12_prefix_trie": "prefix_trie",
+    "op13_warc": "warc",
 }
 
 
