@@ -16,6 +16,7 @@ MODULES = {
     "op8_quality": "quality",
     "op9_bpe": "bpe",
     "op10_token_counts": "rollup",
+    "op11_lexical_search": "search",
     "op12_prefix_trie": "prefix_trie",
     "op13_warc": "warc",
 }
