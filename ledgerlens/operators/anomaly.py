@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import core as fx
-from . import iforest, stats
+from . import stats
+from .forest_store import stored_forest
 from .quantile import hash_sample
 
 STATS = "_stats"
@@ -44,11 +45,13 @@ def with_reasons(df: DataFrame) -> DataFrame:
         *df.columns, _reasons(F.col(STATS)).alias("anomaly_reason"))
 
 
-def explain_and_rank(scored: DataFrame, score_col: str = "anomaly_score") -> DataFrame:
+def explain_and_rank(scored: DataFrame, score_col: str = "anomaly_score", score_range: tuple | None = None) -> DataFrame:
     """Adds ``anomaly_reason`` and ``priority_score`` =
     round((0.55·norm score + 0.30·norm amount + 0.15·fraud flag)·100, 2), half to
-    even, to every row; all statistics come from one aggregate over all rows."""
-    rows = stats.with_stats(scored, STATS, **_reason_stats(), lo=F.min(score_col), hi=F.max(score_col),
+    even, to every row; all statistics come from one aggregate over all rows.
+    With ``score_range``, the known least and largest score, that aggregate reads no score."""
+    lo, hi = (F.lit(float(v)) for v in score_range) if score_range else (F.min(score_col), F.max(score_col))
+    rows = stats.with_stats(scored, STATS, **_reason_stats(), lo=lo, hi=hi,
                             lo_amount=F.min("amount"), hi_amount=F.max("amount"))
     st = F.col(STATS)
     norm = lambda c, lo, hi: (F.col(c) - st[lo]) / (st[hi] - st[lo] + F.lit(K.MINMAX_EPS))
@@ -64,12 +67,16 @@ def top_anomalies(ranked: DataFrame, top_n: int, flag_col: str = "is_anomaly") -
             .orderBy(F.desc("priority_score"), "transaction_id").limit(top_n))
 
 
+def transaction_forest(txn: DataFrame, n_trees: int = K.FOREST_TREES, seed: int = K.FOREST_SEED):
+    return stored_forest(txn, "transaction_id", K.FEATURES, n_trees, K.FOREST_MAX_SAMPLES, seed)
+
+
 def detect_transaction_anomalies(txn: DataFrame, contamination: float = K.DEFAULT_CONTAMINATION,
                                  n_trees: int = K.FOREST_TREES, seed: int = K.FOREST_SEED) -> DataFrame:
-    """All rows with ``anomaly_score``, ``is_anomaly``, ``anomaly_reason``, ``priority_score``."""
-    scored = iforest.isolation_forest_scores(txn, "transaction_id", K.FEATURES, contamination,
-                                             n_trees, K.FOREST_MAX_SAMPLES, seed)
-    return explain_and_rank(scored)
+    """All rows with ``anomaly_score``, ``is_anomaly``, ``anomaly_reason``, ``priority_score``.
+    Rows are scored once, where they are read; the cut-off and the scores' range are the stored forest's."""
+    forest = transaction_forest(txn, n_trees, seed)
+    return explain_and_rank(forest.scored(txn, contamination), score_range=forest.anomaly_range(contamination))
 
 
 def top_priority_anomalies(txn: DataFrame, top_n: int = K.DEFAULT_TOP_N,

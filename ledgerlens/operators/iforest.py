@@ -104,8 +104,9 @@ def grow_tree(x: np.ndarray, seed: int, tree: int, max_depth: int) -> list[tuple
     return nodes
 
 
-def _fit_group(features: list[str], seed: int, max_depth: int):
+def _fit_group(features: list[str], seed: int, max_depth: int, psi: int):
     def fit(key, table):
+        table = _first(table, psi)
         x = np.column_stack([table[f].to_numpy() for f in features])
         tree = key[0].as_py()
         nodes = list(zip(*grow_tree(x, seed, tree, max_depth)))
@@ -120,6 +121,10 @@ PATH_UNITS = 1_000_000_000
 
 @dataclass
 class IsolationForestModel:
+    """All trees as one table. A walk needs no test for leaves: ``steps`` holds, for
+    each tree, a full binary tree of depth ``max_depth`` in which a leaf sends every
+    row on to the left, and ``ends`` the path lengths of its lowest level. That is
+    at most four places for every sampled row."""
     feature: np.ndarray     # per node, -1 for a leaf
     threshold: np.ndarray
     left: np.ndarray        # global node index
@@ -129,6 +134,9 @@ class IsolationForestModel:
     max_depth: int
     psi: int
     n_features: int
+    step_feature: np.ndarray
+    step_threshold: np.ndarray
+    ends: np.ndarray
 
     @classmethod
     def from_nodes(cls, nodes: pd.DataFrame, psi: int, max_depth: int, n_features: int) -> "IsolationForestModel":
@@ -137,12 +145,20 @@ class IsolationForestModel:
         key = (tree << 40) | node
         inner = nodes["feature"].to_numpy() >= 0
         at = lambda child: np.where(inner, np.searchsorted(key, (tree << 40) | child), -1)
-        units = (nodes["depth"].to_numpy(np.int64) * PATH_UNITS
-                 + np.rint(average_path_length(nodes["size"].to_numpy()) * PATH_UNITS).astype(np.int64))
-        return cls(nodes["feature"].to_numpy().astype(np.int64), nodes["threshold"].to_numpy(np.float64),
-                   at(2 * node), at(2 * node + 1), units, np.flatnonzero(node == 1), max_depth, psi, n_features)
-
-    def score_samples(self, x: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        depth = nodes["depth"].to_numpy(np.int64)
+        units = depth * PATH_UNITS + np.rint(average_path_length(nodes["size"].to_numpy()) * PATH_UNITS).astype(np.int64)
+        feature, threshold = nodes["feature"].to_numpy().astype(np.int64), nodes["threshold"].to_numpy(np.float64)
+        roots = np.flatnonzero(node == 1)
+        width, place = 1 << max_depth, np.cumsum(node == 1) - 1
+        steps_f, steps_t = np.zeros(len(roots) * width, np.int32), np.full(len(roots) * width, np.inf)
+        ends = np.zeros(len(roots) * width, np.int64)
+        steps_f[(place * width + node)[inner]], steps_t[(place * width + node)[inner]] = feature[inner], threshold[inner]
+        leaf = ~inner
+        ends[(place * width + ((node << (max_depth - depth)) - width))[leaf]] = units[leaf]
+        return cls(feature, threshold, at(2 * node), at(2 * node + 1), units, roots, max_depth, psi, n_features,
+                   steps_f, steps_t, ends)
+
+    def score_samples(self, x: np.ndarray, chunk: int = 1024) -> np.ndarray:
         """-2 ** (-E[h(x)] / c(psi)) for each row of ``x`` (rows × features).
 
         Rows are walked through all trees at once, ``chunk`` rows at a time,
@@ -154,17 +170,16 @@ class IsolationForestModel:
             return np.full(len(x), -0.5)
         if len(x) > chunk:
             return np.concatenate([self.score_samples(x[i:i + chunk], chunk) for i in range(0, len(x), chunk)])
-        rows = np.arange(len(x))[:, None]
-        node = np.broadcast_to(self.roots[None, :], (len(x), len(self.roots))).copy()
+        flat = np.where(np.isnan(x), np.inf, x).ravel()          # a missing comparison goes right, as a large value does
+        row = (np.arange(len(x), dtype=np.int32) * x.shape[1])[:, None]
+        width = 1 << self.max_depth
+        base = (np.arange(len(self.roots), dtype=np.int32) * width)[None, :]
+        node = np.ones((len(x), len(self.roots)), np.int32)
         for _ in range(self.max_depth):
-            f = self.feature[node]
-            internal = f >= 0
-            if not internal.any():
-                break
-            xv = x[rows, np.where(internal, f, 0)]
-            nxt = np.where(xv <= self.threshold[node], self.left[node], self.right[node])
-            node = np.where(internal, nxt, node)
-        mean_path = self.path[node].sum(axis=1) / (PATH_UNITS * len(self.roots))
+            at = base + node
+            node += node
+            node += flat.take(row + self.step_feature.take(at)) > self.step_threshold.take(at)
+        mean_path = self.ends.take(base + (node - width)).sum(axis=1) / (PATH_UNITS * len(self.roots))
         return -np.power(2.0, -mean_path / scale)
 
 
@@ -174,8 +189,12 @@ def _features_frame(df: DataFrame, id_col: str, features: list[str], seed: int)
                      *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
 
 
-def _tree_samples(x: DataFrame, features: list[str], n: int, psi: int, n_trees: int) -> tuple[DataFrame, DataFrame]:
-    """(tree_id, draw, _id, features) with exactly ``psi`` rows a tree, and the cached candidates."""
+def _first(table: pa.Table, psi: int) -> pa.Table:
+    return table.sort_by([("draw", "ascending"), ("_id", "ascending")]).slice(0, psi)
+
+
+def _tree_candidates(x: DataFrame, features: list[str], n: int, psi: int, n_trees: int) -> tuple[DataFrame, DataFrame]:
+    """(tree_id, draw, _id, features) by tree, with the ``psi`` rows of each tree and a few more, and what is cached."""
     id_type = x.schema["_id"].dataType.simpleString()
     schema = f"tree_id int, draw long, _id {id_type}, " + ", ".join(f"`{f}` double" for f in features)
 
@@ -183,20 +202,17 @@ def _tree_samples(x: DataFrame, features: list[str], n: int, psi: int, n_trees:
         def run(batches):
             for batch in batches:
                 h = batch.column(1).to_numpy(zero_copy_only=False)
+                found = []
                 for t in range(n_trees):
                     d = draw(h, t)
                     at = np.flatnonzero(d <= cut)
-                    if len(at):
-                        rows = batch.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), t), pa.int32()), pa.array(d[at]), rows.column(0), *rows.columns[2:]],
-                            names=["tree_id", "draw", "_id", *features])
+                    found.append((np.full(len(at), t, np.int32), d[at], at))
+                tree, drawn, at = (np.concatenate(c) for c in zip(*found))
+                rows = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(drawn), rows.column(0), *rows.columns[2:]],
+                                                 names=["tree_id", "draw", "_id", *features])
         return x.mapInArrow(run, schema)
 
-    def keep(key, table):
-        order = table.sort_by([("draw", "ascending"), ("_id", "ascending")])
-        return order.slice(0, psi)
-
     slack = 8.0 * math.sqrt(psi) + 64.0
     while True:
         cut = min(PRIME, int((psi + slack) / n * PRIME))
@@ -205,11 +221,17 @@ def _tree_samples(x: DataFrame, features: list[str], n: int, psi: int, n_trees:
         if cut >= PRIME or (len(counts) == n_trees and min(counts) >= psi):
             # Growing trees is CPU work: an explicit number of partitions is not coalesced.
             parts = max(1, min(n_trees, x.sparkSession.sparkContext.defaultParallelism * 2))
-            return cand.repartition(parts, "tree_id").groupBy("tree_id").applyInArrow(keep, schema), cand
+            return cand.repartition(parts, "tree_id"), cand
         cand.unpersist()
         slack *= 4
 
 
+def _tree_samples(x: DataFrame, features: list[str], n: int, psi: int, n_trees: int) -> tuple[DataFrame, DataFrame]:
+    """(tree_id, draw, _id, features) with exactly ``psi`` rows a tree, and what is cached."""
+    cand, held = _tree_candidates(x, features, n, psi, n_trees)
+    return cand.groupBy("tree_id").applyInArrow(lambda key, table: _first(table, psi), cand.schema), held
+
+
 def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max_samples: int = 256,
         seed: int = 42) -> IsolationForestModel:
     """Fit on the id and feature columns of ``df`` (nulls as 0)."""
@@ -220,24 +242,34 @@ def fit(df: DataFrame, id_col: str, features: list[str], n_trees: int = 150, max
         x.unpersist()
 
 
-def fit_features(x: DataFrame, features: list[str], n: int, n_trees: int = 150, max_samples: int = 256,
-                 seed: int = 42) -> IsolationForestModel:
-    """Fit on a frame of ``_id``, ``_h`` and the features (already null-filled) with ``n`` rows."""
+def depth_for(psi: int) -> int:
+    return int(math.ceil(math.log2(max(psi, 2))))
+
+
+def fit_nodes(x: DataFrame, features: list[str], n: int, n_trees: int = 150, max_samples: int = 256,
+              seed: int = 42) -> tuple[pd.DataFrame, int]:
+    """The nodes of a forest over a frame of ``_id``, ``_h`` and the features (already
+    null-filled) with ``n`` rows, and the rows a tree."""
     ship_package(x.sparkSession)
     psi = max(1, min(max_samples, n))
     if n_trees * (2 * psi - 1) > MOST_NODES:
         raise ValueError(f"{n_trees} trees of {psi} rows may have more than {MOST_NODES} nodes")
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
     if n == 0:
-        empty = pd.DataFrame(columns=NODE_SCHEMA.fieldNames())
-        return IsolationForestModel.from_nodes(empty, psi, max_depth, len(features))
-    sample, held = _tree_samples(x, features, n, psi, n_trees)
+        return pd.DataFrame(columns=NODE_SCHEMA.fieldNames()), psi
+    sample, held = _tree_candidates(x, features, n, psi, n_trees)
     try:
         # At most MOST_NODES rows.
-        nodes = sample.groupBy("tree_id").applyInArrow(_fit_group(features, seed, max_depth), NODE_SCHEMA).toPandas()
+        grown = sample.groupBy("tree_id").applyInArrow(_fit_group(features, seed, depth_for(psi), psi), NODE_SCHEMA)
+        return grown.toPandas(), psi
     finally:
         held.unpersist()
-    return IsolationForestModel.from_nodes(nodes, psi, max_depth, len(features))
+
+
+def fit_features(x: DataFrame, features: list[str], n: int, n_trees: int = 150, max_samples: int = 256,
+                 seed: int = 42) -> IsolationForestModel:
+    """Fit on a frame of ``_id``, ``_h`` and the features (already null-filled) with ``n`` rows."""
+    nodes, psi = fit_nodes(x, features, n, n_trees, max_samples, seed)
+    return IsolationForestModel.from_nodes(nodes, psi, depth_for(psi), len(features))
 
 
 def score_column(model: IsolationForestModel, features: list[str], spark) -> Column:

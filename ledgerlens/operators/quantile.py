@@ -38,21 +38,22 @@ def _bucket(v: Column, lo, hi, bins: int, integral: bool) -> Column:
             .otherwise(F.greatest(F.lit(half), F.least(place, F.lit(bins - 1)))))
 
 
-def select_ranks(df: DataFrame, column: str, ranks: Iterable[int], bins: int = 2048) -> dict[int, object]:
+def select_ranks(df: DataFrame, column: str, ranks: Iterable[int], bins: int = 2048,
+                 known: tuple | None = None) -> dict[int, object]:
     """Values at the given 0-based ranks of ``column`` in ascending order
-    (nulls and NaN left out). Raises if a rank is out of range."""
+    (nulls and NaN left out). Raises if a rank is out of range. ``known``: the
+    number of values, the least and the largest, where the caller has them."""
     field = df.schema[column].dataType
     integral = isinstance(field, _INTEGRAL)
     v = F.col(column)
     keep = v.isNotNull() if integral else (v.isNotNull() & ~F.isnan(v))
     base = df.select(v.alias("v")).where(keep)
-    head = base.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n = head["n"]
+    n, lo0, hi0 = known or base.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     want = sorted(set(int(r) for r in ranks))
     if want and (want[0] < 0 or want[-1] >= n):
         raise ValueError(f"rank out of range for {n} values: {want}")
     out: dict[int, object] = {}
-    lo0, hi0, below0 = head["lo"], head["hi"], 0
+    below0 = 0
     if not integral and want and (math.isinf(lo0) or math.isinf(hi0)):
         # Infinities sit at the ends of the order: ranks inside those blocks
         # are answered directly, the histogram runs over the finite values.

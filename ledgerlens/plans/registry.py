@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import anomaly as AN
 from ..operators import enrich as EN
-from ..operators import iforest
 from ..operators.filters import ViewFilter, filter_domains, filter_tickets, filter_transactions
 from ..operators.stats import minmax_norm, zscore_flags
 from ..sources import io
@@ -124,9 +123,8 @@ def _nine(column: str):
 
 
 def _forest_scores(txn: DataFrame) -> DataFrame:
-    return iforest.isolation_forest_scores(
-        txn, "transaction_id", K.FEATURES, K.DEFAULT_CONTAMINATION, K.FOREST_TREES,
-        K.FOREST_MAX_SAMPLES, K.FOREST_SEED).select("transaction_id", _nine("anomaly_score"), "is_anomaly")
+    return AN.transaction_forest(txn).scored(txn, K.DEFAULT_CONTAMINATION).select(
+        "transaction_id", _nine("anomaly_score"), "is_anomaly")
 
 
 def anomaly_queries() -> dict[str, Query]:
