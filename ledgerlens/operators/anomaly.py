@@ -21,15 +21,16 @@ STATS = "_stats"
 
 
 def _reason_stats() -> dict[str, Column]:
-    return {"mean_pt": F.avg("processing_time_ms"), "std_pt": F.stddev_samp("processing_time_ms"),
-            "mean_amount": F.avg("amount"), "std_amount": F.stddev_samp("amount")}
+    return stats.moments("processing_time_ms", "pt_") | stats.moments("amount", "amount_")
 
 
 def _reasons(st: Column) -> Column:
     slow, unusual, retries, risky, failed = K.REASON_TAGS
     tags = [
-        F.when(stats._flag(F.col("processing_time_ms"), st["mean_pt"], st["std_pt"], K.REASON_Z), F.lit(slow)),
-        F.when(stats._flag(F.col("amount"), st["mean_amount"], st["std_amount"], K.REASON_Z), F.lit(unusual)),
+        F.when(stats._flag(F.col("processing_time_ms"), stats.mean_of(st, "pt_"), stats.sample_std_of(st, "pt_"), K.REASON_Z),
+               F.lit(slow)),
+        F.when(stats._flag(F.col("amount"), stats.mean_of(st, "amount_"), stats.sample_std_of(st, "amount_"), K.REASON_Z),
+               F.lit(unusual)),
         F.when(F.col("retry_count") >= K.HIGH_RETRIES, F.lit(retries)),
         F.when(F.col("risk_score") > K.HIGH_RISK_SCORE, F.lit(risky)),
         F.when(F.col("status") == "Failed", F.lit(failed)),

@@ -72,17 +72,76 @@ def _flag(x: Column, mean: Column, std: Column, threshold: float) -> Column:
     return F.coalesce(F.abs(z) > F.lit(float(threshold)), F.lit(False))
 
 
+# Moments are taken of whole millionths, so that sums do not depend on their order.
+_UNITS = 1_000_000
+_PART = 1_000_000_000
+
+
+def moments(column: str, name: str = "") -> dict[str, Column]:
+    """Aggregates of a column, named with a prefix: n, s1 (the exact sum in millionths)
+    and the exact sum of squares in three parts, for millionths taken as a * 10**9 + b:
+    s2a of a*a, s2b of a*b, s2c of b*b. Values that are no finite number are left
+    out; values beyond 10**13 are an error."""
+    x = F.col(column).cast("double")
+    u = (F.when(F.abs(x) < F.lit(float("inf")), x).cast("decimal(19,6)") * F.lit(_UNITS)).cast("decimal(19,0)")
+    a = F.call_function("div", u, F.lit(_PART).cast("decimal(10,0)")).cast("decimal(11,0)")
+    b = (u - a * F.lit(_PART).cast("decimal(10,0)")).cast("decimal(10,0)")
+    return {f"{name}{k}": e for k, e in (("n", F.count(u)), ("s1", F.sum(u)), ("s2a", F.sum(a * a)), ("s2b", F.sum(a * b)),
+                                         ("s2c", F.sum(b * b)))}
+
+
+def mean_of(st, name: str = "") -> Column:
+    """The mean, from ``moments``."""
+    return F.try_divide(st[f"{name}s1"].cast("double"), st[f"{name}n"].cast("double") * F.lit(float(_UNITS)))
+
+
+def sample_std_of(st, name: str = "") -> Column:
+    """The sample standard deviation, from ``moments``: n s2 - s1^2 is exact as far
+    as 38 digits hold it, else taken in doubles; null for fewer than two values."""
+    n, s1 = st[f"{name}n"], st[f"{name}s1"]
+    parts = [(st[f"{name}s2a"], _PART * _PART), (st[f"{name}s2b"], 2 * _PART), (st[f"{name}s2c"], 1)]
+    whole = lambda c: c.cast(_EXACT)
+    s2 = None
+    for value, factor in parts:
+        term = F.try_multiply(whole(value), F.lit(factor).cast("decimal(19,0)"))
+        s2 = term if s2 is None else F.try_add(s2, term)
+    exact = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), s2), F.try_multiply(whole(s1), whole(s1))).cast("double")
+    d = lambda c: c.cast("double")
+    near = d(n) * sum((d(value) * F.lit(float(factor)) for value, factor in parts), F.lit(0.0)) - d(s1) * d(s1)
+    pairs = d(n) * (d(n) - F.lit(1.0))
+    return F.when(n > 1, F.sqrt(F.greatest(F.coalesce(exact, near), F.lit(0.0)) / pairs) / F.lit(float(_UNITS)))
+
+
 def zscore_flags(df: DataFrame, column: str, threshold: float = 3.0) -> Column:
     """|x − mean| / sample-std > threshold, as a boolean column.
 
     All false when the standard deviation is 0 or undefined (one row, all
     null); a null value is false.
     """
-    st = scalars_of(df, mean=F.avg(column), std=F.stddev_samp(column))
-    return _flag(F.col(column), st["mean"], st["std"], threshold)
+    st = scalars_of(df, **moments(column))
+    return _flag(F.col(column), mean_of(st), sample_std_of(st), threshold)
+
+
+def with_zscore_flags(df: DataFrame, columns: dict[str, str], threshold: float = 3.0) -> DataFrame:
+    """``df`` with a flag as ``zscore_flags`` gives for each of several columns
+    (column -> name), all from one aggregate that is planned once."""
+    wanted = {k: v for i, c in enumerate(columns) for k, v in moments(c, f"c{i}_").items()}
+    rows, st = with_stats(df, "_stats", **wanted), F.col("_stats")
+    return rows.select(*df.columns, *(_flag(F.col(c), mean_of(st, f"c{i}_"), sample_std_of(st, f"c{i}_"), threshold).alias(name)
+                                      for i, (c, name) in enumerate(columns.items())))
+
+
+def _scaled(x: Column, lo: Column, hi: Column, eps: float) -> Column:
+    return (x - lo) / (hi - lo + F.lit(eps))
 
 
 def minmax_norm(df: DataFrame, column: str, eps: float = 1e-9) -> Column:
     """(x − min) / (max − min + eps) with min and max over all of ``df``."""
     st = scalars_of(df, lo=F.min(column), hi=F.max(column))
-    return (F.col(column) - st["lo"]) / (st["hi"] - st["lo"] + F.lit(eps))
+    return _scaled(F.col(column), st["lo"], st["hi"], eps)
+
+
+def with_minmax_norm(df: DataFrame, column: str, name: str, eps: float = 1e-9) -> DataFrame:
+    """``df`` with a column as ``minmax_norm`` gives, the range planned once."""
+    rows, st = with_stats(df, "_stats", lo=F.min(column), hi=F.max(column)), F.col("_stats")
+    return rows.select(*df.columns, _scaled(F.col(column), st["lo"], st["hi"], eps).alias(name))

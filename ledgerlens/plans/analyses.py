@@ -57,12 +57,12 @@ def daily_throughput(txn: DataFrame) -> DataFrame:
     agg = txn.groupBy(F.to_date("timestamp").alias("txn_date")).agg(
         F.count(F.lit(1)).alias("total_txns"),
         F.count_if(F.col("status") == "Failed").alias("failed_txns"),
-        F.avg("amount").alias("_avg_amount"),
+        *(e.alias(f"_{k}") for k, e in stats.moments("amount").items() if k in ("n", "s1")),
     )
     return agg.select(
         "txn_date", "total_txns", "failed_txns",
         fx.rate_pct_2dp("failed_txns", "total_txns").alias("failure_rate_pct"),
-        fx.round_half_away("_avg_amount", 2).alias("avg_txn_amount"),
+        fx.round_half_away(stats.mean_of({"n": F.col("_n"), "s1": F.col("_s1")}), 2).alias("avg_txn_amount"),
     ).orderBy("txn_date")
 
 

@@ -458,6 +458,17 @@ SELECT transaction_id, {_reason_sql()} AS anomaly_reason FROM transactions, st""
     q["amount_minmax"] = with_conform("""
 , st AS (SELECT min(amount) AS lo, max(amount) AS hi FROM transactions)
 SELECT transaction_id, (amount - lo) / (hi - lo + 1e-9) AS norm_amount FROM transactions, st""")
+    q["amount_distribution"] = with_conform("""
+, g AS (SELECT gateway, list_sort(list(amount)) AS v FROM transactions
+        WHERE gateway IS NOT NULL AND amount IS NOT NULL GROUP BY gateway),
+w AS (SELECT gateway, v, unnest([1, 2, 3]) AS i FROM g),
+p AS (SELECT gateway, i, v, 0.25E0 * i * (len(v) - 1) AS pos FROM w),
+n AS (SELECT gateway, i, v[CAST(floor(pos) AS BIGINT) + 1] AS a, v[least(CAST(floor(pos) AS BIGINT) + 2, len(v))] AS b,
+             pos - floor(pos) AS t FROM p),
+x AS (SELECT gateway, i, CASE WHEN t >= 0.5E0 THEN b - (b - a) * (1.0E0 - t) ELSE a + (b - a) * t END AS x FROM n)
+SELECT g.gateway, v[1] AS "min", max(x) FILTER (WHERE i = 1) AS q1, max(x) FILTER (WHERE i = 2) AS median,
+       max(x) FILTER (WHERE i = 3) AS q3, v[len(v)] AS "max"
+FROM g JOIN x ON g.gateway = x.gateway GROUP BY g.gateway, v ORDER BY g.gateway""")
     q["zscore_priority_anomalies"] = with_conform(_zscore_ranked() + """
 SELECT transaction_id, "timestamp", gateway, channel, amount, status, processing_time_ms, retry_count,
        risk_score, anomaly_reason, priority_score

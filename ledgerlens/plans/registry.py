@@ -16,7 +16,8 @@ from .. import constants as K
 from ..operators import anomaly as AN
 from ..operators import enrich as EN
 from ..operators.filters import ViewFilter, filter_domains, filter_tickets, filter_transactions
-from ..operators.stats import minmax_norm, zscore_flags
+from ..operators.quantile import five_numbers
+from ..operators.stats import with_minmax_norm, with_zscore_flags
 from ..sources import io
 from ..sources.conform import (StarTables, conformed_tables, conformed_tickets, conformed_transactions,
                                risk_inputs, ticket_inputs, transactions)
@@ -112,9 +113,9 @@ def dashboard_over(txn: DataFrame, tickets: DataFrame, reuse: bool = False) -> d
 
 
 def _zscore_flags(txn: DataFrame) -> DataFrame:
-    return txn.select("transaction_id",
-                      zscore_flags(txn, "processing_time_ms", K.OUTLIER_Z).alias("pt_outlier"),
-                      zscore_flags(txn, "amount", K.OUTLIER_Z).alias("amount_outlier"))
+    return with_zscore_flags(txn.select("transaction_id", "processing_time_ms", "amount"),
+                             {"processing_time_ms": "pt_outlier", "amount": "amount_outlier"}, K.OUTLIER_Z).select(
+        "transaction_id", "pt_outlier", "amount_outlier")
 
 
 def _nine(column: str):
@@ -131,8 +132,9 @@ def anomaly_queries() -> dict[str, Query]:
     return {
         "zscore_flags": _txn(_zscore_flags),
         "anomaly_reasons": _txn(lambda t: AN.with_reasons(t).select("transaction_id", "anomaly_reason")),
-        "amount_minmax": _txn(lambda t: t.select("transaction_id",
-                                                 minmax_norm(t, "amount", K.MINMAX_EPS).alias("norm_amount"))),
+        "amount_minmax": _txn(lambda t: with_minmax_norm(t.select("transaction_id", "amount"), "amount", "norm_amount",
+                                                         K.MINMAX_EPS).select("transaction_id", "norm_amount")),
+        "amount_distribution": _txn(lambda t: five_numbers(t, "gateway", "amount")),
         "zscore_priority_anomalies": _txn(lambda t: AN.top_anomalies(
             AN.explain_and_rank(AN.zscore_scored(t)), K.DEFAULT_TOP_N)),
         "zscore_transaction_anomalies": _txn(lambda t: AN.explain_and_rank(AN.zscore_scored(t)).select(
