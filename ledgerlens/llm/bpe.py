@@ -27,6 +27,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,13 +36,15 @@ from ..session import ship_package
 from .text import add_columns, read_table
 
 WORD_END = "</w>"
-# Entries a worker keeps of each kind between batches; beyond it a cache starts anew (results do not depend on it).
-CACHED = 250_000
+# Entries a worker keeps of each kind between batches; beyond it a cache starts anew, words in two generations
+# so that those met again stay (results do not depend on it).
+CACHED = 200_000
 # Suffixes of this many symbols are looked up at once.
 SUFFIX = 5
 # White space, and the short endings that the vocabulary file splits off after an apostrophe.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CONTROL = re.compile("[\x1c-\x1f]")
+BASIC = 0x10000
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -58,11 +61,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def _ranges(kind: str) -> str:
-    """A regular-expression class body with all characters of a Unicode category group."""
+def _ranges(kind: str, stop: int = 0x110000) -> str:
+    """A regular-expression class body with all characters below ``stop`` of a Unicode category group."""
     out, start = [], None
-    for c in range(0x110001):
-        is_in = c < 0x110000 and unicodedata.category(chr(c))[0] == kind
+    for c in range(stop + 1):
+        is_in = c < stop and unicodedata.category(chr(c))[0] == kind
         if is_in and start is None:
             start = c
         elif not is_in and start is not None:
@@ -103,13 +106,19 @@ class TrieCoder:
                     tails.setdefault(text[-SUFFIX:], set()).add(len(text))
             self.long[ends] = {tail: sorted(ns, reverse=True) for tail, ns in tails.items()}
         self.suffixes: dict[bool, dict[str, tuple]] = {False: {}, True: {}}
-        letters, numbers = _ranges("L"), _ranges("N")
-        self.find = re.compile(f"[{letters}]+|'(?:{'|'.join(ENDINGS)})|[{numbers}]|[^{SPACE}{letters}{numbers}]+").findall
-        self.split = re.compile(f"[{SPACE}]+").split
+        self.find_ascii = self._finder("a-z", "0-9")
+        # Without characters beyond the basic plane a class is one bitmap, with them a list of ranges to go through.
+        self.find_basic = self._finder(_ranges("L", BASIC), _ranges("N", BASIC))
+        self.find = self._finder(_ranges("L"), _ranges("N"))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.packed = {t: t.to_bytes(4, "little") for t in self.strings}
+        self.table = pa.array([self.strings.get(i) for i in range(max(self.strings) + 1)], pa.string())
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def _finder(letters: str, numbers: str):
+        return re.compile(f"[{letters}]+|'(?:{'|'.join(ENDINGS)})|[{numbers}]|[^{SPACE}{letters}{numbers}]+").findall
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """From the outermost symbol of a token (side 0: its first, 1: its last) up to
@@ -189,12 +198,20 @@ class TrieCoder:
         raise ValueError("the vocabulary has no symbol for a byte")
 
     def learn(self, words: set[str]) -> None:
-        """Depth-first walk over the trie of words that are not known yet."""
+        """Depth-first walk over the trie of the words that are not known yet."""
         if len(self.words) > CACHED:
-            self.words.clear()
-        known = self.words
-        new = sorted([(w.encode("utf-8", "replace").decode("latin-1").translate(self.symbols), w)
-                      for w in words if w not in known])
+            self.older, self.words = self.words, {}
+        known, older, unknown = self.words, self.older, []
+        for w in words:
+            if w not in known:
+                ids = older.get(w)
+                if ids is None:
+                    unknown.append(w)
+                else:
+                    known[w] = ids
+        # Printable ASCII stands for itself.
+        new = sorted([(w if w.isascii() and w.isprintable() else
+                       w.encode("utf-8", "replace").decode("latin-1").translate(self.symbols), w) for w in unknown])
         state: list = [None]
         before, last, packed = "", self._last, self.packed
         for symbols, word in new:
@@ -213,47 +230,45 @@ class TrieCoder:
             known[word] = ids
             before = symbols
 
-    def _split(self, run: str) -> list[str]:
-        """The words of a run without white space."""
-        if not run.isascii():
-            run = unicodedata.normalize("NFC", run).replace("Σ", "σ")   # lower-cased by itself, wherever it stands
-        run = run.lower()
-        return [run] if run.isalpha() else self.find(run)
-
-    def _runs(self, text: str) -> list[str]:
-        if CONTROL.search(text):        # str.split also splits at these, the file does not
-            return [r for r in self.split(text) if r]
-        return text.split()
+    def _words(self, text: str) -> list[str]:
+        """The words of a text without special tokens; none holds white space."""
+        if text.isascii():
+            return self.find_ascii(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")   # lower-cased by itself, wherever it stands
+        return (self.find if BEYOND.search(text) else self.find_basic)(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
         cut = [[text] if "<|" not in text else self.cut.split(text) for text in texts]
-        split = [[self.packed[self.special[p]] if i % 2 else self._runs(p) for i, p in enumerate(ps)] for ps in cut]
-        if len(self.runs) > CACHED:
-            self.runs.clear()
-        runs: set[str] = set()
+        split = [[self.packed[self.special[p]] if i % 2 else self._words(p) for i, p in enumerate(ps)] for ps in cut]
+        words: set[str] = set()
         for ps in split:
             for p in ps[::2]:
-                runs.update(p)
-        new = {r: self._split(r) for r in runs if r not in self.runs}
-        self.learn({w for ws in new.values() for w in ws})
-        word, run = self.words.__getitem__, self.runs.__getitem__
-        self.runs.update((r, b"".join(map(word, ws))) for r, ws in new.items())
-        return [b"".join(p if i % 2 else b"".join(map(run, p)) for i, p in enumerate(ps)) for ps in split]
+                words.update(p)
+        self.learn(words)
+        word = self.words.__getitem__
+        return [b"".join(p if i % 2 else b"".join(map(word, p)) for i, p in enumerate(ps)) for ps in split]
 
     def decode(self, packed: bytes) -> str:
-        return " ".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        return self.decode_all([packed])[0].as_py()
+
+    def decode_all(self, packed: list[bytes]) -> pa.Array:
+        """The texts of packed ids."""
+        found = self.table.take(pa.array(np.frombuffer(b"".join(packed), "<u4")))
+        if found.null_count:
+            raise KeyError("an id that the vocabulary does not have")
+        ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), " ")
 
 
-_CODERS: dict[int, TrieCoder] = {}
+_CODER: list[tuple[str, TrieCoder]] = []
 
 
 def _coder(spec) -> TrieCoder:
-    """The worker's coder for a broadcast vocabulary."""
-    if spec.value and id(spec.value) not in _CODERS:
-        _CODERS.clear()
-        _CODERS[id(spec.value)] = TrieCoder(spec.value)
-    return _CODERS[id(spec.value)]
+    """The worker's coder for a broadcast vocabulary, kept with the vocabulary that it was made from."""
+    if not _CODER or (_CODER[0][0] is not spec.value and _CODER[0][0] != spec.value):
+        _CODER[:] = [(spec.value, TrieCoder(spec.value))]
+    return _CODER[0][1]
 
 
 def _broadcast(spark: SparkSession, path: str | None):
@@ -263,7 +278,7 @@ def _broadcast(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _texts(column: pa.Array, most: int = 1 << 23):
+def _texts(column: pa.Array, most: int = 1 << 22):
     """Lists of texts of about ``most`` characters together."""
     part, size = [], 0
     for x in column:
@@ -277,6 +292,10 @@ def _texts(column: pa.Array, most: int = 1 << 23):
         yield part
 
 
+def _joined(parts: list[pa.Array]) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
 def encode(df: DataFrame, text: str = "text", vocabulary: str | None = None, decoded: bool = False) -> DataFrame:
     """``df`` with ``n_tokens`` and ``token_ids`` (packed little-endian uint32);
     with ``decoded``, also the text that the ids decode to, made in the same pass."""
@@ -292,9 +311,9 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str | None = None, dec
             packed = coder.encode(texts)
             ids += packed
             if decoded:
-                back += [coder.decode(p) for p in packed]
+                back.append(coder.decode_all(packed))
         made = [pa.array([len(p) // 4 for p in ids], pa.int64()), pa.array(ids, pa.binary())]
-        return made + ([pa.array(back, pa.string())] if decoded else [])
+        return made + ([_joined(back)] if decoded else [])
 
     return add_columns(df, fields, build)
 
@@ -305,8 +324,8 @@ def decode(df: DataFrame, ids: str = "token_ids", vocabulary: str | None = None)
 
     def build(batch):
         coder = _coder(spec)
-        packed = batch.column(batch.schema.get_field_index(ids))
-        return [pa.array([coder.decode(p.as_py() or b"") for p in packed], pa.string())]
+        packed = [p or b"" for p in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+        return [_joined([coder.decode_all(packed)])]
 
     return add_columns(df, [T.StructField("decoded", T.StringType())], build)
 

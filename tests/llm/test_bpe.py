@@ -67,3 +67,31 @@ def test_query(spark, library):
         want = library.encode(r["text"], add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_two_vocabularies_in_one_session(spark, library, tmp_path):
+    """A worker's coder belongs to the vocabulary it was made from."""
+    import json
+    model = json.load(open(public.path("word_bpe_49k.json"), encoding="utf-8"))
+    model["model"]["merges"] = model["model"]["merges"][:300]
+    other = tmp_path / "few.json"
+    other.write_text(json.dumps(model), encoding="utf-8")
+    few = tokenizers.Tokenizer.from_file(str(other))
+    df = spark.createDataFrame([(i, f"Thering {i} ouable naïve 👍") for i in range(40)], "doc_id long, text string").repartition(4)
+    for _ in range(2):
+        for path, lib in ((None, library), (str(other), few)):
+            for r in bpe.encode(df, vocabulary=path, decoded=True).collect():
+                want = lib.encode(r["text"], add_special_tokens=False).ids
+                assert ids(r["token_ids"]) == want and r["decoded"] == lib.decode(want, skip_special_tokens=False)
+
+
+def test_a_very_long_text(coder, library):
+    text = " ".join(f"lérem{i % 977} ipsum, ({i})" for i in range(60_000))
+    got = coder.encode([text, "", text[:100]])
+    assert ids(got[0]) == library.encode(text, add_special_tokens=False).ids and got[1] == b""
+    assert coder.decode_all(got).to_pylist() == [library.decode(ids(x), skip_special_tokens=False) for x in got]
+
+
+def test_unknown_ids_are_an_error(coder):
+    with pytest.raises((KeyError, IndexError)):
+        coder.decode(np.array([10_000_000], "<u4").tobytes())
