@@ -94,7 +94,9 @@ class TrieCoder:
         whole: dict[int, bool] = {}
         for t in sorted(self.strings, key=lambda i: self.made[i][2] if i in self.made else -1):
             left, right, rank = self.made.get(t, (t, t, -1))
-            whole[t] = rank < 0 or (whole[left] and whole[right] and self._stand(left, right, rank))
+            # A token that no merge makes is there from the start only if it is one symbol.
+            whole[t] = len(self.strings[t].removesuffix(WORD_END)) == 1 if rank < 0 else (
+                whole[left] and whole[right] and self._stand(left, right, rank))
         self.inner = {s: i for s, i in inner.items() if whole[i]}
         self.final = {s: i for s, i in final.items() if whole[i]}
         # For each tail, how long the tokens that end with it are (those longer than a tail only).
