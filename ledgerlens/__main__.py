@@ -4,7 +4,9 @@
     python -m ledgerlens run gateway_health --input /data/star [--show 20 | --csv /out/dir]
     python -m ledgerlens build --input /data/star --out /data/tables
     python -m ledgerlens build --csv-dir /data/csv --out /data/tables
-    python -m ledgerlens dashboard sla_heatmap --tables /data/tables [--show 20 | --csv /out/dir]
+    python -m ledgerlens dashboard sla_heatmap --tables /data/tables [--start 2024-01-08 --end 2024-01-21]
+        [--region ASIA] [--gateway GatewayA] [--show 20 | --csv /out/dir]
+    python -m ledgerlens expire --tables /data/tables [--keep 2]
 """
 
 from __future__ import annotations
@@ -31,8 +33,15 @@ def main(argv: list[str] | None = None) -> int:
     d = sub.add_parser("dashboard", help="one dashboard dataset over stored tables")
     d.add_argument("dataset")
     d.add_argument("--tables", required=True, help="folder written by `build`")
+    d.add_argument("--start", help="first day of the view (with --end)")
+    d.add_argument("--end", help="last day of the view")
+    d.add_argument("--region", action="append", help="a region of the view (repeat for more)")
+    d.add_argument("--gateway", action="append", help="a gateway of the view (repeat for more)")
     d.add_argument("--show", type=int, default=20)
     d.add_argument("--csv", default=None)
+    e = sub.add_parser("expire", help="let go of old versions of stored tables")
+    e.add_argument("--tables", required=True)
+    e.add_argument("--keep", type=int, default=2)
     args = p.parse_args(argv)
 
     from .plans.registry import all_queries
@@ -54,10 +63,10 @@ def main(argv: list[str] | None = None) -> int:
         else:
             df.show(args.show, truncate=False)
     elif args.cmd == "dashboard":
-        from .plans.build import load_tables
-        from .plans.registry import dashboard_over
-        txn, tickets = load_tables(spark, args.tables)
-        make = dashboard_over(txn, tickets).get(args.dataset)
+        from .operators.filters import ViewFilter
+        from .plans.registry import stored_datasets
+        view = ViewFilter(args.start, args.end, args.region, args.gateway)
+        make = stored_datasets(spark, args.tables, view).get(args.dataset)
         if make is None:
             print(f"unknown dataset {args.dataset!r}", file=sys.stderr)
             return 2
@@ -68,6 +77,9 @@ def main(argv: list[str] | None = None) -> int:
             write_csv(df, args.csv)
         else:
             df.show(args.show, truncate=False)
+    elif args.cmd == "expire":
+        from .sources.snapshots import expire
+        print(f"{len(expire(spark, args.tables, args.keep))} parts removed")
     elif args.cmd == "build":
         from .plans.build import build_from_csv, build_tables
         audit = (build_tables(spark, args.input, args.out) if args.input

@@ -353,7 +353,18 @@ UNION ALL SELECT DISTINCT 'region', region FROM transactions WHERE region IS NOT
 UNION ALL SELECT DISTINCT 'gateway', gateway FROM transactions WHERE gateway IS NOT NULL""")
     q["kpi_summary"] = with_conform(v + _kpi_body())
     q["kpi_summary_filtered"] = with_conform(filtered_views(DEMO_FILTER) + _kpi_body())
+    return q | _dataset_sql(v)
 
+
+def cube_sql() -> dict[str, str]:
+    """The datasets that the cube answers, under a view filter: the same statements over rows."""
+    v = filtered_views(DEMO_FILTER)
+    found = {"filter_domains": dashboard_sql()["filter_domains"], "kpi_summary": with_conform(v + _kpi_body())} | _dataset_sql(v)
+    return {f"cube_{name}": sql for name, sql in found.items()}
+
+
+def _dataset_sql(v: str) -> dict[str, str]:
+    q = {}
     q["daily_failure_trend"] = with_conform(v + """
 SELECT CAST("timestamp" AS DATE) AS date, COUNT(transaction_id) AS total,
        CAST(SUM(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,

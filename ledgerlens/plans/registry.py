@@ -18,13 +18,16 @@ from ..operators import enrich as EN
 from ..operators.filters import ViewFilter, filter_domains, filter_tickets, filter_transactions
 from ..operators.quantile import five_numbers
 from ..operators.stats import with_minmax_norm, with_zscore_flags
-from ..sources import io
+from ..session import configured_checkpoint_dir, ensure_checkpoint_dir, sf_path
+from ..sources import io, snapshots
 from ..sources.conform import (StarTables, conformed_tables, conformed_tickets, conformed_transactions,
                                risk_inputs, ticket_inputs, transactions)
 from . import analyses as A
+from . import cube
 from . import dashboard as D
+from .build import load_cube, write_states
 from .oracle_sql import (ANOMALY_SETTINGS, AS_OF, DEMO_FILTER, LINK_SAMPLE_DIVISOR, analysis_sql, anomaly_sql,
-                         dashboard_sql, enrich_sql, source_sql)
+                         cube_sql, dashboard_sql, enrich_sql, source_sql)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,6 +115,19 @@ def dashboard_over(txn: DataFrame, tickets: DataFrame, reuse: bool = False) -> d
     return out
 
 
+def stored_datasets(spark: SparkSession, table_dir: str, f: ViewFilter = ViewFilter()) -> dict[str, Callable[[], DataFrame]]:
+    """The dashboard datasets of a stored build under a view filter: the additive
+    ones from its cube, the two filtered tables from its rows, all of one version."""
+    version = snapshots.open_snapshot(spark, table_dir)
+    if version is None:
+        return dashboard_over(*io.load_stored(spark, table_dir))
+    states = load_cube(spark, table_dir, version.version)
+    out = {name: (lambda name=name: getattr(states, name)(f)) for name in cube.DATASETS}
+    txn, tickets = io.load_stored(spark, table_dir, version.version)
+    return out | {"filtered_transactions": lambda: filter_transactions(txn, f),
+                  "filtered_tickets": lambda: filter_tickets(tickets, txn, f)}
+
+
 def _zscore_flags(txn: DataFrame) -> DataFrame:
     return with_zscore_flags(txn.select("transaction_id", "processing_time_ms", "amount"),
                              {"processing_time_ms": "pt_outlier", "amount": "amount_outlier"}, K.OUTLIER_Z).select(
@@ -150,6 +166,25 @@ def anomaly_queries() -> dict[str, Query]:
     }
 
 
+def stored_cube(spark: SparkSession, sf_dir: str) -> cube.Cube:
+    """The cube of the star tables, stored in the session's checkpoint folder once
+    for each version (paths, sizes and times) of their files."""
+    base = configured_checkpoint_dir(spark) or ensure_checkpoint_dir(spark)
+    root = f"{base.rstrip('/')}/cubes/{io.files_version(spark, [sf_path(sf_dir, t) for t in StarTables.NAMES])}"
+    found = snapshots.open_snapshot(spark, root)
+    if found is None:
+        states = cube.states_of(*conformed_tables(spark, sf_dir))
+        found = snapshots.publish(spark, root, {name: [write_states(spark, root, df)] for name, df in states.items()})
+    return cube.Cube(*(found.read(name) for name in cube.TABLES))
+
+
+def cube_queries() -> dict[str, Query]:
+    """The datasets under a view filter, from the stored cube: no row is read."""
+    f = ViewFilter(**DEMO_FILTER)
+    return {f"cube_{name}": (lambda spark, sf_dir, name=name: getattr(stored_cube(spark, sf_dir), name)(f))
+            for name in cube.DATASETS}
+
+
 def _star(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(StarTables.load(spark, sf_dir))
@@ -192,13 +227,13 @@ def source_queries() -> dict[str, Query]:
 
 def all_queries() -> dict[str, Query]:
     q = {}
-    for part in (analysis_queries, dashboard_queries, anomaly_queries, enrich_queries, source_queries):
+    for part in (analysis_queries, dashboard_queries, cube_queries, anomaly_queries, enrich_queries, source_queries):
         q.update(part())
     return q
 
 
 def all_oracle_sql() -> dict[str, str]:
     q = {}
-    for part in (analysis_sql, dashboard_sql, anomaly_sql, enrich_sql, source_sql):
+    for part in (analysis_sql, dashboard_sql, cube_sql, anomaly_sql, enrich_sql, source_sql):
         q.update(part())
     return q

@@ -7,12 +7,15 @@ files per table, in parallel from the executors.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from .schemas import SUPPORT_TICKETS, TRANSACTIONS
+from .snapshots import open_snapshot
 
 SCHEMAS = {"transactions": TRANSACTIONS, "support_tickets": SUPPORT_TICKETS}
 ORDER_KEYS = {"transactions": ["timestamp", "transaction_id"], "support_tickets": ["created_at", "ticket_id"]}
@@ -48,14 +51,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def load_stored(spark: SparkSession, table_dir: str) -> tuple[DataFrame, DataFrame]:
+def files_version(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the paths, sizes and modification times of all files below some paths."""
+    found = []
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def load_stored(spark: SparkSession, table_dir: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The stored tables, with ``_date`` kept when they are stored by day (the
-    view filters prune directories by it and leave it out of their result)."""
+    view filters prune directories by it and leave it out of their result).
+    Where builds have made snapshots, both are of one version, by default the
+    last, whatever is built later."""
+    found = open_snapshot(spark, table_dir, version)
     out = []
     for name in SCHEMAS:
-        path = f"{table_dir}/{name}"
-        by_day = "_date" in spark.read.parquet(path).columns
-        out.append((read_partitioned_table if by_day else read_table)(spark, path, name))
+        df = found.read(name) if found else spark.read.parquet(f"{table_dir}/{name}")
+        days = ["_date"] if "_date" in df.columns else []
+        out.append(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields], *days))
     return out[0], out[1]
 
 
@@ -63,24 +81,33 @@ def load_data(spark: SparkSession, table_dir: str, csv_dir: str) -> tuple[DataFr
     """(transactions, support_tickets): both from storage when both are there,
     else both from the CSV files; never one of each. A table that is there but
     cannot be read is an error."""
-    if all(path_exists(spark, f"{table_dir}/{name}") for name in SCHEMAS):
+    if open_snapshot(spark, table_dir) or all(path_exists(spark, f"{table_dir}/{name}") for name in SCHEMAS):
         return load_stored(spark, table_dir)
     return tuple(read_csv(spark, f"{csv_dir}/{name}.csv", name) for name in SCHEMAS)
 
 
-def write_table(df: DataFrame, path: str, partition_by_date: str | None = None, order: list[str] | None = None) -> None:
+def write_table(df: DataFrame, path: str, partition_by_date: str | None = None, order: list[str] | None = None,
+                observe: str | None = None) -> dict:
     """Replace the stored table at ``path``, in the given order: rows of a file
     are sorted, so that row-group statistics of the sort columns are narrow.
     With ``partition_by_date`` (a timestamp column), rows are laid out by
     calendar day so that date filters prune whole directories. The rows are
     rebalanced by day with AQE's ``rebalance`` (few files per day), which also
-    splits a day holding a large share of the rows over several writers."""
+    splits a day holding a large share of the rows over several writers. With
+    ``observe`` (a timestamp column), returns the rows and its first and last value
+    as seen by the tasks that write, each of which counts once."""
     if partition_by_date:
         w = df.withColumn("_date", F.to_date(partition_by_date)).hint("rebalance", "_date")
         w = w.sortWithinPartitions("_date", *(order or []))
-        w.write.mode("overwrite").partitionBy("_date").parquet(path)
-        return
-    (df.orderBy(*order) if order else df).write.mode("overwrite").parquet(path)
+    else:
+        w = df.orderBy(*order) if order else df
+    seen = Observation() if observe else None
+    if seen:
+        w = w.observe(seen, F.count(F.lit(1)).alias("rows"), F.min(observe).cast("string").alias("first"),
+                      F.max(observe).cast("string").alias("last"))
+    writer = w.write.mode("overwrite")
+    (writer.partitionBy("_date") if partition_by_date else writer).parquet(path)
+    return seen.get if seen else {}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
