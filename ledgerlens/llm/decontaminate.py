@@ -14,11 +14,15 @@ is not fingerprinted.
 
 The documents are scanned once and never shuffled. The items go to the tasks in
 chunks of about ``CHUNK_BYTES`` of text, one scan a chunk, so a broadcast is
-bounded whatever the size of the benchmark.
-
-Rows: A-Z count as a-z; null and empty texts match nothing; items with fewer
-than five words (or null text) have no shingle and take no part; repeated items
-count once, documents that repeat are each judged. All columns of the input
+bounded whatever the size of the benchmark; of several chunks each one's result is
+written before the next one is sent. Bit sums of a text are held for at most
+``RUN_WORDS`` words and a window at a time, however long the text is.
+
+Rows: A-Z count as a-z; null and empty texts match nothing. An item with fewer
+than five words is one shingle of all its words, so it is found where these stand
+in a row (and a very common one marks many documents); items without words or
+text take no part. Repeated items count once, documents that repeat are each
+judged; of equally similar windows the first is told. All columns of the input
 stay as they are.
 """
 
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 from .text import (add_columns, bound_batches, byte_values, inside, mix, ngram_hashes, pieces, read_table, split_words,
                    utf8, word_hashes)
 
@@ -43,6 +47,7 @@ BLOCKS = 8
 BLOCK_BITS = 16
 CHUNK_BYTES = 8 << 20
 FILTER_BITS = 22
+RUN_WORDS = 1 << 15
 _VALUES = byte_values(lower=True, seed=3)
 
 
@@ -74,21 +79,43 @@ def weighted_jaccard(a: np.ndarray, b: tuple[np.ndarray, np.ndarray]) -> float:
     return float(common / (counts.sum() + b[1].sum() - common))
 
 
+def _running(hashes: np.ndarray) -> np.ndarray:
+    return np.vstack([np.zeros((1, 128), np.int32), np.cumsum(signs(hashes), axis=0)])
+
+
+def window_codes(hashes: np.ndarray, start: np.ndarray, span: int) -> np.ndarray:
+    """The SimHashes of windows of ``span`` words at ascending starts, for a stretch of ``RUN_WORDS`` words at a time."""
+    out, a = [], 0
+    while a < len(start):
+        b = int(np.searchsorted(start, start[a] + RUN_WORDS, "left"))
+        lo = start[a]
+        run = _running(hashes[lo:start[b - 1] + span])
+        out.append(packed(run[start[a:b] + span - lo] - run[start[a:b] - lo]))
+        a = b
+    return np.concatenate(out)
+
+
 class Items:
-    """The index over one chunk of items."""
+    """The index over one chunk of items. Items of fewer words than a shingle are one shingle of all their words."""
 
     def __init__(self, ids: list, texts: list[str], radius: int, similarity: float):
         self.radius, self.similarity = radius, similarity
         words = split_words(*utf8(pa.array(texts, pa.string())))
         hashes = word_hashes(words, _VALUES)
         self.ids, self.length, self.code, self.grams = [], [], [], []
+        short: dict[int, list[tuple]] = {}
         for i in range(len(texts)):
             h = hashes[words.first[i]:words.first[i + 1]]
-            if len(h) >= SHINGLE:
+            if 0 < len(h) < SHINGLE:
+                short.setdefault(len(h), []).append((int(ngram_hashes(h, len(h))[0]), i))
+            elif len(h) >= SHINGLE:
                 self.ids.append(ids[i])
                 self.length.append(len(h))
                 self.code.append(packed(signs(h).sum(axis=0, keepdims=True))[0])
                 self.grams.append(np.unique(ngram_hashes(h, SHINGLE), return_counts=True))
+        # For each length below a shingle's: the hashes in order, and their items.
+        self.short = {n: (np.array([h for h, _ in sorted(found)], np.uint64), [ids[i] for _, i in sorted(found)])
+                      for n, found in short.items()}
         owner = np.repeat(np.arange(len(self.ids)), [len(g[0]) for g in self.grams])
         every = np.concatenate([g[0] for g in self.grams] or [np.zeros(0, np.uint64)])
         order = np.argsort(every, kind="stable")
@@ -138,9 +165,13 @@ class Items:
             if run is None:
                 lo = 0 if n <= lengths.max() else max(0, int(hits.min()) - int(lengths.max()))
                 hi = min(n, int(hits.max()) + int(lengths.max()) + SHINGLE)
-                run = np.vstack([np.zeros((1, 128), np.int32), np.cumsum(signs(hashes[lo:hi]), axis=0)])
+                # Sums for all words from the first hit to the last one serve every length, if they are few.
+                run = _running(hashes[lo:hi]) if hi - lo <= RUN_WORDS else False
             span = min(int(length), n)
-            codes = packed(run[start + span - lo] - run[start - lo])
+            if run is False:
+                codes = window_codes(hashes, start, span)
+            else:
+                codes = packed(run[start + span - lo] - run[start - lo])
             near = self._near(int(length))
             found = np.zeros(len(codes), bool)
             for b in range(BLOCKS):
@@ -158,6 +189,25 @@ class Items:
                     out.append(best)
         return sorted(out, key=lambda m: (m[0] is None, m[0]))
 
+    def _short_matches(self, words, hashes: np.ndarray) -> list[tuple[int, tuple]]:
+        """(text, match) of the first place of every short item in each text; equal words have SimHash distance 0."""
+        out = []
+        for n, (known, ids) in self.short.items():
+            spot = inside(words, n)
+            if len(spot) == 0:
+                continue
+            h = ngram_hashes(hashes, n)[spot]
+            spot = spot[np.isin(h, known)]
+            text = np.searchsorted(words.first, spot, "right") - 1
+            seen = set()
+            for t, s in zip(text.tolist(), spot.tolist()):
+                g = ngram_hashes(hashes[s:s + n], n)[0]
+                if (t, int(g)) not in seen:
+                    seen.add((t, int(g)))
+                    lo, hi = np.searchsorted(known, g, "left"), np.searchsorted(known, g, "right")
+                    out += [(t, (ids[i], s - int(words.first[t]), n, 1.0, 0)) for i in range(lo, hi)]
+        return out
+
     def search(self, column) -> list[list[tuple]]:
         """For each text of a batch its matches."""
         raw, at = utf8(column)
@@ -173,6 +223,8 @@ class Items:
             for i in np.unique(text):
                 lo, hi = words.first[i], words.first[i + 1]
                 found[i] = self.matches(hashes[lo:hi], grams[lo:max(lo, hi - SHINGLE + 1)], spot[text == i] - lo)
+            for i, match in self._short_matches(words, hashes) if self.short else ():
+                found[i] = sorted(found[i] + [match], key=lambda m: (m[0] is None, m[0]))
             out += found
         return out
 
@@ -189,13 +241,13 @@ def _index(rows, radius: int, similarity: float) -> Items:
 
 
 def item_chunks(items: DataFrame, item_id: str, text: str):
-    """Broadcasts of (ids, texts), each of about ``CHUNK_BYTES``; every item is in one of them."""
+    """(broadcast of (ids, texts), whether there are more), each of about ``CHUNK_BYTES``; every item is in one of them."""
     rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     count = max(1, -(-size // CHUNK_BYTES))
     for c in range(count):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == c).orderBy("item_id", "text").collect()
-        yield items.sparkSession.sparkContext.broadcast(([r.item_id for r in part], [r.text for r in part]))
+        yield items.sparkSession.sparkContext.broadcast(([r.item_id for r in part], [r.text for r in part])), count > 1
 
 
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("from_word", T.IntegerType()),
@@ -213,14 +265,18 @@ def find(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
                                ("similarity", pa.float64()), ("distance", pa.int32())]))
     names = [f.name for f in kind.value_type]
     parts = []
-    for rows in item_chunks(items, item_id, item_text):
+    for rows, several in item_chunks(items, item_id, item_text):
         def build(batch, rows=rows):
             found = _index(rows, radius, similarity).search(batch.column(batch.schema.get_field_index(text)))
             return [pa.array([[dict(zip(names, m)) for m in ms] for ms in found], kind)]
 
         matched = add_columns(df, [T.StructField("matches", MATCH)], build)
         keep = [c for c in df.columns if c.lower() not in {text.lower(), "matches", *names}]
-        parts.append(matched.where(F.size("matches") > 0).select(*keep, F.inline("matches")))
+        part = matched.where(F.size("matches") > 0).select(*keep, F.inline("matches"))
+        if several:                                      # written, so that one chunk at a time is held
+            part = materialize(part, as_table=True)
+            rows.unpersist()
+        parts.append(part)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -232,7 +288,7 @@ def without_contaminated(df: DataFrame, items: DataFrame, text: str = "text", it
     """The rows of ``df``, unchanged, that contain no item."""
     ship_package(df.sparkSession)
     out, columns = df, df.columns
-    for rows in item_chunks(items, item_id, item_text):
+    for rows, several in item_chunks(items, item_id, item_text):
         def build(batch, rows=rows):
             found = _index(rows, radius, similarity).search(batch.column(batch.schema.get_field_index(text)))
             return [pa.array([bool(ms) for ms in found], pa.bool_())]
@@ -241,6 +297,9 @@ def without_contaminated(df: DataFrame, items: DataFrame, text: str = "text", it
         while flag in {c.lower() for c in columns}:
             flag += "_"
         out = add_columns(out, [T.StructField(flag, T.BooleanType())], build).where(~F.col(flag)).select(*columns)
+        if several:
+            out = materialize(out, as_table=True)
+            rows.unpersist()
     return out
 
 

@@ -8,6 +8,9 @@ A rollup is a folder of Parquet tables:
   version: minus the old state, plus the new one, of each document touched;
 * ``commits``: one row a committed batch, appended last.
 
+A batch id is any string, also an empty one; folders are named by its digest. A
+batch without an id is an error.
+
 Readers only see batches that ``commits`` lists, so totals are the sum of the
 committed deltas. A batch that failed half-way is written anew when it is
 repeated; a batch that is listed already changes nothing when it comes again.
@@ -24,12 +27,14 @@ own. Other columns are left out.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configured_checkpoint_dir, ensure_checkpoint_dir
+from . import bpe
 from .text import WORD_PATTERN, read_table
 
 KEY = ["doc_id", "version"]
@@ -44,7 +49,7 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         empty = {
-            "commits": "batch_id string, number long",
+            "commits": "batch_id string, batch string, number long",
             "states": "doc_id long, version string, source string, lang string, n_tokens long, alive boolean, number long, batch string",
             "deltas": "source string, lang string, version string, docs long, tokens long, batch string",
         }
@@ -59,8 +64,7 @@ class TokenRollup:
 
     def _committed(self, name: str) -> DataFrame:
         """Rows of the committed batches (the list has one short row a batch)."""
-        return self._read(name).join(self._read("commits").select(F.col("batch_id").alias("batch")).distinct(),
-                                     "batch", "left_semi")
+        return self._read(name).join(self._read("commits").select("batch").distinct(), "batch", "left_semi")
 
     def state(self) -> DataFrame:
         """The last state of every (doc_id, version), those that are gone included."""
@@ -70,7 +74,9 @@ class TokenRollup:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once; false if it is committed already."""
-        done = self._read("commits")
+        if batch_id is None:
+            raise ValueError("a batch needs an id")
+        done, batch = self._read("commits"), "b" + hashlib.sha256(batch_id.encode()).hexdigest()
         if not done.where(F.col("batch_id") == batch_id).isEmpty():
             return False
         number = (done.agg(F.max("number")).first()[0] or 0) + 1
@@ -82,7 +88,7 @@ class TokenRollup:
                .select(F.col("doc_id").cast("long").alias("doc_id"), "version", what.alias("w"))
                .groupBy(*KEY).agg(F.max("w").alias("w"))
                .select(*KEY, "w.source", "w.lang", "w.n_tokens", (F.col("w.op") != "delete").alias("alive")))
-        states = f"{self.folder}/states/batch={batch_id}"
+        states = f"{self.folder}/states/batch={batch}"
         new.withColumn("number", F.lit(number).cast("long")).write.mode("overwrite").parquet(states)
         new = self.spark.read.parquet(states)
         signed = lambda rows, sign: rows.where("alive").select(
@@ -90,9 +96,9 @@ class TokenRollup:
         before = self.state().join(new.select(*KEY), KEY, "left_semi")
         (signed(before, -1).union(signed(new, 1)).groupBy(*GROUP)
          .agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
-         .where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch_id}"))
-        self.spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(number).cast("long").alias("number")).coalesce(
-            1).write.mode("append").parquet(f"{self.folder}/commits")
+         .where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch}"))
+        self.spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(batch).alias("batch"),
+                                   F.lit(number).cast("long").alias("number")).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
         return True
 
     def totals(self) -> DataFrame:
@@ -109,6 +115,20 @@ def counts(docs: DataFrame, version: str, pattern: str, op: str = "insert", seq:
                        F.lit(version).alias("version"), n.cast("long").alias("n_tokens"))
 
 
+def bpe_counts(docs: DataFrame, version: str, vocabulary: str | None = None, op: str = "insert", seq: int = 0) -> DataFrame:
+    """Changes that set every document's count to its tokens under a BPE vocabulary (``bpe.encode``)."""
+    coded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary=vocabulary)
+    return coded.select(F.lit(op).alias("op"), F.lit(seq).alias("seq"), "doc_id", "source", "lang",
+                        F.lit(version).alias("version"), "n_tokens")
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id): documents whose text a smaller doc_id has. Only texts that occur twice are joined back."""
+    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    twice = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(twice, ["h1", "h2"]).where("doc_id > first").select("doc_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus's history: all documents come in under two tokenizer versions;
     the words of the first are revised (those without a letter or digit no longer
@@ -121,9 +141,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("words", words)
     rollup.commit("pieces", pieces)
     rollup.commit("revision", counts(docs, "words-1", WITH_LETTER, "revise"))
-    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
-    first = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    copies = keyed.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id")
+    copies = later_copies(docs)
     none = F.lit(None)
     rollup.commit("copies", copies.select(
         F.lit("delete").alias("op"), F.lit(0).alias("seq"), "doc_id", none.cast("string").alias("source"),
