@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import core as fx
 from ..sources import io, snapshots
 from ..sources.conform import conformed_tables
 from ..sources.snapshots import Part, Snapshot
@@ -103,4 +104,18 @@ def load_cube(spark: SparkSession, table_dir: str, version: int | None = None) -
     return cube.Cube(*(found.read(name) for name in cube.TABLES))
 
 
+def store_links(spark: SparkSession, txn: DataFrame, tickets: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Catalog tables ``<name>_transactions`` and ``<name>_tickets`` bucketed by transaction
+    id, for the join of tickets with their transactions. Only tickets that name one are
+    stored, so the many that do not fill no bucket."""
+    io.write_bucketed(txn, f"{name}_transactions", f"{path}/transactions", "transaction_id", buckets)
+    io.write_bucketed(tickets.where(fx.non_empty("related_transaction_id")), f"{name}_tickets", f"{path}/tickets",
+                      "related_transaction_id", buckets)
+
+
+def load_links(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
+    """(transactions, tickets that name one) as ``store_links`` has stored them."""
+    return spark.table(f"{name}_transactions"), spark.table(f"{name}_tickets")
+
+
 load_tables = io.load_stored

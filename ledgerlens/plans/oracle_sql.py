@@ -260,6 +260,7 @@ FROM g ORDER BY avg_resolution_hours DESC, agent_id, agent_team LIMIT 20""")
 SELECT failure_reason, tickets_generated, {mean_2dp_units('rc', 'n_res')} AS avg_resolution_hours,
        {ratio_half_up('cs', 'n_cs', 100)} AS avg_csat
 FROM g ORDER BY tickets_generated DESC, failure_reason NULLS FIRST""")
+    q["ticket_impact_bucketed"] = q["ticket_impact_by_reason"]
 
     us = "(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at))".replace("{AS_OF}", AS_OF)
     q["sla_risk"] = with_conform(f"""

@@ -7,6 +7,7 @@ tables. The DuckDB twin of each is in ``oracle_sql``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from ..sources.conform import (StarTables, conformed_tables, conformed_tickets,
 from . import analyses as A
 from . import cube
 from . import dashboard as D
-from .build import load_cube, write_states
+from .build import load_cube, load_links, store_links, write_states
 from .oracle_sql import (ANOMALY_SETTINGS, AS_OF, DEMO_FILTER, LINK_SAMPLE_DIVISOR, analysis_sql, anomaly_sql,
                          cube_sql, dashboard_sql, enrich_sql, source_sql)
 
@@ -59,6 +60,7 @@ def analysis_queries() -> dict[str, Query]:
         "sla_by_priority_team": _tk(A.sla_by_priority_team, links=False),
         "agent_efficiency": _tk(A.agent_efficiency, links=False),
         "ticket_impact_by_reason": _both(lambda txn, tk: A.ticket_impact_by_reason(tk, txn)),
+        "ticket_impact_bucketed": ticket_impact_bucketed,
         "sla_risk": _tk(lambda tk: A.sla_risk(tk, as_of=AS_OF)),
         "processing_time_outliers": _txn(A.processing_time_outliers),
         "regional_health": _txn(A.regional_health),
@@ -178,6 +180,18 @@ def stored_cube(spark: SparkSession, sf_dir: str) -> cube.Cube:
     return cube.Cube(*(found.read(name) for name in cube.TABLES))
 
 
+def ticket_impact_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ticket_impact_by_reason`` over tables stored by transaction id, in the session's
+    checkpoint folder, once for each version of the star tables."""
+    base = configured_checkpoint_dir(spark) or ensure_checkpoint_dir(spark)
+    name = f"links_{io.files_version(spark, [sf_path(sf_dir, t) for t in StarTables.NAMES])}"
+    if not spark.catalog.tableExists(f"{name}_tickets"):
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        store_links(spark, *conformed_tables(spark, sf_dir), name, f"{base.rstrip('/')}/links/{uuid.uuid4().hex}", buckets)
+    txn, tickets = load_links(spark, name)
+    return A.ticket_impact_by_reason(tickets, txn)
+
+
 def cube_queries() -> dict[str, Query]:
     """The datasets under a view filter, from the stored cube: no row is read."""
     f = ViewFilter(**DEMO_FILTER)

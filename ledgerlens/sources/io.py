@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -32,6 +32,58 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
             .option("mode", "FAILFAST").csv(path))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines counted from 1 in each file: rows are
+    numbered where a split is read, and splits by the rows of those before them."""
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("at"),
+                                        F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy("file", "at").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    # The splits of one file: a row each.
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "at", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(splits, ["file", "at"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
+def read_csv_quarantined(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of a header CSV: the records that fit the fixed schema, and
+    (file, line, reason, record) of those that do not. ``read_csv`` stays strict: a bad
+    record there is an error. Records are lines; each file's first line is its header."""
+    schema, options = SCHEMAS[table], {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad",
+                                       "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
+    names = [f.name for f in schema.fields]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    lines = numbered_lines(spark, path).where("line > 1 and value <> ''")
+    parsed = lines.select("file", "line", "value", F.from_csv("value", F.lit(f"{ddl}, `_bad` string"), options).alias("r"))
+    required = F.lit(True)
+    for f in schema.fields:
+        if not f.nullable:
+            required = required & F.col(f"r.{f.name}").isNotNull()
+    good = F.col("r._bad").isNull() & required
+    rows = parsed.where(good).select(*(F.col(f"r.{n}").alias(n) for n in names))
+
+    # The same record as strings, with one field more than there should be.
+    text = F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in [*names, "_more"])), {"mode": "PERMISSIVE"})
+    bad = parsed.where(~good).select("file", "line", "value", "r", text.alias("t"))
+    fields = F.when(F.col("t._more").isNotNull(), F.lit(f"more than {len(names)} fields"))
+    last = F.col(f"t.{names[-1]}").isNull()
+    wrong = [F.when(F.col(f"t.{f.name}").isNotNull() & F.col(f"r.{f.name}").isNull(),
+                    F.concat(F.lit(f"{f.name}: "), F.col(f"t.{f.name}"), F.lit(f" is no {f.dataType.simpleString()}")))
+             for f in schema.fields if f.dataType.simpleString() != "string"]
+    missing = [F.when(F.col(f"r.{f.name}").isNull() & F.col("r._bad").isNull(), F.lit(f"{f.name} is missing"))
+               for f in schema.fields if not f.nullable]
+    short = F.when(last, F.lit(f"fewer than {len(names)} fields"))
+    reason = F.coalesce(fields, *missing, *wrong, short, F.lit("not a record"))
+    return rows, bad.select("file", "line", reason.alias("reason"), F.col("value").alias("record"))
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> None:
+    """Store a frame as catalog table ``name`` at ``path``, bucketed and sorted by ``key``,
+    one file a bucket: joins on the key of tables with as many buckets need no shuffle."""
+    (df.repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(name))
+
+
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """The stored (Parquet) table, cast to the fixed schema in its column order."""
     df = spark.read.parquet(path)
