@@ -16,11 +16,13 @@ the matrix with its transpose, of which only what a link may need is made:
    columns; two linked rows always share one), are compared with the most
    shared-in row there: a group costs one comparison a row, not one a pair.
 4. What such comparisons left in different components is multiplied out: the
-   prefix columns are dealt to bins, each bin makes the products of its
-   columns over rows of different components, the partial overlaps are added
-   up by pair, and pairs that cannot reach the size-derived bound
-   ``percent (|x| + |y|) / (100 + percent)`` even if all columns beyond the
-   prefix agree are dropped. The rest is compared in full.
+   prefix columns are dealt to bins, long ones as blocks of rows times blocks of
+   rows. A bin first leaves out the rows that by their sizes and their numbers of
+   columns can link with no row of the column, and makes the products of the others
+   over different components, again only where sizes and columns allow a link.
+   The partial overlaps are added up by pair, and pairs that cannot reach the
+   size-derived bound ``percent (|x| + |y|) / (100 + percent)`` even if all columns
+   beyond the prefix agree are dropped. The rest is compared in full.
 
 So all links between different components are tested, none is lost, and
 members of one group need not be expanded into all pairs.
@@ -51,6 +53,7 @@ PERCENT = 75
 HASH_ORDERS = 4
 BATCH_ENTRIES = 2_000_000       # matrix entries in one batch of sets
 BROADCAST_PAIRS = 200_000
+COLUMN_ROWS = 1024              # rows of a column that one cell multiplies
 _VALUES = byte_values(lower=True, seed=4)
 
 
@@ -234,30 +237,57 @@ def _to_centres(keyed: DataFrame, key: list[str], any_row: bool = False) -> Data
     return keyed.join(centre, key).where("component <> of_b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def may_link(n: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
+    """For every two kinds of rows, of ``n`` shingles and ``columns`` of them in the
+    product, whether such rows can link: by size, and as all their common columns are in the product."""
+    low, high = np.minimum.outer(n, n), np.maximum.outer(n, n)
+    return (100 * low >= percent * high) & (
+        (100 + percent) * np.minimum.outer(columns, columns) >= percent * np.add.outer(n, n))
+
+
+def column_pairs(node: np.ndarray, comp: np.ndarray, block: np.ndarray, n: np.ndarray, columns: np.ndarray,
+                 percent: int, apart: bool) -> np.ndarray:
+    """The pairs (places) of one column's rows that lie in different components and may
+    link; ``apart``: rows of different blocks only. Rows that can link with none of
+    the column leave it before any pair is made."""
+    kinds, kind = np.unique(np.stack([n, columns], axis=1), axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    able = may_link(kinds[:, 0], kinds[:, 1], percent)
+    live = np.flatnonzero(able.any(axis=1)[kind])
+    live = live[np.argsort(comp[live], kind="stable")]
+    end = np.searchsorted(comp[live], comp[live], "right")
+    made = []
+    for i in range(len(live)):
+        others = live[end[i]:]
+        ok = able[kind[live[i]], kind[others]]
+        if apart:
+            ok &= block[others] != block[live[i]]
+        others = others[ok]
+        if len(others):
+            made.append(np.stack([np.full(len(others), live[i]), others], axis=1))
+    return np.concatenate(made) if made else np.zeros((0, 2), np.int64)
+
+
 def products(prefixes: DataFrame, parts: int, percent: int) -> DataFrame:
     """(a, b): rows of different components that share prefix columns and whose
-    overlap may reach the bound. Rows of ``prefixes``: h, node, component, n and
-    rest (the columns beyond the prefix); what two rows share outside both
-    prefixes is beyond the prefix of the one that ends first."""
+    overlap may reach the bound. Rows of ``prefixes``: h, cell, apart, block, node,
+    component, n, rest (the columns beyond the prefix) and columns; what two rows share
+    outside both prefixes is beyond the prefix of the one that ends first."""
 
     def multiply(key, table):
-        h, doc, comp, size_of, rest = (np.asarray(table[c]) for c in ("h", "node", "component", "n", "rest"))
+        h, cell, block, doc, comp, size_of, rest, columns = (
+            np.asarray(table[c]) for c in ("h", "cell", "block", "node", "component", "n", "rest", "columns"))
+        apart = np.asarray(table["apart"])
         nodes, at = np.unique(doc, return_index=True)
-        size_of, rest = size_of[at], rest[at]
-        by = np.lexsort((comp, h))
-        h, doc, comp = h[by], doc[by], comp[by]
-        cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        by = np.lexsort((cell, h))
+        cut = np.flatnonzero(np.r_[True, (h[by][1:] != h[by][:-1]) | (cell[by][1:] != cell[by][:-1])])
         found = []
         for lo, hi in zip(cut, np.r_[cut[1:], len(h)]):
-            part = np.flatnonzero(np.r_[True, comp[lo + 1:hi] != comp[lo:hi - 1]]) + lo
-            size = np.diff(np.r_[part, hi])
-            seen: list[np.ndarray] = []
-            for i in np.argsort(-size, kind="stable"):         # the largest component first
-                own = doc[part[i]:part[i] + size[i]]
-                for other in seen:
-                    found.append(np.stack([np.repeat(own, len(other)), np.tile(other, len(own))], axis=1))
-                seen.append(own)
-        if not found:
+            rows = by[lo:hi]
+            some = column_pairs(doc[rows], comp[rows], block[rows], size_of[rows], columns[rows], percent, bool(apart[rows[0]]))
+            found.append(doc[rows][some])
+        size_of, rest = size_of[at], rest[at]
+        if not sum(map(len, found)):
             return pa.table({"to": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary())})
         pairs = np.sort(np.concatenate(found), axis=1)
         pairs, count = np.unique(pairs, axis=0, return_counts=True)
@@ -279,11 +309,22 @@ def products(prefixes: DataFrame, parts: int, percent: int) -> DataFrame:
         able = partial >= rows[first, 3]
         return pa.table({"a": pairs[able, 0].copy(), "b": pairs[able, 1].copy()})
 
-    binned = prefixes.withColumn("bin", F.pmod(F.xxhash64("h"), F.lit(4 * parts)))
+    binned = prefixes.withColumn("bin", F.pmod(F.xxhash64("h", "cell"), F.lit(4 * parts)))
     made = binned.groupBy("bin").applyInArrow(multiply, "to int, pairs binary")
     return made.groupBy("to").applyInArrow(accumulate, "a long, b long")
 
 
+def in_cells(rows: DataFrame) -> DataFrame:
+    """Rows of columns of up to ``m`` rows with the cells (pairs of blocks of rows) of
+    their column that they are multiplied in: one for a column of up to ``COLUMN_ROWS``
+    rows; a longer one is a square of blocks, whose cells are dealt on their own."""
+    blocks = F.ceil(F.col("m") / F.lit(COLUMN_ROWS)).cast("long")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return rows.withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).withColumn(
+        "apart", F.col("block") != F.col("other")).drop("m", "blocks", "other")
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                        percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row that has a doc_id."""
@@ -297,7 +338,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = materialize(incidence(docs, words, percent), as_table=True)
     sets = materialize(ordered_sets(rows, percent), as_table=True)
 
-    slim = sets.select("node", "n", "share", "keys", (F.size("hashes") - F.col("prefix")).cast("long").alias("rest"), F.slice("hashes", F.lit(1), F.col("prefix")).alias("prefix_columns"))
+    slim = sets.select("node", "n", "share", "keys", F.size("hashes").cast("long").alias("columns"), (F.size("hashes") - F.col("prefix")).cast("long").alias("rest"), F.slice("hashes", F.lit(1), F.col("prefix")).alias("prefix_columns"))
     keyed = slim.select("node", "share", F.col("node").alias("component"), F.posexplode("keys").alias("j", "key"))
     links = materialize(linked(_to_centres(keyed, ["j", "key"]), sets, percent), as_table=True)
     found = components(links)
@@ -305,9 +346,10 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         by_column = _with_component(slim, found).select("node", "share", "component", F.explode("prefix_columns").alias("h"))
         links = materialize(links.union(linked(_to_centres(by_column, ["h"], any_row), sets, percent)), as_table=True)
         found = components(links)
-    by_column = _with_component(slim, found).select("node", "component", "n", "rest", F.explode("prefix_columns").alias("h"))
-    mixed = by_column.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    able = products(by_column.join(mixed.select("h"), "h", "left_semi"), parts, percent)
+    by_column = _with_component(slim, found).select("node", "component", "n", "rest", "columns", F.explode("prefix_columns").alias("h"))
+    mixed = by_column.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where(
+        "lo <> hi")
+    able = products(in_cells(by_column.join(mixed.select("h", "m"), "h")), parts, percent)
     links = materialize(links.union(linked(able, sets, percent)), as_table=True)
     found = components(links)
 

@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+import pytest
 from brute import components, documents, empty, shingles
 
+from pyspark.sql import functions as F
+
 from ledgerlens.llm import jaccard
 
 
@@ -37,9 +41,11 @@ def test_documents(spark):
     assert any(d != c for d, _, c in got)
 
 
-def test_chains_groups_and_a_common_passage(spark):
+@pytest.mark.parametrize("column_rows", [1024, 5])
+def test_chains_groups_and_a_common_passage(spark, monkeypatch, column_rows):
     """Near copies of a text that link only through others, chains, many exact
     copies, and a passage that all share but few link by."""
+    monkeypatch.setattr(jaccard, "COLUMN_ROWS", column_rows)      # 5: hot columns as many cells
     draw = random.Random(4)
     fresh = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
     passage, rows = fresh(40), []
@@ -66,3 +72,36 @@ def test_empty(spark):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
     only = spark.createDataFrame([(3, None), (4, ""), (5, "a")], "doc_id long, text string")
     assert sorted(tuple(r) for r in jaccard.jaccard_components(only).collect()) == [(3, 0, 3), (4, 0, 4), (5, 1, 5)]
+
+
+def test_a_passage_of_many_documents_makes_few_pairs():
+    """2,000 texts with 36 common columns of 46 shingles: no two can link, and no pair is made."""
+    n, columns = np.full(2000, 46), np.full(2000, 36)
+    some = jaccard.column_pairs(np.arange(2000), np.arange(2000), np.zeros(2000), n, columns, 75, False)
+    assert len(some) == 0
+    columns[:3] = 46
+    some = jaccard.column_pairs(np.arange(2000), np.arange(2000), np.zeros(2000), n, columns, 75, False)
+    assert sorted(map(tuple, some.tolist())) == [(0, 1), (0, 2), (1, 2)]
+    some = jaccard.column_pairs(np.arange(2000), np.r_[7, 7, np.arange(2, 2000)], np.arange(2000) % 2, n, columns, 75, True)
+    assert some.tolist() == [[2, 1]] or some.tolist() == [[1, 2]]
+
+
+def test_bounds_lose_no_link():
+    """Whatever two sets share, sets that link may link by their sizes and columns."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        both, only = rng.integers(1, 60), rng.integers(0, 25, 2)
+        n = both + only
+        own = np.minimum(rng.integers(0, 5, 2), only)                 # columns that no other row has
+        links = 100 * both >= 75 * (n.sum() - both)
+        assert not links or jaccard.may_link(n, n - own, 75)[0, 1]
+
+
+def test_cells_of_a_long_column_hold_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMN_ROWS", 7)
+    rows = spark.range(50).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("h"), F.lit(50).cast("long").alias("m"))
+    cells = {}
+    for r in jaccard.in_cells(rows).collect():
+        cells.setdefault((r["cell"], r["apart"]), []).append((r["node"], r["block"]))
+    seen = [(a, b) for (_, apart), xs in cells.items() for a, x in xs for b, y in xs if a < b and (not apart or x != y)]
+    assert len(seen) == len(set(seen)) == 50 * 49 // 2 and max(map(len, cells.values())) < 30
