@@ -83,9 +83,18 @@ def replace_days(spark: SparkSession, table_dir: str, transactions: DataFrame |
     for name, part in {**rows, **_states(spark, root, rows)}.items():
         days = rows["transactions" if name in ("transactions", "transaction_states") else "support_tickets"].days
         new[name] = snapshots.replaced(base.tables[name], days, part)
+    new["impact_states"] = []                # of links between any days: made anew by store_impact
     return snapshots.publish(spark, root, new, base)
 
 
+def store_impact(spark: SparkSession, table_dir: str) -> Snapshot:
+    """A new version of the stored tables with the impact states of its rows."""
+    root = table_dir.rstrip("/")
+    base = snapshots.open_snapshot(spark, root)
+    states = cube.impact_states(base.read("transactions"), base.read("support_tickets"))
+    return snapshots.publish(spark, root, {"impact_states": [write_states(spark, root, states)]}, base)
+
+
 def audit(version: Snapshot) -> DataFrame:
     """(table, rows) of a version: from its manifest, or from the cube's counts where days have been replaced."""
     out = []
@@ -101,7 +110,8 @@ def load_cube(spark: SparkSession, table_dir: str, version: int | None = None) -
     found = snapshots.open_snapshot(spark, table_dir, version)
     if found is None:
         raise ValueError(f"no build has been finished in {table_dir}")
-    return cube.Cube(*(found.read(name) for name in cube.TABLES))
+    return cube.Cube(*(found.read(name) for name in cube.TABLES),
+                     found.read("impact_states") if "impact_states" in found.tables else None)
 
 
 def store_links(spark: SparkSession, txn: DataFrame, tickets: DataFrame, name: str, path: str, buckets: int) -> None:

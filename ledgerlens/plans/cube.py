@@ -7,6 +7,9 @@ Three small tables take the place of the rows:
 - ``resolution_states`` by day, region, team and resolution time (in millionths),
   the frequencies from which exact quantiles are taken.
 
+A fourth, ``impact_states``, keeps which tickets a failure reason has led to as
+bitmaps of dense ticket numbers, which merge, so distinct counts are exact too.
+
 Their size follows the number of combinations, not the number of rows. All
 figures in them are counts and exact sums, so they add up over days and over any
 choice of regions and gateways: every dataset but the two filtered tables
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import core as fx
 from ..operators.filters import ViewFilter, _and, _member, filter_domains
+from ..operators.numbering import dense_numbers
 
 TABLES = ("transaction_states", "ticket_states", "resolution_states")
 
@@ -48,6 +52,21 @@ def resolution_states(tickets: DataFrame) -> DataFrame:
                          fx.units("resolution_time_hours").alias("units")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def impact_states(txn: DataFrame, tickets: DataFrame) -> DataFrame:
+    """By day, region, failure reason of the linked transaction and bucket of ticket
+    numbers: which tickets (a bitmap of 32,768 numbers) and the sums over their links.
+    Tickets are numbered by day and region, so a group's numbers lie in few buckets."""
+    linked = tickets.where(fx.non_empty("related_transaction_id")).select(
+        "ticket_id", F.to_date("created_at").alias("_date"), "region", "related_transaction_id", "resolution_time_hours", "csat_score")
+    reasons = txn.select(F.col("transaction_id").alias("related_transaction_id"), "failure_reason")
+    rows = linked.join(dense_numbers(linked, "ticket_id", ["_date", "region"]), "ticket_id", "left").join(
+        reasons, "related_transaction_id")
+    return rows.groupBy("_date", "region", "failure_reason", F.bitmap_bucket_number("no").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("no")).alias("tickets"),
+        F.sum(fx.units("resolution_time_hours")).alias("res_sum"), F.count("resolution_time_hours").alias("res_n"),
+        F.sum("csat_score").alias("csat_sum"), F.count("csat_score").alias("csat_n"))
+
+
 def states_of(txn: DataFrame | None, tickets: DataFrame | None) -> dict[str, DataFrame]:
     """The state tables of given rows."""
     out = {}
@@ -72,6 +91,7 @@ class Cube:
     transaction_states: DataFrame
     ticket_states: DataFrame
     resolution_states: DataFrame
+    impact_states: DataFrame | None = None
 
     def _range(self, f: ViewFilter) -> Column:
         day = F.col("_date")
@@ -169,5 +189,20 @@ class Cube:
                 .orderBy(F.desc("avg_resolution"), "agent_id", "agent_team").limit(top_n))
 
 
+    def ticket_impact_by_reason(self, f: ViewFilter = ViewFilter()) -> DataFrame:
+        """Distinct tickets from merged bitmaps, means from sums: the analysis over the view's tickets and all transactions."""
+        if self.impact_states is None:
+            raise ValueError("this version has no impact states; see build.store_impact")
+        states = self.impact_states if f == ViewFilter() else self._tickets(f, self.impact_states)
+        agg = states.groupBy("failure_reason", "bucket").agg(
+            F.bitmap_count(F.bitmap_or_agg("tickets")).alias("n"), *(F.sum(c).alias(c) for c in ("res_sum", "res_n", "csat_sum", "csat_n")))
+        agg = agg.groupBy("failure_reason").agg(F.sum("n").alias("tickets_generated"), *(
+            F.sum(c).alias(c) for c in ("res_sum", "res_n", "csat_sum", "csat_n")))
+        return agg.select(
+            "failure_reason", "tickets_generated", fx.mean_2dp_from_units("res_sum", "res_n").alias("avg_resolution_hours"),
+            fx.ratio_half_up("csat_sum", "csat_n", 100).alias("avg_csat")).orderBy(
+            F.desc("tickets_generated"), F.asc_nulls_first("failure_reason"))
+
+
 DATASETS = ("filter_domains", "kpi_summary", "daily_failure_trend", "gateway_performance", "top_failure_reasons", "regional_ops",
             "sla_heatmap", "resolution_distribution", "csat_by_sla_outcome", "bottleneck_agents")

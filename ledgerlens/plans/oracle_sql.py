@@ -361,6 +361,8 @@ def cube_sql() -> dict[str, str]:
     """The datasets that the cube answers, under a view filter: the same statements over rows."""
     v = filtered_views(DEMO_FILTER)
     found = {"filter_domains": dashboard_sql()["filter_domains"], "kpi_summary": with_conform(v + _kpi_body())} | _dataset_sql(v)
+    rows = analysis_sql()["ticket_impact_by_reason"][len(CONFORM):].replace("FROM support_tickets s", "FROM ftk s")
+    found["ticket_impact_by_reason"] = with_conform(v + rows)
     return {f"cube_{name}": sql for name, sql in found.items()}
 
 

@@ -175,9 +175,10 @@ def stored_cube(spark: SparkSession, sf_dir: str) -> cube.Cube:
     root = f"{base.rstrip('/')}/cubes/{io.files_version(spark, [sf_path(sf_dir, t) for t in StarTables.NAMES])}"
     found = snapshots.open_snapshot(spark, root)
     if found is None:
-        states = cube.states_of(*conformed_tables(spark, sf_dir))
+        txn, tickets = conformed_tables(spark, sf_dir)
+        states = {**cube.states_of(txn, tickets), "impact_states": cube.impact_states(txn, tickets)}
         found = snapshots.publish(spark, root, {name: [write_states(spark, root, df)] for name, df in states.items()})
-    return cube.Cube(*(found.read(name) for name in cube.TABLES))
+    return cube.Cube(*(found.read(name) for name in (*cube.TABLES, "impact_states")))
 
 
 def ticket_impact_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +197,7 @@ def cube_queries() -> dict[str, Query]:
     """The datasets under a view filter, from the stored cube: no row is read."""
     f = ViewFilter(**DEMO_FILTER)
     return {f"cube_{name}": (lambda spark, sf_dir, name=name: getattr(stored_cube(spark, sf_dir), name)(f))
-            for name in cube.DATASETS}
+            for name in (*cube.DATASETS, "ticket_impact_by_reason")}
 
 
 def _star(fn) -> Query:

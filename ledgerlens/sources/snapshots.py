@@ -147,12 +147,13 @@ def days_of(spark: SparkSession, root: str, path: str) -> tuple | None:
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, list[Part]], base: Snapshot | None = None) -> Snapshot:
-    """Make a version of the tables, those of ``base`` that are not given included; an
-    error if another build has published after ``base`` was opened."""
+    """Make a version of the tables, those of ``base`` that are not given included (a
+    table given without parts is left out); an error if another build has published after ``base`` was opened."""
     root = root.rstrip("/")
     files = _Files(spark, root)
     version = base.version + 1 if base else max(_versions(files, root), default=0) + 1
     merged = {**(base.tables if base else {}), **{k: tuple(v) for k, v in tables.items()}}
+    merged = {k: v for k, v in merged.items() if v}
     text = json.dumps({"version": version, "tables": {
         name: [asdict(p) for p in parts]
         for name, parts in merged.items()}})

@@ -7,9 +7,12 @@ from conftest import SF_SMALL
 from frames import ticket_frame, txn_frame
 
 from ledgerlens.operators.filters import ViewFilter, filter_domains, filter_tickets, filter_transactions
+from ledgerlens.operators.numbering import dense_numbers
 from ledgerlens.plans import build, cube, dashboard
+from ledgerlens.plans.analyses import ticket_impact_by_reason
 from ledgerlens.plans.registry import stored_datasets
 from ledgerlens.sources.conform import conformed_tables
+from ledgerlens.sources.snapshots import open_snapshot
 
 VIEWS = [ViewFilter(), ViewFilter("2024-01-08", "2024-01-21", ("AMERICA", "ASIA"), ("GatewayA", "GatewayC")),
          ViewFilter("2024-01-03", "2024-01-03"), ViewFilter(regions=["EUROPE"]), ViewFilter(gateways=["GatewayB"]),
@@ -67,3 +70,49 @@ def test_odd_rows(spark):
             for name in cube.DATASETS:
                 got = getattr(states, name)() if name == "filter_domains" else getattr(states, name)(f)
                 assert got.collect() == over_rows(name, t, k, f).collect(), (name, f)
+
+
+@pytest.mark.parametrize("f", VIEWS, ids=str)
+def test_distinct_tickets_from_bitmaps(spark, stored, f):
+    root, txn, tickets = stored
+    if "impact_states" not in open_snapshot(spark, root).tables:
+        with pytest.raises(ValueError, match="store_impact"):
+            build.load_cube(spark, root).ticket_impact_by_reason()
+        build.store_impact(spark, root)
+    got = build.load_cube(spark, root).ticket_impact_by_reason(f)
+    want = ticket_impact_by_reason(tickets if f == ViewFilter() else filter_tickets(tickets, txn, f), txn)
+    assert got.columns == want.columns and got.collect() == want.collect()
+
+
+def test_a_ticket_counts_once(spark):
+    """Repeated tickets, links without a transaction, null and empty links, more numbers than a bucket has."""
+    txn = txn_frame(spark, [{"transaction_id": f"T{i}", "failure_reason": (None, "", "x", "y")[i % 4]} for i in range(8)])
+    rows = [{"ticket_id": f"K{i % 5}", "related_transaction_id": f"T{i % 9}", "region": ("North", None)[i % 2]} for i in range(60)]
+    rows += [{"ticket_id": "K9", "related_transaction_id": x} for x in (None, "", "nowhere")]
+    tickets = ticket_frame(spark, rows)
+    states = cube.Cube(*cube.states_of(txn, tickets).values(), cube.impact_states(txn, tickets))
+    assert states.ticket_impact_by_reason().collect() == ticket_impact_by_reason(tickets, txn).collect()
+
+
+def test_dense_numbers(spark):
+    df = spark.createDataFrame([(f"k{i % 5000}", i % 7, i) for i in range(12_000)] + [(None, 1, 1)], "k string, a int, b int")
+    got = {r["k"]: r["no"] for r in dense_numbers(df, "k", ["a"]).collect()}
+    least = {}
+    for i in range(12_000):
+        least[f"k{i % 5000}"] = min(least.get(f"k{i % 5000}", 9), i % 7)
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(least, key=lambda k: (least[k], k))
+    assert sorted(got.values()) == list(range(1, 5001)) and dense_numbers(df.limit(0), "k", ["a"]).count() == 0
+
+
+def test_replaced_days_leave_no_stale_impact(spark, tmpdir_path):
+    txn = txn_frame(spark, [{"transaction_id": "T1", "failure_reason": "x"}])
+    tickets = ticket_frame(spark, [{"related_transaction_id": "T1"}])
+    build._build(spark, {"transactions": txn, "support_tickets": tickets}, tmpdir_path, True)
+    build.store_impact(spark, tmpdir_path)
+    assert build.load_cube(spark, tmpdir_path).ticket_impact_by_reason().first()["tickets_generated"] == 1
+    build.replace_days(spark, tmpdir_path, support_tickets=tickets.union(ticket_frame(spark, [{"related_transaction_id": "T1"}] * 3)))
+    assert build.load_cube(spark, tmpdir_path).impact_states is None
+    build.store_impact(spark, tmpdir_path)
+    stored_txn, stored_tickets = build.load_tables(spark, tmpdir_path)
+    assert build.load_cube(spark, tmpdir_path).ticket_impact_by_reason().collect() == ticket_impact_by_reason(
+        stored_tickets, stored_txn).collect()
