@@ -14,7 +14,8 @@ MODEL_QUERIES = {n for n in QUERIES if n in ("isolation_forest_scores", "sampled
                  or n.startswith("top_") and n.endswith(("anomalies", "strict", "wide"))}
 # One-row broadcast sides that carry statistics to the rows.
 ONE_ROW_SIDES = {"zscore_priority_anomalies": 3, "zscore_transaction_anomalies": 3, "processing_time_outliers": 1,
-                 "anomaly_reasons": 1, "kpi_summary": 1, "kpi_summary_filtered": 1}
+                 "anomaly_reasons": 1, "kpi_summary": 1, "kpi_summary_filtered": 1, "cube_kpi_summary": 1, "zscore_flags": 1,
+                 "amount_minmax": 1}
 
 
 def plan_text(df, mode="simple") -> str:
@@ -95,5 +96,8 @@ def test_columns_are_pruned_at_the_scan(spark):
 
 
 def test_single_statistics_are_scalar_subqueries(spark):
-    text = plan_text(QUERIES["amount_minmax"](spark, SF_SMALL))
+    from ledgerlens.operators.stats import minmax_norm
+    from ledgerlens.sources.conform import conformed_transactions
+    txn = conformed_transactions(spark, SF_SMALL)
+    text = plan_text(txn.select("transaction_id", minmax_norm(txn, "amount").alias("norm_amount")))
     assert "Subquery" in text and "CartesianProduct" not in text and "NestedLoop" not in text
