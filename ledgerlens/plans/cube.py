@@ -29,6 +29,18 @@ from ..operators.filters import ViewFilter, _and, _member, filter_domains
 from ..operators.numbering import dense_numbers
 
 TABLES = ("transaction_states", "ticket_states", "resolution_states")
+# What the states and the links are taken from.
+TRANSACTION_INPUTS = ("transaction_id", "timestamp", "region", "gateway", "status", "failure_reason", "processing_time_ms",
+                      "is_fraud_flag")
+TICKET_INPUTS = ("ticket_id", "created_at", "related_transaction_id", "region", "priority", "agent_team", "agent_id",
+                 "sla_breached", "resolution_time_hours", "csat_score")
+
+
+def ticket_inputs(tickets: DataFrame) -> DataFrame:
+    """The columns of tickets that the states read. Of a ticket without a link only
+    whether it has an id matters, so its id is stored as an empty text."""
+    known = F.when(fx.non_empty("related_transaction_id") | F.col("ticket_id").isNull(), F.col("ticket_id")).otherwise(F.lit(""))
+    return tickets.select(*TICKET_INPUTS).withColumn("ticket_id", known)
 
 
 def transaction_states(txn: DataFrame) -> DataFrame:

@@ -19,10 +19,10 @@ from ..operators import enrich as EN
 from ..operators.filters import ViewFilter, filter_domains, filter_tickets, filter_transactions
 from ..operators.quantile import five_numbers
 from ..operators.stats import with_minmax_norm, with_zscore_flags
-from ..session import configured_checkpoint_dir, ensure_checkpoint_dir, sf_path
+from ..session import configured_checkpoint_dir, drop_materialized, ensure_checkpoint_dir, materialize, sf_path
 from ..sources import io, snapshots
 from ..sources.conform import (StarTables, conformed_tables, conformed_tickets, conformed_transactions,
-                               risk_inputs, ticket_inputs, transactions)
+                               risk_inputs, support_tickets, ticket_inputs, transactions)
 from . import analyses as A
 from . import cube
 from . import dashboard as D
@@ -175,9 +175,14 @@ def stored_cube(spark: SparkSession, sf_dir: str) -> cube.Cube:
     root = f"{base.rstrip('/')}/cubes/{io.files_version(spark, [sf_path(sf_dir, t) for t in StarTables.NAMES])}"
     found = snapshots.open_snapshot(spark, root)
     if found is None:
-        txn, tickets = conformed_tables(spark, sf_dir)
+        # Both tables are derived once; all states, the tickets' links among them, read the columns stored here.
+        star = StarTables.load(spark, sf_dir)
+        txn = materialize(transactions(star, with_event_id=True).select("event_id", *cube.TRANSACTION_INPUTS), as_table=True)
+        tickets = materialize(cube.ticket_inputs(support_tickets(star, txn)), as_table=True)
         states = {**cube.states_of(txn, tickets), "impact_states": cube.impact_states(txn, tickets)}
         found = snapshots.publish(spark, root, {name: [write_states(spark, root, df)] for name, df in states.items()})
+        drop_materialized(tickets)
+        drop_materialized(txn)
     return cube.Cube(*(found.read(name) for name in (*cube.TABLES, "impact_states")))
 
 

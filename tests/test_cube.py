@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from conftest import SF_SMALL
 from frames import ticket_frame, txn_frame
+from pyspark.sql import functions as F
 
 from ledgerlens.operators.filters import ViewFilter, filter_domains, filter_tickets, filter_transactions
 from ledgerlens.operators.numbering import dense_numbers
@@ -116,3 +117,27 @@ def test_replaced_days_leave_no_stale_impact(spark, tmpdir_path):
     stored_txn, stored_tickets = build.load_tables(spark, tmpdir_path)
     assert build.load_cube(spark, tmpdir_path).ticket_impact_by_reason().collect() == ticket_impact_by_reason(
         stored_tickets, stored_txn).collect()
+
+
+def test_stored_cube_derives_each_table_once(spark, monkeypatch, tmpdir_path):
+    """All states read columns that were stored once: none of their plans has the joins of the star tables."""
+    from ledgerlens.plans import registry
+
+    plans, states_of = [], cube.states_of
+
+    def seen(txn, tickets):
+        plans.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in (txn, tickets))
+        return states_of(txn, tickets)
+
+    monkeypatch.setattr(cube, "states_of", seen)
+    monkeypatch.setattr(registry.io, "files_version", lambda *a: "derived_once")
+    got = registry.stored_cube(spark, SF_SMALL).csat_by_sla_outcome().collect()
+    assert len(plans) == 2 and not any("Join" in p for p in plans) and len(got) == 2
+
+
+def test_ticket_inputs_keep_the_states(spark):
+    """Ids are stored for linked tickets only; a missing id stays missing."""
+    given = spark.createDataFrame([("t1", "x1"), ("t2", ""), ("t3", None), (None, "x2"), (None, None)], "ticket_id string, related_transaction_id string")
+    others = {c: "int" for c in cube.TICKET_INPUTS if c not in given.columns}
+    rows = cube.ticket_inputs(given.select("*", *(F.lit(1).cast(t).alias(c) for c, t in others.items()))).collect()
+    assert [r["ticket_id"] for r in rows] == ["t1", "", "", None, None]
