@@ -24,12 +24,16 @@ def _reason_stats() -> dict[str, Column]:
     return stats.moments("processing_time_ms", "pt_") | stats.moments("amount", "amount_")
 
 
+def _reason_figures(st: Column) -> dict[str, Column]:
+    return stats.figures_of(st, "pt_") | stats.figures_of(st, "amount_")
+
+
 def _reasons(st: Column) -> Column:
     slow, unusual, retries, risky, failed = K.REASON_TAGS
     tags = [
-        F.when(stats._flag(F.col("processing_time_ms"), stats.mean_of(st, "pt_"), stats.sample_std_of(st, "pt_"), K.REASON_Z),
+        F.when(stats._flag(F.col("processing_time_ms"), st["pt_mean"], st["pt_std"], K.REASON_Z),
                F.lit(slow)),
-        F.when(stats._flag(F.col("amount"), stats.mean_of(st, "amount_"), stats.sample_std_of(st, "amount_"), K.REASON_Z),
+        F.when(stats._flag(F.col("amount"), st["amount_mean"], st["amount_std"], K.REASON_Z),
                F.lit(unusual)),
         F.when(F.col("retry_count") >= K.HIGH_RETRIES, F.lit(retries)),
         F.when(F.col("risk_score") > K.HIGH_RISK_SCORE, F.lit(risky)),
@@ -42,7 +46,7 @@ def _reasons(st: Column) -> Column:
 def with_reasons(df: DataFrame) -> DataFrame:
     """``df`` with ``anomaly_reason``: comma-separated tags in a fixed order, or
     the default text when none applies."""
-    return stats.with_stats(df, STATS, **_reason_stats()).select(
+    return stats.with_stats(df, STATS, _reason_figures, **_reason_stats()).select(
         *df.columns, _reasons(F.col(STATS)).alias("anomaly_reason"))
 
 
@@ -52,7 +56,8 @@ def explain_and_rank(scored: DataFrame, score_col: str = "anomaly_score", score_
     even, to every row; all statistics come from one aggregate over all rows.
     With ``score_range``, the known least and largest score, that aggregate reads no score."""
     lo, hi = (F.lit(float(v)) for v in score_range) if score_range else (F.min(score_col), F.max(score_col))
-    rows = stats.with_stats(scored, STATS, **_reason_stats(), lo=lo, hi=hi,
+    ranges = lambda st: {k: st[k] for k in ("lo", "hi", "lo_amount", "hi_amount")}
+    rows = stats.with_stats(scored, STATS, lambda st: _reason_figures(st) | ranges(st), **_reason_stats(), lo=lo, hi=hi,
                             lo_amount=F.min("amount"), hi_amount=F.max("amount"))
     st = F.col(STATS)
     norm = lambda c, lo, hi: (F.col(c) - st[lo]) / (st[hi] - st[lo] + F.lit(K.MINMAX_EPS))

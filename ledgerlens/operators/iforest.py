@@ -158,29 +158,41 @@ class IsolationForestModel:
         return cls(feature, threshold, at(2 * node), at(2 * node + 1), units, roots, max_depth, psi, n_features,
                    steps_f, steps_t, ends)
 
-    def score_samples(self, x: np.ndarray, chunk: int = 1024) -> np.ndarray:
+    def score_samples(self, x: np.ndarray, chunk: int = 16384) -> np.ndarray:
         """-2 ** (-E[h(x)] / c(psi)) for each row of ``x`` (rows × features).
 
-        Rows are walked through all trees at once, ``chunk`` rows at a time,
-        so working memory is bounded (chunk × trees indices) whatever the
-        Arrow batch size.
+        ``chunk`` rows at a time are walked through one tree after the other: a
+        tree's steps and the chunk's few arrays stay in the processor's cache, and
+        working memory is bounded whatever the Arrow batch size.
         """
         scale = float(average_path_length([self.psi])[0])
-        if len(self.roots) == 0 or scale == 0.0:
+        trees = len(self.roots)
+        if trees == 0 or scale == 0.0:
             return np.full(len(x), -0.5)
         if len(x) > chunk:
             return np.concatenate([self.score_samples(x[i:i + chunk], chunk) for i in range(0, len(x), chunk)])
-        flat = np.where(np.isnan(x), np.inf, x).ravel()          # a missing comparison goes right, as a large value does
-        row = (np.arange(len(x), dtype=np.int32) * x.shape[1])[:, None]
-        width = 1 << self.max_depth
-        base = (np.arange(len(self.roots), dtype=np.int32) * width)[None, :]
-        node = np.ones((len(x), len(self.roots)), np.int32)
-        for _ in range(self.max_depth):
-            at = base + node
-            node += node
-            node += flat.take(row + self.step_feature.take(at)) > self.step_threshold.take(at)
-        mean_path = self.ends.take(base + (node - width)).sum(axis=1) / (PATH_UNITS * len(self.roots))
-        return -np.power(2.0, -mean_path / scale)
+        n, width = len(x), 1 << self.max_depth
+        # One feature after the other; a missing comparison goes right, as a large value does.
+        flat = np.ascontiguousarray(np.where(np.isnan(x), np.inf, x).T).ravel()
+        column = self.step_feature.astype(np.intp).reshape(trees, width) * n
+        threshold, ends = self.step_threshold.reshape(trees, width), self.ends.reshape(trees, width)
+        row = np.arange(n, dtype=np.intp)
+        at, value, limit, right = np.empty(n, np.intp), np.empty(n), np.empty(n), np.empty(n, bool)
+        total, found = np.zeros(n, np.int64), np.empty(n, np.int64)
+        for tree in range(trees):
+            node = np.ones(n, np.intp)
+            for _ in range(self.max_depth):
+                # Every index is in range; "clip" only spares the copies that checking takes.
+                np.take(column[tree], node, out=at, mode="clip")
+                np.take(threshold[tree], node, out=limit, mode="clip")
+                at += row
+                np.take(flat, at, out=value, mode="clip")
+                np.greater(value, limit, out=right)
+                node += node
+                node += right
+            node -= width
+            total += np.take(ends[tree], node, out=found, mode="clip")
+        return -np.power(2.0, -(total / (PATH_UNITS * trees)) / scale)
 
 
 def _features_frame(df: DataFrame, id_col: str, features: list[str], seed: int) -> DataFrame:

@@ -12,6 +12,7 @@ broadcast side instead (``with_stats``). There is no window without a partition
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,14 @@ def scalars_of(df: DataFrame, **exprs: Column) -> dict[str, Column]:
     return {k: s.getField(k) for k in exprs}
 
 
-def with_stats(df: DataFrame, name: str, **exprs: Column) -> DataFrame:
+def with_stats(df: DataFrame, name: str, derived: Callable | None = None, **exprs: Column) -> DataFrame:
     """``df`` with one more column ``name``: a struct of aggregates over all of
     ``df``. It rides along as a one-row broadcast side, so a statistic of a
-    column that itself needs statistics is planned once, not once a reference."""
+    column that itself needs statistics is planned once, not once a reference.
+    ``derived`` makes the struct's fields of the aggregates' struct, on that one row."""
     one = df.agg(F.struct(*[e.alias(k) for k, e in exprs.items()]).alias(name))
+    if derived:
+        one = one.select(F.struct(*[e.alias(k) for k, e in derived(F.col(name)).items()]).alias(name))
     return df.crossJoin(F.broadcast(one))
 
 
@@ -112,6 +116,11 @@ def sample_std_of(st, name: str = "") -> Column:
     return F.when(n > 1, F.sqrt(F.greatest(F.coalesce(exact, near), F.lit(0.0)) / pairs) / F.lit(float(_UNITS)))
 
 
+def figures_of(st, name: str = "") -> dict[str, Column]:
+    """The mean and the sample standard deviation, from ``moments``."""
+    return {f"{name}mean": mean_of(st, name), f"{name}std": sample_std_of(st, name)}
+
+
 def zscore_flags(df: DataFrame, column: str, threshold: float = 3.0) -> Column:
     """|x − mean| / sample-std > threshold, as a boolean column.
 
@@ -126,8 +135,9 @@ def with_zscore_flags(df: DataFrame, columns: dict[str, str], threshold: float =
     """``df`` with a flag as ``zscore_flags`` gives for each of several columns
     (column -> name), all from one aggregate that is planned once."""
     wanted = {k: v for i, c in enumerate(columns) for k, v in moments(c, f"c{i}_").items()}
-    rows, st = with_stats(df, "_stats", **wanted), F.col("_stats")
-    return rows.select(*df.columns, *(_flag(F.col(c), mean_of(st, f"c{i}_"), sample_std_of(st, f"c{i}_"), threshold).alias(name)
+    figures = lambda st: {k: v for i in range(len(columns)) for k, v in figures_of(st, f"c{i}_").items()}
+    rows, st = with_stats(df, "_stats", figures, **wanted), F.col("_stats")
+    return rows.select(*df.columns, *(_flag(F.col(c), st[f"c{i}_mean"], st[f"c{i}_std"], threshold).alias(name)
                                       for i, (c, name) in enumerate(columns.items())))
 
 

@@ -114,3 +114,14 @@ def test_state_is_bounded_by_groups_and_bins(spark, monkeypatch):
     df = spark.range(0, 200_000).select((F.col("id") % 3).cast("string").alias("k"), F.rand(5).alias("v"))
     quantile.five_numbers(df, "k", "v").collect()
     assert max(sizes) <= 3 * 6
+
+
+def test_figures_are_derived_on_one_row(spark):
+    """Means and deviations come from the one-row side; above the join no decimal arithmetic is left for every row."""
+    from ledgerlens.operators import anomaly, stats
+
+    df = spark.range(50).selectExpr("id as transaction_id", "cast(id as int) as processing_time_ms", "id * 1.5D as amount",
+                                    "0 as retry_count", "1D as risk_score", "'Failed' as status")
+    for out in (anomaly.with_reasons(df), stats.with_zscore_flags(df, {"processing_time_ms": "a", "amount": "b"})):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan and "decimal" not in plan.split("Join")[0].lower(), plan
