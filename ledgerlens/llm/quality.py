@@ -36,6 +36,7 @@ from .text import add_columns, bound_batches, byte_values, pieces, read_table, s
 PASSAGE = 64
 TRAIN_DOCS = 4000
 TRAIN_PASSAGES = 32
+PIECE = 1 << 20                 # bytes of text worked on at a time; passages of a piece take some 20 times as much memory
 HIDDEN, GATES = 16, 8
 STEPS, RATE, DECAY = 250, 0.03, 1e-4
 THRESHOLD = 0.7
@@ -111,7 +112,9 @@ class AttentionModel:
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict:
         p = self.p
-        x = np.clip((x - self.mean) / self.scale, -6, 6)
+        x = x - self.mean
+        x /= self.scale
+        np.clip(x, -6, 6, out=x)
         h = np.tanh(x @ p["encode"] + p["encode_0"])
         v, u = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"])))
         s = (v * u) @ p["w"]
@@ -180,7 +183,7 @@ def fit(df: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     def features(batches):
         for batch in batches:
-            for a, b in pieces(utf8(batch.column(1))[1]):
+            for a, b in pieces(utf8(batch.column(1))[1], PIECE):
                 x, first = passages(batch.column(1).slice(a, b - a))
                 rows = []
                 for i in range(b - a):
@@ -206,19 +209,23 @@ def fit(df: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str = "t
     return AttentionModel.from_row(row) if row is not None else float(share[0])
 
 
+def scores_of(model, column) -> np.ndarray:
+    """The scores of a batch of texts, a piece at a time."""
+    out = [np.zeros(0)]
+    for a, b in pieces(utf8(column)[1], PIECE):
+        if isinstance(model, float):
+            out.append(np.full(b - a, model))
+        else:
+            out.append(model.forward(*passages(column.slice(a, b - a)))["score"])
+    return np.concatenate(out)
+
+
 def score(df: DataFrame, model, text: str = "text") -> DataFrame:
     """``df`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``."""
     ship_package(df.sparkSession)
 
     def build(batch):
-        out = []
-        column = batch.column(batch.schema.get_field_index(text))
-        for a, b in pieces(utf8(column)[1], 1 << 23):
-            if isinstance(model, float):
-                out.append(np.full(b - a, model))
-            else:
-                out.append(model.forward(*passages(column.slice(a, b - a)))["score"])
-        s = np.concatenate(out or [np.zeros(0)])
+        s = scores_of(model, batch.column(batch.schema.get_field_index(text)))
         return [pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())]
 
     return add_columns(df, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], build)
